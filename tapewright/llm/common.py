@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,9 +38,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def own_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns can't clash with computed ones."""
-    return df.select(*names)
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps now, not at the next driver GC."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def rank_in_group(df: DataFrame, group: str, key: str, out: str, digits: int = 3) -> DataFrame:
@@ -67,6 +69,14 @@ def rank_in_group(df: DataFrame, group: str, key: str, out: str, digits: int = 3
     )
 
 
+def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """All rows, or about `rows` of them chosen by a hash of the id where there are more."""
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
+
+
 def id_key(id_col: str | Column) -> Column:
     """An evenly spread hex key of an id (null: of the empty string)."""
     return F.md5(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col, F.lit("")))
