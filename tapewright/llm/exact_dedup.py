@@ -38,6 +38,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one per group of equal texts.
+
+    The same grouping with the whole rows in the aggregate, so nothing is joined
+    back and of repeated rows one stays. A kept null text stays null.
+    """
+    best = {"min": F.min, "max": F.max}[keep]
+    rest = [c for c in docs.columns if c != id_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(F.col(id_col).isNotNull().cast("int").alias("_has") if keep == "max" else F.col(id_col).isNull().cast("int").alias("_has"),
+                   id_col, *(c for c in rest if c != text_col), F.col(text_col).isNull().alias("_null"))
+    groups = docs.groupBy(F.md5(text).alias("_h"), text.alias("_text")).agg(best(row).alias("_row"))
+    back = {c: F.col("_row")[c] for c in docs.columns if c != text_col} | {text_col: F.when(~F.col("_row")["_null"], F.col("_text"))}
+    return groups.select(*(back[c].alias(c) for c in docs.columns))
+
+
 ORACLE = """
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size

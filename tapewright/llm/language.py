@@ -5,7 +5,7 @@ hashed to FEATURES buckets; weight (1 + log count) * idf, scaled to length 1.
 Document frequencies are counted over all training rows. Weights are learned by
 follow-the-regularised-leader with elastic-net penalties, so most stay exactly
 zero, over a bounded sample (FIT_ROWS, by a hash of the id); one in five of its
-rows is left out and fits the temperature by which scores are calibrated.
+rows is left out (of 20 or more) and fits the temperature by which scores are calibrated.
 
 Rows without a language are not learned from. Texts that are null or have no
 letter get `und` with score 0; if nothing could be learned, so do all. Ties go
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     data = [(np.asarray(a), weighted(np.asarray(a), np.asarray(c), idf), index[v]) for a, c, v in zip(sample["at"], sample["counts"], sample["lang"]) if len(a)]
     if not data:
         return {"langs": [], "idf": idf, "weights": np.zeros((FEATURES + 1, 0)), "temperature": 1.0}
-    kept = [r for i, r in enumerate(data) if i % 5] or data
+    kept = [r for i, r in enumerate(data) if i % 5] if len(data) >= 20 else data
     weights = ftrl(kept, len(langs))
     held = data[::5]
     scores = np.array([x @ weights[at] + weights[-1] for at, x, _ in held])
