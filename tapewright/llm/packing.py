@@ -24,7 +24,9 @@ not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,24 +51,61 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, others for 256 and up."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in kept)
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+_COMBINING = re.compile("[\u0300-\u036f]")
+_MARK_AFTER_LETTER = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n])")
+
+
+def _words_of(text: str) -> list[bytes]:
+    """Chunks of a text that are encoded apart with the same result.
+
+    Cuts at white space and between a letter or digit and a final mark. ASCII is
+    lower-cased, as the vocabulary does, unless combining marks could compose.
+    """
+    if _COMBINING.search(text):
+        return [w.encode("utf-8", "surrogatepass") for w in text.split()]
+    return _MARK_AFTER_LETTER.sub(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split()
+
+
+def _encode_words(words: list[bytes], tokenizer: str) -> dict[bytes, bytes]:
+    """Ids of distinct words, as little-endian bytes.
+
+    A word of lower-case Latin-1 letters is one pre-token that normalizing leaves
+    as it is, so it goes straight to the vocabulary's merges.
+    """
+    whole, out, others = _tokenizer(tokenizer), {}, []
+    merges = whole.model
+    for w in words:
+        t = w.decode("utf-8", "replace")
+        if t.isalpha() and t.islower() and max(t) <= "\xff":
+            mapped = t if t.isascii() else "".join([_LETTERS[b] for b in w])
+            out[w] = array("I", [x.id for x in merges.tokenize(mapped)]).tobytes()
+        else:
+            others.append((w, t))
+    for k in range(0, len(others), 10_000):
+        part = others[k : k + 10_000]
+        for (w, _), e in zip(part, whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+            out[w] = array("I", e.ids).tobytes()
+    return out
+
+
 def encode_texts(texts: list[str], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, and the number of ids of each text."""
     known = _words.setdefault(tokenizer, {})
     if len(known) > WORDS_KEPT:
         known.clear()
-    split = [t.split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        for w, e in zip(part, _tokenizer(tokenizer).encode_batch_fast(part, add_special_tokens=False)):
-            known[w] = (len(e.ids), np.array(e.ids, dtype=np.uint32).tobytes())
-    counts = np.zeros(len(texts), np.int64)
-    out = []
-    for i, ws in enumerate(split):
-        got = [known[w] for w in ws]
-        counts[i] = sum(g[0] for g in got)
-        out.append(b"".join([g[1] for g in got]))
-    return np.frombuffer(b"".join(out), dtype=np.uint32), counts
+    split = [_words_of(t) for t in texts]
+    known.update(_encode_words(list(set().union(*split).difference(known)), tokenizer))
+    ids_of = known.__getitem__
+    raw = [b"".join(map(ids_of, ws)) for ws in split]
+    return np.frombuffer(b"".join(raw), dtype=np.uint32), np.array([len(r) // 4 for r in raw], np.int64)
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[int]:
