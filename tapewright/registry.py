@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
+from .plans.base import ORACLES, QUERIES
+
+for _name in ("series", "aggregates", "joins", "composites", "portfolio", "ingest", "streams"):
+    import_module(f"tapewright.plans.{_name}")
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly momentum decile book, net of costs."""
     return QUERIES["bt_decile_book"](spark, sf_dir)
