@@ -42,3 +42,117 @@ def decile_book(deciled: DataFrame, bps: float = 30.0, date: str = "rebal_date",
     side = lambda k, c: F.max(F.when(F.col("decile") == k, F.col(c)))
     out = g.groupBy(date).agg(side(10, "ret").alias("long_gross"), side(1, "ret").alias("short_gross"), side(10, "cost").alias("_lc"), side(1, "cost").alias("_sc"))
     return out.select(date, "long_gross", "short_gross", (F.col("long_gross") - F.col("_lc")).alias("long_net"), (F.col("long_gross") - F.col("short_gross") - F.col("_lc") - F.col("_sc")).alias("ls_net"))
+
+
+def walkforward_gate(returns: DataFrame, scores: DataFrame, thresholds: list[float], least: int = 24, date: str = "rebal_date") -> DataFrame:
+    """Per date the threshold whose gated past returns have the best Sharpe (ties: the lowest), applied to the date.
+
+    Dates by thresholds is one small table; past statistics are expanding windows that end a row earlier.
+    """
+    spark = returns.sparkSession
+    r = returns.join(scores, date, "left").withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    r = r.withColumn("gated", F.when(F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True)), F.col("ret")).otherwise(0.0))
+    past = Window.partitionBy("threshold").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumns({"_n": F.count("gated").over(past), "_s": F.round(F.try_divide(F.avg("gated").over(past), F.stddev_samp("gated").over(past)), 9)})
+    best = r.where(F.col("_n") >= least).groupBy(date).agg(F.max_by(F.struct("threshold", "gated"), F.struct(F.coalesce("_s", F.lit(-1e9)), -F.col("threshold"))).alias("b"))
+    return best.select(date, F.col("b.threshold").alias("threshold"), F.col("b.gated").alias("ret"))
+
+
+def ic_weighted(panel: DataFrame, signals: list[str], label: str, date: str = "rebal_date", least: int = 12) -> DataFrame:
+    """Weights per date and signal: the positive part of its mean past IC, normalised."""
+    from .stats import rank_ic
+
+    long = panel.unpivot([date, "symbol", label], signals, "signal", "value").withColumn("_k", F.concat_ws("|", F.col(date).cast("string"), "signal"))
+    ic = rank_ic(long, "value", label, "_k", 5).select(F.to_date(F.split("_k", r"\|")[0]).alias(date), F.split("_k", r"\|")[1].alias("signal"), "ic")
+    past = Window.partitionBy("signal").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    w = ic.withColumns({"_m": F.avg("ic").over(past), "_n": F.count("ic").over(past)}).where(F.col("_n") >= least).withColumn("_w", F.greatest("_m", F.lit(0.0)))
+    return w.select(date, "signal", F.coalesce(F.try_divide(F.col("_w"), F.sum("_w").over(Window.partitionBy(date))), F.lit(0.0)).alias("weight"))
+
+
+def block_bootstrap(returns: DataFrame, draws: int = 500, block: int = 6, date: str = "rebal_date", per_year: int = 12) -> DataFrame:
+    """Sharpe quantiles over circular block resamples; starts come from a hash of (draw, block)."""
+    spark = returns.sparkSession
+    r = returns.where("ret IS NOT NULL").withColumn("i", F.row_number().over(Window.orderBy(date)) - 1).select("i", "ret")
+    n = r.count()
+    blocks = -(-n // block)
+    picks = spark.range(draws * blocks).select((F.col("id") / blocks).cast("long").alias("draw"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("s"))
+    picks = picks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("draw", F.pmod(F.col("s") + F.col("j"), F.lit(n)).alias("i"))
+    s = picks.join(F.broadcast(r), "i").groupBy("draw").agg((F.avg("ret") / F.stddev_samp("ret") * per_year**0.5).alias("sharpe"))
+    q = F.percentile("sharpe", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    return s.agg(q.alias("q"), F.avg((F.col("sharpe") > 0).cast("double")).alias("p_positive")).select(*(F.col("q")[i].alias(x) for i, x in enumerate(("p05", "p50", "p95"))), "p_positive")
+
+
+def psr(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
+    """Probabilistic Sharpe ratio with bias-corrected skewness and kurtosis."""
+    from ..functions.core import norm_cdf
+
+    n = F.count("ret")
+    a = returns.agg(n.alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
+    skew = F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2) * F.col("g1")
+    kurt = (F.col("n") - 1) / ((F.col("n") - 2) * (F.col("n") - 3)) * ((F.col("n") + 1) * F.col("g2") + 6)
+    a = a.withColumns({"skew": skew, "kurt": kurt + 3})
+    z = (F.col("sr") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr"))
+    return a.select("n", "sr", "skew", "kurt", norm_cdf(z).alias("psr"))
+
+
+def cpcv_paths(dates: DataFrame, groups: int = 6, date: str = "rebal_date") -> DataFrame:
+    """Combinatorial purged splits: every pair of groups is a test set; training months next to a test month are purged."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    i = F.row_number().over(Window.orderBy(date)) - 1
+    d = dates.select(date, i.alias("_i"), F.floor(i * groups / n).cast("int").alias("_g"))
+    pairs = F.array(*(F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a in range(groups) for b in range(a + 1, groups)))
+    p = d.withColumn("_p", F.explode(pairs)).select(date, "_i", F.col("_p.g1").alias("g1"), F.col("_p.g2").alias("g2"), ((F.col("_g") == F.col("_p.g1")) | (F.col("_g") == F.col("_p.g2"))).alias("test"))
+    w = Window.partitionBy("g1", "g2").orderBy("_i")
+    beside = F.coalesce(F.lag("test").over(w), F.lit(False)) | F.coalesce(F.lead("test").over(w), F.lit(False))
+    return p.select(date, "g1", "g2", F.when(F.col("test"), "test").when(beside, "purged").otherwise("train").alias("role"))
+
+
+def first_touch(trades: DataFrame, bars: DataFrame, days: int = 21, target_first: bool = True) -> DataFrame:
+    """Outcome of (symbol, entry_date, entry, target, stop): the first of the next `days` bars to touch a level, else expiry at the last close."""
+    b = bars.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).select("symbol", F.col("date").alias("_d"), "_n", "high", "low", "close")
+    at = trades.join(b.select("symbol", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0")), ["symbol", "entry_date"])
+    path = at.join(b, "symbol").where((F.col("_n") > F.col("_n0")) & (F.col("_n") <= F.col("_n0") + days))
+    up, down = F.col("high") >= F.col("target"), F.col("low") <= F.col("stop")
+    hit = F.when(up, "target").when(down, "stop") if target_first else F.when(down, "stop").when(up, "target")
+    p = path.withColumn("_hit", hit)
+    g = p.groupBy("symbol", "entry_date", "entry", "target", "stop").agg(
+        F.min(F.when(F.col("_hit").isNotNull(), F.struct("_n", "_hit", "_d"))).alias("h"), F.max(F.struct("_n", "close", "_d")).alias("z"))
+    out = F.coalesce("h._hit", F.lit("expired"))
+    price = F.when(out == "target", F.col("target")).when(out == "stop", F.col("stop")).otherwise(F.col("z.close"))
+    return g.select("symbol", "entry_date", out.alias("outcome"), F.coalesce("h._d", "z._d").alias("exit_date"), (price / F.col("entry") - 1).alias("realized"))
+
+
+def greedy_book(cards: DataFrame, capital: float, date: str = "date") -> DataFrame:
+    """Per date, cards by confidence are taken while their notional still fits; one that doesn't is skipped, not the end.
+
+    Not associative, so a date's cards are folded in order; a date has a bounded number of cards.
+    """
+    s = cards.groupBy(date).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("k"), "symbol", "notional"))).alias("a"))
+    fold = F.expr(
+        f"""aggregate(a, named_struct('left', {capital}D, 'taken', slice(transform(a, v -> v.symbol), 1, 0)), (x, v) -> if(v.notional <= x.left,
+        named_struct('left', x.left - v.notional, 'taken', concat(x.taken, array(v.symbol))), x), x -> x.taken)"""
+    )
+    return s.select(date, F.posexplode(fold).alias("rank", "symbol"))
+
+
+def risk_curve(trades: DataFrame, risk: float = 10_000.0, base: float = 1e6) -> DataFrame:
+    """R multiples, P&L, equity, drawdown, loss streak and the size multiplier after each closed trade of a strategy."""
+    w = Window.partitionBy("strategy").orderBy("exit_date", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("r", F.col("realized") / ((F.col("entry_price") - F.col("stop")) / F.col("entry_price"))).withColumn("pnl", F.col("r") * risk)
+    t = t.withColumn("equity", F.sum("pnl").over(w)).withColumn("_hwm", F.greatest(F.max("equity").over(w), F.lit(0.0)))
+    t = t.withColumn("drawdown", (F.col("_hwm") - F.col("equity")) / (F.col("_hwm") + base))
+    t = t.withColumns({"_n": F.row_number().over(Window.partitionBy("strategy").orderBy("exit_date", "trade_id"))})
+    t = t.withColumn("streak", F.col("_n") - F.coalesce(F.max(F.when(F.col("pnl") >= 0, F.col("_n"))).over(w), F.lit(0)))
+    dd, st = drawdown_multiplier(F.col("drawdown")), F.when(F.col("streak") >= 8, 0.5).when(F.col("streak") >= 5, 0.75).otherwise(1.0)
+    return t.select("strategy", "trade_id", "r", "pnl", "equity", "drawdown", "streak", F.least(dd, st).alias("multiplier"), (F.col("drawdown") >= 0.25).alias("halt"))
+
+
+def drawdown_multiplier(dd):
+    return F.when(dd >= 0.25, 0.25).when(dd >= 0.15, 0.5).when(dd >= 0.10, 0.75).otherwise(1.0)
+
+
+def shrink_weights(proposals: DataFrame, kappa: float = 100.0, least: int = 30, move: float = 0.02) -> DataFrame:
+    """(kappa*prior + n*estimate) / (kappa + n), moved at most `move`, from n >= least; renormalised over pillars."""
+    shrunk = (kappa * F.col("prior") + F.col("n") * F.col("estimate")) / (kappa + F.col("n"))
+    capped = F.when(F.col("n") >= least, F.col("prior") + F.greatest(F.least(shrunk - F.col("prior"), F.lit(move)), F.lit(-move))).otherwise(F.col("prior"))
+    return proposals.withColumn("raw", capped).withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("group")))

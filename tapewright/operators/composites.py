@@ -31,3 +31,119 @@ def ttm_dividend(bars: DataFrame, actions: DataFrame, days: int = 365) -> DataFr
     last = Window.partitionBy("symbol").orderBy("_day").rangeBetween(-(days - 1), 0)
     return both.withColumn("_sum", F.coalesce(F.sum("_a").over(last), F.lit(0.0))).where("_bar").withColumn(
         "dividend_yield", F.col("_sum") / F.col("close")).drop("_a", "_bar", "_day", "_sum")
+
+
+def split_events(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """One factor per symbol and ex-date with its verification.
+
+    The factor is verified if the move between the last close before and the
+    first close from the ex-date on is nearer to it than to no move at all.
+    Without a bar on both sides it is unverifiable.
+    """
+    f = actions.select("symbol", F.col("date").alias("ex_date"), parse_ratio(F.col("action_type"), F.col("ratio")).alias("_f")).where("_f > 0")
+    f = f.groupBy("symbol", "ex_date").agg(F.product("_f").alias("factor"))
+    from .asof import asof
+
+    b = bars.withColumn("prev_close", F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))).select("symbol", "date", "close", "prev_close")
+    m = asof(f, b, ["symbol"], "ex_date", "date", ["close", "prev_close"], forward=True)
+    obs, want = F.log(F.col("close") / F.col("prev_close")), F.log("factor")
+    status = F.when(F.col("close").isNull() | F.col("prev_close").isNull(), "unverifiable").when(F.abs(obs - want) < F.abs(obs), "applied").otherwise("skipped")
+    return m.select("symbol", "ex_date", "factor", status.alias("status"))
+
+
+def split_adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Bars back-adjusted by the verified factors of later ex-dates: prices times, volume over the factor."""
+    good = split_events(bars, actions).where("status = 'applied'").select("symbol", F.col("ex_date").alias("date"), F.col("factor").alias("_f"))
+    both = bars.unionByName(good, allowMissingColumns=True).withColumn("_day", _day())
+    later = Window.partitionBy("symbol").orderBy("_day").rangeBetween(1, Window.unboundedFollowing)
+    a = both.withColumn("adj_factor", F.coalesce(F.product("_f").over(later), F.lit(1.0))).where("_f IS NULL").drop("_f", "_day")
+    return a.withColumns({**{c: F.col(c) * F.col("adj_factor") for c in ("open", "high", "low", "close")}, "volume": F.col("volume") / F.col("adj_factor")})
+
+
+def total_return(bars: DataFrame, actions: DataFrame, cap: float = 0.5) -> DataFrame:
+    """Close adjusted for dividends: the product of 1 - yield of later ex-dates, yields capped."""
+    from .asof import asof
+
+    paid = actions.where("action_type = 'DIVIDEND'").groupBy("symbol", F.col("date").alias("ex_date")).agg(F.sum("amount").alias("amount"))
+    m = asof(paid, bars.select("symbol", "date", "close"), ["symbol"], "ex_date", "date", ["close"], strict=True).where("close IS NOT NULL")
+    y = m.select("symbol", F.col("ex_date").alias("date"), (1 - F.least(F.col("amount") / F.col("close"), F.lit(cap))).alias("_f"))
+    both = bars.select("symbol", "date", "close").unionByName(y, allowMissingColumns=True).withColumn("_day", _day())
+    later = Window.partitionBy("symbol").orderBy("_day").rangeBetween(1, Window.unboundedFollowing)
+    out = both.withColumn("tr_factor", F.coalesce(F.product("_f").over(later), F.lit(1.0))).where("_f IS NULL")
+    return out.select("symbol", "date", "tr_factor", (F.col("close") * F.col("tr_factor")).alias("close_tr"))
+
+
+def membership_islands(members: DataFrame, months: DataFrame) -> DataFrame:
+    """Runs of consecutive month ends in which a symbol is a member, as [from, to): to is the next month end, null if open."""
+    idx = months.withColumn("_i", F.row_number().over(Window.orderBy("rebal_date"))).withColumn("_next", F.lead("rebal_date").over(Window.orderBy("rebal_date")))
+    m = members.join(F.broadcast(idx), "rebal_date").withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy("symbol").orderBy("_i")))
+    return m.groupBy("symbol", "_g").agg(F.min("rebal_date").alias("effective_from"), F.max_by("_next", "_i").alias("effective_to"), F.count(F.lit(1)).alias("months")).drop("_g")
+
+
+def revision_chain(filings: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
+    """Versions of each key: the one it revises, its number, whether it is current, and a hash of its content."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    down = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return filings.withColumns(
+        {"is_revision_of": F.lag("filing_id").over(w), "version": F.row_number().over(w), "is_current": F.row_number().over(down) == 1,
+         "content_hash": F.sha2(F.col(content).cast("string"), 256)})
+
+
+def max_pain(chain: DataFrame, least: int = 3) -> DataFrame:
+    """Strike of least total payout of the nearest expiry, lowest strike on ties; chains of `least` strikes or more."""
+    near = chain.groupBy("date", "symbol").agg(F.min("expiry").alias("expiry"))
+    c = chain.join(near, ["date", "symbol", "expiry"]).groupBy("date", "symbol", "strike").agg(
+        F.sum(F.when(F.col("option_typ") == "CE", F.col("open_int")).otherwise(0.0)).alias("ce"), F.sum(F.when(F.col("option_typ") == "PE", F.col("open_int")).otherwise(0.0)).alias("pe"))
+    # a chain has a bounded number of strikes: pay-outs at each from running sums, without a self-join
+    up = Window.partitionBy("date", "symbol").orderBy("strike").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("date", "symbol").orderBy("strike").rowsBetween(0, Window.unboundedFollowing)
+    k = F.col("strike")
+    calls = k * F.sum("ce").over(up) - F.sum(F.col("ce") * k).over(up)
+    puts = F.sum(F.col("pe") * k).over(down) - k * F.sum("pe").over(down)
+    p = c.withColumn("pain", F.round(calls + puts, 6))
+    return p.groupBy("date", "symbol").agg(F.min(F.struct("pain", "strike")).alias("m"), F.count(F.lit(1)).alias("strikes")).where(F.col("strikes") >= least).select("date", "symbol", F.col("m.strike").alias("max_pain"), "strikes")
+
+
+def greeks(chain: DataFrame, spot: DataFrame, rate: float = 0.065, dividend: float = 0.012, sigma: float = 0.20) -> DataFrame:
+    """Black-Scholes Greeks and gamma exposure per option row; `spot` has (date, symbol, spot)."""
+    from ..functions.core import norm_cdf, norm_pdf
+
+    t = F.greatest(F.datediff("expiry", "date") / 365.0, F.lit(1e-4))
+    j = chain.join(spot, ["date", "symbol"]).withColumn("t", t)
+    s, k = F.col("spot"), F.col("strike")
+    j = j.withColumn("d1", (F.log(s / k) + (rate - dividend + sigma**2 / 2) * F.col("t")) / (sigma * F.sqrt("t"))).withColumn("d2", F.col("d1") - sigma * F.sqrt("t"))
+    eq, er = F.exp(-dividend * F.col("t")), F.exp(-rate * F.col("t"))
+    call = F.col("option_typ") == "CE"
+    gamma = eq * norm_pdf(F.col("d1")) / (s * sigma * F.sqrt("t"))
+    return j.select(
+        "date", "symbol", "expiry", "strike", "option_typ", F.when(call, eq * norm_cdf(F.col("d1"))).otherwise(-eq * norm_cdf(-F.col("d1"))).alias("delta"), gamma.alias("gamma"),
+        (s * eq * norm_pdf(F.col("d1")) * F.sqrt("t") / 100).alias("vega"),
+        (F.when(call, k * F.col("t") * er * norm_cdf(F.col("d2"))).otherwise(-k * F.col("t") * er * norm_cdf(-F.col("d2"))) / 100).alias("rho"),
+        (gamma * s * F.col("open_int")).alias("gex"))
+
+
+def cluster_events(trades: DataFrame, days: int = 28, least: int = 2) -> DataFrame:
+    """Days on which `least` or more names traded within the last `days`, with no refire within `days` of the last fired.
+
+    The suppression is not associative, so each symbol's days are folded in order.
+    """
+    w = Window.partitionBy("symbol").orderBy(_day("filing_date")).rangeBetween(-days, 0)
+    d = trades.withColumn("_names", F.size(F.collect_set("name").over(w))).groupBy("symbol", "filing_date").agg(F.max("_names").alias("n"), F.sum("value").alias("value"))
+    s = d.where(F.col("n") >= least).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("filing_date", "n", "value"))).alias("a"))
+    fired = F.expr(
+        f"""aggregate(a, slice(a, 1, 0), (x, v) -> if(size(x) = 0 OR datediff(v.filing_date, element_at(x, -1).filing_date) > {days}, concat(x, array(v)), x))"""
+    )
+    return s.select("symbol", F.explode(fired).alias("v")).select("symbol", F.col("v.filing_date").alias("event_date"), F.col("v.n").alias("insiders"), (F.col("v.value") / 1e7).alias("value_cr"))
+
+
+def regime_votes(index: DataFrame, breadth: DataFrame) -> DataFrame:
+    """Votes per date: close over its 200-day mean, below its one-year median volatility, breadth of 50 or more, and 63-day momentum."""
+    w = Window.orderBy("date")  # one row per market date
+    full = lambda f, c, n: F.when(F.count(c).over(w.rowsBetween(-(n - 1), 0)) >= n, f(c).over(w.rowsBetween(-(n - 1), 0)))
+    i = index.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
+    i = i.withColumns({"_v": full(F.stddev_samp, "_r", 21), "_a": full(F.avg, "close", 200), "_m": F.col("close") / F.lag("close", 63).over(w) - 1})
+    i = i.withColumn("_md", full(lambda c: F.percentile(c, F.lit(0.5)), "_v", 252))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    j = i.join(breadth.select("date", "pct_above_200dma"), "date", "left")
+    v = j.select("date", flag(F.col("close") > F.col("_a")).alias("trend"), flag(F.col("_v") < F.col("_md")).alias("calm"), flag(F.col("pct_above_200dma") >= 50).alias("broad"), flag(F.col("_m") > 0).alias("momentum"))
+    return v.withColumn("score", F.col("trend") + F.col("calm") + F.col("broad") + F.col("momentum"))

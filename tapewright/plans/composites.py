@@ -1 +1,112 @@
-"""Queries."""
+"""Queries over composite tables and the event layer."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.core import by_symbol
+from ..operators import composites as C
+from ..operators import series as S
+from ..operators import stats as A
+from ..operators.asof import asof
+from .aggregates import BREADTH, UNI, G
+from .joins import ERF, RATIO
+from .series import W, panel, PANEL, PV, SMA
+
+one = F.lit(1)
+FEV = f"""fev AS (SELECT symbol, date AS ex_date, product({RATIO}) AS factor FROM corporate_actions WHERE action_type <> 'DIVIDEND' GROUP BY 1, 2),
+  bp AS (SELECT symbol, date, close, lag(close) {W} AS prev_close FROM bars), sev AS (SELECT f.symbol, f.ex_date, f.factor, CASE WHEN b.close IS NULL OR b.prev_close IS NULL THEN 'unverifiable' WHEN abs(ln(b.close / b.prev_close) - ln(f.factor)) < abs(ln(b.close / b.prev_close)) THEN 'applied' ELSE 'skipped' END AS status FROM fev f ASOF LEFT JOIN bp b ON f.symbol = b.symbol AND f.ex_date <= b.date)"""
+G("price_split_events", "bars corporate_actions", f"WITH {FEV} SELECT * FROM sev", "factor", lambda t: C.split_events(t.bars, t.corporate_actions))
+G("price_split_adjust", "bars corporate_actions", f"WITH {FEV}, a AS (SELECT b.symbol, b.date, any_value(b.close) AS c, any_value(b.volume) AS v, coalesce(product(factor), 1) AS adj_factor FROM bars b LEFT JOIN sev s ON s.symbol = b.symbol AND s.ex_date > b.date AND s.status = 'applied' GROUP BY 1, 2) SELECT symbol, date, adj_factor, c * adj_factor AS close, v / adj_factor AS volume FROM a", "adj_factor close volume",
+  lambda t: C.split_adjust(t.bars, t.corporate_actions).select("symbol", "date", "adj_factor", "close", "volume"))
+G("price_total_return", "bars corporate_actions", """WITH p AS (SELECT symbol, date AS ex_date, sum(amount) AS amount FROM corporate_actions WHERE action_type = 'DIVIDEND' GROUP BY 1, 2), y AS (SELECT p.symbol, p.ex_date, 1 - least(p.amount / b.close, 0.5) AS f FROM p ASOF JOIN bars b ON p.symbol = b.symbol AND p.ex_date > b.date)
+  SELECT b.symbol, b.date, coalesce(product(f), 1) AS tr_factor, any_value(b.close) * coalesce(product(f), 1) AS close_tr FROM bars b LEFT JOIN y ON y.symbol = b.symbol AND y.ex_date > b.date GROUP BY 1, 2""", "tr_factor close_tr", lambda t: C.total_return(t.bars, t.corporate_actions), 4)
+G("pit_universe", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY round(med_turnover, 4) DESC, symbol) AS k FROM universe) SELECT rebal_date, symbol, n_days, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 100 AS INTEGER) AS top100, CAST(med_turnover >= 30000 AS INTEGER) AS liquid FROM r", "",
+  lambda t: S.universe_tiers(A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4)), by="_m", liquid_from=3e4).select("rebal_date", "symbol", "n_days", "adv_rank", "top100", "liquid"))
+G("shp_pit_universe", "filings bars", "WITH q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, count(*) AS days FROM bars GROUP BY 1, 2 HAVING count(*) >= 10), f AS (SELECT scrip, quarter, count(*) AS n, max(broadcast) AS b FROM filings GROUP BY 1, 2) SELECT q.symbol, q.quarter, days, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status FROM q LEFT JOIN f ON f.scrip = q.symbol AND f.quarter = q.quarter", "",
+  lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count(one).alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count(one).alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
+ROLLW = lambda f, c, n: f"CASE WHEN count({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) >= {n} THEN {f}({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) END"
+G("feature_store_monthly", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, close / lag(close) {W} - 1 AS ret_1d FROM bars), f AS (SELECT symbol, date, close / lag(close, 21) {W} - 1 AS ret_1m, lag(close, 21) {W} / lag(close, 126) {W} - 1 AS mom_6_1, {ROLLW('stddev_samp', 'ret_1d', 63)} * sqrt(252) AS vol_3m, close / {ROLLW('max', 'close', 252)} AS prox_52w_high, lead(close, 21) {W} / close - 1 AS fwd_ret_1m FROM r) SELECT rebal_date, f.symbol, ret_1m, mom_6_1, vol_3m, prox_52w_high, fwd_ret_1m FROM f JOIN universe u ON u.symbol = f.symbol AND u.rebal_date = f.date",
+  "ret_1m mom_6_1 vol_3m prox_52w_high fwd_ret_1m", lambda t: S.forward_labels(S.prox_high(S.realized_vol(S.returns(t.bars))), {"fwd_ret_1m": 21}).withColumnRenamed("date", "rebal_date").join(A.universe_window(t.bars, t.month_ends, least=10).select("rebal_date", "symbol"), ["rebal_date", "symbol"]).select("rebal_date", "symbol", "ret_1m", "mom_6_1", "vol_3m", "prox_52w_high", "fwd_ret_1m"))
+G("fundamentals_pit", "statements filings", "SELECT s.symbol, s.quarter, coalesce(min(f.broadcast), CAST(s.quarter + 135 AS DATE)) AS pit_date, CASE WHEN min(f.broadcast) IS NULL THEN 'lag' ELSE 'filing' END AS dated_by FROM statements s LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.report_date AND f.broadcast <= s.report_date + 120 GROUP BY 1, 2", "",
+  lambda t: t.statements.join(t.filings.select("scrip", "broadcast"), F.expr("scrip = symbol AND broadcast >= report_date AND broadcast <= date_add(report_date, 120)"), "left").groupBy("symbol", "quarter").agg(F.min("broadcast").alias("b")).select("symbol", "quarter", F.expr("coalesce(b, date_add(quarter, 135))").alias("pit_date"), F.when(F.col("b").isNull(), "lag").otherwise("filing").alias("dated_by")))
+G("fundamentals_features", "statements", "SELECT symbol, quarter, net_income, revenue, CASE WHEN revenue > 0 THEN net_income / revenue END AS roe FROM statements", "net_income revenue roe",
+  lambda t: t.statements.select("symbol", "quarter", F.to_json(F.create_map(F.lit("Net Income"), "net_income", F.lit("Revenue"), "revenue")).alias("j")).withColumn("m", F.from_json("j", "map<string,double>")).select("symbol", "quarter", F.coalesce(F.col("m")["NetIncome"], F.col("m")["Net Income"]).alias("net_income"), F.col("m")["Revenue"].alias("revenue")).withColumn("roe", F.when(F.col("revenue") > 0, F.col("net_income") / F.col("revenue"))), 4)
+G("fundamentals_annual_pit", "statements", "SELECT symbol, year(quarter) AS fy, sum(revenue) AS revenue, max(pit_date) AS pit_date, 1 AS pit_estimated FROM statements GROUP BY 1, 2", "revenue",
+  lambda t: t.statements.groupBy("symbol", F.year("quarter").alias("fy")).agg(F.sum("revenue").alias("revenue"), F.max("pit_date").alias("pit_date"), F.lit(1).alias("pit_estimated")), 2)
+TOP = f"{PANEL}, tk AS (SELECT rebal_date, symbol FROM panel QUALIFY row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) <= 8), mi AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) AS i, lead(rebal_date) OVER (ORDER BY rebal_date) AS nx FROM month_ends), g AS (SELECT symbol, rebal_date, i, nx, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS g FROM tk JOIN mi USING (rebal_date)), isl AS (SELECT symbol, min(rebal_date) AS effective_from, list(nx ORDER BY i)[-1] AS effective_to, count(*) AS months FROM g GROUP BY symbol, g)"
+top8 = lambda t: S.top_k(panel(t), 8, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select("rebal_date", "symbol")
+G("membership_islands", PV, f"WITH {TOP} SELECT * FROM isl", "", lambda t: C.membership_islands(top8(t), t.month_ends))
+G("membership_consumable", PV, f"WITH {TOP} SELECT *, CASE WHEN months >= 2 THEN 0.95 ELSE 0.6 END AS confidence FROM isl WHERE months >= 2", "confidence", lambda t: C.membership_islands(top8(t), t.month_ends).withColumn("confidence", F.when(F.col("months") >= 2, 0.95).otherwise(0.6)).where("confidence >= 0.75"))
+G("membership_bridge", PV, f"WITH {TOP} SELECT symbol, effective_from AS date, 'add' AS change, 0.95 AS confidence FROM isl UNION ALL SELECT symbol, effective_to, 'remove', 0.95 FROM isl WHERE effective_to IS NOT NULL", "confidence",
+  lambda t: (lambda i: i.select("symbol", F.col("effective_from").alias("date"), F.lit("add").alias("change"), F.lit(0.95).alias("confidence")).unionByName(i.where("effective_to IS NOT NULL").select("symbol", F.col("effective_to").alias("date"), F.lit("remove").alias("change"), F.lit(0.95).alias("confidence"))))(C.membership_islands(top8(t), t.month_ends)))
+G("filing_revision_chain", "filings", "SELECT filing_id, scrip, quarter, lag(filing_id) OVER w AS is_revision_of, CAST(row_number() OVER w AS INTEGER) AS version, lead(filing_id) OVER w IS NULL AS is_current, sha256(segment || status) AS content_hash FROM filings WINDOW w AS (PARTITION BY scrip, quarter ORDER BY broadcast, filing_id)", "",
+  lambda t: C.revision_chain(t.filings.withColumn("c", F.concat("segment", "status")), ["scrip", "quarter"], ["broadcast", "filing_id"], "c").select("filing_id", "scrip", "quarter", "is_revision_of", "version", "is_current", "content_hash"))
+G("filing_lag_gate", "filings", "SELECT filing_id, CAST(broadcast - quarter AS INTEGER) AS lag_days, broadcast - quarter <= 60 AS usable FROM filings WHERE broadcast - quarter <= 80", "", lambda t: t.filings.withColumn("lag_days", F.datediff("broadcast", "quarter")).where("lag_days <= 80").select("filing_id", "lag_days", (F.col("lag_days") <= 60).alias("usable")))
+G("recovery_targets", "filings", "WITH l AS (SELECT scrip, max(broadcast) AS b FROM filings GROUP BY 1), q AS (SELECT DISTINCT quarter FROM filings) SELECT scrip, quarter FROM l, q WHERE b < DATE '2000-01-01' AND (scrip, quarter) NOT IN (SELECT (scrip, quarter) FROM filings)", "",
+  lambda t: (lambda l, q: l.join(F.broadcast(q), how="cross").join(t.filings, ["scrip", "quarter"], "left_anti"))(t.filings.groupBy("scrip").agg(F.max("broadcast").alias("b")).where("b < date'2000-01-01'").select("scrip"), t.filings.select("quarter").distinct()))  # quarters: a bounded calendar
+VOTES = f"""{BREADTH}, ir AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS r FROM index_series), iv AS (SELECT *, CASE WHEN count(r) OVER (ORDER BY date ROWS 20 PRECEDING) >= 21 THEN stddev_samp(r) OVER (ORDER BY date ROWS 20 PRECEDING) END AS v, CASE WHEN count(close) OVER (ORDER BY date ROWS 199 PRECEDING) >= 200 THEN avg(close) OVER (ORDER BY date ROWS 199 PRECEDING) END AS a, close / lag(close, 63) OVER (ORDER BY date) - 1 AS m FROM ir),
+  im AS (SELECT *, CASE WHEN count(v) OVER (ORDER BY date ROWS 251 PRECEDING) >= 252 THEN median(v) OVER (ORDER BY date ROWS 251 PRECEDING) END AS md FROM iv), votes AS (SELECT im.date, CAST(coalesce(close > a, false) AS INTEGER) AS trend, CAST(coalesce(v < md, false) AS INTEGER) AS calm, CAST(coalesce(pct_above_200dma >= 50, false) AS INTEGER) AS broad, CAST(coalesce(m > 0, false) AS INTEGER) AS momentum FROM im LEFT JOIN breadth USING (date))"""
+G("regime_votes", "bars index_series", f"WITH {VOTES} SELECT *, trend + calm + broad + momentum AS score FROM votes", "", lambda t: C.regime_votes(t.index_series, A.breadth(t.bars)))
+G("market_regime_spine", "bars index_series", f"WITH {VOTES}, x AS (SELECT date, (35.0 * trend + 25.0 * calm + 25.0 * broad + 15.0 * momentum) AS c FROM votes) SELECT date, c AS composite, CASE WHEN c <= 40 THEN 'defensive' WHEN c <= 60 THEN 'neutral' ELSE 'risk_on' END AS label FROM x", "composite",
+  lambda t: C.regime_votes(t.index_series, A.breadth(t.bars)).select("date", (35.0 * F.col("trend") + 25.0 * F.col("calm") + 25.0 * F.col("broad") + 15.0 * F.col("momentum")).alias("composite")).withColumn("label", F.when(F.col("composite") <= 40, "defensive").when(F.col("composite") <= 60, "neutral").otherwise("risk_on")))
+G("options_max_pain", "option_chain", """WITH n AS (SELECT date, symbol, min(expiry) AS expiry FROM option_chain GROUP BY 1, 2), c AS (SELECT date, symbol, strike, sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE 0 END) AS ce, sum(CASE WHEN option_typ = 'PE' THEN open_int ELSE 0 END) AS pe FROM option_chain JOIN n USING (date, symbol, expiry) GROUP BY 1, 2, 3),
+  p AS (SELECT a.date, a.symbol, a.strike, round(sum(b.ce * greatest(0, a.strike - b.strike) + b.pe * greatest(0, b.strike - a.strike)), 6) AS pain FROM c a JOIN c b ON a.date = b.date AND a.symbol = b.symbol GROUP BY 1, 2, 3) SELECT date, symbol, min((pain, strike))[2] AS max_pain, count(*) AS strikes FROM p GROUP BY 1, 2 HAVING count(*) >= 3""", "max_pain", lambda t: C.max_pain(t.option_chain))
+CDF = lambda e: "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))".replace("Z", f"(({e}) / sqrt(2))")
+PDF = "(exp(-d1 * d1 / 2) / sqrt(2 * pi()))"
+GREEK = f"""sp AS (SELECT last_day(date) AS date, symbol, max_by(close, date) / 1000 AS spot FROM bars GROUP BY 1, 2), j AS (SELECT o.*, spot, greatest((expiry - date) / 365.0, 0.0001) AS t FROM option_chain o JOIN sp USING (date, symbol)), d AS (SELECT *, (ln(spot / strike) + (0.065 - 0.012 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM j), e AS (SELECT *, d1 - 0.2 * sqrt(t) AS d2 FROM d),
+  gk AS (SELECT date, symbol, expiry, strike, option_typ, CASE WHEN option_typ = 'CE' THEN exp(-0.012 * t) * {CDF('d1')} ELSE -exp(-0.012 * t) * {CDF('-d1')} END AS delta, exp(-0.012 * t) * {PDF} / (spot * 0.2 * sqrt(t)) AS gamma, spot * exp(-0.012 * t) * {PDF} * sqrt(t) / 100 AS vega,
+  CASE WHEN option_typ = 'CE' THEN strike * t * exp(-0.065 * t) * {CDF('d2')} ELSE -strike * t * exp(-0.065 * t) * {CDF('-d2')} END / 100 AS rho, exp(-0.012 * t) * {PDF} / (spot * 0.2 * sqrt(t)) * spot * open_int AS gex FROM e)"""
+spot = lambda t: t.bars.groupBy(F.last_day("date").alias("d"), "symbol").agg((F.max_by("close", "date") / 1000).alias("spot")).withColumnRenamed("d", "date")
+G("fn_black_scholes_greeks", "bars option_chain", f"WITH {GREEK} SELECT * EXCLUDE (gex) FROM gk", "strike delta gamma vega rho", lambda t: C.greeks(t.option_chain, spot(t)).drop("gex"), 5)
+G("fn_gex", "bars option_chain", f"WITH {GREEK} SELECT date, symbol, expiry, strike, option_typ, gex FROM gk", "strike gex", lambda t: C.greeks(t.option_chain, spot(t)).select("date", "symbol", "expiry", "strike", "option_typ", "gex"), 5)
+G("greeks_gex_daily", "bars option_chain", f"WITH {GREEK} SELECT date, symbol, sum(CASE WHEN option_typ = 'CE' THEN gex ELSE -gex END) AS net_gex FROM gk GROUP BY 1, 2", "net_gex", lambda t: C.greeks(t.option_chain, spot(t)).groupBy("date", "symbol").agg(F.sum(F.when(F.col("option_typ") == "CE", F.col("gex")).otherwise(-F.col("gex"))).alias("net_gex")), 4)
+ATM = "sp AS (SELECT last_day(date) AS date, symbol, max_by(close, date) / 100 AS spot FROM bars GROUP BY 1, 2), ne AS (SELECT date, symbol, min(expiry) AS expiry FROM option_chain GROUP BY 1, 2), atm AS (SELECT o.date, o.symbol, any_value(spot) AS spot, any_value(o.expiry) AS expiry, min_by(close, (abs(strike - spot), strike)) FILTER (option_typ = 'CE') AS ce FROM option_chain o JOIN ne USING (date, symbol, expiry) JOIN sp USING (date, symbol) GROUP BY 1, 2), iv AS (SELECT symbol, date, least(ce / spot * sqrt(2 * pi() / ((expiry - date) / 365.0)) * 100, 200) AS iv FROM atm WHERE ce IS NOT NULL)"
+
+
+def atm_iv(t):
+    near = t.option_chain.groupBy("date", "symbol").agg(F.min("expiry").alias("expiry"))
+    sp = t.bars.groupBy(F.last_day("date").alias("d"), "symbol").agg((F.max_by("close", "date") / 100).alias("spot")).withColumnRenamed("d", "date")
+    j = t.option_chain.where("option_typ = 'CE'").join(near, ["date", "symbol", "expiry"]).join(sp, ["date", "symbol"])
+    a = j.groupBy("date", "symbol", "expiry", "spot").agg(F.min_by("close", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("ce"))
+    return a.select("symbol", "date", F.least(F.col("ce") / F.col("spot") * F.sqrt(F.lit(2 * 3.141592653589793) / (F.datediff("expiry", "date") / 365.0)) * 100, F.lit(200.0)).alias("iv"))
+
+
+G("fn_atm_iv", "bars option_chain", f"WITH {ATM} SELECT * FROM iv", "iv", atm_iv, 4)
+G("options_iv_history", "bars option_chain", f"WITH {ATM} SELECT symbol, date, iv, (iv - min(iv) OVER w) / nullif(max(iv) OVER w - min(iv) OVER w, 0) * 100 AS iv_rank FROM iv WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)", "iv iv_rank",
+  lambda t: (lambda w: atm_iv(t).withColumn("iv_rank", F.try_divide(F.col("iv") - F.min("iv").over(w), F.max("iv").over(w) - F.min("iv").over(w)) * 100))(by_symbol().rowsBetween(-251, 0)), 4)
+G("option_chain_slice", "option_chain", "SELECT symbol, strike, option_typ, expiry, open_int FROM option_chain WHERE date = DATE '1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'", "strike open_int", lambda t: t.option_chain.where("date = date'1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'").orderBy("strike").select("symbol", "strike", "option_typ", "expiry", "open_int"))
+G("sector_regime_daily", "bars sector_map", f"WITH {SMA} SELECT sector, date, count(*) AS members, 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) AS breadth, avg(close / s50 - 1) AS strength FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "breadth strength",
+  lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.count(one).alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
+G("market_intel", "insider_trades option_chain", "SELECT 'smart_money' AS category, symbol, 'buy' AS detail, sum(value) AS value FROM insider_trades WHERE transaction_type = 'Buy' GROUP BY 2 UNION ALL SELECT 'fo', symbol, option_typ, sum(open_int) FROM option_chain GROUP BY symbol, option_typ", "value",
+  lambda t: t.insider_trades.where("transaction_type = 'Buy'").groupBy("symbol").agg(F.sum("value").alias("value")).select(F.lit("smart_money").alias("category"), "symbol", F.lit("buy").alias("detail"), "value").unionByName(t.option_chain.groupBy("symbol", "option_typ").agg(F.sum("open_int").alias("value")).select(F.lit("fo").alias("category"), "symbol", F.col("option_typ").alias("detail"), "value")), 2)
+
+# events
+G("event_insider_clusters", "insider_trades", """WITH b AS (SELECT symbol, filing_date, name, value FROM insider_trades WHERE transaction_type = 'Buy' AND category LIKE 'Promoter%' AND value >= 30000000), n AS (SELECT x.symbol, x.filing_date, count(DISTINCT y.name) AS n FROM (SELECT DISTINCT symbol, filing_date FROM b) x JOIN b y ON x.symbol = y.symbol AND y.filing_date <= x.filing_date AND y.filing_date >= x.filing_date - 7 GROUP BY 1, 2),
+  d AS (SELECT n.symbol, n.filing_date, n.n, v.value FROM n JOIN (SELECT symbol, filing_date, sum(value) AS value FROM b GROUP BY 1, 2) v USING (symbol, filing_date) WHERE n.n >= 2),
+  f AS (SELECT symbol, min(filing_date) AS event_date FROM d GROUP BY 1 UNION ALL SELECT f.symbol, (SELECT min(filing_date) FROM d WHERE d.symbol = f.symbol AND d.filing_date > f.event_date + 7) FROM f WHERE f.event_date IS NOT NULL)
+  SELECT f.symbol, event_date, CAST(n AS INTEGER) AS insiders, value / 1e7 AS value_cr FROM f JOIN d ON d.symbol = f.symbol AND d.filing_date = f.event_date""", "value_cr",
+  lambda t: C.cluster_events(t.insider_trades.where("transaction_type = 'Buy' AND category LIKE 'Promoter%' AND value >= 30000000"), days=7))
+G("event_pledge_risk", "insider_trades", "SELECT event_id, symbol, filing_date, value / 1e7 AS value_cr FROM insider_trades WHERE transaction_type = 'Pledge' AND value >= 10000000", "value_cr", lambda t: t.insider_trades.where("transaction_type = 'Pledge' AND value >= 10000000").select("event_id", "symbol", "filing_date", (F.col("value") / 1e7).alias("value_cr")))
+G("event_pead_proxy", "statements", """WITH g AS (SELECT symbol, quarter, pit_date, revenue / lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY quarter) - 1 AS growth FROM statements), f AS (SELECT * FROM g WHERE growth IS NOT NULL), s AS (SELECT quarter, median(growth) AS m, stddev_samp(growth) AS s FROM f GROUP BY 1)
+  SELECT symbol, pit_date AS event_date, greatest(least((growth - m) / CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END, 3), -3) AS surprise FROM f JOIN s USING (quarter)""", "surprise",
+  lambda t: S.z_by_group(t.statements.withColumn("growth", F.col("revenue") / F.lag("revenue", 4).over(by_symbol(order="quarter")) - 1).where("growth IS NOT NULL"), "growth", "quarter").select("symbol", F.col("pit_date").alias("event_date"), F.col("z").alias("surprise")))
+G("event_buyback", "", "SELECT event_id, user_id, ts FROM events WHERE event_type LIKE '%purch%' AND value > 50", "", lambda t: t.events.where("event_type LIKE '%purch%' AND value > 50").select("event_id", "user_id", "ts"))
+G("event_index_inclusion", PV, f"WITH {TOP} SELECT symbol, effective_from AS event_date FROM isl WHERE effective_from > DATE '1996-01-31'", "", lambda t: C.membership_islands(top8(t), t.month_ends).where("effective_from > date'1996-01-31'").select("symbol", F.col("effective_from").alias("event_date")))
+EVS = f"""l AS (SELECT symbol, date, lead(close, 21) {W} / close - 1 AS fwd, lead(close, 63) {W} / close - 1 AS fwd63 FROM bars), ix AS (SELECT date, lead(close, 21) OVER (ORDER BY date) / close - 1 AS bench FROM index_series), ev AS (SELECT a.symbol, a.event_date, l.date AS entry_date, l.fwd, l.fwd63 FROM (SELECT DISTINCT symbol, date AS event_date FROM corporate_actions) a ASOF JOIN l ON a.symbol = l.symbol AND a.event_date < l.date), ab AS (SELECT ev.symbol, ev.event_date, fwd - bench AS abnormal FROM ev ASOF JOIN ix ON ev.entry_date <= ix.date WHERE fwd IS NOT NULL AND bench IS NOT NULL)"""
+
+
+def abnormal(t):
+    ev = asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date")).distinct(), S.forward_labels(t.bars, {"fwd": 21}).select("symbol", "date", "fwd"), ["symbol"], "event_date", "date", ["fwd"], forward=True, strict=True)
+    ix = t.index_series.select("date", (F.lead("close", 21).over(Window.orderBy("date")) / F.col("close") - 1).alias("bench"), F.lit(0).alias("k"))
+    j = asof(ev.withColumnRenamed("matched_on", "entry_date").where("entry_date IS NOT NULL").withColumn("k", F.lit(0)), ix, ["k"], "entry_date", "date", ["bench"], forward=True)
+    return j.where("fwd IS NOT NULL AND bench IS NOT NULL").select("symbol", "event_date", (F.col("fwd") - F.col("bench")).alias("abnormal"))
+
+
+G("event_study_abnormal", "bars index_series corporate_actions", f"WITH {EVS} SELECT * FROM ab", "abnormal", abnormal)
+G("agg_event_study", "bars index_series corporate_actions", f"WITH {EVS}, r AS (SELECT *, row_number() OVER (ORDER BY event_date, symbol) AS k, count(*) OVER () AS n FROM ab), m AS (SELECT event_date AS mid FROM r WHERE k = n // 2 + 1) SELECT count(*) AS n, avg(abnormal) AS mean, avg(abnormal) / (stddev_samp(abnormal) / sqrt(count(*))) AS t_stat, avg(CAST(abnormal > 0 AS DOUBLE)) AS hit, avg(abnormal) FILTER (event_date < (SELECT mid FROM m)) AS h1, avg(abnormal) FILTER (event_date >= (SELECT mid FROM m)) AS h2 FROM ab", "mean t_stat hit h1 h2",
+  lambda t: (lambda a: (lambda m: a.crossJoin(F.broadcast(m)).agg(F.count(one).alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count(one)))).alias("t_stat"), F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(F.col("event_date") < F.col("mid"), F.col("abnormal"))).alias("h1"), F.avg(F.when(F.col("event_date") >= F.col("mid"), F.col("abnormal"))).alias("h2")))(
+      a.withColumns({"k": F.row_number().over(Window.orderBy("event_date", "symbol")), "n": F.count(one).over(Window.partitionBy())}).where("k = floor(n / 2) + 1").select(F.col("event_date").alias("mid"))))(abnormal(t)))
+G("event_shadow_returns", "bars index_series corporate_actions", f"WITH {EVS} SELECT symbol, event_date, entry_date, fwd AS ret_21, fwd63 AS ret_63, fwd IS NOT NULL AS filled_21 FROM ev", "ret_21 ret_63",
+  lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date")).distinct(), S.forward_labels(t.bars, {"ret_21": 21, "ret_63": 63}).select("symbol", "date", "ret_21", "ret_63"), ["symbol"], "event_date", "date", ["ret_21", "ret_63"], forward=True, strict=True).where("matched_on IS NOT NULL").select("symbol", "event_date", F.col("matched_on").alias("entry_date"), "ret_21", "ret_63", F.col("ret_21").isNotNull().alias("filled_21")))
+G("event_recency_score", "insider_trades", "SELECT symbol, greatest(0, least(100, max(50 + CASE WHEN transaction_type = 'Buy' THEN 50 ELSE -50 END * (1 - (DATE '2024-01-28' - filing_date) / 20.0)))) AS score, max(CAST(transaction_type = 'Pledge' AS INTEGER)) AS pledge FROM insider_trades WHERE filing_date < DATE '2024-01-28' AND DATE '2024-01-28' - filing_date <= 20 GROUP BY 1", "score",
+  lambda t: t.insider_trades.withColumn("age", F.datediff(F.lit("2024-01-28").cast("date"), "filing_date")).where("age > 0 AND age <= 20").groupBy("symbol").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.max(50 + F.when(F.col("transaction_type") == "Buy", 50).otherwise(-50) * (1 - F.col("age") / 20.0)))).alias("score"), F.max((F.col("transaction_type") == "Pledge").cast("int")).alias("pledge")))

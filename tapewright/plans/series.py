@@ -119,7 +119,7 @@ query("win_regime_flip", "bars", f"WITH {SMA}, b AS (SELECT date, 100.0 * avg(CA
         S.sma_distance(t.bars).where("sma200 IS NOT NULL").groupBy("date").agg((F.avg("above_200") * 100).alias("pct")), F.lag("pct", 21).over(Window.orderBy("date"))))
 query("win_ema_macd", "bars", None)(lambda t: S.macd(t.bars))
 query("win_split_adjust", "bars corporate_actions", """WITH f AS (SELECT symbol, date, CASE action_type WHEN 'SPLIT' THEN CAST(split_part(ratio, ':', 2) AS DOUBLE) / CAST(split_part(ratio, ':', 1) AS DOUBLE) ELSE CAST(split_part(ratio, ':', 2) AS DOUBLE) / (CAST(split_part(ratio, ':', 1) AS DOUBLE) + CAST(split_part(ratio, ':', 2) AS DOUBLE)) END AS f FROM corporate_actions WHERE action_type <> 'DIVIDEND')
-      SELECT b.symbol, b.date, coalesce(exp(sum(ln(f.f))), 1) AS adj_factor FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.date > b.date GROUP BY 1, 2""", "adj_factor", 9)(
+      SELECT b.symbol, b.date, coalesce(product(f.f), 1) AS adj_factor FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.date > b.date GROUP BY 1, 2""", "adj_factor", 9)(
     lambda t: C.suffix_factor(t.bars, t.corporate_actions).select("symbol", "date", "adj_factor"))
 query("win_ttm_dividend", "bars corporate_actions", """SELECT b.symbol, b.date, coalesce(sum(a.amount), 0) / any_value(b.close) AS dividend_yield FROM bars b LEFT JOIN corporate_actions a ON a.symbol = b.symbol AND a.action_type = 'DIVIDEND' AND a.date <= b.date AND a.date > b.date - 365 GROUP BY 1, 2""", "dividend_yield")(
     lambda t: C.ttm_dividend(t.bars, t.corporate_actions).select("symbol", "date", "dividend_yield"))

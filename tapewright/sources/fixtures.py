@@ -102,6 +102,7 @@ def with_views(names: str, body: str, doubles: str = "", digits: int = 6) -> str
     ctes = [f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in ordered]
     if doubles or body.startswith("WITH"):
         rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in doubles.split())
+        body = re.sub(r"^WITH ", "WITH RECURSIVE ", body)
         ctes.append(f"_body AS ({body})")
         body = f"SELECT * REPLACE ({rounded}) FROM _body" if doubles else "SELECT * FROM _body"
     return ("WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else "") + body
