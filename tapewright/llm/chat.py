@@ -77,27 +77,31 @@ def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
         ),
         "tree",
     )
-    # jumps[j]: the 2^j-th ancestor; gain and steps: of the nodes passed, this one included
-    jumps, now = [base], base
-    while now.where("up IS NOT NULL").limit(1).count():
-        above = now.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2"))
-        now = written(
-            now.join(above, ["conv_id", "up"], "left").select(
-                "conv_id", "node", F.col("up2").alias("up"),
-                (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
+    # jumps[j]: nodes with their 2^j-th ancestor; gain and steps: of the nodes passed, this one included.
+    # A node whose root is reached is finished; only the others are joined again.
+    jumps: list[DataFrame] = []
+    finished, active = base.where("up IS NULL"), base.where("up IS NOT NULL")
+    while active.limit(1).count():
+        jumps.append(active)
+        if len(jumps) > 40:
+            raise ValueError("the parents of a conversation form a cycle")
+        above = active.unionByName(finished).select(
+            "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2")
+        )
+        further = written(
+            active.join(above, ["conv_id", "up"]).select(
+                "conv_id", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"), (F.col("steps") + F.col("s2")).alias("steps")
             ),
             "jumps",
         )
-        jumps.append(now)
-        if len(jumps) > 40:
-            raise ValueError("the parents of a conversation form a cycle")
+        finished, active = finished.unionByName(further.where("up IS NULL")), further.where("up IS NOT NULL")
+    now = finished
     parents = base.where("up IS NOT NULL").select("conv_id", F.col("up").alias("node")).distinct()
     leaves = now.join(parents, ["conv_id", "node"], "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.desc("gain"), "node")
     marked = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches).select("conv_id", "branch", "node")
     for level in reversed(jumps):
-        up = level.where("up IS NOT NULL").select("conv_id", "node", "up")
-        above = marked.join(up, ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"))
+        above = marked.join(level.select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"))
         marked = written(marked.unionByName(above), "marked")
     depth = now.select("conv_id", "node", F.col("steps").alias("depth"))
     return marked.distinct().join(depth, ["conv_id", "node"])
