@@ -56,7 +56,7 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 def parse_ratio(kind: Column, ratio: Column) -> Column:
     """Price factor of a split `a:b` (b/a) or bonus `a:b` (b/(a+b)); null for anything else."""
-    a, b = (F.expr("1.0D") * F.split(ratio, ":")[i].try_cast("double") for i in (0, 1))
+    a, b = (F.get(F.split(ratio, ":"), F.lit(i)).try_cast("double") for i in (0, 1))
     return F.when((kind == "SPLIT") & (a > 0) & (b > 0), b / a).when((kind == "BONUS") & (a > 0) & (b > 0), b / (a + b))
 
 

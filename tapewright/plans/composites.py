@@ -12,7 +12,6 @@ from .aggregates import BREADTH, UNI, G
 from .joins import ERF, RATIO
 from .series import W, panel, PANEL, PV, SMA
 
-one = F.lit(1)
 FEV = f"""fev AS (SELECT symbol, date AS ex_date, product({RATIO}) AS factor FROM corporate_actions WHERE action_type <> 'DIVIDEND' GROUP BY 1, 2),
   bp AS (SELECT symbol, date, close, lag(close) {W} AS prev_close FROM bars), sev AS (SELECT f.symbol, f.ex_date, f.factor, CASE WHEN b.close IS NULL OR b.prev_close IS NULL THEN 'unverifiable' WHEN abs(ln(b.close / b.prev_close) - ln(f.factor)) < abs(ln(b.close / b.prev_close)) THEN 'applied' ELSE 'skipped' END AS status FROM fev f ASOF LEFT JOIN bp b ON f.symbol = b.symbol AND f.ex_date <= b.date)"""
 G("price_split_events", "bars corporate_actions", f"WITH {FEV} SELECT * FROM sev", "factor", lambda t: C.split_events(t.bars, t.corporate_actions))
@@ -23,7 +22,7 @@ G("price_total_return", "bars corporate_actions", """WITH p AS (SELECT symbol, d
 G("pit_universe", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY round(med_turnover, 4) DESC, symbol) AS k FROM universe) SELECT rebal_date, symbol, n_days, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 100 AS INTEGER) AS top100, CAST(med_turnover >= 30000 AS INTEGER) AS liquid FROM r", "",
   lambda t: S.universe_tiers(A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4)), by="_m", liquid_from=3e4).select("rebal_date", "symbol", "n_days", "adv_rank", "top100", "liquid"))
 G("shp_pit_universe", "filings bars", "WITH q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, count(*) AS days FROM bars GROUP BY 1, 2 HAVING count(*) >= 10), f AS (SELECT scrip, quarter, count(*) AS n, max(broadcast) AS b FROM filings GROUP BY 1, 2) SELECT q.symbol, q.quarter, days, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status FROM q LEFT JOIN f ON f.scrip = q.symbol AND f.quarter = q.quarter", "",
-  lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count(one).alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count(one).alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
+  lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count("*").alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count("*").alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
 ROLLW = lambda f, c, n: f"CASE WHEN count({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) >= {n} THEN {f}({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) END"
 G("feature_store_monthly", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, close / lag(close) {W} - 1 AS ret_1d FROM bars), f AS (SELECT symbol, date, close / lag(close, 21) {W} - 1 AS ret_1m, lag(close, 21) {W} / lag(close, 126) {W} - 1 AS mom_6_1, {ROLLW('stddev_samp', 'ret_1d', 63)} * sqrt(252) AS vol_3m, close / {ROLLW('max', 'close', 252)} AS prox_52w_high, lead(close, 21) {W} / close - 1 AS fwd_ret_1m FROM r) SELECT rebal_date, f.symbol, ret_1m, mom_6_1, vol_3m, prox_52w_high, fwd_ret_1m FROM f JOIN universe u ON u.symbol = f.symbol AND u.rebal_date = f.date",
   "ret_1m mom_6_1 vol_3m prox_52w_high fwd_ret_1m", lambda t: S.forward_labels(S.prox_high(S.realized_vol(S.returns(t.bars))), {"fwd_ret_1m": 21}).withColumnRenamed("date", "rebal_date").join(A.universe_window(t.bars, t.month_ends, least=10).select("rebal_date", "symbol"), ["rebal_date", "symbol"]).select("rebal_date", "symbol", "ret_1m", "mom_6_1", "vol_3m", "prox_52w_high", "fwd_ret_1m"))
@@ -76,7 +75,7 @@ G("options_iv_history", "bars option_chain", f"WITH {ATM} SELECT symbol, date, i
   lambda t: (lambda w: atm_iv(t).withColumn("iv_rank", F.try_divide(F.col("iv") - F.min("iv").over(w), F.max("iv").over(w) - F.min("iv").over(w)) * 100))(by_symbol().rowsBetween(-251, 0)), 4)
 G("option_chain_slice", "option_chain", "SELECT symbol, strike, option_typ, expiry, open_int FROM option_chain WHERE date = DATE '1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'", "strike open_int", lambda t: t.option_chain.where("date = date'1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'").orderBy("strike").select("symbol", "strike", "option_typ", "expiry", "open_int"))
 G("sector_regime_daily", "bars sector_map", f"WITH {SMA} SELECT sector, date, count(*) AS members, 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) AS breadth, avg(close / s50 - 1) AS strength FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "breadth strength",
-  lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.count(one).alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
+  lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.count("*").alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
 G("market_intel", "insider_trades option_chain", "SELECT 'smart_money' AS category, symbol, 'buy' AS detail, sum(value) AS value FROM insider_trades WHERE transaction_type = 'Buy' GROUP BY 2 UNION ALL SELECT 'fo', symbol, option_typ, sum(open_int) FROM option_chain GROUP BY symbol, option_typ", "value",
   lambda t: t.insider_trades.where("transaction_type = 'Buy'").groupBy("symbol").agg(F.sum("value").alias("value")).select(F.lit("smart_money").alias("category"), "symbol", F.lit("buy").alias("detail"), "value").unionByName(t.option_chain.groupBy("symbol", "option_typ").agg(F.sum("open_int").alias("value")).select(F.lit("fo").alias("category"), "symbol", F.col("option_typ").alias("detail"), "value")), 2)
 
@@ -104,8 +103,8 @@ def abnormal(t):
 
 G("event_study_abnormal", "bars index_series corporate_actions", f"WITH {EVS} SELECT * FROM ab", "abnormal", abnormal)
 G("agg_event_study", "bars index_series corporate_actions", f"WITH {EVS}, r AS (SELECT *, row_number() OVER (ORDER BY event_date, symbol) AS k, count(*) OVER () AS n FROM ab), m AS (SELECT event_date AS mid FROM r WHERE k = n // 2 + 1) SELECT count(*) AS n, avg(abnormal) AS mean, avg(abnormal) / (stddev_samp(abnormal) / sqrt(count(*))) AS t_stat, avg(CAST(abnormal > 0 AS DOUBLE)) AS hit, avg(abnormal) FILTER (event_date < (SELECT mid FROM m)) AS h1, avg(abnormal) FILTER (event_date >= (SELECT mid FROM m)) AS h2 FROM ab", "mean t_stat hit h1 h2",
-  lambda t: (lambda a: (lambda m: a.crossJoin(F.broadcast(m)).agg(F.count(one).alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count(one)))).alias("t_stat"), F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(F.col("event_date") < F.col("mid"), F.col("abnormal"))).alias("h1"), F.avg(F.when(F.col("event_date") >= F.col("mid"), F.col("abnormal"))).alias("h2")))(
-      a.withColumns({"k": F.row_number().over(Window.orderBy("event_date", "symbol")), "n": F.count(one).over(Window.partitionBy())}).where("k = floor(n / 2) + 1").select(F.col("event_date").alias("mid"))))(abnormal(t)))
+  lambda t: (lambda a: (lambda m: a.crossJoin(F.broadcast(m)).agg(F.count("*").alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count("*")))).alias("t_stat"), F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(F.col("event_date") < F.col("mid"), F.col("abnormal"))).alias("h1"), F.avg(F.when(F.col("event_date") >= F.col("mid"), F.col("abnormal"))).alias("h2")))(
+      a.withColumns({"k": F.row_number().over(Window.orderBy("event_date", "symbol")), "n": F.count("*").over(Window.partitionBy())}).where("k = floor(n / 2) + 1").select(F.col("event_date").alias("mid"))))(abnormal(t)))
 G("event_shadow_returns", "bars index_series corporate_actions", f"WITH {EVS} SELECT symbol, event_date, entry_date, fwd AS ret_21, fwd63 AS ret_63, fwd IS NOT NULL AS filled_21 FROM ev", "ret_21 ret_63",
   lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date")).distinct(), S.forward_labels(t.bars, {"ret_21": 21, "ret_63": 63}).select("symbol", "date", "ret_21", "ret_63"), ["symbol"], "event_date", "date", ["ret_21", "ret_63"], forward=True, strict=True).where("matched_on IS NOT NULL").select("symbol", "event_date", F.col("matched_on").alias("entry_date"), "ret_21", "ret_63", F.col("ret_21").isNotNull().alias("filled_21")))
 G("event_recency_score", "insider_trades", "SELECT symbol, greatest(0, least(100, max(50 + CASE WHEN transaction_type = 'Buy' THEN 50 ELSE -50 END * (1 - (DATE '2024-01-28' - filing_date) / 20.0)))) AS score, max(CAST(transaction_type = 'Pledge' AS INTEGER)) AS pledge FROM insider_trades WHERE filing_date < DATE '2024-01-28' AND DATE '2024-01-28' - filing_date <= 20 GROUP BY 1", "score",

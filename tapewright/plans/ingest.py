@@ -6,7 +6,6 @@ from ..functions.core import parse_date, parse_number
 from ..sources import normalize as N
 from .aggregates import G
 
-one = F.lit(1)
 s = lambda c: F.col(c).cast("string")
 BARS = "SELECT symbol, date, open, high, low, close, volume FROM bars"
 OHLCV = "open high low close volume"
@@ -38,7 +37,7 @@ G("industry_flows_normalize", "", "SELECT p_brand AS name, p_size AS schemes, ro
 G("index_valuation_normalize", "index_series", "SELECT date, close AS pe, CASE WHEN n % 2 = 0 THEN CAST(n AS DOUBLE) END AS pb FROM index_series", "pe pb",
   lambda t: t.index_series.select(F.to_json(F.struct(s("date").alias("d"), s("close").alias("pe"), F.when(F.col("n") % 2 == 0, s("n")).otherwise("-").alias("pb"))).alias("j")).withColumn("x", F.from_json("j", "d string, pe string, pb string")).select(parse_date(F.col("x.d")).alias("date"), F.col("x.pe").try_cast("double").alias("pe"), F.col("x.pb").try_cast("double").alias("pb")))
 G("macro_series_long", "", "SELECT o_orderpriority AS series_id, make_date(year(o_orderdate), 1, 1) AS date, sum(o_totalprice) AS value, 'A' AS frequency FROM orders GROUP BY 1, 2", "value",
-  lambda t: t.orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("value")).select("series_id", F.make_date("y", one, one).alias("date"), "value", F.lit("A").alias("frequency")), 2)
+  lambda t: t.orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("value")).select("series_id", F.make_date("y", F.lit(1), F.lit(1)).alias("date"), "value", F.lit("A").alias("frequency")), 2)
 G("news_feed_extract", "", "SELECT page_id, url AS link FROM pages WHERE url <> ''", "", lambda t: t.pages.select("page_id", F.concat(F.lit("<item><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>")).alias("x")).select("page_id", F.expr("xpath_string(x, '/item/link')").alias("link")).where("link <> ''"))
 G("pit_xml_facts", "insider_trades", "SELECT event_id, transaction_type AS kind, category FROM insider_trades", "",
   lambda t: t.insider_trades.select("event_id", F.concat(F.lit("<x><kind>"), "transaction_type", F.lit("</kind><category>"), "category", F.lit("</category></x>")).alias("x")).withColumn("f", F.from_xml("x", "kind string, category string")).select("event_id", "f.kind", "f.category"))
@@ -63,12 +62,12 @@ G("shareholding_quarter_normalize", "filings", "SELECT filing_id, CAST(year(quar
 G("announcements_normalize", "", "SELECT doc_id, source, coalesce(lang, 'xx') AS lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1", "",
   lambda t: t.documents.groupBy("source", "lang", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.coalesce("lang", F.lit("xx")).alias("lang")))
 G("membership_matrix_unpivot", "", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, symbol FROM (SELECT o_orderdate, unnest(['F', 'O', 'P']) AS symbol, o_orderstatus FROM orders) WHERE symbol = o_orderstatus GROUP BY 1, 2", "",
-  lambda t: t.orders.groupBy(F.trunc("o_orderdate", "MM").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(one)).unpivot(["month"], ["F", "O", "P"], "symbol", "w").where("w > 0").select("month", "symbol"))
+  lambda t: t.orders.groupBy(F.trunc("o_orderdate", "MM").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).unpivot(["month"], ["F", "O", "P"], "symbol", "w").where("w > 0").select("month", "symbol"))
 G("sink_upsert", "", "SELECT o_custkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1", "price",
   lambda t: (lambda o: N.upsert(o.where("d < date'1998-01-01'"), o.where("d >= date'1998-01-01'"), ["o_custkey"], "seq").select("o_custkey", "price"))(t.orders.select("o_custkey", F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("d"), F.struct("o_orderdate", "o_orderkey").alias("seq"))))
 G("sink_insert_ignore", "", "SELECT o_custkey, min_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1", "price",
   lambda t: (lambda o: N.insert_ignore(N.insert_ignore(o.where("false"), o.where("d < date'1998-01-01'"), ["o_custkey"], "seq"), o.where("d >= date'1998-01-01'"), ["o_custkey"], "seq").select("o_custkey", "price"))(t.orders.select("o_custkey", F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("d"), F.struct("o_orderdate", "o_orderkey").alias("seq"))))
-G("sink_replace_by_key", "", "SELECT event_type, count(*) AS n FROM events GROUP BY 1", "", lambda t: (lambda old, new: old.join(F.broadcast(new.select("event_type").distinct()), "event_type", "left_anti").unionByName(new))(t.events.where("event_type <> 'error'").groupBy("event_type").agg((F.count(one) - 1).alias("n")), t.events.groupBy("event_type").agg(F.count(one).alias("n"))))
+G("sink_replace_by_key", "", "SELECT event_type, count(*) AS n FROM events GROUP BY 1", "", lambda t: (lambda old, new: old.join(F.broadcast(new.select("event_type").distinct()), "event_type", "left_anti").unionByName(new))(t.events.where("event_type <> 'error'").groupBy("event_type").agg((F.count("*") - 1).alias("n")), t.events.groupBy("event_type").agg(F.count("*").alias("n"))))
 G("export_partitioned_parquet", "bars", "SELECT symbol, date, close, CAST(year(date) AS INTEGER) AS year FROM bars", "close", lambda t: N.export_partitioned(t.bars, N.scratch(t.spark, "bars")).select("symbol", "date", "close", "year"))
 G("scan_bars_year_pruned", "bars", "SELECT symbol, date, close FROM bars WHERE year(date) BETWEEN 1997 AND 1998 AND symbol = '3'", "close", lambda t: N.export_partitioned(t.bars, N.scratch(t.spark, "bars")).where("year BETWEEN 1997 AND 1998 AND symbol = '3'").select("symbol", "date", "close"))
 G("incremental_highwater", "bars", "WITH h AS (SELECT symbol, max(date) AS m FROM bars WHERE date < DATE '2000-01-01' AND symbol <> '5' GROUP BY 1) SELECT b.symbol, b.date, close FROM bars b LEFT JOIN h USING (symbol) WHERE m IS NULL OR b.date > m", "close",

@@ -9,7 +9,6 @@ from ..operators import series as S
 from .aggregates import G
 from .series import PANEL, PV, W, panel, sector_returns, SEC
 
-one = F.lit(1)
 
 # projections, filters, lookups
 G("filter_dynamic", "bars", "SELECT symbol, date, close FROM bars WHERE symbol IN ('1', '3', '5') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", "close",
@@ -39,7 +38,7 @@ G("sector_gap_tag", PV, f"WITH {PANEL}, l AS (SELECT symbol, sector, row_number(
   lambda t: S.top_k(panel(t), 50, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select("symbol", F.when(F.col("sector").like("%_1%"), "gap").otherwise("known").alias("tag")).distinct())
 G("registry_scd_active", "", "WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT coalesce(o.k, n.k) AS custkey, n.k IS NOT NULL AS is_active, o.k IS NULL AS is_new FROM o FULL JOIN n ON o.k = n.k", "",
   lambda t: (lambda o, n: o.join(n, "custkey", "full_outer").select("custkey", F.col("n").isNotNull().alias("is_active"), F.col("o").isNull().alias("is_new")))(
-      t.orders.where("o_orderdate < timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("o", one), t.orders.where("o_orderdate >= timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("n", one)))
+      t.orders.where("o_orderdate < timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("o", F.lit(1)), t.orders.where("o_orderdate >= timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("n", F.lit(1))))
 G("fund_filter_plan", "", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Direct' ELSE 'Regular' END AS plan, regexp_replace(p_name, '^\\w+ ', '') AS name FROM part WHERE p_type LIKE '%ECONOMY%' AND p_name NOT LIKE '%ring%'", "",
   lambda t: t.part.where("p_type LIKE '%ECONOMY%' AND p_name NOT LIKE '%ring%'").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "Direct").otherwise("Regular").alias("plan"), F.regexp_replace("p_name", r"^\w+ ", "").alias("name")))
 OI = "WITH o AS (SELECT symbol, date, sum(open_int) AS oi, avg(close) AS px FROM option_chain GROUP BY 1, 2), c AS (SELECT symbol, date, oi - lag(oi) OVER w AS d, px - lag(px) OVER w AS r FROM o WINDOW w AS (PARTITION BY symbol ORDER BY date))"
@@ -97,7 +96,7 @@ G("first_bar_after_event", "bars corporate_actions", f"{FB} SELECT a.symbol, a.d
   lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date"), "action_type").distinct(), S.forward_labels(t.bars, {"fwd": 21}).select("symbol", "date", "fwd"), ["symbol"], "event_date", "date", ["fwd"], forward=True, strict=True).withColumnRenamed("matched_on", "entry_date"))
 WT = f"{PANEL}, w AS (SELECT rebal_date, symbol, 1.0 / count(*) OVER (PARTITION BY rebal_date) AS weight FROM panel WHERE prox > 0.8), nd AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM w))"
 G("full_outer_weight_diff", PV, f"WITH {WT}, pv AS (SELECT nxt AS rebal_date, symbol, weight AS pw FROM w JOIN nd USING (rebal_date) WHERE nxt IS NOT NULL) SELECT rebal_date, symbol, coalesce(weight, 0) - coalesce(pw, 0) AS delta FROM w FULL JOIN pv USING (rebal_date, symbol)", "delta",
-  lambda t: __import__("tapewright.operators.books", fromlist=["x"]).weight_diff(panel(t).where("prox > 0.8").select("rebal_date", "symbol", (1 / F.count(one).over(Window.partitionBy("rebal_date"))).alias("weight"))).select("rebal_date", "symbol", "delta"))
+  lambda t: __import__("tapewright.operators.books", fromlist=["x"]).weight_diff(panel(t).where("prox > 0.8").select("rebal_date", "symbol", (1 / F.count("*").over(Window.partitionBy("rebal_date"))).alias("weight"))).select("rebal_date", "symbol", "delta"))
 G("gex_net_outer", "option_chain", "SELECT date, symbol, strike, sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE -open_int END) AS net FROM option_chain GROUP BY 1, 2, 3", "strike net",
   lambda t: t.option_chain.groupBy("date", "symbol", "strike").agg(F.sum(F.when(F.col("option_typ") == "CE", F.col("open_int")).otherwise(-F.col("open_int"))).alias("net")))
 G("join_fallback_scrip", "", "SELECT l_orderkey, l_linenumber, l_extendedprice, coalesce(p_name, 'supplier ' || s_name) AS name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 20) ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey", "l_extendedprice",
@@ -105,11 +104,11 @@ G("join_fallback_scrip", "", "SELECT l_orderkey, l_linenumber, l_extendedprice,
 G("semi_anti", "", "SELECT c_custkey, 'semi' AS side FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey UNION ALL SELECT c_custkey, 'anti' FROM customer ANTI JOIN orders ON c_custkey = o_custkey", "",
   lambda t: (lambda on: t.customer.join(t.orders.where("o_totalprice > 300000"), on, "left_semi").select("c_custkey", F.lit("semi").alias("side")).unionByName(t.customer.join(t.orders, on, "left_anti").select("c_custkey", F.lit("anti").alias("side"))))(F.col("c_custkey") == F.col("o_custkey")))
 G("self_overlap_check", "filings", "SELECT scrip, count(*) AS overlaps FROM (SELECT scrip, broadcast + 60 > lead(broadcast) OVER (PARTITION BY scrip ORDER BY broadcast, filing_id) AS o FROM filings) WHERE o GROUP BY 1", "",
-  lambda t: t.filings.withColumn("n", F.lead("broadcast").over(Window.partitionBy("scrip").orderBy("broadcast", "filing_id"))).where("date_add(broadcast, 60) > n").groupBy("scrip").agg(F.count(one).alias("overlaps")))
+  lambda t: t.filings.withColumn("n", F.lead("broadcast").over(Window.partitionBy("scrip").orderBy("broadcast", "filing_id"))).where("date_add(broadcast, 60) > n").groupBy("scrip").agg(F.count("*").alias("overlaps")))
 G("cross_source_agree", "statements filings", "WITH f AS (SELECT scrip AS symbol, quarter, sum(amount) AS a FROM filings WHERE status <> 'P' GROUP BY 1, 2) SELECT year(quarter) AS y, avg(CAST(abs(a - revenue) <= 0.01 * revenue AS DOUBLE)) AS agree, count(*) AS n FROM f JOIN statements USING (symbol, quarter) GROUP BY 1", "agree",
-  lambda t: t.filings.where("status <> 'P'").groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.sum("amount").alias("a")).join(t.statements, ["symbol", "quarter"]).groupBy(F.year("quarter").alias("y")).agg(F.avg((F.abs(F.col("a") - F.col("revenue")) <= 0.01 * F.col("revenue")).cast("double")).alias("agree"), F.count(one).alias("n")))
+  lambda t: t.filings.where("status <> 'P'").groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.sum("amount").alias("a")).join(t.statements, ["symbol", "quarter"]).groupBy(F.year("quarter").alias("y")).agg(F.avg((F.abs(F.col("a") - F.col("revenue")) <= 0.01 * F.col("revenue")).cast("double")).alias("agree"), F.count("*").alias("n")))
 G("correlated_exists", "", "SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY 1", "",
-  lambda t: t.orders.join(t.lineitem.where("l_quantity > 45"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(one).alias("n")))
+  lambda t: t.orders.join(t.lineitem.where("l_quantity > 45"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n")))
 G("correlated_latest", "bars", "SELECT s_suppkey, (SELECT max_by(close, date) FROM bars WHERE symbol = CAST(s_suppkey AS VARCHAR)) AS close FROM supplier", "close",
   lambda t: t.supplier.select("s_suppkey", F.col("s_suppkey").cast("string").alias("symbol")).join(t.bars.groupBy("symbol").agg(F.max_by("close", "date").alias("close")), "symbol", "left").select("s_suppkey", "close"))
 
@@ -125,7 +124,7 @@ G("set_intersect_calendar", "bars", "SELECT a.date, a.close - b.close AS spread
 G("fn_term_spread", "bars", "SELECT a.date, a.close - b.close AS term_spread FROM bars a JOIN bars b ON a.date = b.date AND a.symbol = '3' AND b.symbol = '4'", "term_spread",
   lambda t: (lambda x, y: x.join(y, "date").select("date", (F.col("a") - F.col("b")).alias("term_spread")))(t.bars.where("symbol = '3'").select("date", F.col("close").alias("a")), t.bars.where("symbol = '4'").select("date", F.col("close").alias("b"))))
 G("set_agreement_ratio", PV, f"WITH {PANEL}, a AS (SELECT rebal_date, symbol FROM panel WHERE prox > 0.9), b AS (SELECT rebal_date, symbol FROM panel WHERE mom > 0) SELECT b.rebal_date, avg(CAST(a.symbol IS NOT NULL AS DOUBLE)) AS ratio FROM b LEFT JOIN a USING (rebal_date, symbol) GROUP BY 1", "ratio",
-  lambda t: (lambda p: p.where("mom > 0").select("rebal_date", "symbol").join(p.where("prox > 0.9").select("rebal_date", "symbol", one.alias("a")), ["rebal_date", "symbol"], "left").groupBy("rebal_date").agg(F.avg(F.col("a").isNotNull().cast("double")).alias("ratio")))(panel(t)))
+  lambda t: (lambda p: p.where("mom > 0").select("rebal_date", "symbol").join(p.where("prox > 0.9").select("rebal_date", "symbol", F.lit(1).alias("a")), ["rebal_date", "symbol"], "left").groupBy("rebal_date").agg(F.avg(F.col("a").isNotNull().cast("double")).alias("ratio")))(panel(t)))
 for key, d in (("set_dedupe_keep_last", "DESC"), ("set_dedupe_keep_first", "ASC")):
     G(key, "", f"SELECT l_suppkey, l_shipdate, l_orderkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey {d}, l_linenumber {d}, l_extendedprice {d}) = 1", "l_extendedprice",
       lambda t, d=d: (lambda o: t.lineitem.withColumn("k", F.row_number().over(Window.partitionBy("l_suppkey", "l_shipdate").orderBy(*(F.desc(c) if d == "DESC" else F.asc(c) for c in o)))).where("k = 1").select("l_suppkey", "l_shipdate", "l_orderkey", "l_extendedprice"))(["l_orderkey", "l_linenumber", "l_extendedprice"]))
@@ -146,7 +145,7 @@ G("fn_quarter_sequence", "bars", "SELECT symbol, CAST(unnest(generate_series(dat
 G("fn_days_to_expiry", "option_chain", "SELECT date, symbol, strike, option_typ, expiry, greatest((expiry - date) / 365.0, 0.0001) AS t FROM option_chain", "strike t", lambda t: t.option_chain.select("date", "symbol", "strike", "option_typ", "expiry", F.greatest(F.datediff("expiry", "date") / 365.0, F.lit(1e-4)).alias("t")))
 G("fn_json_first_key", "", "SELECT event_id, coalesce(props ->> '$.missing', props ->> '$.k') AS v FROM events", "", lambda t: t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.missing"), F.get_json_object("props", "$.k")).alias("v")))
 G("fn_json_build", "", "SELECT o_custkey, '{' || string_agg('\"' || o_orderstatus || '\":' || CAST(n AS VARCHAR), ',' ORDER BY o_orderstatus) || '}' AS j FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1", "",
-  lambda t: t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.count(one).alias("n")).groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n"))))).alias("j")))
+  lambda t: t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n"))))).alias("j")))
 G("fn_filing_identity", "filings", "SELECT filing_id, 'bse:' || scrip || ':' || CAST(quarter AS VARCHAR) || ':' || substr(sha1(CAST(filing_id AS VARCHAR)), 1, 10) AS ref FROM filings", "", lambda t: t.filings.select("filing_id", F.concat_ws(":", F.lit("bse"), "scrip", F.col("quarter").cast("string"), F.substring(F.sha1(F.col("filing_id").cast("string").cast("binary")), 1, 10)).alias("ref")))
 G("fn_clip_round", "bars", f"SELECT symbol, date, greatest(least(round((close / lag(close) {W} - 1) * 10, 4), 3), -3) AS r FROM bars QUALIFY lag(close) {W} IS NOT NULL", "r", lambda t: S.returns(t.bars).where("ret_1d IS NOT NULL").select("symbol", "date", F.greatest(F.least(F.round(F.col("ret_1d") * 10, 4), F.lit(3.0)), F.lit(-3.0)).alias("r")), 4)
 ERF = "(0.5 * (1 + sign(x) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(x)) - 1.453152027) / (1 + 0.3275911 * abs(x)) + 1.421413741) / (1 + 0.3275911 * abs(x)) - 0.284496736) / (1 + 0.3275911 * abs(x)) + 0.254829592) / (1 + 0.3275911 * abs(x)) * exp(-x * x))))"

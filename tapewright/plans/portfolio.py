@@ -11,7 +11,6 @@ from .aggregates import BREADTH, G
 from .joins import NEXT, realized
 from .series import DEC, PV, W, panel
 
-one = F.lit(1)
 DR = f"{NEXT}, dr AS (SELECT *, {DEC('mom')} AS decile FROM rz)"
 book = lambda t: realized(t).withColumn("decile", qcut_decile("mom", "rebal_date"))
 BOOK = f"""{DR}, en AS (SELECT rebal_date FROM dr GROUP BY 1 HAVING count(decile) >= 10), bk AS (SELECT dr.* FROM dr JOIN en USING (rebal_date) WHERE decile IN (1, 10)), bn AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM bk)),
@@ -20,7 +19,7 @@ BOOK = f"""{DR}, en AS (SELECT rebal_date FROM dr GROUP BY 1 HAVING count(decile
 G("bt_decile_book", PV, f"WITH {BOOK} SELECT * FROM db", "long_gross short_gross long_net ls_net", lambda t: B.decile_book(book(t)))
 SWEEP = "0, 10, 20, 30, 50"
 G("bt_cost_sweep", PV, f"WITH {BOOK} SELECT bps, avg(long_gross - (long_gross - long_net) / 30 * bps) AS mean_net, count(*) AS n FROM db, (SELECT unnest([{SWEEP}]) AS bps) GROUP BY 1", "mean_net",
-  lambda t: B.decile_book(book(t)).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 20, 30, 50))))).groupBy("bps").agg(F.avg(F.col("long_gross") - (F.col("long_gross") - F.col("long_net")) / 30 * F.col("bps")).alias("mean_net"), F.count(one).alias("n")))
+  lambda t: B.decile_book(book(t)).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 20, 30, 50))))).groupBy("bps").agg(F.avg(F.col("long_gross") - (F.col("long_gross") - F.col("long_net")) / 30 * F.col("bps")).alias("mean_net"), F.count("*").alias("n")))
 STRATEGIES = {
     "momentum_delivery_lowvol": ("mom", 1), "low_volatility": ("prox", 1), "short_term_reversal": ("mom", -1), "high52_breakout": ("prox", 1),
     "value_earnings_yield": ("close", -1), "quality_roe": ("turnover", 1), "dividend_yield": ("close", 1),
@@ -46,7 +45,7 @@ G("bt_trades", PV, f"WITH {PF} SELECT rebal_date, symbol, delta, CASE WHEN delta
   lambda t: B.weight_diff(B.normalized(near_high(t))).where("abs(delta) > 1e-6").select("rebal_date", "symbol", "delta", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side")))
 G("bt_holdings", PV, f"WITH {PF} SELECT rebal_date, symbol, weight FROM wb", "weight", lambda t: B.normalized(near_high(t)).select("rebal_date", "symbol", "weight"))
 G("bt_weighted_book", PV, f"WITH {NEXT}, iv AS (SELECT rebal_date, symbol, realized, 1 / greatest(prox, 0.05) AS w FROM rz), s AS (SELECT rebal_date, sum(w * realized) / sum(w) AS ret, count(*) AS names FROM iv GROUP BY 1) SELECT * FROM s WHERE names >= 5", "ret",
-  lambda t: realized(t).withColumn("w", 1 / F.greatest("prox", F.lit(0.05))).groupBy("rebal_date").agg((F.sum(F.col("w") * F.col("realized")) / F.sum("w")).alias("ret"), F.count(one).alias("names")).where("names >= 5"))
+  lambda t: realized(t).withColumn("w", 1 / F.greatest("prox", F.lit(0.05))).groupBy("rebal_date").agg((F.sum(F.col("w") * F.col("realized")) / F.sum("w")).alias("ret"), F.count("*").alias("names")).where("names >= 5"))
 G("bt_capacity_curve", PV, f"WITH {PF}, a AS (SELECT aum, avg(0.025 * sqrt(least(aum * wb.weight / rz.turnover, 10))) AS impact FROM wb JOIN rz USING (rebal_date, symbol), (SELECT unnest([10000.0, 100000.0, 1000000.0]) AS aum) GROUP BY 1) SELECT aum, impact, impact * (SELECT avg(turnover) FROM pf) AS cost FROM a", "aum impact cost",
   lambda t: (lambda a, c: a.crossJoin(F.broadcast(c)).select("aum", "impact", (F.col("impact") * F.col("c")).alias("cost")))(
       B.normalized(near_high(t)).withColumn("aum", F.explode(F.array(*map(F.lit, (1e4, 1e5, 1e6))))).groupBy("aum").agg(F.avg(0.025 * F.sqrt(F.least(F.col("aum") * F.col("weight") / F.col("turnover"), F.lit(10.0)))).alias("impact")), folio(t).agg(F.avg("turnover").alias("c"))))
@@ -59,12 +58,12 @@ WF = f"""{GATE}, tg AS (SELECT rebal_date, th, CASE WHEN coalesce(score >= th, t
 wf = lambda t: B.walkforward_gate(*gate_in(t), [40, 50, 60])
 G("bt_walkforward_gate", PV, f"WITH {WF} SELECT * FROM wf", "threshold ret", wf)
 G("bt_gate_compare", PV, f"WITH {WF}, c AS (SELECT wf.ret AS a, gt.ret AS b FROM wf JOIN gt USING (rebal_date)) SELECT count(*) AS n, avg(a) / stddev_samp(a) * sqrt(12) AS challenger, avg(b) / stddev_samp(b) * sqrt(12) AS incumbent, avg(a) / stddev_samp(a) > avg(b) / stddev_samp(b) AS ship FROM c", "challenger incumbent",
-  lambda t: (lambda sh: wf(t).join(gate_in(t)[0].withColumnRenamed("ret", "b"), "rebal_date").agg(F.count(one).alias("n"), sh("ret").alias("challenger"), sh("b").alias("incumbent"), (sh("ret") > sh("b")).alias("ship")))(lambda c: F.avg(c) / F.stddev_samp(c) * 12**0.5), 5)
+  lambda t: (lambda sh: wf(t).join(gate_in(t)[0].withColumnRenamed("ret", "b"), "rebal_date").agg(F.count("*").alias("n"), sh("ret").alias("challenger"), sh("b").alias("incumbent"), (sh("ret") > sh("b")).alias("ship")))(lambda c: F.avg(c) / F.stddev_samp(c) * 12**0.5), 5)
 IW = """ul AS (SELECT rebal_date, symbol, fwd, 'mom' AS signal, mom AS v FROM panel UNION ALL SELECT rebal_date, symbol, fwd, 'prox', prox FROM panel), uf AS (SELECT * FROM ul WHERE v IS NOT NULL AND fwd IS NOT NULL), ur AS (SELECT rebal_date, signal, rank() OVER (PARTITION BY rebal_date, signal ORDER BY v) + (count(*) OVER (PARTITION BY rebal_date, signal, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rebal_date, signal ORDER BY fwd) + (count(*) OVER (PARTITION BY rebal_date, signal, fwd) - 1) / 2.0 AS b FROM uf),
   ui AS (SELECT rebal_date, signal, corr(a, b) AS ic FROM ur GROUP BY 1, 2 HAVING count(*) >= 5), up AS (SELECT *, avg(ic) OVER w AS m, count(ic) OVER w AS n FROM ui WINDOW w AS (PARTITION BY signal ORDER BY rebal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), iw AS (SELECT rebal_date, signal, coalesce(greatest(m, 0) / nullif(sum(greatest(m, 0)) OVER (PARTITION BY rebal_date), 0), 0) AS weight FROM up WHERE n >= 12)"""
 G("bt_ic_weighted", PV, f"WITH {NEXT}, {IW} SELECT * FROM iw", "weight", lambda t: B.ic_weighted(panel(t), ["mom", "prox"], "fwd"), 5)
 G("bt_param_grid", PV, f"WITH {DR} SELECT cut, avg(realized) AS mean_ret, count(*) AS n FROM dr, (SELECT unnest([7, 8, 9, 10]) AS cut) WHERE decile >= cut GROUP BY 1", "mean_ret",
-  lambda t: book(t).withColumn("cut", F.explode(F.array(*map(F.lit, (7, 8, 9, 10))))).where("decile >= cut").groupBy("cut").agg(F.avg("realized").alias("mean_ret"), F.count(one).alias("n")))
+  lambda t: book(t).withColumn("cut", F.explode(F.array(*map(F.lit, (7, 8, 9, 10))))).where("decile >= cut").groupBy("cut").agg(F.avg("realized").alias("mean_ret"), F.count("*").alias("n")))
 NC = "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))"
 G("bt_psr_dsr", PV, f"WITH {PF}, m AS (SELECT count(net) AS n, avg(net) / stddev_samp(net) AS sr, skewness(net) AS skew, kurtosis(net) + 3 AS kurt FROM pf), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) / sqrt(2) AS z FROM m) SELECT n, sr, skew, kurt, {NC.replace('Z', 'z')} AS psr FROM z", "sr skew kurt psr",
   lambda t: B.psr(folio(t).select(F.col("net").alias("ret"))), 5)
@@ -101,7 +100,7 @@ G("score_pillars", PV, f"WITH {NEXT}, {SCORE} SELECT * FROM ps", "liquidity tech
 G("score_confidence", PV, f"WITH {NEXT}, {SCORE} SELECT rebal_date, symbol, least(70, greatest(0, 0.4 * liquidity + 0.6 * technical)) AS confidence FROM ps", "confidence",
   lambda t: pillars(t).unpivot(["rebal_date", "symbol"], ["liquidity", "technical"], "pillar", "v").withColumn("w", F.when(F.col("pillar") == "liquidity", 0.4).otherwise(0.6)).groupBy("rebal_date", "symbol").agg(F.least(F.lit(70.0), F.greatest(F.lit(0.0), F.sum(F.col("v") * F.col("w")))).alias("confidence")), 5)
 G("score_weight_shrink", "trades", "WITH e AS (SELECT strategy, count(*) AS n, 0.1 AS prior, avg(CAST(realized > 0 AS DOUBLE)) AS estimate FROM trades GROUP BY 1), s AS (SELECT strategy, CASE WHEN n >= 30 THEN prior + greatest(least((100 * prior + n * estimate) / (100 + n) - prior, 0.02), -0.02) ELSE prior END AS raw FROM e) SELECT strategy, raw / sum(raw) OVER () AS weight FROM s", "weight",
-  lambda t: B.shrink_weights(t.trades.groupBy("strategy").agg(F.count(one).alias("n"), F.avg((F.col("realized") > 0).cast("double")).alias("estimate")).withColumns({"prior": F.lit(0.1), "group": F.lit(0)})).select("strategy", "weight"))
+  lambda t: B.shrink_weights(t.trades.groupBy("strategy").agg(F.count("*").alias("n"), F.avg((F.col("realized") > 0).cast("double")).alias("estimate")).withColumns({"prior": F.lit(0.1), "group": F.lit(0)})).select("strategy", "weight"))
 G("reco_to_trades", "trades", "SELECT trade_id AS thesis_id, strategy, entry_price, stop, entry_price * 1.09 AS target, floor(10000 / (entry_price - stop)) AS size_shares FROM trades", "entry_price stop target size_shares",
   lambda t: t.trades.select(F.col("trade_id").alias("thesis_id"), "strategy", "entry_price", "stop", (F.col("entry_price") * 1.09).alias("target"), F.floor(10000 / (F.col("entry_price") - F.col("stop"))).cast("double").alias("size_shares")), 4)
 G("risk_equity_curve", "trades", """WITH a AS (SELECT *, realized / ((entry_price - stop) / entry_price) AS r FROM trades), b AS (SELECT *, r * 10000 AS pnl, sum(r * 10000) OVER w AS equity, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, greatest(max(equity) OVER w, 0) AS hwm, n - coalesce(max(CASE WHEN pnl >= 0 THEN n END) OVER w, 0) AS streak FROM b WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, (hwm - equity) / (hwm + 1e6) AS drawdown FROM c)
@@ -109,6 +108,6 @@ G("risk_equity_curve", "trades", """WITH a AS (SELECT *, realized / ((entry_pric
 G("order_risk_check", PV, f"WITH {PF} SELECT rebal_date, symbol, floor(1e6 * least(weight, 0.06) / 1000) AS shares, CASE WHEN abs(delta) < 0.001 THEN 'ticket' WHEN weight > 0.06 THEN 'cap' ELSE 'ok' END AS verdict FROM df", "shares",
   lambda t: B.weight_diff(B.normalized(near_high(t))).select("rebal_date", "symbol", F.floor(1e6 * F.least("weight", F.lit(0.06)) / 1000).cast("double").alias("shares"), F.when(F.abs("delta") < 0.001, "ticket").when(F.col("weight") > 0.06, "cap").otherwise("ok").alias("verdict")))
 G("weekly_stats", "trades", "SELECT CAST(date_trunc('week', exit_date) AS DATE) AS week, count(*) AS closed, avg(CAST(realized > 0 AS DOUBLE)) AS hit, avg(realized / 0.05) AS expectancy_r FROM trades GROUP BY 1", "hit expectancy_r",
-  lambda t: t.trades.groupBy(F.date_trunc("week", "exit_date").cast("date").alias("week")).agg(F.count(one).alias("closed"), F.avg((F.col("realized") > 0).cast("double")).alias("hit"), F.avg(F.col("realized") / 0.05).alias("expectancy_r")))
+  lambda t: t.trades.groupBy(F.date_trunc("week", "exit_date").cast("date").alias("week")).agg(F.count("*").alias("closed"), F.avg((F.col("realized") > 0).cast("double")).alias("hit"), F.avg(F.col("realized") / 0.05).alias("expectancy_r")))
 G("gate_registry_check", "trades", "SELECT strategy, avg(realized) / (stddev_samp(realized) / sqrt(count(*))) AS t_stat, CASE WHEN abs(avg(realized) / (stddev_samp(realized) / sqrt(count(*)))) >= 3 THEN 'scored' ELSE 'context' END AS verdict FROM trades GROUP BY 1", "t_stat",
-  lambda t: t.trades.groupBy("strategy").agg((F.avg("realized") / (F.stddev_samp("realized") / F.sqrt(F.count(one)))).alias("t_stat")).withColumn("verdict", F.when(F.abs("t_stat") >= 3, "scored").otherwise("context")), 4)
+  lambda t: t.trades.groupBy("strategy").agg((F.avg("realized") / (F.stddev_samp("realized") / F.sqrt(F.count("*")))).alias("t_stat")).withColumn("verdict", F.when(F.abs("t_stat") >= 3, "scored").otherwise("context")), 4)
