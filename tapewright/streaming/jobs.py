@@ -34,10 +34,10 @@ def dedupe(rows: DataFrame, keys: list[str], time: str = "ts", late: str = "40 d
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def clusters(trades: DataFrame, days: int = 7, least: int = 2) -> DataFrame:
+def clusters(trades: DataFrame, days: int = 7, least: int = 2, late: str = "1 day") -> DataFrame:
     """Alerts when `least` names trade a symbol within `days`; none again within `days` of the last one.
 
-    State per symbol: the trades of the window and the last alert, dropped after `days` without trades.
+    State per symbol: the trades of the window and the last alert, dropped when the watermark is `days` past the last trade.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,11 +55,11 @@ def clusters(trades: DataFrame, days: int = 7, least: int = 2) -> DataFrame:
                 out.append((key[0], int(day), len(set(names_seen))))
                 last = int(day)
         state.update((days_seen, names_seen, last))
-        state.setTimeoutDuration(days * 86_400_000)
+        state.setTimeoutTimestamp(max((max(days_seen) + days + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["symbol", "day", "insiders"])
 
-    return trades.groupBy("symbol").applyInPandasWithState(
-        update, "symbol string, day long, insiders long", "days array<long>, names array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return trades.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(
+        update, "symbol string, day long, insiders long", "days array<long>, names array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
