@@ -8,14 +8,16 @@ link, and only texts with equal sets need no test. In turn:
 
 1. Sets. One pass writes (id, set key, size, prefix). Equal sets have equal
    keys (64 bits) and are one node from here on; links are between nodes.
-2. Leaders. Of the nodes that share a prefix shingle the one with the smallest
-   key leads; each node is tested against the leader that it shares most
-   shingles with. A dense group of near copies thus costs one test a node, and
+2. Leaders. Of the nodes that share a prefix shingle the one that shares most
+   of its own leads; each node is tested against the leader that it shares most
+   shingles with, if these are a good part of its prefix. A dense group of near copies thus costs one test a node, and
    becomes one component.
-3. The rest. Shingles whose nodes are all in one component are done. Under the
-   others all pairs of different components are counted, and a pair goes on if
-   its shared prefix shingles plus what can follow them reach the overlap that
-   the similarity asks for. No link between different components is missed.
+3. The rest. Shingles whose nodes are all in one component are done. The nodes
+   under the others meet in the groups of those shingles' leaders, so that a node
+   is sent to a few groups, not to one per shingle. Nodes of different components
+   are compared inside tasks, in blocks, and a pair leaves the task if its shared
+   prefix shingles plus what can follow them reach the overlap that the
+   similarity asks for. No link between different components is missed.
 4. Tests. The sets that are tested against one set, in blocks of 256, form a
    prefix tree: in lexicographic order each set continues the path that it
    shares with the one before, whose partial overlaps are kept; a path ends
@@ -44,6 +46,10 @@ from .shingles import shingle_sets
 HEAVY = 65_536  # entries of the list of frequent shingles
 LOCAL = 4  # a batch reports shingles that so many of its sets hold
 BLOCK = 256  # sets in a prefix tree
+GROUP = 4096  # nodes under a leader that one task compares with each other
+LISTED = 8_000_000  # pairs by shingle that a task lists; denser groups use matrix products
+BITMAP = 1 << 26  # bits of the bitmap of ids whose sets are read
+LEAD_SHARE = 3  # a node is tested against its leader if they share 1 in so many of its prefix; the rest is left to step 3
 FLAG = np.int64(1 << 62)
 
 
@@ -219,6 +225,140 @@ def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_test_blocks(percent), "a long, b long")
 
 
+def _sets_of(rows: DataFrame, nodes: DataFrame, reps: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
+    """(node, tokens) of the nodes, from the texts of their representatives.
+
+    Up to BITMAP / 16 nodes a bitmap of fixed size tells the scan which texts to
+    look at; beyond, texts are joined with the ids that are asked for.
+    """
+    spark = rows.sparkSession
+    asked = written(nodes.join(reps, "node").select("node", "_id"), "asked")
+    slot = F.pmod(F.xxhash64("_id"), F.lit(BITMAP))
+    if asked.count() > BITMAP // 16:
+        texts = rows.join(asked, "_id").select("node", "_text")
+        return written(texts.mapInArrow(_whole_sets(k, heavy), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    parts = asked.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bitmap = spark.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts})
+    found = rows.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"), "_text").mapInArrow(
+        _chosen_sets(k, heavy, bitmap), "node long, tokens array<long>"
+    )
+    return written(found.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _chosen_sets(k: int, heavy: np.ndarray, bitmap):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = bitmap.value, set()
+        for part in _batches(batches):
+            texts = [
+                t for b, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
+                if b in bits and bits[b][i >> 3] >> (i & 7) & 1
+            ]
+            nodes, sets = [], []
+            for s in shingle_sets(texts, k):
+                if (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    nodes.append(key)
+                    sets.append(_ordered(s, heavy))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "tokens"])
+
+    return make
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can still be similar.
+
+    `rows`: (lead, node, blocks, comp, n, last, p, tokens), tokens being the open
+    shingles of the node's prefix. The nodes that meet under a leader's shingles
+    are compared in blocks of about GROUP, in a task of their own per pair of
+    blocks, and only pairs that pass the bound leave it.
+    """
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "lead", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "node", "comp", "n",
+        (F.col("n") - F.col("p")).alias("follow"), "last", "tokens",
+    )
+    dealt = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "n")
+    return dealt.mapInArrow(_pairs_in_groups(percent), "a long, b long").distinct()
+
+
+def _shared_counts(owner: np.ndarray, tokens: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows u < v that share tokens, and how many; None if there are too many to list."""
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    held = np.diff(np.r_[first, len(tokens)])
+    if (held * (held - 1) // 2).sum() > LISTED:
+        return None
+    codes = [np.zeros(0, np.int64)]
+    for h in np.unique(held[held > 1]).tolist():
+        at = owner[first[held == h][:, None] + np.arange(h)]  # ascending within each token
+        x, y = np.triu_indices(h, 1)
+        codes.append((at[:, x].astype(np.int64) * rows + at[:, y]).ravel())
+    pair, c = np.unique(np.concatenate(codes), return_counts=True)
+    return pair // rows, pair % rows, c
+
+
+def _pairs_in_groups(percent: int):
+    def passes(c, n_x, n_y, follow_x, follow_y, last_x, last_y, comp_x, comp_y):
+        ends = np.where(last_x <= last_y, follow_x, follow_y)
+        ok = (c + ends) * (100 + percent) >= percent * (n_x + n_y)
+        return ok & (comp_x != comp_y) & (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
+
+    def find(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j = group
+        if len(rows) < 2:
+            return []
+        b, node, comp, n, follow, last = (np.array(c, np.int64) for c in zip(*(r[:6] for r in rows)))
+        if (comp == comp[0]).all():
+            return []
+        flat = np.concatenate([r[6] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[6]) for r in rows])
+        facts = (n, follow, last, comp)
+        listed = _shared_counts(owner, flat, len(rows))
+        if listed is not None:
+            u, v, c = listed
+            ok = passes(c, *(f[k] for f in facts for k in (u, v)))
+            u, v = u[ok], v[ok]
+        else:  # a dense group: overlaps by matrix products; rows are sorted by size
+            values, at = np.unique(flat, return_inverse=True)
+            common = np.bincount(at) > 1
+            held = np.zeros((len(rows), int(common.sum())), np.float32)
+            held[owner[common[at]], (np.cumsum(common) - 1)[at[common[at]]]] = 1
+            us, vs = [], []
+            for s in range(0, len(rows), 512):
+                e = min(s + 512, len(rows))
+                x, y = slice(s, e), slice(s, int(np.searchsorted(n, n[e - 1] * 100 // percent, side="right")))
+                ok = passes(held[x] @ held[y].T, *(k for f in facts for k in (f[x][:, None], f[y])))
+                p, q = np.nonzero(ok)
+                us.append(p[p < q] + s)
+                vs.append(q[p < q] + s)
+            u, v = np.concatenate(us), np.concatenate(vs)
+        if i != j:
+            apart = b[u] != b[v]
+            u, v = u[apart], v[apart]
+        return [(min(p, q), max(p, q)) for p, q in zip(node[u].tolist(), node[v].tolist())]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            tokens = batch.column(9)
+            flat, ends = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+            out = []
+            for r, key in enumerate(zip(cols[0], cols[1], cols[2])):
+                if key != group:
+                    if group is not None:
+                        out += find(group, rows)
+                    group, rows = key, []
+                rows.append((*(cols[c][r] for c in range(3, 9)), np.array(flat[ends[r] : ends[r + 1]], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        out = find(group, rows) if group is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return pair
+
+
 def similar_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -232,51 +372,50 @@ def similar_components(
     heavy = frequent_shingles(rows, "_text", k)
     table = written(rows.mapInArrow(_prefixes(k, percent, heavy), "id long, node long, n long, prefix array<long>"), "prefixes")
 
-    # 2. leaders
-    postings = table.where("prefix IS NOT NULL").select("node", F.explode("prefix").alias("token"))
-    live = postings.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("_hi")).where("lead <> _hi").drop("_hi")
-    shared = written(postings.join(live, "token").select("token", "node", "lead").distinct(), "shared")
+    # 2. leaders: per shingle the node with most shared shingles in its prefix
+    with_sets = table.where("prefix IS NOT NULL")
+    postings = with_sets.select("node", F.explode("prefix").alias("token"))
+    live = postings.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token")
+    shared = written(postings.join(live, "token").select("token", "node").distinct(), "shared")
     del postings, live
     released(docs.sparkSession)
+    facts = with_sets.groupBy("node").agg(
+        F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"), F.first(F.size("prefix")).alias("p")
+    )
+    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    ranked = shared.join(held, "node")
+    lead = ranked.groupBy("token").agg(F.max(F.struct("held", "node")).alias("best")).select("token", F.col("best.node").alias("lead"))
     star = (
-        shared.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
+        shared.join(lead, "token").where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best"))
+        .join(facts.select("node", "p"), "node")
+        .where(F.col("best.c") * LEAD_SHARE >= F.col("p"))
         .select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     )
     star = written(star, "star")
-    reps = table.where("prefix IS NOT NULL").groupBy("node").agg(F.min("id").alias("_id"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        asked = written(nodes.join(reps, "node").select("node", "_id"), "asked")
-        texts = rows.join(asked, "_id").select("node", "_text")
-        return written(texts.mapInArrow(_whole_sets(k, heavy), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-
+    reps = with_sets.groupBy("node").agg(F.min("id").alias("_id"))
     ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(ends(star))
+    sets = _sets_of(rows, ends(star), reps, k, heavy)
     released(docs.sparkSession)
     links = written(tested(star, sets, percent), "links")
     released(docs.sparkSession)
 
     # 3. pairs of different components
     comps = connected_components(links)
-    named = shared.select("token", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_tokens = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    facts = table.where("prefix IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"), F.first(F.size("prefix")).alias("p")
-    )
-    still = written(named.join(open_tokens, "token").join(facts, "node"), "open")
-    x = still.select("token", *(F.col(c).alias("x_" + c) for c in ("node", "comp", "n", "last", "p")))
-    y = still.select("token", *(F.col(c).alias("y_" + c) for c in ("node", "comp", "n", "last", "p")))
-    near = (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("y_n") * 100 >= F.col("x_n") * percent)
-    met = x.join(y, (x.token == y.token) & (F.col("x_node") < F.col("y_node")) & (F.col("x_comp") != F.col("y_comp")) & near)
-    follow = F.when(F.col("x_last") <= F.col("y_last"), F.col("x_n") - F.col("x_p")).otherwise(F.col("y_n") - F.col("y_p"))
-    pairs = (
-        met.groupBy("x_node", "y_node", "x_n", "y_n", follow.alias("follow")).agg(F.count(F.lit(1)).alias("c"))
-        .where((F.col("c") + F.col("follow")) * (100 + percent) >= percent * (F.col("x_n") + F.col("y_n")))
-        .select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-    )
-    pairs = written(pairs, "pairs")
-    more = sets_of(ends(pairs).join(sets.select("node"), "node", "left_anti"))
+    still = written(named.join(open_tokens, "token").select("token", "node", "comp"), "open")
+    nodes = still.groupBy("node").agg(
+        F.collect_set("token").alias("tokens"), F.first("comp").alias("comp"), F.count(F.lit(1)).alias("held")
+    ).join(facts, "node")
+    nodes = written(nodes, "open-nodes")
+    lead = still.join(nodes.select("node", "held"), "node").groupBy("token").agg(F.max(F.struct("held", "node")).alias("best"))
+    met = written(still.join(lead, "token").select(F.col("best.node").alias("lead"), "node").distinct(), "met")
+    blocks = met.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    released(docs.sparkSession)
+    pairs = written(_met(met.join(blocks, "lead").join(nodes, "node"), percent), "pairs")
+    released(docs.sparkSession)
+    more = _sets_of(rows, ends(pairs).join(sets.select("node"), "node", "left_anti"), reps, k, heavy)
     rest = written(tested(pairs, sets.unionByName(more), percent), "links")
     released(docs.sparkSession)
     links = links.unionByName(rest)
