@@ -62,7 +62,7 @@ G("shareholding_quarter_normalize", "filings", "SELECT filing_id, CAST(year(quar
 G("announcements_normalize", "", "SELECT doc_id, source, coalesce(lang, 'xx') AS lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1", "",
   lambda t: t.documents.groupBy("source", "lang", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.coalesce("lang", F.lit("xx")).alias("lang")))
 G("membership_matrix_unpivot", "", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, symbol FROM (SELECT o_orderdate, unnest(['F', 'O', 'P']) AS symbol, o_orderstatus FROM orders) WHERE symbol = o_orderstatus GROUP BY 1, 2", "",
-  lambda t: t.orders.groupBy(F.trunc("o_orderdate", "MM").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).unpivot(["month"], ["F", "O", "P"], "symbol", "w").where("w > 0").select("month", "symbol"))
+  lambda t: t.orders.groupBy(F.trunc("o_orderdate", "MM").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).unpivot(["month"], ["F", "O", "P"], "symbol", "w").where("w > 0").select("month", "symbol"))
 G("sink_upsert", "", "SELECT o_custkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1", "price",
   lambda t: (lambda o: N.upsert(o.where("d < date'1998-01-01'"), o.where("d >= date'1998-01-01'"), ["o_custkey"], "seq").select("o_custkey", "price"))(t.orders.select("o_custkey", F.col("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("d"), F.struct("o_orderdate", "o_orderkey").alias("seq"))))
 G("sink_insert_ignore", "", "SELECT o_custkey, min_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1", "price",

@@ -15,5 +15,5 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly momentum decile book, net of costs."""
-    return QUERIES["bt_decile_book"](spark, sf_dir)
+    """Monthly book of symbols near their high, net of costs (deciles would need ten names a month, more than the smallest tables have)."""
+    return QUERIES["bt_portfolio"](spark, sf_dir)
