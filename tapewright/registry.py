@@ -15,5 +15,5 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly book of symbols near their high, net of costs (deciles would need ten names a month, more than the smallest tables have)."""
-    return QUERIES["bt_portfolio"](spark, sf_dir)
+    """Return metrics of every symbol's monthly series (books need more names a month than the smallest tables have)."""
+    return QUERIES["agg_metrics"](spark, sf_dir)
