@@ -7,18 +7,19 @@ rotated by one random orthogonal matrix and reduced to the signs of its D
 components (packed bits), with two scalars beside it, the residual's norm and
 the inner product of the code with the residual itself.
 
-Search. A query goes to the lists of its `probes` nearest centroids. There the
-inner products with all codes are estimated from the packed bits and corrected
-by the scalars; the estimate's error is at most
-EPSILON / sqrt(D - 1) * sqrt(1 / x**2 - 1), x being the stored inner product,
-but for a tail that EPSILON makes small. Vectors whose lower bound exceeds the
-k-th smallest upper bound of the block are dropped, the others are reranked by
+Search. Every query is held against the codes of all lists: no list is left
+out, so that neighbours in far lists are found too. The inner products with all
+codes are estimated from the packed bits and corrected by the scalars; the
+estimate's error is at most EPSILON / sqrt(D - 1) * sqrt(1 / x**2 - 1), x being
+the stored inner product, but for a tail that EPSILON makes small. The k vectors
+of a block with the smallest upper bounds are measured; those whose lower bound
+exceeds the largest of these distances are dropped, the others are reranked by
 exact distance in double precision, and the best k of all blocks are kept.
 
-Work is dealt by (list, block of rows, block of queries): a list that holds a
-third of all vectors is many blocks, of at most about ROWS rows and QUERIES
-queries each. What the driver gathers is bounded: the sample and one row per
-list, of which there are at most LISTS.
+Work is dealt by (block of rows, block of queries), of about ROWS rows and
+QUERIES queries, by hashes of the ids: the size of a list has no bearing on it.
+Code comparisons are rows times queries. What the driver gathers is bounded: the
+sample.
 
 Vectors that are null, zero, of another length than most of the sample, or hold
 null or non-finite components take no part, nor do null ids. Of equal distances
@@ -41,7 +42,7 @@ from .common import bounded_sample, written
 
 SAMPLE = 65_536
 LISTS = 1024
-ROWS, QUERIES = 8192, 512
+ROWS, QUERIES = 8192, 4096
 EPSILON = 3.0
 
 
@@ -58,7 +59,7 @@ def kmeans(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndar
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(rounds):
-        at = nearest_lists(x, c, 1)[:, 0]
+        at = nearest_lists(x, c)
         n = np.bincount(at, minlength=lists)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
@@ -66,13 +67,12 @@ def kmeans(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) -> np.ndar
     return c
 
 
-def nearest_lists(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
-    """Per row of x the `probes` nearest centroids, in blocks of rows."""
+def nearest_lists(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Per row of x the nearest centroid, in blocks of rows."""
     own = (centroids**2).sum(1)
-    out = np.zeros((len(x), probes), np.int64)
+    out = np.zeros(len(x), np.int64)
     for k in range(0, len(x), 4096):
-        d = own - 2 * x[k : k + 4096] @ centroids.T
-        out[k : k + 4096] = np.argsort(d, axis=1, kind="stable")[:, :probes] if probes > 1 else d.argmin(1)[:, None]
+        out[k : k + 4096] = (own - 2 * x[k : k + 4096] @ centroids.T).argmin(1)
     return out
 
 
@@ -90,17 +90,24 @@ def encode(x: np.ndarray, centroids: np.ndarray, rotate: np.ndarray) -> tuple[np
     return np.packbits(unit > 0, axis=1), norm, np.where(norm > 0, inner, 1.0)
 
 
-def bounds(bits: np.ndarray, norm: np.ndarray, inner: np.ndarray, q: np.ndarray, centroid: np.ndarray, rotate: np.ndarray):
-    """Lower and upper bounds of squared distances, queries by rows."""
-    dim = q.shape[1]
-    residual = q - centroid
-    q_norm = np.sqrt((residual**2).sum(1))
-    turned = (residual @ rotate.T).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32)
-    product = (2 * turned @ signs.T - turned.sum(1)[:, None]) / math.sqrt(dim) / inner  # of q's residual with the unit residual
-    error = q_norm[:, None] * EPSILON / math.sqrt(max(dim - 1, 1)) * np.sqrt(np.maximum(1 / inner**2 - 1, 0))
-    base = norm**2 + q_norm[:, None] ** 2
-    slack = 1e-5 * base
+def bounds(
+    bits: np.ndarray, norm: np.ndarray, inner: np.ndarray, q: np.ndarray, centroids: np.ndarray, rotate: np.ndarray, at: np.ndarray | None = None
+):
+    """Lower and upper bounds of squared distances, queries by rows.
+
+    `centroids` is one centroid, or several with `at` naming that of each row.
+    """
+    dim, c = q.shape[1], np.atleast_2d(centroids)
+    at = np.zeros(len(norm), np.int64) if at is None else at
+    signs = 2.0 * np.unpackbits(bits, axis=1, count=dim) - 1
+    # the code's product with a rotated residual q - c is its product with q less that with c
+    own = np.einsum("rd,rd->r", signs, (c @ rotate.T)[at])
+    product = ((q @ rotate.T) @ signs.T - own) / math.sqrt(dim) / inner  # of q's residual with the unit residual
+    size = (q**2).sum(1)[:, None] + (c**2).sum(1)
+    q_square = np.maximum(size - 2 * q @ c.T, 0)[:, at]
+    error = np.sqrt(q_square) * (EPSILON / math.sqrt(max(dim - 1, 1)) * np.sqrt(np.maximum(1 / inner**2 - 1, 0)))
+    base = norm**2 + q_square
+    slack = 1e-5 * base + 1e-12 * size[:, at]
     return base - 2 * norm * (product + error) - slack, base - 2 * norm * (product - error) + slack
 
 
@@ -118,19 +125,23 @@ def _searcher(k: int, centroids: np.ndarray, rotate: np.ndarray):
             return schema.empty_table()
         ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"], dim)
         bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        centroid = centroids[rows["list"][0].as_py()]
+        present, at = np.unique(rows["list"].to_numpy(), return_inverse=True)
+        norm, inner = rows["norm"].to_numpy(), rows["inner"].to_numpy()
         all_q, q = asked["query_id"].to_numpy(), _matrix(asked["v"], dim)
         out: list[list[np.ndarray]] = [[], [], []]
-        for s in range(0, len(all_q), 128):
-            low, high = bounds(bits, rows["norm"].to_numpy(), rows["inner"].to_numpy(), q[s : s + 128], centroid, rotate)
-            for j, query in enumerate(all_q[s : s + 128]):
+        for s in range(0, len(all_q), 64):
+            low, high = bounds(bits, norm, inner, q[s : s + 64], centroids[present], rotate, at)
+            for j, query in enumerate(all_q[s : s + 64]):
                 own = ids == query
                 low[j, own], high[j, own] = np.inf, np.inf
-                best = np.partition(high[j], k - 1)[k - 1] if len(ids) > k else np.inf
+                best = np.inf
+                if len(ids) - own.sum() > k:
+                    some = np.argpartition(high[j], k - 1)[:k]
+                    best = ((x[some] - q[s + j]) ** 2).sum(1).max()
                 near = np.flatnonzero((low[j] <= best) & ~own)
                 d = np.sqrt(((x[near] - q[s + j]) ** 2).sum(1))
-                first = near[np.lexsort((ids[near], d))[:k]]
-                for c, v in zip(out, (np.full(len(first), query), ids[first], np.sqrt(((x[first] - q[s + j]) ** 2).sum(1)))):
+                first = np.lexsort((ids[near], d))[:k]
+                for c, v in zip(out, (np.full(len(first), query), ids[near[first]], d[first])):
                     c.append(v)
         return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
@@ -143,7 +154,7 @@ def _indexer(centroids: np.ndarray, rotate: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            at = nearest_lists(x, centroids, 1)[:, 0]
+            at = nearest_lists(x, centroids)
             bits, norm, inner = encode(x, centroids[at], rotate)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()),
@@ -154,23 +165,11 @@ def _indexer(centroids: np.ndarray, rotate: np.ndarray):
     return index
 
 
-def _prober(centroids: np.ndarray, probes: int):
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = nearest_lists(_matrix(batch.column(1), centroids.shape[1]), centroids, probes).astype(np.int32)
-            ends = np.arange(0, at.size + 1, probes, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.ravel()))], ["query_id", "v", "lists"]
-            )
-
-    return probe
-
-
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 48, rows_per_list: int = 256, sample: int = SAMPLE,
+    vectors: DataFrame, queries: DataFrame, k: int = 10, rows_per_list: int = 256, sample: int = SAMPLE,
     id_col: str = "vec_id", vec_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance.
@@ -191,23 +190,13 @@ def nearest_neighbours(
     index = written(
         rows.mapInArrow(_indexer(centroids, rotate), "vec_id long, v array<double>, list int, bits binary, norm double, inner double"), "index"
     )
-    probing = (
-        asked.mapInArrow(_prober(centroids, min(probes, lists)), "query_id long, v array<double>, lists array<int>")
-        .select("query_id", "v", F.explode("lists").alias("list"))
-    )
-    per_list = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per_query = {r["list"]: r["n"] for r in probing.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.array(*[F.lit(-(-per_list.get(i, 0) // ROWS) or 1) for i in range(lists)])
-    q_blocks = F.array(*[F.lit(-(-per_query.get(i, 0) // QUERIES) or 1) for i in range(lists)])
-    of = lambda a: F.element_at(a, F.col("list") + 1)
-    left = index.withColumn("rb", F.pmod(F.xxhash64("vec_id"), of(blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), of(q_blocks) - 1))
-    )
-    right = probing.withColumn("qb", F.pmod(F.xxhash64("query_id"), of(q_blocks)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), of(blocks) - 1))
-    )
+    row_blocks, query_blocks = -(-total // ROWS), -(-asked.count() // QUERIES) or 1
+    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("rb", block("vec_id", row_blocks)).withColumn("qb", every(query_blocks))
+    right = asked.withColumn("qb", block("query_id", query_blocks)).withColumn("rb", every(row_blocks))
     found = (
-        left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb"))
+        left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
         .applyInArrow(_searcher(k, centroids, rotate), "query_id long, vec_id long, score double")
     )
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

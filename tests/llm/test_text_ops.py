@@ -144,6 +144,18 @@ def test_vector_search_recall_and_ties(spark):
     assert ann.nearest_neighbours(frame.where("false"), frame.where("false")).collect() == []
 
 
+def test_vector_search_of_many_lists(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8000, 64))
+    rows = [(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = defaultdict(set)  # 250 lists, of which any may hold a neighbour
+    for r in ann.nearest_neighbours(frame, frame.where("vec_id % 200 = 0"), k=10, rows_per_list=32).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = nearest_by_hand(rows, range(0, 8000, 200), 10)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.97
+
+
 def test_vector_bounds_hold():
     rng = np.random.default_rng(3)
     x, q, c = rng.standard_normal((500, 64)), rng.standard_normal((20, 64)), rng.standard_normal(64) * 0.1
