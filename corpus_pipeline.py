@@ -7,7 +7,9 @@
                 is lost, and the rows are stored in the order of the mix, in
                 which every source keeps its target share to less than a block
                 for as long as it lasts
-5. pack         packs the token ids into sequences of 4096
+5. pack         packs the token ids into sequences of 4096, in the stored order:
+                each class of pieces is filled by position, and sequences are
+                numbered by the first position they hold
 
 Each stage gets (spark, docs, sf_dir) with the rows that its predecessor kept,
 and returns the columns of `docs`, but for the last, which returns the pieces.
@@ -17,6 +19,7 @@ under a null id.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +53,28 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(order, docs["doc_id"].eqNullSafe(F.col("_id"))).orderBy("_position").select(*docs.columns)
 
 
+def stored_positions(docs: DataFrame) -> DataFrame:
+    """`docs` with `_position`, the place of each row in the order its table was written in.
+
+    A written table's files are named in the order of their parts, and Spark gives
+    each row's place in its file. Rows that come from no files count as they come.
+    """
+    try:
+        stored = docs.metadataColumn("_metadata")
+        rows = docs.select("*", stored["file_name"].alias("_file"), stored["row_index"].alias("_row"))
+        rows.schema  # noqa: B018  (resolves the names)
+    except AnalysisException:
+        return docs.withColumn("_position", F.monotonically_increasing_id())
+    starts, at = [], 0
+    for name, n in sorted(rows.groupBy("_file").agg(F.max("_row") + 1).collect()):
+        starts.append((name, at))
+        at += n
+    first = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    return rows.join(F.broadcast(first), "_file").select(*docs.columns, (F.col("_start") + F.col("_row")).alias("_position"))
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, entries.tokenizer_path()).select(
+    return packing.pack_documents(stored_positions(docs), entries.tokenizer_path(), order_col="_position").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 

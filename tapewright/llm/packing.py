@@ -12,6 +12,10 @@ Only the last, partly filled bin of each class is left over. These bins hold a
 bounded number of pieces (fewer than sum over the slot sizes of C / size, about
 21,000 for C = 4096), which are packed by first fit decreasing in one group.
 
+With an order column the bins of a class are filled in that order instead of the
+digest's, and sequences are numbered by the first position each holds, so that
+sequences read in turn follow the order of the documents.
+
 Tokens: words between white space are encoded once per distinct word and batch
 (the vocabulary's pre-tokenizer never joins text over white space) and looked
 up afterwards; word ids are gathered with numpy. The word table of a worker is
@@ -33,8 +37,9 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import id_key, rank_in_group, written
 
@@ -126,16 +131,17 @@ def cut_lengths(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[in
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, per_bin int"
 
 
-def _cutter(tokenizer: str, end_id: int, capacity: int, slack: int, with_ids: bool):
+def _cutter(tokenizer: str, end_id: int, capacity: int, slack: int, with_ids: bool, ordered: bool = False):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+                places = part.column(2).to_pylist() if ordered else ids
                 flat, counts = encode_texts(texts, tokenizer)
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(8)]
                 at = 0
-                for doc, n in zip(ids, counts.tolist()):
+                for doc, place, n in zip(ids, places, counts.tolist()):
                     own = np.concatenate([flat[at : at + n], end])
                     at += n
                     raw, start = own.astype("<u4").tobytes(), 0
@@ -143,6 +149,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, slack: int, with_ids: bo
                         values = (doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n + 1, capacity // size)
                         for c, v in zip(cols, values):
                             c.append(v)
+                        cols[7].append(place)
                         if with_ids:
                             cols[6].append(own[start : start + size].astype(np.int32))
                         start += size
@@ -151,6 +158,9 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, slack: int, with_ids: bo
                 if with_ids:
                     arrays.append(pa.array(cols[6], pa.list_(pa.int32())))
                     names.append("ids")
+                if ordered:
+                    arrays.append(pa.array(cols[7], pa.int64()))
+                    names.append("_position")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return cut
@@ -158,11 +168,14 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, slack: int, with_ids: bo
 
 def cut_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, slack: int = SLACK,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None,
 ) -> DataFrame:
-    """The pieces of all documents; with `with_ids` also their token ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, slack, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    """The pieces of all documents; with `with_ids` also their token ids, with `order_col` its value as `_position`."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long")] if order_col else [])
+    )
+    schema = PIECES + (", ids array<int>" if with_ids else "") + (", _position long" if order_col else "")
+    return rows.mapInArrow(_cutter(tokenizer, end_id, capacity, slack, with_ids, order_col is not None), schema)
 
 
 def _first_fit(capacity: int):
@@ -184,10 +197,27 @@ def _first_fit(capacity: int):
     return fit
 
 
+def _place_key(pieces: DataFrame) -> Column:
+    """A hex key in order of `_position`, spread over its first digits; pieces of a place go by start."""
+    low, high = pieces.agg(F.min("_position"), F.max("_position")).first()
+    span = (high or 0) - (low or 0) + 1
+    # the first digits: position / span as a fraction of 16**7, in longs
+    place = f"(_position - {low or 0}L)"
+    spread = F.expr(f"{place} * {1 << 28}L div {span}L" if span < 1 << 35 else f"{place} div {-(-span >> 28)}L")
+    return F.concat(*[F.lpad(F.hex(c), n, "0") for c, n in ((spread, 7), (F.col("_position") - (low or 0), 16), (F.col("start"), 16))])
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, start, length, per_bin, ...)."""
-    columns = pieces.columns
-    ranked = rank_in_group(pieces.withColumn("_key", id_key(F.concat_ws("/", "doc_id", "start"))), "per_bin", "_key", "_rank")
+    """Add sequence_id and offset to pieces (doc_id, start, length, per_bin, ...).
+
+    Pieces with a `_position` are packed in its order.
+    """
+    ordered = "_position" in pieces.columns
+    columns = [c for c in pieces.columns if c != "_position"]
+    key = _place_key(pieces) if ordered else id_key(F.concat_ws("/", "doc_id", "start"))
+    keyed = pieces.withColumn("_key", key)
+    kept = keyed.columns if ordered else columns
+    ranked = rank_in_group(keyed, "per_bin", "_key", "_rank")
     sizes = {r["per_bin"]: r["n"] for r in pieces.groupBy("per_bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, base = {}, 0  # first sequence of each class; there are at most `capacity` classes
     for j in sorted(sizes):
@@ -208,13 +238,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .withColumn("sequence_id", F.element_at(start_of, F.col("per_bin")) + F.col("_bin"))
         .withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
     )
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    left = placed.where("NOT _full").select(*kept)
+    schema = StructType([*left.schema.fields]).add("sequence_id", "long").add("offset", "long")
     left = (
-        placed.where("NOT _full").select(*columns).groupBy(F.lit(0).alias("_one")).applyInPandas(_first_fit(capacity), schema)
+        left.groupBy(F.lit(0).alias("_one")).applyInPandas(_first_fit(capacity), schema)
         .withColumn("sequence_id", F.col("sequence_id") + base)
     )
-    out = [*columns, "sequence_id", "offset"]
-    return full.select(*out).unionByName(left.select(*out))
+    out = [*kept, "sequence_id", "offset"]
+    both = full.select(*out).unionByName(left.select(*out))
+    if not ordered:
+        return both
+    both = written(both, "packed").withColumnRenamed("sequence_id", "_bin")
+    heads = both.groupBy("_bin").agg(F.min("_key").alias("_head")).withColumn("_all", F.lit(0))
+    turns = rank_in_group(heads, "_all", "_head", "sequence_id").select("_bin", "sequence_id")
+    return both.join(turns, "_bin").select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

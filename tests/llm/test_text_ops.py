@@ -307,6 +307,31 @@ def test_pipeline_against_brute_force(spark):
     assert mixed.columns == docs.columns and mixed.count() == docs.count()
 
 
+def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = {}
+    for name, weights in (("none", None), ("given", {"src0": 5}), ("other", {"src1": 7})):
+        rows = docs
+        if weights:
+            monkeypatch.setattr(corpus_pipeline.mixing, "WEIGHTS", weights)
+            corpus_pipeline.mix_stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+            rows = spark.read.parquet(str(tmp_path / name))
+        pieces = corpus_pipeline.pack_stage(spark, rows, SF).collect()
+        made[name] = {(r["doc_id"], r["start"]): (r["sequence_id"], r["offset"]) for r in pieces}
+        assert len(made[name]) == len(pieces)
+        if weights:
+            mix = corpus_pipeline.mixing.pfair_mix(docs, weights, block_rows=corpus_pipeline.mixing.BLOCK_ROWS)
+            position = {r["doc_id"]: r["position"] for r in mix.collect()}
+            assert {r["doc_id"]: r["_position"] for r in corpus_pipeline.stored_positions(rows).collect()} == position
+            first = defaultdict(lambda: 1 << 60)
+            for r in pieces:
+                first[r["sequence_id"]] = min(first[r["sequence_id"]], position[r["doc_id"]])
+            assert sorted(first) == list(range(len(first)))
+            assert [first[s] for s in sorted(first)] == sorted(first.values())
+    assert made["none"].keys() == made["given"].keys() == made["other"].keys()
+    assert made["none"] != made["given"] and made["given"] != made["other"] and made["none"] != made["other"]
+
+
 @pytest.mark.parametrize("stage", ["quality", "exact_dedup", "near_dedup", "mix"])
 def test_pipeline_stages_keep_columns(spark, stage):
     extra = spark.read.parquet(f"{SF}/documents.parquet").limit(20).withColumn("position", pytest.importorskip("pyspark.sql.functions").lit(1))
