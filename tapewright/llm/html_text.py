@@ -15,7 +15,8 @@ those names and classes hidden, so that the model also learns from words,
 lengths and order.
 
 Script, style, template and other elements that hold no prose are left out
-while reading, as are comments. Character references are decoded, also those
+while reading, as are comments; a self-closed svg is empty, and an element whose
+name only begins like one of these is read like any other. Character references are decoded, also those
 without a semicolon as HTML defines them. A page without main text, without
 text or null gives the empty string. An empty table gives an empty result;
 further columns are not read.
@@ -41,7 +42,7 @@ PATH_DIM, WORD_DIM, STATS_DIM, HIDDEN = 48, 24, 8, 16
 DIM = PATH_DIM + WORD_DIM + STATS_DIM
 
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -50,7 +51,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li", "p"}, "p": {"p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 BLOCK_ENDS_P = frozenset("div article section ul ol table form h1 h2 h3 h4 h5 h6 header footer nav aside main blockquote pre figure dl hr".split())
 MAIN = frozenset("article main".split())
-OTHER = frozenset("nav header footer aside form button menu dialog figcaption".split())
+OTHER = frozenset("nav header footer aside form button menu dialog".split())
 MAIN_WORDS = frozenset("article main content post entry story body".split())
 OTHER_WORDS = frozenset(
     "nav navigation navbar menu header footer sidebar aside ad ads advert advertisement promo sponsor sponsored banner notice cookie consent "

@@ -264,6 +264,17 @@ def test_html_blocks():
     assert html_text.blocks(None) == html_text.blocks("") == []
 
 
+def test_html_blocks_keep_what_follows_raw_elements():
+    for tag in ("<svg class='i'/>", "<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><path d='M0'/></svg>", "<script>x</script>", "<title>x</title>"):
+        assert [b[0] for b in html_text.blocks(f"<article><p>a{tag}b</p><p>c</p></article>")] == ["ab", "c"]
+    for tag in ("title-bar", "object-view", "template-x", "select-all", "svg-icon"):
+        found = html_text.blocks(f"<article><{tag} class=x><p>in</p></{tag}><p>after</p></article>")
+        assert [(b[0], html_text.ancestor_label(b[1])) for b in found] == [("in", 1), ("after", 1)]
+        assert [b[0] for b in html_text.blocks(f"<p>a</p><{tag}><p>rest of the page</p>")] == ["a", "rest of the page"]
+    found = html_text.blocks("<article><figure><img src=x><figcaption>Caption.</figcaption></figure></article><aside><figcaption>Ad</figcaption></aside>")
+    assert [(b[0], html_text.ancestor_label(b[1])) for b in found] == [("Caption.", 1), ("Ad", 0)]
+
+
 def test_html_odd_inputs(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" * 3000 + "x"), (None, "u", "plain text")], "page_id long, url string, html string")
     got = html_text.main_text(pages, html_text.fit(pages)).collect()
