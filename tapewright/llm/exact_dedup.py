@@ -6,8 +6,8 @@ collision gives two groups. The grouping aggregates before its shuffle; a group
 of copies with a third of all rows sends one row per task. The way back to the
 rows joins on the MD5 and the SHA-256, without texts.
 
-Null texts count as empty. Rows that repeat both id and text are one document
-and come back once, counted in group_size. A null id is kept only if its whole
+Null texts count as empty. Rows that repeat both id and text come back as often
+as they are given, as in the SQL, and count in group_size. A null id is kept only if its whole
 group has no other id. An empty table gives an empty result; further columns
 are not read.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256), one row per document.
+    """(id, keep_id, group_size, kept, text_sha256), one row per row of `docs`.
 
     `keep` names the row that stays of equal texts: that with the smallest
     ("min") or largest ("max") id.
@@ -32,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    ids = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256")).distinct()
+    ids = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"))
     return ids.join(groups, ["_h", "text_sha256"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

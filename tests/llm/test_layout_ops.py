@@ -128,6 +128,13 @@ def test_exact_dedup_odd_inputs(odd, empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
 
 
+def test_exact_dedup_returns_repeated_rows(odd):
+    want = Counter((i, len(t or "")) for i, t, *_ in ODD)
+    lengths = {hashlib.sha256((t or "").encode()).hexdigest(): len(t or "") for _, t, *_ in ODD}
+    got = Counter((r["doc_id"], lengths[r["text_sha256"]]) for r in exact_dedup.exact_dedup(odd, keep="max").collect())
+    assert got == want and max(want.values()) == 2
+
+
 def pfair_by_hand(weights, slots):
     q, served, out = sum(weights), [0] * len(weights), []
     for t in range(slots):
