@@ -1,14 +1,17 @@
-"""Helpers shared by the training-data operators: scratch tables, ranks, components."""
+"""Helpers shared by the training-data operators: scratch tables, ranks, joins with hot keys, components."""
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Parts into which the rows of one key are dealt by `join_hot`.
+SALTS = 16
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables; only Spark opens the path."""
@@ -18,30 +21,62 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Where that is unset (a local test session) a temporary folder is set once.
+    Where that is unset, a local session gets a temporary folder once; on a
+    cluster, whose machines would not share such a folder, this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tapewright-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it back.
+class Scratch:
+    """Intermediate tables in the shared folder, each dropped after its last reader.
 
-    This cuts the lineage with a table that outlives any executor.
+    They are managed tables of a database whose location is that folder, so that
+    dropping one deletes its files. A written table cuts the lineage and
+    outlives any executor.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        folder = f"{scratch_dir(spark)}/tapewright"
+        self.spark, self.database = spark, "tapewright_" + hashlib.md5(folder.encode()).hexdigest()[:8]
+        self._names: dict[DataFrame, str] = {}
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{folder}'")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` and read it back."""
+        table = f"{self.database}.{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").saveAsTable(table)
+        made = self.spark.read.table(table)
+        self._names[made] = table
+        return made
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables made by `written`; frames that are none are left alone."""
+        for frame in frames:
+            if table := self._names.pop(frame, None):
+                self.spark.sql(f"DROP TABLE {table}")
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now, not at the next driver GC."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back, for results that outlive the call."""
+    return Scratch(df.sparkSession).written(df, name)
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], salt: str, how: str = "left") -> DataFrame:
+    """`left` joined with `right`, which has one row per key, where a key may hold a third of `left`.
+
+    The rows of `left` are dealt to SALTS parts by a hash of the column `salt`, and
+    every row of `right` is given to each part.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return dealt.join(right.withColumn("_salt", parts), [*keys, "_salt"], how).drop("_salt")
 
 
 def rank_in_group(df: DataFrame, group: str, key: str, out: str, digits: int = 3) -> DataFrame:
@@ -82,16 +117,17 @@ def id_key(id_col: str | Column) -> Column:
     return F.md5(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col, F.lit("")))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, comp) for the nodes of `edges`; comp is the smallest node reachable.
 
     Large-star and small-star rounds: each joins nothing and groups edges only
-    by aggregated minima, and is written to the shared folder. Rounds end when
-    the set of edges no longer changes; their number grows with the logarithm
-    of the largest component.
+    by aggregated minima, and is written to the shared folder, where it takes
+    the place of the one before. Rounds end when the set of edges no longer
+    changes; their number grows with the logarithm of the largest component.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     kept = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    kept = written(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+    kept = scratch.written(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     last = None
     while True:
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -101,11 +137,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         # small-star: u and its smaller neighbours link to the smallest of them
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        kept = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        before, kept = kept, scratch.written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        scratch.drop(before)
         now = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
-    return kept.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
+    named = kept.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         kept.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     )
+    named, stars = scratch.written(named, "components"), kept
+    scratch.drop(stars)
+    return named

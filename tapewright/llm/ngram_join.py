@@ -6,28 +6,34 @@ Sets of Jaccard similarity t or more share one of their first
 n - ceil(t * n) + 1 shingles, so only sets that meet under such a shingle can
 link, and only texts with equal sets need no test. In turn:
 
-1. Sets. One pass writes (id, set key, size, prefix). Equal sets have equal
-   keys (64 bits) and are one node from here on; links are between nodes.
-2. Leaders. Of the nodes that share a prefix shingle the one that shares most
-   of its own leads; each node is tested against the leader that it shares most
-   shingles with, if these are a good part of its prefix. A dense group of near copies thus costs one test a node, and
-   becomes one component.
+1. Sets. One pass writes (row, id, set key, size, prefix). Sets with equal keys
+   (128 bits) and sizes are one node from here on, named by its first row; links
+   are between nodes.
+2. Leaders. The first node that holds a shingle leads it; each node is tested
+   against the leader that it shares most prefix shingles with, if these are a
+   good part of its prefix. A dense group of near copies thus costs one test a
+   node, and becomes one component.
 3. The rest. Shingles whose nodes are all in one component are done. The nodes
-   under the others meet in the groups of those shingles' leaders, so that a node
-   is sent to a few groups, not to one per shingle. Nodes of different components
-   are compared inside tasks, in blocks, and a pair leaves the task if its shared
-   prefix shingles plus what can follow them reach the overlap that the
-   similarity asks for. No link between different components is missed.
-4. Tests. The sets that are tested against one set, in blocks of 256, form a
-   prefix tree: in lexicographic order each set continues the path that it
+   under the others meet in the groups of those shingles' leaders, so that a
+   node is sent to a few groups, not to one per shingle. In each group the
+   open prefixes form a prefix tree, which is traversed once against all of them:
+   the overlaps with every other set are counted along the path, shared by
+   all that is below, and a subtree is left where the overlap plus what can
+   still follow in either set can't reach the overlap that the similarity asks
+   for. Pairs of different components that reach the bound leave the task.
+   Groups of over GROUP nodes are divided by bands of size (sets may differ by
+   the similarity only, so a band meets the next one and no other), then by hash.
+4. Tests. The whole sets that are tested against one set, in blocks of 256, form a
+   prefix tree too: in lexicographic order each set continues the path that it
    shares with the one before, whose partial overlaps are kept; a path ends
    where the overlap plus the shorter remaining length can't reach the bound.
 5. Components, by large-star and small-star rounds over the links.
 
-The list of frequent shingles (at most HEAVY, by count) only orders the sets:
-any list gives the same links. Texts without words are linked with nothing;
-rows without id get no component; rows that repeat an id with another text
-take part each. Empty tables give an empty result; further columns are not read.
+The list of frequent shingles (at most HEAVY, by count) only orders the sets and
+tells which shingles are counted before they are shuffled: any list gives the
+same links. Texts without words are linked with nothing; rows without id get no
+component; rows that repeat an id with another text take part each. Empty
+tables give an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,30 +43,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, released, written
+from .common import Scratch, connected_components, join_hot
 from .shingles import shingle_sets
 
 HEAVY = 65_536  # entries of the list of frequent shingles
 LOCAL = 4  # a batch reports shingles that so many of its sets hold
-BLOCK = 256  # sets in a prefix tree
-GROUP = 4096  # nodes under a leader that one task compares with each other
-LISTED = 8_000_000  # pairs by shingle that a task lists; denser groups use matrix products
+BLOCK = 256  # sets in a prefix tree that is tested against one set
+GROUP = 4096  # nodes that one traversal holds against each other
 BITMAP = 1 << 26  # bits of the bitmap of ids whose sets are read
 LEAD_SHARE = 3  # a node is tested against its leader if they share 1 in so many of its prefix; the rest is left to step 3
-FLAG = np.int64(1 << 62)
+FLAG = 1 << 62
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_key(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def _halves(keys: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def needed_overlap(n: int, m: int, percent: int) -> int:
+    """The smallest intersection of sets of n and m shingles whose similarity is enough."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
@@ -95,7 +111,7 @@ def _ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     if not len(heavy) or not len(s):
         return s
     often = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-    return np.concatenate([s[~often], s[often] | FLAG]) if often.any() else s
+    return np.concatenate([s[~often], s[often] | np.int64(FLAG)]) if often.any() else s
 
 
 def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
@@ -105,9 +121,12 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=mask)
 
 
+SETS = "row long, id long, k1 long, k2 long, n long, prefix array<long>"
+
+
 def _prefixes(k: int, percent: int, heavy: np.ndarray):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, row = set(), TaskContext.get().partitionId() << 32
         for part in _batches(batches):
             ids, keys, sizes, prefixes = part.column(0), [], [], []
             for doc, s in zip(ids.to_pylist(), shingle_sets(part.column(1).to_pylist(), k)):
@@ -119,31 +138,15 @@ def _prefixes(k: int, percent: int, heavy: np.ndarray):
                 else:
                     seen.add(key)
                     prefixes.append(_ordered(s, heavy)[: prefix_length(len(s), percent)])
+            rows = pa.array(np.arange(row, row + len(keys)))
+            row += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(prefixes)], ["id", "node", "n", "prefix"]
+                [rows, ids, *_halves(keys), pa.array(sizes, pa.int64()), _lists(prefixes)], ["row", "id", "k1", "k2", "n", "prefix"]
             )
 
     return make
 
 
-def _whole_sets(k: int, heavy: np.ndarray):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(batches, 500):
-            nodes, sets = [], []
-            for node, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)):
-                if set_key(s) == node:
-                    nodes.append(node)
-                    sets.append(_ordered(s, heavy))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "tokens"])
-
-    return make
-
-
-def needed_overlap(n: int, m: int, percent: int) -> int:
-    """The smallest intersection of sets of n and m shingles whose similarity is enough."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def tree_links(own: np.ndarray, sets: list[np.ndarray], percent: int, segment: int = 64) -> list[bool]:
     """Which of `sets` are similar enough to `own`, all ascending in the global order.
 
@@ -155,9 +158,7 @@ def tree_links(own: np.ndarray, sets: list[np.ndarray], percent: int, segment: i
     last, path = np.zeros(0, np.int64), np.zeros(1, np.int64)  # path[d]: overlap of the first d tokens
     for i in order:
         s = sets[i]
-        shared = min(len(path) - 1, len(s))
-        differ = np.flatnonzero(last[:shared] != s[:shared])
-        depth = int(differ[0]) if len(differ) else shared
+        depth = min(_shared_depth(last, s), len(path) - 1)
         path, want, step = path[: depth + 1], needed_overlap(len(own), len(s), percent), segment
         while True:
             used = int(np.searchsorted(own, s[depth - 1], side="right")) if depth else 0
@@ -175,6 +176,151 @@ def tree_links(own: np.ndarray, sets: list[np.ndarray], percent: int, segment: i
     return linked
 
 
+def _shared_depth(x: np.ndarray, y: np.ndarray) -> int:
+    """How many tokens two sequences have in common from their start."""
+    short = min(len(x), len(y))
+    differ = np.flatnonzero(x[:short] != y[:short])
+    return int(differ[0]) if len(differ) else short
+
+
+def tree_pairs(
+    tokens: list[np.ndarray], n: np.ndarray, follow: np.ndarray, last: np.ndarray, comp: np.ndarray, percent: int,
+    guest: np.ndarray | None = None, block: np.ndarray | None = None,
+) -> tuple[list[int], list[int]]:
+    """Pairs (u, v) of sets of different components whose prefixes let them be similar enough.
+
+    `tokens` are open prefixes in the global order, `n` the sizes of the whole
+    sets, `follow` how many tokens come after the prefix and `last` its last
+    token. Two guests make no pair, nor do two sets of one block, if these are given.
+
+    Two sets share at most what their prefixes share and what follows the prefix
+    that ends first. The prefix tree is traversed depth first; each branching
+    keeps the overlaps of its path with all sets, so that a path that several
+    sets share is counted once.
+    """
+    rows = len(tokens)
+    flat = np.concatenate(tokens)
+    owner = np.repeat(np.arange(rows), [len(t) for t in tokens])
+    values, at = np.unique(flat, return_inverse=True)
+    useful = np.bincount(at) > 1  # what one set holds alone joins nothing
+    kept = useful[at]
+    owner, at = owner[kept], (np.cumsum(useful) - 1)[at[kept]]
+    ends = np.cumsum(np.bincount(owner, minlength=rows))
+    paths = [at[e - c : e] for e, c in zip(ends.tolist(), np.bincount(owner, minlength=rows).tolist())]
+    holders = owner[np.argsort(at, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=int(useful.sum())))]).tolist()
+
+    def counted(path: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([holders[first[t] : first[t + 1]] for t in path.tolist()]), minlength=rows)
+
+    order = sorted((i for i in range(rows) if len(paths[i])), key=lambda i: paths[i].astype(">i8").tobytes())
+    lengths = np.array([len(paths[i]) for i in order], np.int64)
+    depths = np.array([0, *(_shared_depth(paths[i], paths[j]) for i, j in zip(order, order[1:]))], np.int64)
+    sizes, ending, place = n[order], follow[order], np.full(rows, -1, np.int64)
+    place[order] = np.arange(len(order))
+    us: list[int] = []
+    vs: list[int] = []
+    stack = [(0, np.zeros(rows, np.int64))]  # depth of a branching and the overlaps of its path with all sets
+    below = 0  # sets up to here are in a subtree that was left
+    for k, i in enumerate(order):
+        if k < below:
+            continue
+        path, depth = paths[i], int(depths[k]) if k else 0
+        while stack[-1][0] > depth:
+            stack.pop()
+        if stack[-1][0] < depth:
+            top, overlap = stack[-1]
+            stack.append((depth, overlap + counted(path[top:depth])))
+        # the path to the next branching, and all sets below that
+        branch = int(depths[k + 1]) if k + 1 < len(order) else 0
+        if branch > stack[-1][0]:
+            top, overlap = stack[-1]
+            overlap = overlap + counted(path[top:branch])
+            stack.append((branch, overlap))
+            out = np.flatnonzero(depths[k + 1 :] < branch)
+            end = k + 1 + int(out[0]) if len(out) else len(order)
+            least, most = int(sizes[k:end].min()), int(sizes[k:end].max())
+            rest = int(lengths[k:end].max()) - branch
+            best = overlap + rest + np.maximum(follow, int(ending[k:end].max()))
+            near = (n * 100 >= least * percent) & (n * percent <= most * 100)
+            if not (near & (best * (100 + percent) >= percent * (n + least))).any():
+                below = end
+                continue
+        top, overlap = stack[-1]
+        ends_first = np.where(last <= last[i], follow, follow[i])
+        wanted = percent * (n + n[i]) - (100 + percent) * ends_first
+        ok = (place > k) & (comp != comp[i]) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+        if guest is not None and guest[i]:
+            ok &= ~guest
+        if block is not None:
+            ok &= block != block[i]
+        ok &= (overlap + (len(path) - top)) * (100 + percent) >= wanted
+        if not ok.any():
+            continue
+        whole = overlap + counted(path[top:]) if len(path) > top else overlap
+        found = np.flatnonzero(ok & (whole > 0) & (whole * (100 + percent) >= wanted))
+        us += [i] * len(found)
+        vs += found.tolist()
+    return us, vs
+
+
+def _group_pairs(percent: int):
+    """Rows come sorted by (lead, band, i, j)."""
+
+    def find(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        guest, block, node, comp, n, follow, last = (np.array(c, np.int64) for c in zip(*(r[:7] for r in rows)))
+        if (comp == comp[0]).all():
+            return []
+        u, v = tree_pairs([r[7] for r in rows], n, follow, last, comp, percent, guest > 0, block if group[2] != group[3] else None)
+        return [(min(p, q), max(p, q)) for p, q in zip(node[u].tolist(), node[v].tolist())]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(11)]
+            tokens = batch.column(11)
+            flat, ends = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+            out = []
+            for r, key in enumerate(zip(*cols[:4])):
+                if key != group:
+                    if group is not None:
+                        out += find(group, rows)
+                    group, rows = key, []
+                rows.append((*(c[r] for c in cols[4:]), np.array(flat[ends[r] : ends[r + 1]], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        out = find(group, rows) if group is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return pair
+
+
+def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, group: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can still be similar.
+
+    `met`: (lead, node); `nodes`: (node, comp, n, p, last, tokens), tokens being the
+    open shingles of the node's prefix, ascending.
+    """
+    group = group or GROUP
+    large = met.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group).select("lead", F.lit(True).alias("_large"))
+    # bands a little wider than the similarity, so that rounding can't put a pair two bands apart
+    band = F.floor(F.log("n") / F.log(F.lit(100.1 / percent))).cast("int")
+    rows = join_hot(met, large, ["lead"], "node").join(nodes, "node")
+    rows = rows.withColumn("_own", F.when(F.col("_large"), band).otherwise(0))
+    rows = rows.withColumn("band", F.explode(F.when(F.col("_large"), F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    counts = rows.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("_blocks"))
+    rows = join_hot(rows, counts.where("_blocks > 1"), ["lead", "band"], "node").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    dealt = rows.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select(
+        "lead", "band", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("band") < F.col("_own")).cast("int").alias("guest"),
+        "_b", "node", "comp", "n", (F.col("n") - F.col("p")).alias("follow"), "last", "tokens",
+    )
+    dealt = dealt.repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
+    return dealt.mapInArrow(_group_pairs(percent), "a long, b long").distinct()
+
+
 def _test_blocks(percent: int):
     """Rows come sorted by (a, block, b); the row with a null b brings the set of a."""
 
@@ -212,151 +358,80 @@ def _test_blocks(percent: int):
     return test
 
 
-def tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough; `sets` has (node, tokens)."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "tokens")
-    leaders = (
-        dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-        .select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
-    )
-    rows = partners.unionByName(leaders).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_test_blocks(percent), "a long, b long")
-
-
-def _sets_of(rows: DataFrame, nodes: DataFrame, reps: DataFrame, k: int, heavy: np.ndarray) -> DataFrame:
-    """(node, tokens) of the nodes, from the texts of their representatives.
-
-    Up to BITMAP / 16 nodes a bitmap of fixed size tells the scan which texts to
-    look at; beyond, texts are joined with the ids that are asked for.
-    """
-    spark = rows.sparkSession
-    asked = written(nodes.join(reps, "node").select("node", "_id"), "asked")
-    slot = F.pmod(F.xxhash64("_id"), F.lit(BITMAP))
-    if asked.count() > BITMAP // 16:
-        texts = rows.join(asked, "_id").select("node", "_text")
-        return written(texts.mapInArrow(_whole_sets(k, heavy), "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
-    parts = asked.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    bitmap = spark.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts})
-    found = rows.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"), "_text").mapInArrow(
-        _chosen_sets(k, heavy, bitmap), "node long, tokens array<long>"
-    )
-    return written(found.join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
 def _chosen_sets(k: int, heavy: np.ndarray, bitmap):
+    """(k1, k2, tokens) of the texts whose id's bit is set; without a bitmap of all."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = bitmap.value, set()
+        seen = set()
         for part in _batches(batches):
-            texts = [
-                t for b, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
-                if b in bits and bits[b][i >> 3] >> (i & 7) & 1
-            ]
-            nodes, sets = [], []
+            texts = part.column(0).to_pylist()
+            if bitmap is not None:
+                bits = bitmap.value
+                texts = [t for b, i, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), texts) if b in bits and bits[b][i >> 3] >> (i & 7) & 1]
+            keys, sets = [], []
             for s in shingle_sets(texts, k):
                 if (key := set_key(s)) not in seen:
                     seen.add(key)
-                    nodes.append(key)
+                    keys.append(key)
                     sets.append(_ordered(s, heavy))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([*_halves(keys), _lists(sets)], ["k1", "k2", "tokens"])
 
     return make
 
 
-def _met(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that can still be similar.
+def _sets_of(texts: DataFrame, asked: DataFrame, k: int, heavy: np.ndarray, bits: int | None = None) -> DataFrame:
+    """(node, tokens) of the nodes `asked` (node, least, k1, k2, n), from the texts of the ids `least`.
 
-    `rows`: (lead, node, blocks, comp, n, last, p, tokens), tokens being the open
-    shingles of the node's prefix. The nodes that meet under a leader's shingles
-    are compared in blocks of about GROUP, in a task of their own per pair of
-    blocks, and only pairs that pass the bound leave it.
+    Up to `bits` / 16 nodes a bitmap of fixed size tells the scan which texts to
+    look at; beyond, texts are joined with the ids that are asked for.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "lead", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "node", "comp", "n",
-        (F.col("n") - F.col("p")).alias("follow"), "last", "tokens",
+    bits = bits or BITMAP
+    if asked.count() > bits // 16:
+        read = texts.join(asked.select(F.col("least").alias("_id")).distinct(), "_id").select("_text")
+        found = read.mapInArrow(_chosen_sets(k, heavy, None), "k1 long, k2 long, tokens array<long>")
+    else:
+        slot = F.pmod(F.xxhash64("_id"), F.lit(bits))
+        parts = (
+            asked.select(F.col("least").alias("_id")).groupBy(F.bitmap_bucket_number(slot).alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+        )
+        bitmap = texts.sparkSession.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts})
+        read = texts.select("_text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"))
+        found = read.mapInArrow(_chosen_sets(k, heavy, bitmap), "k1 long, k2 long, tokens array<long>")
+    return found.join(asked.select("node", "k1", "k2"), ["k1", "k2"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
+
+
+def tested(pairs: DataFrame, groups: DataFrame, texts: DataFrame, percent: int, k: int, heavy: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar enough, as a written table."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = scratch.written(ends.join(groups, "node"), "asked")
+    sets = scratch.written(_sets_of(texts, asked, k, heavy), "sets")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "tokens")
+    leaders = (
+        dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
+        .select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
     )
-    dealt = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j", "n")
-    return dealt.mapInArrow(_pairs_in_groups(percent), "a long, b long").distinct()
-
-
-def _shared_counts(owner: np.ndarray, tokens: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Rows u < v that share tokens, and how many; None if there are too many to list."""
-    order = np.lexsort((owner, tokens))
-    tokens, owner = tokens[order], owner[order]
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    held = np.diff(np.r_[first, len(tokens)])
-    if (held * (held - 1) // 2).sum() > LISTED:
-        return None
-    codes = [np.zeros(0, np.int64)]
-    for h in np.unique(held[held > 1]).tolist():
-        at = owner[first[held == h][:, None] + np.arange(h)]  # ascending within each token
-        x, y = np.triu_indices(h, 1)
-        codes.append((at[:, x].astype(np.int64) * rows + at[:, y]).ravel())
-    pair, c = np.unique(np.concatenate(codes), return_counts=True)
-    return pair // rows, pair % rows, c
-
-
-def _pairs_in_groups(percent: int):
-    def passes(c, n_x, n_y, follow_x, follow_y, last_x, last_y, comp_x, comp_y):
-        ends = np.where(last_x <= last_y, follow_x, follow_y)
-        ok = (c + ends) * (100 + percent) >= percent * (n_x + n_y)
-        return ok & (comp_x != comp_y) & (n_x * 100 >= n_y * percent) & (n_y * 100 >= n_x * percent)
+    rows = partners.unionByName(leaders).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    links = scratch.written(rows.mapInArrow(_test_blocks(percent), "a long, b long"), "links")
+    scratch.drop(asked, sets)
+    return links
 
-    def find(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j = group
-        if len(rows) < 2:
-            return []
-        b, node, comp, n, follow, last = (np.array(c, np.int64) for c in zip(*(r[:6] for r in rows)))
-        if (comp == comp[0]).all():
-            return []
-        flat = np.concatenate([r[6] for r in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(r[6]) for r in rows])
-        facts = (n, follow, last, comp)
-        listed = _shared_counts(owner, flat, len(rows))
-        if listed is not None:
-            u, v, c = listed
-            ok = passes(c, *(f[k] for f in facts for k in (u, v)))
-            u, v = u[ok], v[ok]
-        else:  # a dense group: overlaps by matrix products; rows are sorted by size
-            values, at = np.unique(flat, return_inverse=True)
-            common = np.bincount(at) > 1
-            held = np.zeros((len(rows), int(common.sum())), np.float32)
-            held[owner[common[at]], (np.cumsum(common) - 1)[at[common[at]]]] = 1
-            us, vs = [], []
-            for s in range(0, len(rows), 512):
-                e = min(s + 512, len(rows))
-                x, y = slice(s, e), slice(s, int(np.searchsorted(n, n[e - 1] * 100 // percent, side="right")))
-                ok = passes(held[x] @ held[y].T, *(k for f in facts for k in (f[x][:, None], f[y])))
-                p, q = np.nonzero(ok)
-                us.append(p[p < q] + s)
-                vs.append(q[p < q] + s)
-            u, v = np.concatenate(us), np.concatenate(vs)
-        if i != j:
-            apart = b[u] != b[v]
-            u, v = u[apart], v[apart]
-        return [(min(p, q), max(p, q)) for p, q in zip(node[u].tolist(), node[v].tolist())]
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
-            tokens = batch.column(9)
-            flat, ends = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
-            out = []
-            for r, key in enumerate(zip(cols[0], cols[1], cols[2])):
-                if key != group:
-                    if group is not None:
-                        out += find(group, rows)
-                    group, rows = key, []
-                rows.append((*(cols[c][r] for c in range(3, 9)), np.array(flat[ends[r] : ends[r + 1]], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-        out = find(group, rows) if group is not None else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+def _met_by(rows: DataFrame, what: str) -> DataFrame:
+    """`rows` (token, ...) with the least and largest `what` of each token, for tokens that have two or more.
 
-    return pair
+    Frequent shingles, known by their flag bit, are at most HEAVY: their counts are
+    aggregated before they are shuffled, and given back by a broadcast. The
+    others are found in few enough sets to be sorted by token once.
+    """
+    both = {"_lo": F.min(what), "_hi": F.max(what)}
+    by_token = Window.partitionBy("token")
+    light = rows.where(F.col("token") < FLAG).withColumns({name: c.over(by_token) for name, c in both.items()}).where("_lo <> _hi")
+    often = rows.where(F.col("token") >= FLAG)
+    ends = often.groupBy("token").agg(*(c.alias(name) for name, c in both.items())).where("_lo <> _hi")
+    return light.unionByName(often.join(F.broadcast(ends), "token"))
 
 
 def similar_components(
@@ -368,68 +443,66 @@ def similar_components(
     the smallest id reachable by links. n_links counts the tested links of the
     document's set to other sets.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    heavy = frequent_shingles(rows, "_text", k)
-    table = written(rows.mapInArrow(_prefixes(k, percent, heavy), "id long, node long, n long, prefix array<long>"), "prefixes")
-
-    # 2. leaders: per shingle the node with most shared shingles in its prefix
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    heavy = frequent_shingles(texts, "_text", k)
+
+    # 1. one row per document, then one per distinct set
+    table = scratch.written(texts.mapInArrow(_prefixes(k, percent, heavy), SETS), "prefixes")
+    ids = scratch.written(table.drop("prefix"), "rows")
+    grouped = ids.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n")
+    groups = scratch.written(grouped.agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "groups")
     with_sets = table.where("prefix IS NOT NULL")
-    postings = with_sets.select("node", F.explode("prefix").alias("token"))
-    live = postings.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("token")
-    shared = written(postings.join(live, "token").select("token", "node").distinct(), "shared")
-    del postings, live
-    released(docs.sparkSession)
-    facts = with_sets.groupBy("node").agg(
-        F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"), F.first(F.size("prefix")).alias("p")
+    copies = (
+        with_sets.select("row", "k1", "k2", "n").join(groups.where("copies > 1"), ["k1", "k2", "n"]).where("row <> node").select("row", "node")
     )
-    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
-    ranked = shared.join(held, "node")
-    lead = ranked.groupBy("token").agg(F.max(F.struct("held", "node")).alias("best")).select("token", F.col("best.node").alias("lead"))
+    postings = _met_by(with_sets.select("row", F.explode("prefix").alias("token")), "row").select("token", "row")
+    shared = scratch.written(
+        postings.join(copies, "row", "left").select("token", F.coalesce("node", "row").alias("node")).distinct(), "shared"
+    )
+    facts = scratch.written(
+        with_sets.select(F.col("row").alias("node"), "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")), "facts"
+    )
+    scratch.drop(table)
+
+    # 2. each node and the leader it shares most with
     star = (
-        shared.join(lead, "token").where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
+        _met_by(shared, "node").where("node <> _lo").groupBy("node", F.col("_lo").alias("lead")).agg(F.count(F.lit(1)).alias("c"))
         .groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best"))
-        .join(facts.select("node", "p"), "node")
-        .where(F.col("best.c") * LEAD_SHARE >= F.col("p"))
+        .join(facts.select("node", "p"), "node").where(F.col("best.c") * LEAD_SHARE >= F.col("p"))
         .select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     )
-    star = written(star, "star")
-    reps = with_sets.groupBy("node").agg(F.min("id").alias("_id"))
-    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(rows, ends(star), reps, k, heavy)
-    released(docs.sparkSession)
-    links = written(tested(star, sets, percent), "links")
-    released(docs.sparkSession)
+    star = scratch.written(star, "star")
+    links = tested(star, groups, texts, percent, k, heavy, scratch)
+    comps = connected_components(links, scratch=scratch)
 
     # 3. pairs of different components
-    comps = connected_components(links)
     named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_tokens = named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token")
-    still = written(named.join(open_tokens, "token").select("token", "node", "comp"), "open")
-    nodes = still.groupBy("node").agg(
-        F.collect_set("token").alias("tokens"), F.first("comp").alias("comp"), F.count(F.lit(1)).alias("held")
-    ).join(facts, "node")
-    nodes = written(nodes, "open-nodes")
-    lead = still.join(nodes.select("node", "held"), "node").groupBy("token").agg(F.max(F.struct("held", "node")).alias("best"))
-    met = written(still.join(lead, "token").select(F.col("best.node").alias("lead"), "node").distinct(), "met")
-    blocks = met.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    released(docs.sparkSession)
-    pairs = written(_met(met.join(blocks, "lead").join(nodes, "node"), percent), "pairs")
-    released(docs.sparkSession)
-    more = _sets_of(rows, ends(pairs).join(sets.select("node"), "node", "left_anti"), reps, k, heavy)
-    rest = written(tested(pairs, sets.unionByName(more), percent), "links")
-    released(docs.sparkSession)
-    links = links.unionByName(rest)
-
-    # 5. components of nodes, then of documents
-    comps = connected_components(links)
+    still = scratch.written(_met_by(named, "comp").select("token", "node", "comp"), "open")
+    scratch.drop(shared, star, comps)
+    firsts = _met_by(still, "node")
+    met = scratch.written(firsts.select(F.col("_lo").alias("lead"), "node").distinct(), "met")
+    nodes = still.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.first("comp").alias("comp"))
+    nodes = scratch.written(nodes.join(facts, "node"), "nodes")
+    scratch.drop(still, facts)
+    pairs = scratch.written(candidate_pairs(met, nodes, percent), "pairs")
+    scratch.drop(met, nodes)
+    links = scratch.written(links.unionByName(tested(pairs, groups, texts, percent, k, heavy, scratch)), "all_links")
+    scratch.drop(pairs)
+
+    # 5. components of nodes, then of the sets that are linked or repeated
+    comps = connected_components(links, scratch=scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = table.select("id", "n", "node").join(comps.join(degree, "node"), "node", "left")
-    found = found.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
-    least = found.where("n > 0").groupBy("comp").agg(F.min("id").alias("component_id"))
-    return found.join(least, "comp", "left").select(
+    linked = groups.join(comps, "node", "left").join(degree, "node", "left").where("copies > 1 OR comp IS NOT NULL")
+    linked = scratch.written(linked.withColumn("comp", F.coalesce("comp", "node")), "linked")
+    least = linked.groupBy("comp").agg(F.min("least").alias("component_id"))
+    found = join_hot(linked.select("k1", "k2", "n", "node", "comp", "n_links"), least, ["comp"], "node")
+    found = scratch.written(found.select("k1", "k2", "n", "component_id", "n_links"), "found")
+    scratch.drop(groups, comps, links, linked)
+    return join_hot(ids, found, ["k1", "k2", "n"], "row").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
     )
 
 

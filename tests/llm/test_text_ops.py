@@ -101,6 +101,55 @@ def test_prefix_tree_equals_sets():
             assert linked == (100 * both >= 80 * (len(own) + len(s) - both))
 
 
+def near_sets(rng, count, values=300):
+    """Random sets, some of them edits of others."""
+    sets = []
+    for _ in range(count):
+        base = sets[rng.integers(0, len(sets))] if sets and rng.random() < 0.7 else rng.integers(0, values, rng.integers(1, 80))
+        keep = base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, values, rng.integers(0, 5))])) if len(keep) else np.unique(base))
+    return sets
+
+
+def test_tree_pairs_lose_no_similar_pair():
+    rng = np.random.default_rng(12)
+    met = 0
+    for trial in range(40):
+        sets = near_sets(rng, 50)
+        n = np.array([len(s) for s in sets])
+        p = np.array([ngram_join.prefix_length(int(x), 80) for x in n])
+        tokens = [s[:k] for s, k in zip(sets, p)]
+        comp = rng.integers(0, 20, len(sets))
+        guest, block = rng.random(len(sets)) < 0.3, rng.integers(0, 2, len(sets))
+        last = np.array([t[-1] for t in tokens])
+        options = {} if trial % 2 else {"guest": guest, "block": block}
+        got = {frozenset(q) for q in zip(*ngram_join.tree_pairs(tokens, n, n - p, last, comp, 80, **options))}
+        assert all(len(q) == 2 for q in got)
+        for i in range(len(sets)):
+            for j in range(i):
+                allowed = comp[i] != comp[j] and (trial % 2 or (not (guest[i] and guest[j]) and block[i] != block[j]))
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if allowed and 100 * both >= 80 * (n[i] + n[j] - both):
+                    met += 1
+                    assert frozenset((i, j)) in got
+                assert allowed or frozenset((i, j)) not in got
+    assert met > 100
+
+
+def test_ngram_join_past_its_switches(spark, monkeypatch):
+    """Small groups (bands and blocks), blocks of one set and texts joined by id give the same components."""
+    monkeypatch.setattr(ngram_join, "GROUP", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "BITMAP", 64)
+    monkeypatch.setattr(ngram_join, "LEAD_SHARE", 1)
+    texts = odd_texts()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    for heavy in (ngram_join.HEAVY, 3):
+        monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(frame).collect()}
+        assert got == components_by_hand(texts)
+
+
 def test_shingles_over_windows(monkeypatch):
     from tapewright.llm import shingles
 
