@@ -30,7 +30,6 @@ columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,11 +177,12 @@ def nearest_neighbours(
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).withColumnRenamed("vec_id", "query_id")
-    taken = bounded_sample(rows, "vec_id", sample).orderBy("vec_id").select("v").toArrow()["v"].to_pylist()
-    if not taken:
+    drawn = bounded_sample(rows, "vec_id", sample)
+    lengths = drawn.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    if lengths is None:
         return spark.createDataFrame([], RESULT)
-    dim = Counter(map(len, taken)).most_common(1)[0][0]
-    x = np.array([v for v in taken if len(v) == dim])
+    dim = lengths["dim"]
+    x = _matrix(drawn.where(F.size("v") == dim).orderBy("vec_id").select(F.col("v").cast("array<float>")).toArrow().column(0), dim).astype(np.float64)
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     total = rows.count()
     lists = max(1, min(LISTS, len(x), total // rows_per_list))

@@ -1,12 +1,14 @@
 r"""Chat formatting of reply trees.
 
-Nodes (conversation, node, parent, role, text, score) form trees. Iterative
-self-joins double each node's jump (its 2^j-th ancestor) together with the
-scores gained on the way, so a leaf's root-to-leaf path is known after
-log2(depth) joins however long a chain is. The leaves of a conversation are
-ranked by the summed score of their paths, the best `branches` are chosen, and
-the nodes of a chosen path are marked by joining the jumps again, the longest
-first. Each chosen path becomes one formatted conversation.
+Nodes (conversation, node, parent, role, text, score) form trees. Stretches in
+which each node is the only reply to the node numbered before it are first made
+into one run by a window, so that conversations without branches need no join
+at all. Iterative self-joins then double each run's jump (its 2^j-th ancestor)
+together with the scores gained on the way, so a leaf's root-to-leaf path is
+known after log2(depth) joins however long a chain is. The leaves of a
+conversation are ranked by the summed score of their paths, the best `branches`
+are chosen, and the runs of a chosen path are marked by joining the jumps again,
+the longest first. Each chosen path becomes one formatted conversation.
 
 Template: a turn is `<|role|>` + role + newline + text + `<|end|>` + newline.
 Inside roles and texts a backslash is doubled and a backslash is put after the
@@ -16,8 +18,10 @@ the backslashes away gives back the text, whatever it was. The loss mask covers
 the texts of assistant turns, as (start, length) in code points.
 
 Null texts and roles count as empty. Nodes whose parent is missing are roots;
-of rows that repeat a node all are kept, in the order of role and text. A
-conversation without rows has no result, nor have rows of a null conversation. Further columns are not read.
+of rows that repeat a node the first by parent and score places it, and all are
+kept, in the order of role and text. Nodes on or below a cycle of parents have no
+root and so no path. A conversation without rows has no result, nor have rows of
+a null conversation. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 #: Control strings of common chat templates (fixed values).
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"]
@@ -63,48 +67,71 @@ def linear_tree(conversations: DataFrame) -> DataFrame:
     )
 
 
+def runs(tree: DataFrame) -> DataFrame:
+    """(conv_id, node, parent, score, head, offset): each node with the first node of its run and its place in it."""
+    order = Window.partitionBy("conv_id").orderBy("node")
+    first = F.min(F.struct("parent", "score"))
+    ids = tree.where("conv_id IS NOT NULL AND node IS NOT NULL").groupBy("conv_id", "node").agg(first.alias("x")).select("conv_id", "node", "x.*")
+    replies = F.when(F.col("parent").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("conv_id", "parent")))
+    goes_on = F.coalesce((F.lag("node").over(order) == F.col("parent")) & (F.col("_replies") == 1), F.lit(False))
+    found = ids.withColumn("_replies", replies).withColumn("_n", F.row_number().over(order)).withColumn("_head", ~goes_on)
+    head = F.max(F.when(F.col("_head"), F.struct("_n", "node"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("_h", head).select(
+        "conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("_h.node").alias("head"),
+        (F.col("_n") - F.col("_h._n")).cast("long").alias("offset"),
+    )
+
+
 def best_paths(tree: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, branch, node, depth): the nodes of the best-scored root-to-leaf paths.
 
-    Equal scores: the leaf with the smaller node number comes first.
+    Equal scores: the path whose last run has the smaller first node comes first.
     """
-    ids = tree.select("conv_id", "node", "parent", "score").dropDuplicates(["conv_id", "node"])
-    known = ids.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    base = written(
-        ids.join(known, ["conv_id", "parent"], "left").select(
-            "conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"),
-            F.coalesce("score", F.lit(0.0)).alias("gain"), F.lit(1).cast("long").alias("steps"),
-        ),
-        "tree",
-    )
-    # jumps[j]: nodes with their 2^j-th ancestor; gain and steps: of the nodes passed, this one included.
-    # A node whose root is reached is finished; only the others are joined again.
+    scratch = Scratch(tree.sparkSession)
+    nodes = scratch.written(runs(tree), "nodes")
+    whole = nodes.groupBy("conv_id", "head").agg(F.sum("score").alias("gain"), F.count(F.lit(1)).alias("steps"))
+    # runs that reply to a node that exists; a run's last node is the only one that other runs can reply to
+    replies = nodes.where("node = head AND parent IS NOT NULL").select("conv_id", F.col("node").alias("_from"), F.col("parent").alias("node"))
+    above = replies.join(nodes.select("conv_id", "node", F.col("head").alias("up")), ["conv_id", "node"]).select("conv_id", F.col("_from").alias("head"), "up")
+    base = scratch.written(whole.join(above, ["conv_id", "head"], "left"), "runs")
+    most = base.groupBy("conv_id").agg(F.count("up").alias("n")).agg(F.max("n")).first()[0] or 0
+    # jumps[j]: runs with their 2^j-th ancestor; gain and steps: of the runs passed, this one included.
+    # A run whose root is reached is finished; only the others are joined again.
     jumps: list[DataFrame] = []
     finished, active = base.where("up IS NULL"), base.where("up IS NOT NULL")
-    while active.limit(1).count():
+    for _ in range(most.bit_length()):
         jumps.append(active)
-        if len(jumps) > 40:
-            raise ValueError("the parents of a conversation form a cycle")
-        above = active.unionByName(finished).select(
-            "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2")
+        further = active.join(
+            active.unionByName(finished).select(
+                "conv_id", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("steps").alias("s2")
+            ),
+            ["conv_id", "up"],
         )
-        further = written(
-            active.join(above, ["conv_id", "up"]).select(
-                "conv_id", "node", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"), (F.col("steps") + F.col("s2")).alias("steps")
+        further = scratch.written(
+            further.select(
+                "conv_id", "head", F.col("up2").alias("up"), (F.col("gain") + F.col("g2")).alias("gain"), (F.col("steps") + F.col("s2")).alias("steps")
             ),
             "jumps",
         )
         finished, active = finished.unionByName(further.where("up IS NULL")), further.where("up IS NOT NULL")
-    now = finished
-    parents = base.where("up IS NOT NULL").select("conv_id", F.col("up").alias("node")).distinct()
-    leaves = now.join(parents, ["conv_id", "node"], "left_anti")
-    order = Window.partitionBy("conv_id").orderBy(F.desc("gain"), "node")
-    marked = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches).select("conv_id", "branch", "node")
+        if not active.limit(1).count():
+            break
+    leaves = finished
+    if most:
+        leaves = finished.join(base.where("up IS NOT NULL").select("conv_id", F.col("up").alias("head")).distinct(), ["conv_id", "head"], "left_anti")
+    order = Window.partitionBy("conv_id").orderBy(F.desc("gain"), "head")
+    marked = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches).select("conv_id", "branch", "head")
     for level in reversed(jumps):
-        above = marked.join(level.select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"))
-        marked = written(marked.unionByName(above), "marked")
-    depth = now.select("conv_id", "node", F.col("steps").alias("depth"))
-    return marked.distinct().join(depth, ["conv_id", "node"])
+        reached = marked.join(level.select("conv_id", "head", "up"), ["conv_id", "head"]).select("conv_id", "branch", F.col("up").alias("head"))
+        marked = scratch.written(marked.unionByName(reached), "marked")
+    # a run's first node comes after all steps of the runs above it
+    begin = finished.join(whole.select("conv_id", "head", F.col("steps").alias("_own")), ["conv_id", "head"]).select(
+        "conv_id", "head", (F.col("steps") - F.col("_own") + 1).alias("_begin")
+    )
+    return (
+        marked.distinct().join(begin, ["conv_id", "head"]).join(nodes.select("conv_id", "head", "node", "offset"), ["conv_id", "head"])
+        .select("conv_id", "branch", "node", (F.col("_begin") + F.col("offset")).alias("depth"))
+    )
 
 
 def format_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 #: Parts into which the rows of one key are dealt by `join_hot`.
 SALTS = 16
 
@@ -18,51 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where that is unset, a local session gets a temporary folder once; on a
-    cluster, whose machines would not share such a folder, this raises.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="tapewright-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-class Scratch:
-    """Intermediate tables in the shared folder, each dropped after its last reader.
-
-    They are managed tables of a database whose location is that folder, so that
-    dropping one deletes its files. A written table cuts the lineage and
-    outlives any executor.
-    """
-
-    def __init__(self, spark: SparkSession):
-        folder = f"{scratch_dir(spark)}/tapewright"
-        self.spark, self.database = spark, "tapewright_" + hashlib.md5(folder.encode()).hexdigest()[:8]
-        self._names: dict[DataFrame, str] = {}
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{folder}'")
-
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back."""
-        table = f"{self.database}.{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").saveAsTable(table)
-        made = self.spark.read.table(table)
-        self._names[made] = table
-        return made
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables made by `written`; frames that are none are left alone."""
-        for frame in frames:
-            if table := self._names.pop(frame, None):
-                self.spark.sql(f"DROP TABLE {table}")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, for results that outlive the call."""
     return Scratch(df.sparkSession).written(df, name)
@@ -112,9 +65,9 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 40)) < int(rows / total * (1 << 40)))
 
 
-def id_key(id_col: str | Column) -> Column:
-    """An evenly spread hex key of an id (null: of the empty string)."""
-    return F.md5(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col, F.lit("")))
+def id_key(id_col: str) -> Column:
+    """An evenly spread hex key of an id; null ids get one each, by their place in the table."""
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id().cast("string"))))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:

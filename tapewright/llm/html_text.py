@@ -1,31 +1,38 @@
 """HTML main text by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks: text between block-level tags,
-each with the path of open tags (and their class and id words) above it. Every
-block is a vector of hashed path elements, hashed words and a few statistics. A
-bidirectional LSTM in numpy reads the whole sequence of a page, however long,
-so that each block is classified by what stands before and after it.
+each with the innermost open element above it; elements know their parents, so
+that a page nested n deep takes n links and not n paths. Every block is a vector of
+the hashed elements of its whole path (tag, class, id and role words), all its
+hashed words and a few statistics. A bidirectional LSTM in numpy reads the whole
+sequence of a page, however long, so that each block is classified by what
+stands before and after it.
 
 Training needs no given labels: on a bounded sample of pages (FIT_PAGES, by a
-hash of the id, each up to FIT_BLOCKS blocks) blocks get the label that their
-semantic ancestors say (inside an article or main element, and in no menu,
-header, footer, aside, form, advert, notice or comment list); pages without
-such an element are not learned from. Half of the training pages are shown with
-those names and classes hidden, so that the model also learns from words,
-lengths and order.
+hash of the id; of a page of over FIT_BLOCKS blocks a stretch of so many, whose
+place the id's hash picks) blocks get the label that their ancestors say: inside
+an article or main element, and in no menu, header, footer, aside, form, advert,
+notice or comment list; a header inside an article holds its title and belongs
+to it. Pages without such an element are not learned from. A page is shown as it
+is, with those names hidden, so that the model also learns from words, lengths
+and order, and renamed: with other names of the same kinds (MAIN, MAIN_WORDS,
+OTHER, OTHER_WORDS), further wrappers, captions, shortened blocks, and a stretch
+of the article turned into reader comments. If no page can be learned from, every block without
+an ancestor of the other kind counts as main.
 
 Script, style, template and other elements that hold no prose are left out
 while reading, as are comments; a self-closed svg is empty, and an element whose
-name only begins like one of these is read like any other. Character references are decoded, also those
-without a semicolon as HTML defines them. A page without main text, without
-text or null gives the empty string. An empty table gives an empty result;
-further columns are not read.
+name only begins like one of these is read like any other. Character references
+are decoded in each text by itself, also those without a semicolon as HTML defines
+them. A page without main text, without text or null gives the empty string. An
+empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
+from .shingles import word_hashes
 
-FIT_PAGES = 800
-FIT_BLOCKS = 120
-PATH_DIM, WORD_DIM, STATS_DIM, HIDDEN = 48, 24, 8, 16
+FIT_PAGES = 400
+FIT_BLOCKS = 200
+RENAMED = 8  # renamed copies of a training page
+PATH_DIM, WORD_DIM, STATS_DIM, HIDDEN = 224, 24, 8, 16
 DIM = PATH_DIM + WORD_DIM + STATS_DIM
 
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
+_ATTRIBUTES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})>|([^<]+|<)",
+    re.DOTALL | re.IGNORECASE,
+)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,35 +69,78 @@ OTHER = frozenset("nav header footer aside form button menu dialog".split())
 MAIN_WORDS = frozenset("article main content post entry story body".split())
 OTHER_WORDS = frozenset(
     "nav navigation navbar menu header footer sidebar aside ad ads advert advertisement promo sponsor sponsored banner notice cookie consent "
-    "comment comments reply replies related share social breadcrumb breadcrumbs form login signup subscribe newsletter widget popup modal".split()
+    "comment comments reply replies breadcrumb breadcrumbs form login signup subscribe newsletter popup modal".split()
 )
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path, characters inside links) of each leaf block, in page order.
-
-    A path element is a tag name followed by its class, id and role words.
-    """
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[str] = []
-    full: list[str] = []  # the same elements with their words
+class Page:
+    """The leaf blocks of one page: texts, link characters and elements, which are linked to their parents."""
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.links: list[int] = []  # characters inside links, by block
+        self.at: list[int] = []  # innermost element, by block
+        self.names: list[str] = [""]  # by element: tag and its class, id and role words; 0 is the page itself
+        self.parent: list[int] = [-1]
+
+    def path(self, block: int) -> list[str]:
+        """The elements above a block, outermost first."""
+        out, e = [], self.at[block]
+        while e > 0:
+            out.append(self.names[e])
+            e = self.parent[e]
+        return out[::-1]
+
+    def labels(self) -> list[int | None]:
+        """By block: 1 in main content, 0 in what surrounds it, None if no ancestor says so."""
+        said: list[int | None] = [None]
+        for e in range(1, len(self.names)):
+            said.append(_said(self.names[e], said[self.parent[e]]))
+        return [said[e] for e in self.at]
+
+
+def _said(element: str, above: int | None) -> int | None:
+    """What an element says of the blocks in it, given what its parent says."""
+    tag, *words = element.split(" ")
+    if above == 0:
+        return 0
+    main = tag in MAIN or not MAIN_WORDS.isdisjoint(words)
+    if tag == "header" or ("header" in words and OTHER_WORDS.isdisjoint(set(words) - {"header"})):
+        return 1 if above == 1 or (main and tag != "header") else 0
+    if tag in OTHER or not OTHER_WORDS.isdisjoint(words):
+        return 0
+    return 1 if above == 1 or tag in MAIN or (tag in ("div", "section") and main) else None
+
+
+def blocks(page: str | None) -> Page:
+    """Read a page."""
+    out = Page()
+    stack: list[int] = [0]  # open elements
+    opened: Counter[str] = Counter()  # how many of a tag are open
+    tags: list[str] = [""]
     parts: list[str] = []
-    links, in_link, path = 0, 0, ()
+    links, in_link, at = 0, 0, 0
 
     def flush():
         nonlocal parts, links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((text, path, links))
+                out.texts.append(text)
+                out.links.append(links)
+                out.at.append(at)
         parts, links = [], 0
 
+    def close():
+        opened[tags.pop()] -= 1
+        stack.pop()
+
     for m in TOKEN.finditer(page or ""):
         text = m[5]
         if text is not None:
             if not parts:
-                path = tuple(full)
-            parts.append(text)
+                at = stack[-1]
+            parts.append(html.unescape(text))
             if in_link:
                 links += len(text)
             continue
@@ -99,10 +156,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 in_link -= tag == "a" and in_link > 0
                 continue
             flush()
-            if tag in stack:
-                while stack.pop() != tag:
-                    full.pop()
-                full.pop()
+            if opened[tag] > 0:
+                while tags[-1] != tag:
+                    close()
+                close()
             in_link = 0
             continue
         if tag in INLINE:
@@ -112,26 +169,68 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if tag in VOID or m[4].endswith("/"):
             continue
         closed = CLOSES.get(tag, {"p"} if tag in BLOCK_ENDS_P else ())
-        while stack and stack[-1] in closed:
-            stack.pop()
-            full.pop()
-        stack.append(tag)
+        while tags[-1] in closed:
+            close()
         words = [w for a in ATTRIBUTE.finditer(m[4]) for w in WORDS.findall((a[1] or a[2] or a[3] or "").lower())] if m[4] else []
-        full.append(" ".join([tag, *words]))
+        out.names.append(" ".join([tag, *words]))
+        out.parent.append(stack[-1])
+        stack.append(len(out.names) - 1)
+        tags.append(tag)
+        opened[tag] += 1
     flush()
     return out
 
 
-def ancestor_label(path: tuple[str, ...]) -> int | None:
-    """1 in main content, 0 in what surrounds it; None if nothing on the path says so."""
-    said = None
-    for element in path:
-        tag, *words = element.split(" ")
-        if tag in OTHER or not OTHER_WORDS.isdisjoint(words):
-            said = 0
-        elif said != 0 and (tag in MAIN or (tag in ("div", "section") and not MAIN_WORDS.isdisjoint(words))):
-            said = 1
-    return said
+def renamed(page: Page, labels: list[int], rng: np.random.Generator) -> tuple[Page, list[int]]:
+    """The page with other names of the same kinds, and what pages elsewhere have: wrappers, captions, comments."""
+    out = Page()
+    labels, shortened = list(labels), rng.random(len(labels)) < 0.15
+    out.texts = [" ".join(t.split(" ")[: int(rng.integers(1, 6))]) if s else t for t, s in zip(page.texts, shortened)]
+    out.links = [min(v, len(t)) for v, t in zip(page.links, out.texts)]
+    mains, others = sorted(MAIN_WORDS), sorted(OTHER_WORDS)
+    as_main = ["article", "main", *(f"{t} {a}" for t in ("div", "section") for a in mains)]
+    as_other = [f"{t} {a}" for t in ("div", "section", "ul", "p") for a in others]
+    said: list[int | None] = [None]
+    moved = [0]  # new element of each old one
+    for e in range(1, len(page.names)):
+        above, name = page.parent[e], page.names[e]
+        said.append(_said(name, said[above]))
+        if said[e] != said[above]:
+            name = str(rng.choice(as_main if said[e] == 1 else sorted(OTHER) if rng.random() < 0.4 else as_other))
+        top = moved[above]
+        for _ in range(int(rng.integers(0, 3)) if rng.random() < 0.1 else 0):
+            out.names.append(str(rng.choice(["div", "div", "section", "div row", "div wrap"])))
+            out.parent.append(top)
+            top = len(out.names) - 1
+        out.names.append(name)
+        out.parent.append(top)
+        inner = len(out.names) - 1
+        for _ in range(int(rng.integers(1, 40)) if said[e] != said[above] and rng.random() < 0.3 else 0):
+            out.names.append("div")
+            out.parent.append(inner)
+            inner = len(out.names) - 1
+        moved.append(inner)
+    out.at = [moved[e] for e in page.at]
+    inside = [i for i, v in enumerate(labels) if v == 1]
+
+    def under(block: int, name: str) -> None:
+        out.names.append(name)
+        out.parent.append(out.at[block])
+        out.at[block] = len(out.names) - 1
+
+    for i in inside:
+        if rng.random() < 0.08:
+            under(i, str(rng.choice(["figcaption", "figure", "header", "blockquote", "table", "div related", "div text"])))
+    for i in inside:  # adverts and notices between the paragraphs
+        if rng.random() < 0.04:
+            under(i, str(rng.choice([*sorted(OTHER - {"header"}), *(f"{t} {a}" for t in ("div", "p") for a in others if a != "header")])))
+            labels[i] = 0
+    if len(inside) > 4 and rng.random() < 0.5:
+        start = int(rng.integers(len(inside) // 2, len(inside)))
+        for i in inside[start:]:
+            under(i, str(rng.choice(["aside", "form", "div comment", "div comments", "div reply", "div replies", "section comments"])))
+            labels[i] = 0
+    return out, labels
 
 
 def _hash(word: str) -> int:
@@ -141,40 +240,48 @@ def _hash(word: str) -> int:
     return h ^ h >> 15
 
 
-_slots: dict[str, tuple[int, float]] = {}
+_elements: dict[tuple[str, bool], np.ndarray] = {}
 
 
-def _slot(word: str, dim: int) -> tuple[int, float]:
-    key = f"{dim}:{word}"
-    if key not in _slots:
-        if len(_slots) > 300_000:
-            _slots.clear()
-        h = _hash(word)
-        _slots[key] = (h >> 1) % dim, 1.0 if h & 1 else -1.0
-    return _slots[key]
+def _element(name: str, hide: bool) -> np.ndarray:
+    """The hashed tag and words of one element."""
+    if (name, hide) not in _elements:
+        if len(_elements) > 100_000:
+            _elements.clear()
+        row = np.zeros(PATH_DIM, np.float32)
+        for j, word in enumerate(name.split(" ")):
+            if hide and (j or word in MAIN or word in OTHER):
+                word = "div"
+            h = _hash(("." if j else "<") + word)
+            row[(h >> 1) % PATH_DIM] += 1.0 if h & 1 else -1.0
+        _elements[name, hide] = row
+    return _elements[name, hide]
 
 
-def vectors(page_blocks: list[tuple[str, tuple[str, ...], int]], hide: bool = False) -> np.ndarray:
+def vectors(page: Page, hide: bool = False) -> np.ndarray:
     """One row per block. `hide` leaves out the names that say what a block is."""
-    x = np.zeros((len(page_blocks), DIM), np.float32)
-    n = max(len(page_blocks), 1)
-    for i, (text, path, links) in enumerate(page_blocks):
-        row = x[i]
-        for depth, element in enumerate(reversed(path[-8:])):
-            for j, word in enumerate(element.split(" ")):
-                if hide:
-                    if j or word in MAIN or word in OTHER:
-                        word = "div"
-                at, sign = _slot(("." if j else "<") + word, PATH_DIM)
-                row[at] += sign * (1.0 if depth < 3 else 0.6)
-        words = text.split(" ")
-        for word in words[:: max(1, len(words) // 24)]:
-            at, sign = _slot(word.lower(), WORD_DIM)
-            row[PATH_DIM + at] += sign / 5
-        row[PATH_DIM + WORD_DIM :] = (
-            np.log1p(len(words)) / 4, min(links / max(len(text), 1), 1.0), text[-1] in ".!?:\"”", "©" in text,
-            sum(w[-1] in ".,;" for w in words) / len(words), i / n, (n - 1 - i) / n, np.log1p(len(path)) / 2,
-        )
+    n = len(page.texts)
+    x = np.zeros((n, DIM), np.float32)
+    if not n:
+        return x
+    sums, depth = np.zeros((len(page.names), PATH_DIM), np.float32), np.zeros(len(page.names))
+    for e in range(1, len(page.names)):
+        above = page.parent[e]
+        sums[e], depth[e] = sums[above] + _element(page.names[e], hide), depth[above] + 1
+    at = np.array(page.at)
+    x[:, :PATH_DIM] = sums[at] / (1 + np.abs(sums[at]) / 4)  # what is nested very deep fades in the count of its like only
+    words, first = word_hashes(page.texts)
+    counts = np.diff(first)
+    of = np.repeat(np.arange(n), counts)
+    slots = np.zeros((n, WORD_DIM), np.float32)
+    np.add.at(slots, (of, (words >> np.uint64(1)) % np.uint64(WORD_DIM)), np.where(words & np.uint64(1), 1.0, -1.0))
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = slots / (2 + np.sqrt(counts))[:, None]
+    place, size = np.arange(n), np.array([len(t) for t in page.texts])
+    marks = np.array([t.count(". ") + t.count(", ") + t.count("; ") + (t[-1] in ".,;") for t in page.texts])
+    x[:, PATH_DIM + WORD_DIM :] = np.stack(
+        [np.log1p(counts) / 4, np.minimum(np.array(page.links) / size, 1), [t[-1] in ".!?:\"”" for t in page.texts], ["©" in t for t in page.texts],
+         marks / np.maximum(counts, 1), place / n, (n - 1 - place) / n, np.log1p(depth[at]) / 2], axis=1,
+    )
     return x
 
 
@@ -184,6 +291,7 @@ class BiLSTM:
     def __init__(self, dim: int = DIM, hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.h = hidden
+        self.learned = False
         self.p: dict[str, np.ndarray] = {}
         for side in "fb":
             self.p["w" + side] = rng.standard_normal((dim + hidden, 4 * hidden)).astype(np.float32) / np.sqrt(dim + hidden)
@@ -237,12 +345,12 @@ class BiLSTM:
             dc = np.where(m, dct * f, dc)
         grads["w" + side], grads["b" + side] = gw, gb
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 9) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 9) -> None:
         """pages: (vectors, labels of 0, 1 or -1 for unknown); Adam on the logistic loss."""
         rng = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        step, self.learned = 0, bool(pages)
         for _ in range(epochs):
             order = sorted(rng.permutation(len(pages)), key=lambda i: len(pages[i][0]) + rng.random() * 4)
             groups = [order[k : k + batch] for k in range(0, len(order), batch)]
@@ -286,28 +394,31 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two rows a page, plain and with names hidden: vectors as bytes and labels."""
+    """Rows per page: plain, with names hidden, and renamed; vectors as bytes and labels."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = blocks(page)
-            labels = [ancestor_label(b[1]) for b in found]
-            if 1 not in labels:
+        for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            page = blocks(text)
+            said = page.labels()
+            if 1 not in said:
                 continue
-            labels = [0 if v is None else v for v in labels][:FIT_BLOCKS]
-            for hide in (False, True):
-                values = (page_id, hide, vectors(found, hide)[:FIT_BLOCKS].tobytes(), labels)
-                for c, v in zip(out, values):
+            labels = [v or 0 for v in said]
+            rng = np.random.default_rng(_hash(str(page_id)))
+            start = int(rng.integers(0, max(len(labels) - FIT_BLOCKS, 0) + 1))
+            shown = [(page, labels, False), (page, labels, True), *((*renamed(page, labels, rng), False) for _ in range(RENAMED))]
+            for kind, (p, y, hide) in enumerate(shown):
+                rows = slice(start, start + FIT_BLOCKS)
+                for c, v in zip(out, (page_id, kind, vectors(p, hide)[rows].tobytes(), y[rows])):
                     c.append(v)
-        kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "hide", "x", "y"])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "kind", "x", "y"])
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = FIT_PAGES) -> BiLSTM:
     """Train on a bounded sample of pages."""
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).where("html IS NOT NULL")
-    found = bounded_sample(own, "id", rows).mapInArrow(_training_rows, "id long, hide boolean, x binary, y array<int>").toPandas()
-    found = found.sort_values(["id", "hide"], kind="stable")
+    found = bounded_sample(own, "id", rows).mapInArrow(_training_rows, "id long, kind int, x binary, y array<int>").toPandas()
+    found = found.sort_values(["id", "kind"], kind="stable")
     model = BiLSTM()
     model.train([(np.frombuffer(x, np.float32).reshape(-1, DIM), np.asarray(y, np.float32)) for x, y in zip(found["x"], found["y"])])
     return model
@@ -315,19 +426,23 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows:
 
 def main_text(pages: DataFrame, model: BiLSTM, id_col: str = "page_id", html_col: str = "html", threshold: float = 0.5) -> DataFrame:
     """(id, url, text, n_chars, n_blocks, n_main): the main text of every page."""
-    weights = model.p
+    weights, learned = model.p, model.learned
 
     @F.pandas_udf("text string, n_chars long, n_blocks long, n_main long")
     def extract(texts: pd.Series) -> pd.DataFrame:
         labeller = BiLSTM()
         labeller.p = weights
         rows = []
-        for k in range(0, len(texts), 500):
-            found = [blocks(t) for t in texts.iloc[k : k + 500]]
-            for page, p in zip(found, labeller.label([vectors(b) for b in found])):
-                kept = [b[0] for b, v in zip(page, p) if v >= threshold]
+        for k in range(0, len(texts), 200):
+            found = [blocks(t) for t in texts.iloc[k : k + 200]]
+            if learned:
+                scores = labeller.label([vectors(b) for b in found])
+            else:
+                scores = [[float(v != 0) for v in b.labels()] for b in found]
+            for page, p in zip(found, scores):
+                kept = [t for t, v in zip(page.texts, p) if v >= threshold]
                 text = "\n".join(kept)
-                rows.append((text, len(text), len(page), len(kept)))
+                rows.append((text, len(text), len(page.texts), len(kept)))
         return pd.DataFrame(rows, columns=["text", "n_chars", "n_blocks", "n_main"])
 
     return pages.select(id_col, "url", extract(F.col(html_col)).alias("_m")).select(id_col, "url", "_m.*")

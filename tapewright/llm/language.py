@@ -4,17 +4,18 @@ Features of a whole text: its lower-cased 1-, 2- and 3-grams of code points,
 hashed to FEATURES buckets; weight (1 + log count) * idf, scaled to length 1.
 Document frequencies are counted over all training rows. Weights are learned by
 follow-the-regularised-leader with elastic-net penalties, so most stay exactly
-zero, over a bounded sample (FIT_ROWS, by a hash of the id); one in five of its
-rows is left out (of 20 or more) and fits the temperature by which scores are calibrated.
+zero, over a bounded sample: FIT_ROWS in equal parts for the languages, which are
+counted over all training rows, but LEAST_ROWS of each at least, chosen by a hash
+of the id. So a rare language is learned at any size of the table. Every fifth row
+of a language is left out and fits the temperature by which scores are calibrated.
 
-Rows without a language are not learned from. Texts that are null or have no
+Rows without a language or without a letter are not learned from. Texts that are null or have no
 letter get `und` with score 0; if nothing could be learned, so do all. Ties go
 to the language first in order of name. Further columns are carried.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-
 FEATURES = 1 << 15
 FIT_ROWS = 6000
-_LETTER = re.compile(r"[^\W\d_]")
+LEAST_ROWS = 100
 _C = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)]
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text or ""))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,9 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total, n = np.zeros(FEATURES + 1, np.int64), 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total[features(text)[0]] += 1
-            n += 1
+            if has_letter(text):
+                total[features(text)[0]] += 1
+                n += 1
     total[FEATURES] = n  # the number of documents
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["feature", "n"])
@@ -69,9 +70,9 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [features(t) for t in batch.column(2).to_pylist()]
+        got = [features(t if has_letter(t) else None) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
+            [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.int32()))],
             ["id", "lang", "at", "counts"],
         )
 
@@ -112,6 +113,15 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=loss)) if len(y) else 1.0
 
 
+def sampled(own: DataFrame, rows: int) -> DataFrame:
+    """Rows (_id, _lang, _text) by a hash of the id, about as many of each language; all of it where there are fewer."""
+    counts = own.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    langs = counts.count()
+    share = counts.select("_lang", (F.lit(max(LEAST_ROWS, rows // max(langs, 1))) / F.col("_n")).alias("_share"))
+    place = F.pmod(F.xxhash64(F.lit(17), F.col("_id")), F.lit(1 << 40)) / F.lit(1 << 40)
+    return own.join(F.broadcast(share) if langs <= 10_000 else share, "_lang").where(place < F.col("_share")).select("_id", "_lang", "_text")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> dict:
     """Learn from the rows of `docs` that name a language and hold a letter."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL")
@@ -119,16 +129,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = np.zeros(FEATURES + 1)
     counts[df["feature"].to_numpy()] = df["n"].to_numpy()
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-    sample = bounded_sample(own, "_id", rows).mapInArrow(_sparse_rows, "id long, lang string, at array<long>, counts array<long>").toPandas()
-    sample = sample.sort_values("id", kind="stable")
+    sample = sampled(own, rows).mapInArrow(_sparse_rows, "id long, lang string, at array<int>, counts array<int>").toPandas()
+    sample = sample[sample["at"].map(len) > 0].sort_values("id", kind="stable")
     langs = sorted(sample["lang"].unique())
     index = {v: i for i, v in enumerate(langs)}
-    data = [(np.asarray(a), weighted(np.asarray(a), np.asarray(c), idf), index[v]) for a, c, v in zip(sample["at"], sample["counts"], sample["lang"]) if len(a)]
+    data = [(np.asarray(a), weighted(np.asarray(a), np.asarray(c), idf), index[v]) for a, c, v in zip(sample["at"], sample["counts"], sample["lang"])]
+    turn = sample.groupby("lang").cumcount().to_numpy() % 5
     if not data:
         return {"langs": [], "idf": idf, "weights": np.zeros((FEATURES + 1, 0)), "temperature": 1.0}
-    kept = [r for i, r in enumerate(data) if i % 5] if len(data) >= 20 else data
-    weights = ftrl(kept, len(langs))
-    held = data[::5]
+    weights = ftrl([r for r, k in zip(data, turn) if k != 4], len(langs))
+    held = [r for r, k in zip(data, turn) if k == 4] or data
     scores = np.array([x @ weights[at] + weights[-1] for at, x, _ in held])
     return {"langs": langs, "idf": idf, "weights": weights, "temperature": temperature(scores, np.array([y for _, _, y in held]))}
 

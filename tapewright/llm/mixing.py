@@ -6,32 +6,76 @@ Q = sum of a_s, block i (from 0) of source s is released at slot
 floor(i*Q/a_s) and due by slot ceil((i+1)*Q/a_s). Earliest deadline first among
 released blocks serves every block inside its window, so that at every slot
 each source is less than one block from its share. All windows repeat after Q
-slots, so one period of Q slots is scheduled (a fold over a sequence) and block
-i takes the slot of its place in the period. Every document gets a slot: when a
-source is exhausted its slots stay empty and the others go on in the same
-proportions; positions count only rows that exist.
-
-Bounds: the sum of weights is at most MAX_PERIOD, so the schedule that is
-broadcast has at most that many rows, and the counts gathered by the driver are
-one per source. Null sources form a source of their own; null ids rank like the
-empty string; rows that repeat an id follow each other. An empty table gives an
-empty result; further columns are not read.
+slots, so one period of Q slots is scheduled and block i takes the slot of its
+place in the period. Every document gets a slot: when a source is exhausted its
+slots stay empty and the others go on in the same proportions; positions count
+only rows that exist.
+
+Sources of equal weight have equal windows and take turns, so the schedule is a
+fold over Q slots whose state is one count per distinct weight, however many
+sources there are; deadlines that tie go to the larger weight, then by name.
+The fold's picks are gathered in stretches of STRETCH slots.
+
+Bounds: what the driver gathers is one row per distinct weight. Schedule and
+sources are broadcast up to BROADCAST rows; beyond, rows are joined with them.
+Null sources form a source of their own; null ids come in the order of the table;
+rows that repeat an id follow each other. An empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, rank_in_group
+from .common import id_key, join_hot, rank_in_group
 
-MAX_PERIOD = 4096
+STRETCH = 1024
+BROADCAST = 65_536
+SPAN = 4096  # slots of one window of positions
 
 
 def _named(source: str | None) -> str:
     return "null" if source is None else "=" + source
 
 
+def period_schedule(spark: SparkSession, classes: list[tuple[int, int]]) -> DataFrame:
+    """(_class, _nth, _t): the slots of one period, for (weight, number of sources) by falling weight."""
+    period = sum(a * m for a, m in classes)
+    ints = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
+    members = ints(m for _, m in classes)
+    pick = f"""array_min(filter(transform({ints(a for a, _ in classes)}, (w, i) -> struct(
+        ((x.served[i] div {members}[i] + 1) * {period}L + w - 1) div w AS due, i AS i, (x.served[i] div {members}[i]) * {period}L div w AS released)),
+        c -> c.released <= t)).i"""
+    stretch = f"""aggregate(sequence(o * {STRETCH}L, least((o + 1) * {STRETCH}L, {period}L) - 1),
+        named_struct('served', y.served, 'picks', cast(array() AS array<int>)),
+        (x, t) -> transform(array({pick}), p -> named_struct(
+            'served', transform(x.served, (v, i) -> v + if(i = p, 1L, 0L)), 'picks', concat(x.picks, array(p))))[0])"""
+    whole = f"""aggregate(sequence(0L, {-(-period // STRETCH) - 1}L),
+        named_struct('served', {ints([0] * len(classes))}, 'all', cast(array() AS array<array<int>>)),
+        (y, o) -> transform(array({stretch}), z -> named_struct('served', z.served, 'all', concat(y.all, array(z.picks))))[0],
+        y -> flatten(y.all))"""
+    slots = spark.range(1).select(F.posexplode(F.expr(whole)).alias("_t", "_class")).withColumn("_t", F.col("_t").cast("long"))
+    return slots.withColumn("_nth", F.row_number().over(Window.partitionBy("_class").orderBy("_t")).cast("long") - 1)
+
+
+def positions(placed: DataFrame) -> DataFrame:
+    """Add `position`: the place of each row by slot, then rank.
+
+    A window holds the rows of SPAN slots; what comes before is summed from counts
+    by window, in two levels.
+    """
+    dealt = placed.withColumn("_span", F.floor(F.col("slot") / SPAN))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = dealt.groupBy("_span").agg(F.count(F.lit(1)).alias("_n")).withColumn("_wide", F.floor(F.col("_span") / SPAN))
+    wide = spans.groupBy("_wide").agg(F.sum("_n").alias("_m"))
+    wide = wide.select("_wide", F.coalesce(F.sum("_m").over(before(Window.orderBy("_wide"))), F.lit(0)).alias("_first"))
+    inside = F.coalesce(F.sum("_n").over(before(Window.partitionBy("_wide").orderBy("_span"))), F.lit(0))
+    starts = spans.withColumn("_inside", inside).join(wide, "_wide").select("_span", (F.col("_first") + F.col("_inside")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_span").orderBy("slot", "_rank")) - 1
+    return dealt.withColumn("_place", place).join(starts, "_span").withColumn("position", F.col("_start") + F.col("_place"))
+
+
 def pfair_mix(
     docs: DataFrame,
     weights: dict[str | None, int],
@@ -46,64 +90,37 @@ def pfair_mix(
     `in_mix` marks slots before the first source is exhausted: up to there every
     prefix of whole slots keeps the target weights to less than one block.
     """
-    spark = docs.sparkSession
+    given = {_named(s): int(w) for s, w in weights.items()}
+    if any(w < 1 for w in [default_weight, *given.values()]):
+        raise ValueError("weights must be 1 or more")
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), named.alias("_s"), id_key(id_col).alias("_key"))
-    found = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).limit(MAX_PERIOD + 1).collect()
-    counts = {r["_s"]: r["n"] for r in sorted(found, key=lambda r: r["_s"].encode())}
-    given = {_named(s): int(w) for s, w in weights.items()}
-    names = list(counts)
-    a = [given.get(s, default_weight) for s in names]
-    period = sum(a)
-    if period > MAX_PERIOD or any(w < 1 for w in a):
-        raise ValueError(f"weights must be 1 or more and sum to at most {MAX_PERIOD}, not {period}")
-    if not names:
-        names, a, period, counts = ["null"], [1], 1, {"null": 0}
-    have = [counts[s] for s in names]
-    blocks = [-(-n // block_rows) for n in have]
+    weight = F.lit(default_weight)
+    if given:
+        weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for s, w in given.items() for x in (s, w)]), F.col("_s")), weight)
+    sources = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_have")).withColumn("_a", weight.cast("long"))
+    found = sources.groupBy("_a").agg(F.count(F.lit(1)).alias("m")).collect()
+    classes = sorted(((r["_a"], r["m"]) for r in found), reverse=True) or [(1, 1)]
+    period, many = sum(a * m for a, m in classes), sum(m for _, m in classes)
+    # the first source to run out: its number of whole blocks fixes how far the mix is on target
+    horizon = sources.agg(F.min(F.expr(f"(_have div {block_rows}) * {period}L div _a"))).first()[0] or 0
 
-    ints = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    pick = f"""array_min(filter(transform({ints(a)}, (w, i) -> struct(
-        ceil((x.served[i] + 1) * {period}L / w) AS due, i AS i, floor(x.served[i] * {period}L / w) AS released)),
-        c -> c.released <= t)).i"""
-    schedule = (
-        spark.range(1)
-        .select(
-            F.expr(
-                f"""aggregate(sequence(0L, {period - 1}L),
-                named_struct('served', {ints([0] * len(a))}, 'picks', cast(array() AS array<int>), 'seen', cast(array() AS array<array<bigint>>)),
-                (x, t) -> named_struct(
-                    'served', transform(x.served, (v, i) -> v + if(i = {pick}, 1L, 0L)),
-                    'picks', concat(x.picks, array({pick})),
-                    'seen', concat(x.seen, array(x.served))))"""
-            ).alias("x")
-        )
-        .select(F.posexplode(F.arrays_zip("x.picks", "x.seen")).alias("t", "z"))
-        .select(F.col("z.picks").alias("_i"), F.col("t").cast("long").alias("_t"), F.col("z.seen").alias("_seen"))
-        .withColumn("_nth", F.element_at("_seen", F.col("_i") + 1))
-    )
-    order = {s: i for i, s in enumerate(names)}
-    index = F.create_map(*[F.lit(x) for s in names for x in (s, order[s])])
-    ranked = rank_in_group(rows, "_s", "_key", "_rank").withColumn("_i", F.element_at(index, F.col("_s")))
-    w = F.element_at(F.expr(ints(a)), F.col("_i") + 1)
-    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).withColumn("_nth", F.col("block") % w)
-    # rows of every source in slots before this one: whole periods plus what the period has served
-    before = F.expr(
-        f"""aggregate(zip_with({ints(have)}, zip_with({ints(a)}, _seen, (w, c) -> ((slot - _t) div {period}L * w + c) * {block_rows}L),
-            (n, c) -> least(n, c)), 0L, (s, v) -> s + v)"""
+    ranks = {a: i for i, (a, _) in enumerate(classes)}
+    sources = sources.select(
+        "_s", "_a", F.element_at(F.create_map(*[F.lit(x) for a, i in ranks.items() for x in (a, i)]), F.col("_a")).alias("_class"),
+        F.count(F.lit(1)).over(Window.partitionBy("_a")).alias("_m"),
+        (F.row_number().over(Window.partitionBy("_a").orderBy("_s")) - 1).alias("_member"),
     )
-    placed = (
-        ranked.join(F.broadcast(schedule), ["_i", "_nth"])
-        .withColumn("slot", F.floor(F.col("block") / w) * period + F.col("_t"))
-        .withColumn("release", F.floor(F.col("block") * period / w))
-        .withColumn("deadline", F.ceil((F.col("block") + 1) * period / w))
-        .withColumn("position", before + F.col("_rank") % block_rows)
-    )
-    # the first source to run out: its number of whole blocks fixes how far the mix is on target
-    exhausted = min(range(len(a)), key=lambda i: (have[i] // block_rows) / a[i])
-    full = have[exhausted] // block_rows
-    horizon = full * period // a[exhausted]
-    return placed.select(
+    ranked = rank_in_group(rows, "_s", "_key", "_rank")
+    ranked = ranked.join(F.broadcast(sources), "_s") if many <= BROADCAST else join_hot(ranked, sources, ["_s"], "_key", "inner")
+    ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).withColumn("_nth", F.col("block") % F.col("_a") * F.col("_m") + F.col("_member"))
+    schedule = period_schedule(docs.sparkSession, classes)
+    placed = ranked.join(F.broadcast(schedule) if period <= BROADCAST else schedule, ["_class", "_nth"])
+    placed = placed.withColumns({
+        "slot": F.expr(f"block div _a * {period}L + _t"), "release": F.expr(f"block * {period}L div _a"),
+        "deadline": F.expr(f"((block + 1) * {period}L + _a - 1) div _a"),
+    })
+    return positions(placed).select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), "block", "release", "deadline", "slot", "position",
         (F.col("slot") < horizon).alias("in_mix"),
     )
@@ -119,7 +136,7 @@ WITH RECURSIVE docs AS (
 ), srcs AS (
   SELECT s, count(*) AS n, CASE WHEN s = '=src0' THEN 5 ELSE 1 END AS a FROM docs GROUP BY s
 ), lists AS (
-  SELECT list(a ORDER BY encode(s)) AS aa, list(n ORDER BY encode(s)) AS nn, list(s ORDER BY encode(s)) AS ss, cast(sum(a) AS BIGINT) AS q FROM srcs
+  SELECT list(a ORDER BY a DESC, encode(s)) AS aa, list(n ORDER BY a DESC, encode(s)) AS nn, list(s ORDER BY a DESC, encode(s)) AS ss, cast(sum(a) AS BIGINT) AS q FROM srcs
 ), sim AS (
   SELECT -1::BIGINT AS t, [0::BIGINT for x in aa] AS seen, [0::BIGINT for x in aa] AS served, -1::BIGINT AS pick, aa, q FROM lists
   UNION ALL

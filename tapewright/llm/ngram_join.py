@@ -296,29 +296,32 @@ def _group_pairs(percent: int):
     return pair
 
 
-def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, group: int | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that can still be similar.
+def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, group: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can still be similar, as a written table.
 
-    `met`: (lead, node); `nodes`: (node, comp, n, p, last, tokens), tokens being the
-    open shingles of the node's prefix, ascending.
+    `met`: (lead, node, n); `nodes`: (node, comp, n, p, last, tokens), tokens being
+    the open shingles of the node's prefix, ascending. Places in groups are dealt
+    before the shingles are joined to them.
     """
     group = group or GROUP
     large = met.groupBy("lead").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group).select("lead", F.lit(True).alias("_large"))
     # bands a little wider than the similarity, so that rounding can't put a pair two bands apart
     band = F.floor(F.log("n") / F.log(F.lit(100.1 / percent))).cast("int")
-    rows = join_hot(met, large, ["lead"], "node").join(nodes, "node")
-    rows = rows.withColumn("_own", F.when(F.col("_large"), band).otherwise(0))
-    rows = rows.withColumn("band", F.explode(F.when(F.col("_large"), F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
-    counts = rows.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("_blocks"))
-    rows = join_hot(rows, counts.where("_blocks > 1"), ["lead", "band"], "node").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = join_hot(met, large, ["lead"], "node").withColumn("_own", F.when(F.col("_large"), band).otherwise(0))
+    bands = F.when(F.col("_large"), F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))
+    rows = scratch.written(rows.select("lead", "node", "_own", F.explode(bands).alias("band")), "places")
+    counts = rows.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("_blocks")).where("_blocks > 1")
+    places = join_hot(rows, counts, ["lead", "band"], "node").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = rows.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select(
+    places = places.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = places.join(nodes, "node").select(
         "lead", "band", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), (F.col("band") < F.col("_own")).cast("int").alias("guest"),
         "_b", "node", "comp", "n", (F.col("n") - F.col("p")).alias("follow"), "last", "tokens",
     )
     dealt = dealt.repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
-    return dealt.mapInArrow(_group_pairs(percent), "a long, b long").distinct()
+    pairs = scratch.written(dealt.mapInArrow(_group_pairs(percent), "a long, b long").distinct(), "pairs")
+    scratch.drop(rows)
+    return pairs
 
 
 def _test_blocks(percent: int):
@@ -359,79 +362,74 @@ def _test_blocks(percent: int):
 
 
 def _chosen_sets(k: int, heavy: np.ndarray, bitmap):
-    """(k1, k2, tokens) of the texts whose id's bit is set; without a bitmap of all."""
+    """(id, k1, k2, tokens) of the texts whose id's bit is set; without a bitmap of all."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for part in _batches(batches):
-            texts = part.column(0).to_pylist()
             if bitmap is not None:
                 bits = bitmap.value
-                texts = [t for b, i, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), texts) if b in bits and bits[b][i >> 3] >> (i & 7) & 1]
-            keys, sets = [], []
-            for s in shingle_sets(texts, k):
-                if (key := set_key(s)) not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(_ordered(s, heavy))
-            yield pa.RecordBatch.from_arrays([*_halves(keys), _lists(sets)], ["k1", "k2", "tokens"])
+                places = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                part = part.filter(pa.array([b in bits and bool(bits[b][i >> 3] >> (i & 7) & 1) for b, i in places], pa.bool_()))
+            sets = shingle_sets(part.column(1).to_pylist(), k)
+            keys = [set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), *_halves(keys), _lists([_ordered(s, heavy) for s in sets])], ["least", "k1", "k2", "tokens"])
 
     return make
 
 
-def _sets_of(texts: DataFrame, asked: DataFrame, k: int, heavy: np.ndarray, bits: int | None = None) -> DataFrame:
-    """(node, tokens) of the nodes `asked` (node, least, k1, k2, n), from the texts of the ids `least`.
+def whole_sets(texts: DataFrame, asked: DataFrame, k: int, heavy: np.ndarray, bits: int | None = None) -> DataFrame:
+    """The rows of `asked` (least, k1, k2, ...) with `tokens`, the whole sets with those keys of the texts of the ids `least`.
 
-    Up to `bits` / 16 nodes a bitmap of fixed size tells the scan which texts to
-    look at; beyond, texts are joined with the ids that are asked for.
+    Up to `bits` / 16 rows a bitmap of fixed size tells the scan which texts to
+    look at; beyond, texts are joined with the ids that are asked for. Rows of
+    `texts` that repeat give repeated results.
     """
-    bits = bits or BITMAP
+    bits, schema = bits or BITMAP, "least long, k1 long, k2 long, tokens array<long>"
+    ids = asked.select(F.col("least").alias("_id")).distinct()
     if asked.count() > bits // 16:
-        read = texts.join(asked.select(F.col("least").alias("_id")).distinct(), "_id").select("_text")
-        found = read.mapInArrow(_chosen_sets(k, heavy, None), "k1 long, k2 long, tokens array<long>")
+        found = texts.join(ids, "_id").select("_id", "_text").mapInArrow(_chosen_sets(k, heavy, None), schema)
     else:
         slot = F.pmod(F.xxhash64("_id"), F.lit(bits))
         parts = (
-            asked.select(F.col("least").alias("_id")).groupBy(F.bitmap_bucket_number(slot).alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+            ids.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
         )
         bitmap = texts.sparkSession.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts})
-        read = texts.select("_text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"))
-        found = read.mapInArrow(_chosen_sets(k, heavy, bitmap), "k1 long, k2 long, tokens array<long>")
-    return found.join(asked.select("node", "k1", "k2"), ["k1", "k2"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
+        read = texts.where("_id IS NOT NULL").select("_id", "_text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"))
+        found = read.mapInArrow(_chosen_sets(k, heavy, bitmap), schema)
+    return found.join(asked, ["least", "k1", "k2"])
 
 
 def tested(pairs: DataFrame, groups: DataFrame, texts: DataFrame, percent: int, k: int, heavy: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar enough, as a written table."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = scratch.written(ends.join(groups, "node"), "asked")
-    sets = scratch.written(_sets_of(texts, asked, k, heavy), "sets")
+    """Those of the pairs (a, b) of nodes that are similar enough, as a written table.
+
+    Sets are read from the texts and go straight to the tests that ask for them.
+    """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    partners = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "tokens")
-    leaders = (
-        dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a")
-        .select("a", "block", F.lit(None).cast("long").alias("b"), "tokens")
-    )
-    rows = partners.unionByName(leaders).repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    links = scratch.written(rows.mapInArrow(_test_blocks(percent), "a long, b long"), "links")
-    scratch.drop(asked, sets)
+    partners = dealt.select(F.col("b").alias("node"), "a", "block", "b")
+    leaders = dealt.select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
+    asked = partners.unionByName(leaders).join(groups.select("node", "least", "k1", "k2"), "node").drop("node")
+    asked = scratch.written(asked, "asked")
+    rows = whole_sets(texts, asked, k, heavy).select("a", "block", "b", "tokens")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
+    links = scratch.written(rows.mapInArrow(_test_blocks(percent), "a long, b long").distinct(), "links")
+    scratch.drop(asked)
     return links
 
 
-def _met_by(rows: DataFrame, what: str) -> DataFrame:
-    """`rows` (token, ...) with the least and largest `what` of each token, for tokens that have two or more.
+def _met_by(rows: DataFrame, what: str, first: str) -> DataFrame:
+    """`rows` (token, ...) with `lead`, the least `first` of each token, for tokens that have two `what` or more.
 
     Frequent shingles, known by their flag bit, are at most HEAVY: their counts are
     aggregated before they are shuffled, and given back by a broadcast. The
     others are found in few enough sets to be sorted by token once.
     """
-    both = {"_lo": F.min(what), "_hi": F.max(what)}
+    facts = {"_lo": F.min(what), "_hi": F.max(what), "lead": F.min(first)}
     by_token = Window.partitionBy("token")
-    light = rows.where(F.col("token") < FLAG).withColumns({name: c.over(by_token) for name, c in both.items()}).where("_lo <> _hi")
+    light = rows.where(F.col("token") < FLAG).withColumns({name: c.over(by_token) for name, c in facts.items()}).where("_lo <> _hi")
     often = rows.where(F.col("token") >= FLAG)
-    ends = often.groupBy("token").agg(*(c.alias(name) for name, c in both.items())).where("_lo <> _hi")
-    return light.unionByName(often.join(F.broadcast(ends), "token"))
+    ends = often.groupBy("token").agg(*(c.alias(name) for name, c in facts.items())).where("_lo <> _hi")
+    return light.unionByName(often.join(F.broadcast(ends), "token")).drop("_lo", "_hi")
 
 
 def similar_components(
@@ -453,21 +451,20 @@ def similar_components(
     grouped = ids.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n")
     groups = scratch.written(grouped.agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "groups")
     with_sets = table.where("prefix IS NOT NULL")
-    copies = (
-        with_sets.select("row", "k1", "k2", "n").join(groups.where("copies > 1"), ["k1", "k2", "n"]).where("row <> node").select("row", "node")
-    )
-    postings = _met_by(with_sets.select("row", F.explode("prefix").alias("token")), "row").select("token", "row")
-    shared = scratch.written(
-        postings.join(copies, "row", "left").select("token", F.coalesce("node", "row").alias("node")).distinct(), "shared"
-    )
+    firsts = groups.where("copies > 1")
+    copies = with_sets.select("row", "k1", "k2", "n").join(firsts, ["k1", "k2", "n"]).where("row <> node").select("row")
+    copies = scratch.written(copies, "copies")
+    # the first row that holds a shingle is always the first of its set, and so a node
+    postings = _met_by(with_sets.select("row", F.explode("prefix").alias("token")), "row", "row")
+    shared = scratch.written(postings.join(copies, "row", "left_anti").select("token", F.col("row").alias("node"), "lead"), "shared")
     facts = scratch.written(
         with_sets.select(F.col("row").alias("node"), "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last")), "facts"
     )
-    scratch.drop(table)
+    scratch.drop(table, copies)
 
     # 2. each node and the leader it shares most with
     star = (
-        _met_by(shared, "node").where("node <> _lo").groupBy("node", F.col("_lo").alias("lead")).agg(F.count(F.lit(1)).alias("c"))
+        shared.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("node").agg(F.max(F.struct("c", "lead")).alias("best"))
         .join(facts.select("node", "p"), "node").where(F.col("best.c") * LEAD_SHARE >= F.col("p"))
         .select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
@@ -477,17 +474,16 @@ def similar_components(
     comps = connected_components(links, scratch=scratch)
 
     # 3. pairs of different components
-    named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    still = scratch.written(_met_by(named, "comp").select("token", "node", "comp"), "open")
+    named = shared.select("token", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    still = scratch.written(_met_by(named, "comp", "node"), "open")
     scratch.drop(shared, star, comps)
-    firsts = _met_by(still, "node")
-    met = scratch.written(firsts.select(F.col("_lo").alias("lead"), "node").distinct(), "met")
     nodes = still.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.first("comp").alias("comp"))
     nodes = scratch.written(nodes.join(facts, "node"), "nodes")
+    met = scratch.written(still.select("lead", "node").distinct().join(nodes.select("node", "n"), "node"), "met")
     scratch.drop(still, facts)
-    pairs = scratch.written(candidate_pairs(met, nodes, percent), "pairs")
+    pairs = candidate_pairs(met, nodes, percent, scratch)
     scratch.drop(met, nodes)
-    links = scratch.written(links.unionByName(tested(pairs, groups, texts, percent, k, heavy, scratch)), "all_links")
+    links = scratch.written(links.unionByName(tested(pairs, groups, texts, percent, k, heavy, scratch)).distinct(), "all_links")
     scratch.drop(pairs)
 
     # 5. components of nodes, then of the sets that are linked or repeated

@@ -22,7 +22,7 @@ up afterwards; word ids are gathered with numpy. The word table of a worker is
 emptied at `WORDS_KEPT` entries.
 
 Null text counts as empty and gives the single closing id. Rows that repeat an
-id are packed each. An empty table gives an empty result; further columns are
+id, or have none, are packed each. An empty table gives an empty result; further columns are
 not read.
 """
 
@@ -37,11 +37,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import id_key, rank_in_group, written
+from .common import rank_in_group, written
 
 CAPACITY = 4096
 SLACK = 64
@@ -75,7 +75,7 @@ def _words_of(text: str) -> list[bytes]:
     lower-cased, as the vocabulary does, unless combining marks could compose.
     """
     if _COMBINING.search(text):
-        return [w.encode("utf-8", "surrogatepass") for w in text.split()]
+        return text.encode("utf-8", "surrogatepass").split()
     return _MARK_AFTER_LETTER.sub(rb" \1", text.encode("utf-8", "surrogatepass").lower()).split()
 
 
@@ -214,7 +214,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     ordered = "_position" in pieces.columns
     columns = [c for c in pieces.columns if c != "_position"]
-    key = _place_key(pieces) if ordered else id_key(F.concat_ws("/", "doc_id", "start"))
+    # pieces with equal keys are equal in all their figures, so it is all one which of them comes first
+    figures = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+    key = _place_key(pieces) if ordered else F.md5(F.concat_ws("/", *figures))
     keyed = pieces.withColumn("_key", key)
     kept = keyed.columns if ordered else columns
     ranked = rank_in_group(keyed, "per_bin", "_key", "_rank")
@@ -230,8 +232,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = ranked.withColumn("_bin", F.floor(F.col("_rank") / F.col("per_bin"))).withColumn(
         "_full", F.col("_bin") < F.element_at(full_of, F.col("per_bin"))
     )
-    from pyspark.sql import Window
-
     in_bin = Window.partitionBy("per_bin", "_bin").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
     full = (
         placed.where("_full")

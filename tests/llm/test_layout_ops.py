@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from math import ceil, floor
 
 import numpy as np
@@ -30,10 +31,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def whole_ids(text):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(entries.tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(entries.tokenizer_path())
+
+
+def whole_ids(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def check_packing(rows, texts, capacity=4096):
@@ -64,6 +70,17 @@ def test_packing_keeps_every_id(spark):
     assert check_packing(rows, texts) > 0.97
 
 
+def test_token_ids_equal_the_tokenizer():
+    rng = np.random.default_rng(7)
+    letters = list("abzABZ019.,;'-_é\u0301\u0308ß İıﬁ\x1c\x1d\x1e\x1f\x85\xa0\u2028\u3000\t\n\x0b\x0c\r中文한½²Ⅷ😀<|>")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 24))) for _ in range(4000)]
+    flat, counts = packing.encode_texts(texts, entries.tokenizer_path())
+    at = 0
+    for text, n, want in zip(texts, counts.tolist(), tokenizer().encode_batch(texts, add_special_tokens=False)):
+        assert flat[at : at + n].tolist() == want.ids, repr(text)
+        at += n
+
+
 def test_packing_odd_inputs(spark, odd, empty):
     unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = packing.pack_documents(unique, entries.tokenizer_path()).collect()
@@ -167,7 +184,37 @@ def test_mixing_stays_within_a_block(spark, odd, empty):
     assert sorted(r["position"] for r in got) == list(range(len(ODD)))
     assert mixing.pfair_mix(empty, {}).collect() == []
     with pytest.raises(ValueError):
-        mixing.pfair_mix(odd, {"a": 5000})
+        mixing.pfair_mix(odd, {"a": 0})
+
+
+def test_mixing_of_many_sources_and_large_weights(spark, monkeypatch):
+    """Over 4096 sources, with and without the broadcasts: every slot is served as by hand."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('s', if(id < 5000, id, id % 3)) as source")
+    weights = {"s0": 700, "s1": 90, "s2": 90}
+    names = sorted((f"s{i}" for i in range(5000)), key=lambda s: (-weights.get(s, 1), s))
+    want = pfair_by_hand([weights.get(s, 1) for s in names], 400)
+    for limit in (mixing.BROADCAST, 10):
+        monkeypatch.setattr(mixing, "BROADCAST", limit)
+        rows = mixing.pfair_mix(docs, weights, block_rows=1).collect()
+        assert sorted(r["position"] for r in rows) == list(range(6000))
+        at = {r["slot"]: r for r in rows}
+        assert len(at) == len(rows) and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+        served = Counter()
+        for t, i in enumerate(want):
+            n = served[i]
+            served[i] += 1
+            if names[i] in weights and n < 334:
+                assert at[t]["source"] == names[i] and at[t]["block"] == n
+        order = sorted(rows, key=lambda r: r["slot"])
+        assert [r["position"] for r in order] == list(range(6000))
+
+
+def test_null_ids_are_spread(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'a' as source", "concat('t', id) as text")
+    rows = mixing.pfair_mix(docs, {}, block_rows=4).collect()
+    assert sorted(r["position"] for r in rows) == list(range(3000))
+    made = sharding.shard_documents(docs, shards=4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in made) == [(s, i) for s in range(4) for i in range(sum(r["shard"] == s for r in made))]
 
 
 def test_components(spark):
