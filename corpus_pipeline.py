@@ -27,11 +27,6 @@ from tapewright.llm import entries, exact_dedup, mixing, ngram_join, packing, qu
 from tapewright.llm.common import read, written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is among `ids` (null ids equal each other)."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(quality.fold("doc_id", 4) != 2)
     model = quality.fit(docs, labels)
@@ -44,7 +39,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.similar_components(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    stays = F.max(F.col("doc_id") == F.col("component_id"))  # an id that repeats stays if one of its texts does
+    dropped = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(stays.alias("_stays")).where("NOT _stays").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 from .shingles import word_hashes
 
-FIT_PAGES = 400
+FIT_PAGES = 250
 FIT_BLOCKS = 200
-RENAMED = 8  # renamed copies of a training page
+RENAMED = 12  # renamed copies of a training page
 PATH_DIM, WORD_DIM, STATS_DIM, HIDDEN = 224, 24, 8, 16
 DIM = PATH_DIM + WORD_DIM + STATS_DIM
 
@@ -345,7 +345,7 @@ class BiLSTM:
             dc = np.where(m, dct * f, dc)
         grads["w" + side], grads["b" + side] = gw, gb
 
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 9) -> None:
+    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 9) -> None:
         """pages: (vectors, labels of 0, 1 or -1 for unknown); Adam on the logistic loss."""
         rng = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -408,7 +408,7 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             shown = [(page, labels, False), (page, labels, True), *((*renamed(page, labels, rng), False) for _ in range(RENAMED))]
             for kind, (p, y, hide) in enumerate(shown):
                 rows = slice(start, start + FIT_BLOCKS)
-                for c, v in zip(out, (page_id, kind, vectors(p, hide)[rows].tobytes(), y[rows])):
+                for c, v in zip(out, (page_id, kind, vectors(p, hide)[rows].astype(np.float16).tobytes(), y[rows])):
                     c.append(v)
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["id", "kind", "x", "y"])
@@ -420,7 +420,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows:
     found = bounded_sample(own, "id", rows).mapInArrow(_training_rows, "id long, kind int, x binary, y array<int>").toPandas()
     found = found.sort_values(["id", "kind"], kind="stable")
     model = BiLSTM()
-    model.train([(np.frombuffer(x, np.float32).reshape(-1, DIM), np.asarray(y, np.float32)) for x, y in zip(found["x"], found["y"])])
+    model.train([(np.frombuffer(x, np.float16).reshape(-1, DIM).astype(np.float32), np.asarray(y, np.float32)) for x, y in zip(found["x"], found["y"])])
     return model
 
 
