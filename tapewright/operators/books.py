@@ -1,55 +1,83 @@
-"""Portfolio books: weights, turnover, costs and gates. A previous book is a one-step self-join, never a loop."""
+"""Portfolio books: weights, turnover, costs and gates. A previous book is the row before in a window, never a loop."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import norm_cdf, norm_ppf
+
 
-def next_dates(book: DataFrame, date: str = "rebal_date") -> DataFrame:
-    """Each date of the book with the next one: one row per rebalance date."""
-    return book.select(date).distinct().withColumn("_next", F.lead(date).over(Window.orderBy(date)))
+def dated(book: DataFrame, date: str = "rebal_date") -> DataFrame:
+    """`book` with `_i`, the place of each row's date among the dates of the book: one row per date is numbered and given back."""
+    places = book.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))
+    return book.join(F.broadcast(places), date)  # a row per rebalance date
 
 
 def weight_diff(book: DataFrame, date: str = "rebal_date") -> DataFrame:
-    """Weights with the change against the previous date; symbols that left have weight 0."""
-    before = book.join(F.broadcast(next_dates(book, date)), date).where("_next IS NOT NULL").select(F.col("_next").alias(date), "symbol", F.col("weight").alias("_prev"))
-    both = book.select(date, "symbol", "weight").join(before, [date, "symbol"], "full_outer")
-    return both.select(date, "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.coalesce("weight", F.lit(0.0)) - F.coalesce("_prev", F.lit(0.0))).alias("delta"))
+    """Weights with the change against the previous date; symbols that left have weight 0.
+
+    Each holding is sent to its own date and, negated, to the next one, so a sum
+    per date and symbol gives the change without a join.
+    """
+    places = book.select(date).distinct().withColumn("_next", F.lead(date).over(Window.orderBy(date)))
+    sent = F.array(
+        F.struct(F.col(date).alias("d"), F.col("weight").alias("now"), F.col("weight").alias("change")),
+        F.struct(F.col("_next").alias("d"), F.lit(0.0).alias("now"), (-F.col("weight")).alias("change")),
+    )
+    both = book.join(F.broadcast(places), date).select("symbol", F.explode(sent).alias("x")).where("x.d IS NOT NULL")
+    return both.groupBy(F.col("x.d").alias(date), "symbol").agg(F.sum("x.now").alias("weight"), F.sum("x.change").alias("delta"))
 
 
 def normalized(book: DataFrame, date: str = "rebal_date") -> DataFrame:
     return book.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(date)))
 
 
-def portfolio(book: DataFrame, realized: DataFrame, bps: float = 30.0, date: str = "rebal_date") -> DataFrame:
-    """Gross and net return, turnover and equity per date of a weighted book."""
+def portfolio(book: DataFrame, bps: float = 30.0, date: str = "rebal_date") -> DataFrame:
+    """Gross and net return, turnover and equity per date of a weighted book (rebal_date, symbol, weight, realized)."""
     b = normalized(book, date)
-    gross = b.join(realized.select(date, "symbol", "realized"), [date, "symbol"]).groupBy(date).agg(F.sum(F.col("weight") * F.col("realized")).alias("gross"), F.count(F.lit(1)).alias("names"))
+    gross = b.groupBy(date).agg(F.sum(F.col("weight") * F.col("realized")).alias("gross"), F.count(F.lit(1)).alias("names"))
     turn = weight_diff(b, date).groupBy(date).agg(F.sum(F.abs("delta")).alias("turnover"))
     p = gross.join(turn, date).withColumn("net", F.col("gross") - F.col("turnover") * bps / 1e4)
     return p.withColumn("equity", F.product(1 + F.col("net")).over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def book_returns(held: DataFrame, leg: list[str], bps: float = 30.0, date: str = "rebal_date") -> DataFrame:
+    """(date, *leg, ret, cost) of equally weighted books: names that the leg did not hold on its previous date cost twice the rate."""
+    w = Window.partitionBy("symbol", *leg).orderBy("_i")
+    entered = F.coalesce(F.lag("_i").over(w) != F.col("_i") - 1, F.lit(True)).cast("double")
+    d = dated(held, date).withColumn("_new", entered)
+    return d.groupBy(date, *leg).agg(F.avg("realized").alias("ret"), (2 * F.avg("_new") * bps / 1e4).alias("cost"))
+
+
 def decile_book(deciled: DataFrame, bps: float = 30.0, date: str = "rebal_date", least: int = 10) -> DataFrame:
     """Equal-weight long (10) and short (1) books: entry turnover costs twice the rate on each leg."""
-    d = deciled.where("decile IN (1, 10)")
-    enough = deciled.groupBy(date).agg(F.count("decile").alias("_n")).where(F.col("_n") >= least).select(date)
-    d = d.join(F.broadcast(enough), date)
-    prev = d.join(F.broadcast(next_dates(d, date)), date).select(F.col("_next").alias(date), "symbol", "decile", F.lit(1).alias("_held"))
-    g = d.join(prev, [date, "symbol", "decile"], "left").groupBy(date, "decile").agg(F.avg("realized").alias("ret"), F.avg(F.col("_held").isNull().cast("double")).alias("turnover"))
-    g = g.withColumn("cost", 2 * F.col("turnover") * bps / 1e4)
+    many = F.count("decile").over(Window.partitionBy(date))
+    d = deciled.withColumn("_n", many).where((F.col("_n") >= least) & F.col("decile").isin(1, 10))
+    g = book_returns(d, ["decile"], bps, date)
     side = lambda k, c: F.max(F.when(F.col("decile") == k, F.col(c)))
     out = g.groupBy(date).agg(side(10, "ret").alias("long_gross"), side(1, "ret").alias("short_gross"), side(10, "cost").alias("_lc"), side(1, "cost").alias("_sc"))
     return out.select(date, "long_gross", "short_gross", (F.col("long_gross") - F.col("_lc")).alias("long_net"), (F.col("long_gross") - F.col("short_gross") - F.col("_lc") - F.col("_sc")).alias("ls_net"))
 
 
+def cut_grid(deciled: DataFrame, scores: DataFrame, cuts: tuple[int, ...] = (10, 9, 8), thresholds: tuple[float, ...] = (40, 50, 60), date: str = "rebal_date") -> DataFrame:
+    """(cut, threshold, months, sharpe, cagr) of the gated long books of the deciles from each cut, net of costs."""
+    from .stats import metrics
+
+    held = deciled.where("decile IS NOT NULL").withColumn("cut", F.explode(F.array(*map(F.lit, cuts)))).where("decile >= cut")
+    net = book_returns(held, ["cut"], date=date).select(date, "cut", (F.col("ret") - F.col("cost")).alias("net")).join(scores, date, "left")
+    cells = net.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    cells = cells.withColumn("ret", F.when(F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True)), F.col("net")).otherwise(0.0))
+    return metrics(cells, ["cut", "threshold"], "ret", date).select("cut", "threshold", "months", "sharpe", "cagr")
+
+
 def walkforward_gate(returns: DataFrame, scores: DataFrame, thresholds: list[float], least: int = 24, date: str = "rebal_date") -> DataFrame:
     """Per date the threshold whose gated past returns have the best Sharpe (ties: the lowest), applied to the date.
 
     Dates by thresholds is one small table; past statistics are expanding windows that end a row earlier.
     """
-    spark = returns.sparkSession
     r = returns.join(scores, date, "left").withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     r = r.withColumn("gated", F.when(F.coalesce(F.col("score") >= F.col("threshold"), F.lit(True)), F.col("ret")).otherwise(0.0))
     past = Window.partitionBy("threshold").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,17 +110,35 @@ def block_bootstrap(returns: DataFrame, draws: int = 500, block: int = 6, date:
     return s.agg(q.alias("q"), F.avg((F.col("sharpe") > 0).cast("double")).alias("p_positive")).select(*(F.col("q")[i].alias(x) for i, x in enumerate(("p05", "p50", "p95"))), "p_positive")
 
 
+def psr_z(benchmark) -> Column:
+    """The z score of a Sharpe ratio above a benchmark, from columns n, sr, skew and kurt."""
+    sr = F.col("sr")
+    spread = F.greatest(F.lit(1e-9), 1 - F.col("skew") * sr + (F.col("kurt") - 1) / 4 * sr * sr)
+    return (sr - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(spread)
+
+
 def psr(returns: DataFrame, benchmark: float = 0.0) -> DataFrame:
     """Probabilistic Sharpe ratio with bias-corrected skewness and kurtosis."""
-    from ..functions.core import norm_cdf
-
     n = F.count("ret")
     a = returns.agg(n.alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
     skew = F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2) * F.col("g1")
     kurt = (F.col("n") - 1) / ((F.col("n") - 2) * (F.col("n") - 3)) * ((F.col("n") + 1) * F.col("g2") + 6)
     a = a.withColumns({"skew": skew, "kurt": kurt + 3})
-    z = (F.col("sr") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr"))
-    return a.select("n", "sr", "skew", "kurt", norm_cdf(z).alias("psr"))
+    return a.select("n", "sr", "skew", "kurt", norm_cdf(psr_z(F.lit(benchmark))).alias("psr"))
+
+
+def deflated_sharpe(returns: DataFrame, trials: DataFrame, per_year: int = 12) -> DataFrame:
+    """psr of `returns` against the best Sharpe ratio that as many trials (sharpe, yearly) give by luck, and that ratio, yearly.
+
+    The expected best of N trials of variance V is sqrt(V) * ((1 - g) * z(1 - 1 / N) + g * z(1 - 1 / (N * e))), g being Euler's constant.
+    """
+    v = trials.agg(F.var_samp(F.col("sharpe") / per_year**0.5).alias("_v"), F.count("sharpe").alias("trials"))
+    g, n = 0.5772156649015329, F.col("trials")
+    once = F.try_divide(F.lit(1.0), n)  # null without trials
+    best = F.sqrt("_v") * ((1 - g) * norm_ppf(1 - once) + g * norm_ppf(1 - once / math.e))
+    figures = psr(returns).crossJoin(F.broadcast(v.select("trials", best.alias("_best"))))  # one row each
+    z = psr_z(F.col("_best"))
+    return figures.withColumns({"dsr": norm_cdf(z), "expected_best": F.col("_best") * per_year**0.5}).drop("_best")
 
 
 def cpcv_paths(dates: DataFrame, groups: int = 6, date: str = "rebal_date") -> DataFrame:
@@ -156,3 +202,72 @@ def shrink_weights(proposals: DataFrame, kappa: float = 100.0, least: int = 30,
     shrunk = (kappa * F.col("prior") + F.col("n") * F.col("estimate")) / (kappa + F.col("n"))
     capped = F.when(F.col("n") >= least, F.col("prior") + F.greatest(F.least(shrunk - F.col("prior"), F.lit(move)), F.lit(-move))).otherwise(F.col("prior"))
     return proposals.withColumn("raw", capped).withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy("group")))
+
+
+def capacity_curve(book: DataFrame, turnover: DataFrame, sizes: tuple[float, ...], k: float = 0.025, date: str = "rebal_date") -> DataFrame:
+    """(aum, impact, cost): square-root impact of buying a book (date, symbol, weight, adv) at each size, and times the mean turnover."""
+    sized = normalized(book, date).withColumn("aum", F.explode(F.array(*map(F.lit, sizes))))
+    share = F.least(F.try_divide(F.col("aum") * F.col("weight"), F.col("adv")), F.lit(10.0))
+    daily = sized.groupBy("aum", date).agg(F.sum(F.col("weight") * k * F.sqrt(share)).alias("_impact"))
+    mean = turnover.agg(F.avg("turnover").alias("_turn"))  # one row
+    return daily.groupBy("aum").agg(F.avg("_impact").alias("impact")).crossJoin(F.broadcast(mean)).select("aum", "impact", (F.col("impact") * F.col("_turn")).alias("cost"))
+
+
+def checked_orders(
+    book: DataFrame, prices: DataFrame, nav: float, cap: float = 0.06, ticket: float = 5_000.0, adv_share: float = 0.10, date: str = "rebal_date"
+) -> DataFrame:
+    """Orders that move each date's positions to the book's (date, symbol, weight), with the reason of each refusal.
+
+    Target shares are floor(nav * min(weight, cap) / price); symbols without a
+    price on the date are passed over. `prices` has (date, symbol, close, adv).
+    """
+    target = F.floor(nav * F.least("weight", F.lit(cap)) / F.col("close"))
+    held = book.select(date, "symbol", "weight").join(prices, [date, "symbol"]).select(date, "symbol", target.alias("weight"))
+    moves = weight_diff(held, date).where("delta <> 0").join(prices, [date, "symbol"])
+    notional = F.abs("delta") * F.col("close")
+    reason = (
+        F.when(notional < ticket, "ticket").when(notional > cap * nav * 1.05, "cap")
+        .when((F.col("adv") > 0) & (notional > adv_share * F.col("adv")), "adv").otherwise("ok")
+    )
+    return moves.select(date, "symbol", F.when(F.col("delta") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("delta").alias("shares"), notional.alias("notional"), reason.alias("verdict"))
+
+
+def lifecycle(cards: DataFrame, today: str, calendar_days: float = 365 / 252) -> DataFrame:
+    """Dates and progress of cards (trade_id, issue_date, horizon_td, entry, target, stop, price) as of a day."""
+    now = F.lit(today).cast("date")
+    made = cards.withColumn("target_date", F.date_add("issue_date", F.round(F.col("horizon_td") * calendar_days).cast("int")))
+    over = lambda a: F.try_divide(F.col(a), F.col("entry")) - 1
+    return made.select(
+        "trade_id", "issue_date", "target_date", F.datediff("target_date", now).alias("days_left"), F.datediff(now, "issue_date").alias("days_held"),
+        over("target").alias("profit_target"), over("stop").alias("stop_risk"), over("price").alias("pl"),
+        F.try_divide(F.col("price") - F.col("entry"), F.col("target") - F.col("entry")).alias("progress"),
+    )
+
+
+def weekly_stats(trades: DataFrame, high: float = 70.0, waiting_days: int = 63) -> DataFrame:
+    """Per week of (exit_date, realized, entry_price, stop, confidence, in_book): closed, hit, expectancy in R, confident losers, and the waitlist.
+
+    The waitlist counts cards outside the book in the `waiting_days` before the week's end.
+    """
+    week = F.date_trunc("week", "exit_date").cast("date")
+    risk = F.when((F.col("entry_price") > F.col("stop")) & (F.col("stop") > 0), F.col("realized") / ((F.col("entry_price") - F.col("stop")) / F.col("entry_price")))
+    g = trades.groupBy(week.alias("week")).agg(
+        F.count(F.lit(1)).alias("closed"), F.avg((F.col("realized") > 0).cast("double")).alias("hit"), F.avg(risk).alias("expectancy_r"),
+        F.count(F.when((F.col("confidence") >= high) & (F.col("realized") < 0), 1)).alias("confident_losers"), F.count(F.when(~F.col("in_book"), 1)).alias("_out"),
+    )
+    recent = Window.orderBy(F.unix_date("week")).rangeBetween(-waiting_days, 0)  # a row per week
+    return g.withColumn("waitlist", F.sum("_out").over(recent)).drop("_out")
+
+
+def context_tags(cards: DataFrame, events: DataFrame, days: int = 63) -> DataFrame:
+    """(rebal_date, symbol, context): JSON of each card's regime and sector and the kinds of events active before its date.
+
+    `events` is (symbol, event_date, kind); an event is active from the day after
+    it for `days` days. Cards and events share one sorted pass per symbol.
+    """
+    both = cards.select("symbol", F.col("rebal_date").alias("_d"), "regime", "sector", F.lit(None).cast("string").alias("kind")).unionByName(
+        events.select("symbol", F.col("event_date").alias("_d"), "kind"), allowMissingColumns=True
+    )
+    before = Window.partitionBy("symbol").orderBy(F.unix_date("_d")).rangeBetween(-days, -1)
+    tagged = both.withColumn("events", F.array_sort(F.collect_set("kind").over(before))).where("regime IS NOT NULL")
+    return tagged.select(F.col("_d").alias("rebal_date"), "symbol", F.to_json(F.struct("regime", "sector", "events")).alias("context"))

@@ -47,9 +47,10 @@ def bands(cards: DataFrame, capital: float = 1e7, risk: float = 1e4, widest: flo
     made = cards.where((F.col("entry") > 0) & (span > 0) & (span < 0.9)).withColumns(
         {"timeframe": F.when(strong, "positional").otherwise("swing"), "atr_k": F.when(strong, 2.75).otherwise(1.75)}
     )
-    made = made.withColumn("stop", F.round(F.col("entry") - F.least(F.col("entry") * F.col("atr_k") * span, F.col("entry") * widest), 2))
+    cents = lambda c: F.round(F.round(c, 6), 2)  # noqa: E731  (first without the noise of binary fractions)
+    made = made.withColumn("stop", cents(F.col("entry") - F.least(F.col("entry") * F.col("atr_k") * span, F.col("entry") * widest)))
     away = F.col("entry") - F.col("stop")
-    made = made.where(away > 0).withColumn("target", F.round(F.col("entry") + multiple * away, 2))
+    made = made.where(away > 0).withColumn("target", cents(F.col("entry") + multiple * away))
     size = F.least(F.floor(F.lit(risk) / away), F.floor(F.lit(largest * capital) / F.col("entry")))
     return made.withColumn("size", size.cast("long")).where("size >= 1 AND stop < entry AND entry < target")
 
@@ -66,7 +67,7 @@ def event_score(cards: DataFrame, events: DataFrame, horizon: int = 63) -> DataF
     at = asof(at, risky, ["symbol"], "rebal_date", "event_date", [], strict=True, max_days=horizon).withColumnRenamed("matched_on", "_risk")
     fresh = 1 - F.datediff("rebal_date", "_bull") / horizon
     return at.withColumns(
-        {"event_score": F.coalesce(clamp(50 + 50 * fresh), F.lit(50.0)), "at_risk": F.col("_risk").isNotNull()}
+        {"event_score": F.when(fresh.isNotNull(), clamp(50 + 50 * fresh)).otherwise(50.0), "at_risk": F.col("_risk").isNotNull()}
     ).drop("_bull", "_risk")
 
 

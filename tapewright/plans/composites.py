@@ -23,9 +23,6 @@ G("pit_universe", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, row_number()
   lambda t: S.universe_tiers(A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4)), by="_m", liquid_from=3e4).select("rebal_date", "symbol", "n_days", "adv_rank", "top100", "liquid"))
 G("shp_pit_universe", "filings bars", "WITH q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, count(*) AS days FROM bars GROUP BY 1, 2 HAVING count(*) >= 10), f AS (SELECT scrip, quarter, count(*) AS n, max(broadcast) AS b FROM filings GROUP BY 1, 2) SELECT q.symbol, q.quarter, days, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status FROM q LEFT JOIN f ON f.scrip = q.symbol AND f.quarter = q.quarter", "",
   lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count("*").alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count("*").alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
-ROLLW = lambda f, c, n: f"CASE WHEN count({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) >= {n} THEN {f}({c}) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING) END"
-G("feature_store_monthly", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, close / lag(close) {W} - 1 AS ret_1d FROM bars), f AS (SELECT symbol, date, close / lag(close, 21) {W} - 1 AS ret_1m, lag(close, 21) {W} / lag(close, 126) {W} - 1 AS mom_6_1, {ROLLW('stddev_samp', 'ret_1d', 63)} * sqrt(252) AS vol_3m, close / {ROLLW('max', 'close', 252)} AS prox_52w_high, lead(close, 21) {W} / close - 1 AS fwd_ret_1m FROM r) SELECT rebal_date, f.symbol, ret_1m, mom_6_1, vol_3m, prox_52w_high, fwd_ret_1m FROM f JOIN universe u ON u.symbol = f.symbol AND u.rebal_date = f.date",
-  "ret_1m mom_6_1 vol_3m prox_52w_high fwd_ret_1m", lambda t: S.forward_labels(S.prox_high(S.realized_vol(S.returns(t.bars))), {"fwd_ret_1m": 21}).withColumnRenamed("date", "rebal_date").join(A.universe_window(t.bars, t.month_ends, least=10).select("rebal_date", "symbol"), ["rebal_date", "symbol"]).select("rebal_date", "symbol", "ret_1m", "mom_6_1", "vol_3m", "prox_52w_high", "fwd_ret_1m"))
 G("fundamentals_pit", "statements filings", "SELECT s.symbol, s.quarter, coalesce(min(f.broadcast), CAST(s.quarter + 135 AS DATE)) AS pit_date, CASE WHEN min(f.broadcast) IS NULL THEN 'lag' ELSE 'filing' END AS dated_by FROM statements s LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.report_date AND f.broadcast <= s.report_date + 120 GROUP BY 1, 2", "",
   lambda t: t.statements.join(t.filings.select("scrip", "broadcast"), F.expr("scrip = symbol AND broadcast >= report_date AND broadcast <= date_add(report_date, 120)"), "left").groupBy("symbol", "quarter").agg(F.min("broadcast").alias("b")).select("symbol", "quarter", F.expr("coalesce(b, date_add(quarter, 135))").alias("pit_date"), F.when(F.col("b").isNull(), "lag").otherwise("filing").alias("dated_by")))
 G("fundamentals_features", "statements", "SELECT symbol, quarter, net_income, revenue, CASE WHEN revenue > 0 THEN net_income / revenue END AS roe FROM statements", "net_income revenue roe",

@@ -3,9 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.core import by_symbol, norm_cdf, parse_date, parse_number, parse_ratio
+from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, by_symbol, norm_cdf, norm_ppf, parse_date, parse_number, parse_ratio
 from ..operators.asof import align_ffill, asof
 from ..operators import series as S
+from ..sources.scratch import Scratch
 from .aggregates import G
 from .series import PANEL, PV, W, panel, sector_returns, SEC
 
@@ -70,11 +71,16 @@ NEXT = f"{PANEL}, nx AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY reba
 
 
 def realized(t):
-    """The panel with the return to the next rebalance date; rows without it drop out."""
-    p = panel(t)
-    nx = F.broadcast(t.month_ends.withColumn("next_date", F.lead("rebal_date").over(Window.orderBy("rebal_date"))))  # a row per month
-    q = p.select("symbol", F.col("rebal_date").alias("next_date"), F.col("close").alias("next_close"))
-    return p.join(nx, "rebal_date").join(q, ["symbol", "next_date"]).withColumn("realized", F.col("next_close") / F.col("close") - 1)
+    """The panel with the return to the next rebalance date; rows without it drop out.
+
+    Written once to the shared folder: books refer to it several times.
+    """
+    dates = t.month_ends.withColumn("_i", F.row_number().over(Window.orderBy("rebal_date")))  # a row per month
+    w = Window.partitionBy("symbol").orderBy("_i")
+    p = panel(t).join(F.broadcast(dates), "rebal_date")
+    follows = F.lead("_i").over(w) == F.col("_i") + 1
+    p = p.withColumn("realized", F.when(follows, F.lead("close").over(w) / F.col("close") - 1)).where("realized IS NOT NULL")
+    return Scratch(t.spark).written(p.drop("_i"), "panel")
 
 
 G("join_next_rebalance", PV, f"WITH {NEXT} SELECT rebal_date, symbol, realized FROM rz", "realized", lambda t: realized(t).select("rebal_date", "symbol", "realized"))
@@ -149,4 +155,8 @@ G("fn_json_build", "", "SELECT o_custkey, '{' || string_agg('\"' || o_orderstatu
 G("fn_filing_identity", "filings", "SELECT filing_id, 'bse:' || scrip || ':' || CAST(quarter AS VARCHAR) || ':' || substr(sha1(CAST(filing_id AS VARCHAR)), 1, 10) AS ref FROM filings", "", lambda t: t.filings.select("filing_id", F.concat_ws(":", F.lit("bse"), "scrip", F.col("quarter").cast("string"), F.substring(F.sha1(F.col("filing_id").cast("string").cast("binary")), 1, 10)).alias("ref")))
 G("fn_clip_round", "bars", f"SELECT symbol, date, greatest(least(round((close / lag(close) {W} - 1) * 10, 4), 3), -3) AS r FROM bars QUALIFY lag(close) {W} IS NOT NULL", "r", lambda t: S.returns(t.bars).where("ret_1d IS NOT NULL").select("symbol", "date", F.greatest(F.least(F.round(F.col("ret_1d") * 10, 4), F.lit(3.0)), F.lit(-3.0)).alias("r")), 4)
 ERF = "(0.5 * (1 + sign(x) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(x)) - 1.453152027) / (1 + 0.3275911 * abs(x)) + 1.421413741) / (1 + 0.3275911 * abs(x)) - 0.284496736) / (1 + 0.3275911 * abs(x)) + 0.254829592) / (1 + 0.3275911 * abs(x)) * exp(-x * x))))"
-G("fn_norm_cdf_ppf", "", f"SELECT event_id, {ERF} AS cdf FROM (SELECT event_id, (value / 10 - 2) / sqrt(2) AS x FROM events)", "cdf", lambda t: t.events.select("event_id", norm_cdf(F.col("value") / 10 - 2).alias("cdf")))
+PPF_SQL = lambda cs, x: "(" * (len(cs) - 1) + f"{cs[0]!r}" + "".join(f" * {x} + {c!r})" for c in cs[1:])
+G("fn_norm_cdf_ppf", "", f"""WITH n AS (SELECT event_id, {ERF} AS cdf, (event_id % 997 + 1) / 998.0 AS p FROM (SELECT event_id, (value / 10 - 2) / sqrt(2) AS x FROM events)),
+  q AS (SELECT *, CAST(least(p, 1 - p) AS DOUBLE) AS l, CAST(p - 0.5 AS DOUBLE) AS h FROM n), r AS (SELECT *, sqrt(-2 * ln(l)) AS tail, h * h AS s FROM q)
+  SELECT event_id, cdf, CASE WHEN l >= {PPF_TAIL} THEN {PPF_SQL(PPF_A, "s")} * h / {PPF_SQL(PPF_B, "s")} ELSE sign(0.5 - p) * {PPF_SQL(PPF_C, "tail")} / {PPF_SQL(PPF_D, "tail")} END AS ppf FROM r""", "cdf ppf",
+  lambda t: t.events.select("event_id", norm_cdf(F.col("value") / 10 - 2).alias("cdf"), norm_ppf((F.col("event_id") % 997 + 1) / 998.0).alias("ppf")))

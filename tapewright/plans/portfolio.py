@@ -1,15 +1,18 @@
 """Queries over books, back-tests, validation, recommendations and risk."""
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.core import qcut_decile, rank_pct
+from ..functions.core import by_symbol, qcut_decile, rank_pct
 from ..operators import books as B
 from ..operators import series as S
 from ..operators import stats as A
 from .aggregates import BREADTH, G
 from .joins import NEXT, realized
-from .series import DEC, PV, W, panel
+from .series import DEC, PANEL, PV, SMA, panel
 
 DR = f"{NEXT}, dr AS (SELECT *, {DEC('mom')} AS decile FROM rz)"
 book = lambda t: realized(t).withColumn("decile", qcut_decile("mom", "rebal_date"))
@@ -20,35 +23,33 @@ G("bt_decile_book", PV, f"WITH {BOOK} SELECT * FROM db", "long_gross short_gross
 SWEEP = "0, 10, 20, 30, 50"
 G("bt_cost_sweep", PV, f"WITH {BOOK} SELECT bps, avg(long_gross - (long_gross - long_net) / 30 * bps) AS mean_net, count(*) AS n FROM db, (SELECT unnest([{SWEEP}]) AS bps) GROUP BY 1", "mean_net",
   lambda t: B.decile_book(book(t)).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 20, 30, 50))))).groupBy("bps").agg(F.avg(F.col("long_gross") - (F.col("long_gross") - F.col("long_net")) / 30 * F.col("bps")).alias("mean_net"), F.count("*").alias("n")))
-STRATEGIES = {
-    "momentum_delivery_lowvol": ("mom", 1), "low_volatility": ("prox", 1), "short_term_reversal": ("mom", -1), "high52_breakout": ("prox", 1),
-    "value_earnings_yield": ("close", -1), "quality_roe": ("turnover", 1), "dividend_yield": ("close", 1),
-}
-
-
-def top_decile(t, col, sign):
-    r = realized(t).withColumn("_x", F.col(col) * sign).withColumn("decile", qcut_decile("_x", "rebal_date")).where("decile = 10")
-    return r.select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized")
-
-
-for _name, (_col, _sign) in STRATEGIES.items():
-    G(f"strategy_{_name}", PV, f"WITH {NEXT}, sx AS (SELECT *, {_col} * {_sign} AS x FROM rz), sd AS (SELECT *, {DEC('x')} AS decile FROM sx) SELECT rebal_date, symbol, 1.0 AS weight FROM sd WHERE decile = 10", "weight",
-      lambda t, c=_col, s=_sign: top_decile(t, c, s).drop("realized"))
-G("strategy_sector_rotation", PV, f"WITH {NEXT}, sm AS (SELECT rebal_date, sector, rank() OVER (PARTITION BY rebal_date ORDER BY round(avg(mom), 10) DESC) AS k FROM rz GROUP BY 1, 2 HAVING avg(mom) IS NOT NULL) SELECT rebal_date, symbol, 1.0 AS weight FROM rz JOIN sm USING (rebal_date, sector) WHERE k <= 3", "weight",
-  lambda t: (lambda r: r.join(r.groupBy("rebal_date", "sector").agg(F.round(F.avg("mom"), 10).alias("m")).where("m IS NOT NULL").withColumn("k", F.rank().over(Window.partitionBy("rebal_date").orderBy(F.desc("m")))).where("k <= 3"), ["rebal_date", "sector"]).select("rebal_date", "symbol", F.lit(1.0).alias("weight")))(realized(t)))
 PF = f"""{NEXT}, wb AS (SELECT rebal_date, symbol, realized, 1.0 / count(*) OVER (PARTITION BY rebal_date) AS weight FROM rz WHERE prox > 0.9), wn AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM wb)), wp AS (SELECT nxt AS rebal_date, symbol, weight AS pw FROM wb JOIN wn USING (rebal_date) WHERE nxt IS NOT NULL),
   df AS (SELECT rebal_date, symbol, coalesce(weight, 0) AS weight, coalesce(weight, 0) - coalesce(pw, 0) AS delta FROM wb FULL JOIN wp USING (rebal_date, symbol)), pf AS (SELECT g.rebal_date, gross, names, turnover, gross - turnover * 30 / 1e4 AS net FROM (SELECT rebal_date, sum(weight * realized) AS gross, count(*) AS names FROM wb GROUP BY 1) g JOIN (SELECT rebal_date, sum(abs(delta)) AS turnover FROM df GROUP BY 1) USING (rebal_date))"""
-near_high = lambda t: realized(t).where("prox > 0.9").select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized", "turnover")
-folio = lambda t: (lambda b: B.portfolio(b.drop("realized", "turnover"), b))(near_high(t))
+near_high = lambda t: realized(t).where("prox > 0.9").select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized", "close", "turnover")
+folio = lambda t: B.portfolio(near_high(t))
 G("bt_portfolio", PV, f"WITH {PF} SELECT *, product(1 + net) OVER (ORDER BY rebal_date) AS equity FROM pf", "gross turnover net equity", folio)
 G("bt_trades", PV, f"WITH {PF} SELECT rebal_date, symbol, delta, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side FROM df WHERE abs(delta) > 1e-6", "delta",
   lambda t: B.weight_diff(B.normalized(near_high(t))).where("abs(delta) > 1e-6").select("rebal_date", "symbol", "delta", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side")))
 G("bt_holdings", PV, f"WITH {PF} SELECT rebal_date, symbol, weight FROM wb", "weight", lambda t: B.normalized(near_high(t)).select("rebal_date", "symbol", "weight"))
 G("bt_weighted_book", PV, f"WITH {NEXT}, iv AS (SELECT rebal_date, symbol, realized, 1 / greatest(prox, 0.05) AS w FROM rz), s AS (SELECT rebal_date, sum(w * realized) / sum(w) AS ret, count(*) AS names FROM iv GROUP BY 1) SELECT * FROM s WHERE names >= 5", "ret",
   lambda t: realized(t).withColumn("w", 1 / F.greatest("prox", F.lit(0.05))).groupBy("rebal_date").agg((F.sum(F.col("w") * F.col("realized")) / F.sum("w")).alias("ret"), F.count("*").alias("names")).where("names >= 5"))
-G("bt_capacity_curve", PV, f"WITH {PF}, a AS (SELECT aum, avg(0.025 * sqrt(least(aum * wb.weight / rz.turnover, 10))) AS impact FROM wb JOIN rz USING (rebal_date, symbol), (SELECT unnest([10000.0, 100000.0, 1000000.0]) AS aum) GROUP BY 1) SELECT aum, impact, impact * (SELECT avg(turnover) FROM pf) AS cost FROM a", "aum impact cost",
-  lambda t: (lambda a, c: a.crossJoin(F.broadcast(c)).select("aum", "impact", (F.col("impact") * F.col("c")).alias("cost")))(
-      B.normalized(near_high(t)).withColumn("aum", F.explode(F.array(*map(F.lit, (1e4, 1e5, 1e6))))).groupBy("aum").agg(F.avg(0.025 * F.sqrt(F.least(F.col("aum") * F.col("weight") / F.col("turnover"), F.lit(10.0)))).alias("impact")), folio(t).agg(F.avg("turnover").alias("c"))))
+ADV = f"av AS (SELECT symbol, date AS rebal_date, avg(close * volume) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS adv FROM bars)"
+
+
+def with_adv(t, book):
+    """The book with the mean turnover of the last five bars."""
+    adv = F.avg(F.col("close") * F.col("volume")).over(by_symbol().rowsBetween(-4, 0))
+    return book.join(t.bars.select("symbol", F.col("date").alias("rebal_date"), adv.alias("adv")), ["symbol", "rebal_date"])
+
+
+def capacity(t):
+    book = near_high(t)
+    return B.capacity_curve(with_adv(t, book), B.portfolio(book), (1e4, 1e5, 1e6))
+
+
+G("bt_capacity_curve", PV, f"""WITH {PF}, {ADV}, ia AS (SELECT aum, rebal_date, sum(weight * 0.025 * sqrt(least(aum * weight / nullif(adv, 0), 10))) AS i
+    FROM wb JOIN av USING (rebal_date, symbol), (SELECT unnest([10000.0, 100000.0, 1000000.0]) AS aum) GROUP BY 1, 2)
+  SELECT CAST(aum AS DOUBLE) AS aum, avg(i) AS impact, avg(i) * (SELECT avg(turnover) FROM pf) AS cost FROM ia GROUP BY 1""", "aum impact cost", capacity)
 GATE = f"{PF}, {BREADTH}, gt AS (SELECT rebal_date, net AS ret, pct_above_200dma AS score FROM pf LEFT JOIN breadth ON date = rebal_date)"
 gate_in = lambda t: (folio(t).select("rebal_date", F.col("net").alias("ret")), A.breadth(t.bars).select(F.col("date").alias("rebal_date"), F.col("pct_above_200dma").alias("score")))
 G("bt_gate_threshold", PV, f"WITH {GATE} SELECT rebal_date, CASE WHEN coalesce(score >= 50, true) THEN ret ELSE 0 END AS ret FROM gt", "ret",
@@ -62,52 +63,84 @@ G("bt_gate_compare", PV, f"WITH {WF}, c AS (SELECT wf.ret AS a, gt.ret AS b FROM
 IW = """ul AS (SELECT rebal_date, symbol, fwd, 'mom' AS signal, mom AS v FROM panel UNION ALL SELECT rebal_date, symbol, fwd, 'prox', prox FROM panel), uf AS (SELECT * FROM ul WHERE v IS NOT NULL AND fwd IS NOT NULL), ur AS (SELECT rebal_date, signal, rank() OVER (PARTITION BY rebal_date, signal ORDER BY v) + (count(*) OVER (PARTITION BY rebal_date, signal, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rebal_date, signal ORDER BY fwd) + (count(*) OVER (PARTITION BY rebal_date, signal, fwd) - 1) / 2.0 AS b FROM uf),
   ui AS (SELECT rebal_date, signal, corr(a, b) AS ic FROM ur GROUP BY 1, 2 HAVING count(*) >= 5), up AS (SELECT *, avg(ic) OVER w AS m, count(ic) OVER w AS n FROM ui WINDOW w AS (PARTITION BY signal ORDER BY rebal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), iw AS (SELECT rebal_date, signal, coalesce(greatest(m, 0) / nullif(sum(greatest(m, 0)) OVER (PARTITION BY rebal_date), 0), 0) AS weight FROM up WHERE n >= 12)"""
 G("bt_ic_weighted", PV, f"WITH {NEXT}, {IW} SELECT * FROM iw", "weight", lambda t: B.ic_weighted(panel(t), ["mom", "prox"], "fwd"), 5)
-G("bt_param_grid", PV, f"WITH {DR} SELECT cut, avg(realized) AS mean_ret, count(*) AS n FROM dr, (SELECT unnest([7, 8, 9, 10]) AS cut) WHERE decile >= cut GROUP BY 1", "mean_ret",
-  lambda t: book(t).withColumn("cut", F.explode(F.array(*map(F.lit, (7, 8, 9, 10))))).where("decile >= cut").groupBy("cut").agg(F.avg("realized").alias("mean_ret"), F.count("*").alias("n")))
+GRID = f"""{DR}, {BREADTH}, cg AS (SELECT dr.*, cut FROM dr, (SELECT unnest([10, 9, 8]) AS cut) WHERE decile >= cut),
+  cn AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM cg)),
+  ch AS (SELECT nxt AS rebal_date, symbol, cut, 1 AS held FROM cg JOIN cn USING (rebal_date)),
+  cr AS (SELECT rebal_date, cut, avg(realized) - 2 * avg(CAST(held IS NULL AS DOUBLE)) * 30 / 1e4 AS net FROM cg LEFT JOIN ch USING (rebal_date, symbol, cut) GROUP BY 1, 2),
+  cc AS (SELECT cut, th, rebal_date, CASE WHEN coalesce(pct_above_200dma >= th, true) THEN net ELSE 0 END AS ret FROM cr LEFT JOIN breadth ON date = rebal_date,
+    (SELECT unnest([40.0, 50.0, 60.0]) AS th)),
+  grid AS (SELECT cut, CAST(th AS DOUBLE) AS threshold, count(*) AS months, avg(ret) * sqrt(12) / nullif(stddev_samp(ret), 0) AS sharpe,
+    CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 12.0 / count(*)) - 1 END AS cagr FROM cc GROUP BY 1, 2 HAVING count(*) >= 12)"""
+breadth_scores = lambda t: A.breadth(t.bars).select(F.col("date").alias("rebal_date"), F.col("pct_above_200dma").alias("score"))
+grid = lambda t: B.cut_grid(book(t), breadth_scores(t))
+G("bt_param_grid", PV, f"WITH {GRID} SELECT * FROM grid", "threshold sharpe cagr", grid, 5)
 NC = "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))"
-G("bt_psr_dsr", PV, f"WITH {PF}, m AS (SELECT count(net) AS n, avg(net) / stddev_samp(net) AS sr, skewness(net) AS skew, kurtosis(net) + 3 AS kurt FROM pf), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) / sqrt(2) AS z FROM m) SELECT n, sr, skew, kurt, {NC.replace('Z', 'z')} AS psr FROM z", "sr skew kurt psr",
-  lambda t: B.psr(folio(t).select(F.col("net").alias("ret"))), 5)
+PPF = {n: NormalDist().inv_cdf(p) for n, p in (("a", 1 - 1 / 9), ("b", 1 - 1 / (9 * math.e)))}
+PSR_Z = lambda b: f"(sr - {b}) * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) / sqrt(2)"
+G("bt_psr_dsr", PV, f"""WITH {PF}, {GRID[len(NEXT) + 2:]}, m AS (SELECT count(net) AS n, avg(net) / stddev_samp(net) AS sr, skewness(net) AS skew, kurtosis(net) + 3 AS kurt FROM pf),
+  tv AS (SELECT var_samp(sharpe / sqrt(12)) AS v, count(sharpe) AS trials FROM grid), eb AS (SELECT m.*, trials, sqrt(v) * ((1 - 0.5772156649015329) * {PPF["a"]!r} + 0.5772156649015329 * {PPF["b"]!r}) AS best FROM m, tv),
+  z AS (SELECT *, {PSR_Z("0")} AS z0, {PSR_Z("best")} AS z1 FROM eb)
+  SELECT n, sr, skew, kurt, {NC.replace('Z', 'z0')} AS psr, trials, {NC.replace('Z', 'z1')} AS dsr, best * sqrt(12) AS expected_best FROM z""", "sr skew kurt psr dsr expected_best",
+  lambda t: B.deflated_sharpe(folio(t).select(F.col("net").alias("ret")), grid(t)), 5)
 G("bt_block_bootstrap", PV, None, "", lambda t: B.block_bootstrap(folio(t).select("rebal_date", F.col("net").alias("ret"))))
 G("bt_drift_corr", PV, f"WITH {PF} SELECT corr(net, p) AS drift_corr, count(p) AS n FROM (SELECT net, lag(net) OVER (ORDER BY rebal_date) AS p FROM pf)", "drift_corr", lambda t: folio(t).withColumn("p", F.lag("net").over(Window.orderBy("rebal_date"))).agg(F.corr("net", "p").alias("drift_corr"), F.count("p").alias("n")))
 G("cpcv_paths", "bars month_ends", """WITH d AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) - 1 AS i, count(*) OVER () AS n FROM month_ends), g AS (SELECT rebal_date, i, CAST(floor(i * 6 / n) AS INTEGER) AS g FROM d), p AS (SELECT rebal_date, i, CAST(a.x AS INTEGER) AS g1, CAST(b.x AS INTEGER) AS g2, g = a.x OR g = b.x AS test FROM g, range(6) a(x), range(6) b(x) WHERE a.x < b.x)
   SELECT rebal_date, g1, g2, CASE WHEN test THEN 'test' WHEN coalesce(lag(test) OVER w, false) OR coalesce(lead(test) OVER w, false) THEN 'purged' ELSE 'train' END AS role FROM p WINDOW w AS (PARTITION BY g1, g2 ORDER BY i)""", "", lambda t: B.cpcv_paths(t.month_ends))
 G("ml_ensemble_rank", PV, f"WITH {NEXT} SELECT rebal_date, symbol, ((rank() OVER (PARTITION BY rebal_date ORDER BY prox) + (count(*) OVER (PARTITION BY rebal_date, prox) - 1) / 2.0) / count(*) OVER (PARTITION BY rebal_date) + (rank() OVER (PARTITION BY rebal_date ORDER BY turnover) + (count(*) OVER (PARTITION BY rebal_date, turnover) - 1) / 2.0) / count(*) OVER (PARTITION BY rebal_date)) / 2 AS score FROM panel", "score",
   lambda t: panel(t).select("rebal_date", "symbol", ((rank_pct("prox", "rebal_date") + rank_pct("turnover", "rebal_date")) / 2).alias("score")))
-FNO = "fo AS (SELECT date AS d, symbol, coalesce(sum(open_int) FILTER (option_typ = 'PE'), 0) / sum(open_int) FILTER (option_typ = 'CE') AS pcr FROM option_chain GROUP BY 1, 2), fl AS (SELECT last_day(rebal_date) AS d, symbol, fwd FROM panel), fr AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY pcr) + (count(*) OVER (PARTITION BY d, pcr) - 1) / 2.0 AS a, rank() OVER (PARTITION BY d ORDER BY fwd) + (count(*) OVER (PARTITION BY d, fwd) - 1) / 2.0 AS b FROM fo JOIN fl USING (d, symbol) WHERE pcr IS NOT NULL AND fwd IS NOT NULL)"
-G("fno_feature_ic", PV + " option_chain", f"WITH {NEXT}, {FNO} SELECT d, corr(a, b) AS ic, count(*) AS n FROM fr GROUP BY 1 HAVING count(*) >= 8", "ic",
-  lambda t: A.rank_ic(A.pcr(t.option_chain).withColumnRenamed("date", "d").join(panel(t).select(F.last_day("rebal_date").alias("d"), "symbol", "fwd"), ["d", "symbol"]), "pcr_oi", "fwd", "d", 8))
-
-# recommendations, cards, risk
-RECO = f"rc AS (SELECT rebal_date AS entry_date, symbol, close AS entry, close * (1 + 1.5 * 0.06) AS target, close * (1 - 0.06) AS stop FROM panel QUALIFY row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) <= 5)"
-reco = lambda t: S.top_k(panel(t), 5, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select(F.col("rebal_date").alias("entry_date"), "symbol", F.col("close").alias("entry"), (F.col("close") * (1 + 1.5 * 0.06)).alias("target"), (F.col("close") * (1 - 0.06)).alias("stop"))
-G("reco_generate", PV, f"WITH {NEXT}, {RECO} SELECT * FROM rc", "entry target stop", reco)
-TOUCH = lambda first: f"""bn AS (SELECT *, row_number() {W} AS n FROM bars), pa AS (SELECT r.symbol, r.entry_date, r.entry, r.target, r.stop, b.n, b.date, b.close, {first} AS hit FROM rc r JOIN bn e ON e.symbol = r.symbol AND e.date = r.entry_date JOIN bn b ON b.symbol = r.symbol AND b.n > e.n AND b.n <= e.n + 21),
-  tc AS (SELECT symbol, entry_date, any_value(entry) AS entry, any_value(target) AS target, any_value(stop) AS stop, coalesce(min_by(hit, n) FILTER (hit IS NOT NULL), 'expired') AS outcome, coalesce(min(date) FILTER (hit IS NOT NULL), max(date)) AS exit_date, max_by(close, n) AS z FROM pa GROUP BY 1, 2)"""
-TF, SF_ = "CASE WHEN b.high >= r.target THEN 'target' WHEN b.low <= r.stop THEN 'stop' END", "CASE WHEN b.low <= r.stop THEN 'stop' WHEN b.high >= r.target THEN 'target' END"
-for _k, _first in (("reco_first_touch", True), ("exit_variants", False)):
-    G(_k, PV, f"WITH {NEXT}, {RECO}, {TOUCH(TF if _first else SF_)} SELECT symbol, entry_date, outcome, exit_date, CASE outcome WHEN 'target' THEN target WHEN 'stop' THEN stop ELSE z END / entry - 1 AS realized FROM tc", "realized",
-      lambda t, f=_first: B.first_touch(reco(t), t.bars, 21, target_first=f))
-G("idea_bands", PV, f"WITH {NEXT} SELECT rebal_date, symbol, CASE WHEN prox > 0.9 THEN 'swing' ELSE 'positional' END AS timeframe, close * (1 - least(0.1, 1.75 * (1 - prox) / 4 + 0.02)) AS stop, least(1e4 / (close * least(0.1, 1.75 * (1 - prox) / 4 + 0.02)), 1e5 / close) AS size FROM panel", "stop size",
-  lambda t: (lambda d: panel(t).select("rebal_date", "symbol", F.when(F.col("prox") > 0.9, "swing").otherwise("positional").alias("timeframe"), (F.col("close") * (1 - d)).alias("stop"), F.least(1e4 / (F.col("close") * d), 1e5 / F.col("close")).alias("size")))(F.least(F.lit(0.1), 1.75 * (1 - F.col("prox")) / 4 + 0.02)), 4)
+FNO = """fo AS (SELECT date AS d, symbol, coalesce(sum(open_int) FILTER (option_typ = 'PE'), 0) / sum(open_int) FILTER (option_typ = 'CE') AS pcr, sum(open_int) AS oi FROM option_chain GROUP BY 1, 2),
+  fm AS (SELECT *, oi / lag(oi) OVER (PARTITION BY symbol ORDER BY d) - 1 AS oi_chg FROM fo), fz AS (SELECT *, (oi_chg - avg(oi_chg) OVER (PARTITION BY d)) / nullif(stddev_pop(oi_chg) OVER (PARTITION BY d), 0) AS oi_z FROM fm),
+  fl AS (SELECT last_day(rebal_date) AS d, symbol, fwd FROM panel), fv AS (SELECT d, symbol, fwd, 'pcr_oi' AS feature, pcr AS v FROM fz JOIN fl USING (d, symbol) UNION ALL SELECT d, symbol, fwd, 'oi_chg', oi_chg FROM fz JOIN fl USING (d, symbol)
+    UNION ALL SELECT d, symbol, fwd, 'oi_z', round(oi_z, 9) FROM fz JOIN fl USING (d, symbol)),
+  fr AS (SELECT feature, d, rank() OVER (PARTITION BY feature, d ORDER BY v) + (count(*) OVER (PARTITION BY feature, d, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature, d ORDER BY fwd) + (count(*) OVER (PARTITION BY feature, d, fwd) - 1) / 2.0 AS b
+    FROM fv WHERE v IS NOT NULL AND fwd IS NOT NULL)"""
+
+
+def option_features(t):
+    """Put-call ratio, change of open interest and its z-score against the forward return, per month end."""
+    oi = A.pcr(t.option_chain).withColumn("oi", F.col("call_oi") + F.col("put_oi")).withColumn("oi_chg", F.col("oi") / F.lag("oi").over(by_symbol()) - 1)
+    w = Window.partitionBy("date")
+    oi = oi.withColumn("oi_z", F.round(F.try_divide(F.col("oi_chg") - F.avg("oi_chg").over(w), F.stddev_pop("oi_chg").over(w)), 9))
+    labels = panel(t).select(F.last_day("rebal_date").alias("date"), "symbol", "fwd")
+    return oi.join(labels, ["date", "symbol"]).unpivot(["date", "symbol", "fwd"], ["pcr_oi", "oi_chg", "oi_z"], "feature", "v")
+
+
+def option_ic(t):
+    keyed = option_features(t).withColumn("_k", F.struct("feature", F.col("date").alias("d")))
+    return A.rank_ic(keyed, "v", "fwd", "_k", 8).select("_k.*", "ic", "n")
+
+
+G("fno_feature_ic", PV + " option_chain", f"WITH {NEXT}, {FNO} SELECT feature, d, corr(a, b) AS ic, count(*) AS n FROM fr GROUP BY 1, 2 HAVING count(*) >= 8", "ic", option_ic, 5)
+
+# cards, risk
 G("idea_book_greedy", "", None, "", lambda t: B.greedy_book(t.orders.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_totalprice").alias("notional"), (F.col("o_custkey") % 97).cast("double").alias("confidence")), 5e5))
-G("idea_context_tags", "sector_map insider_trades", "SELECT symbol, sector, list_sort(list(DISTINCT transaction_type))[1] AS first_tag, count(DISTINCT transaction_type) AS tags FROM insider_trades JOIN sector_map USING (symbol) GROUP BY 1, 2", "",
-  lambda t: t.insider_trades.join(F.broadcast(t.sector_map.select("symbol", "sector")), "symbol").groupBy("symbol", "sector").agg(F.min("transaction_type").alias("first_tag"), F.count_distinct("transaction_type").alias("tags")))
-G("idea_lifecycle", "trades", "SELECT trade_id, exit_date + 30 AS target_date, CAST(DATE '2000-06-30' - exit_date AS INTEGER) AS age, greatest(0, least(1, realized / 0.06)) AS progress FROM trades", "progress",
-  lambda t: t.trades.select("trade_id", F.date_add("exit_date", 30).alias("target_date"), F.datediff(F.lit("2000-06-30").cast("date"), "exit_date").alias("age"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("realized") / 0.06)).alias("progress")))
-SCORE = "ps AS (SELECT rebal_date, symbol, 100 * cume_dist() OVER (PARTITION BY rebal_date ORDER BY turnover) AS liquidity, 100 * cume_dist() OVER (PARTITION BY rebal_date ORDER BY prox) AS technical FROM panel)"
-pillars = lambda t: (lambda w: panel(t).select("rebal_date", "symbol", (F.cume_dist().over(w.orderBy("turnover")) * 100).alias("liquidity"), (F.cume_dist().over(w.orderBy("prox")) * 100).alias("technical")))(Window.partitionBy("rebal_date"))
-G("score_pillars", PV, f"WITH {NEXT}, {SCORE} SELECT * FROM ps", "liquidity technical", pillars)
-G("score_confidence", PV, f"WITH {NEXT}, {SCORE} SELECT rebal_date, symbol, least(70, greatest(0, 0.4 * liquidity + 0.6 * technical)) AS confidence FROM ps", "confidence",
-  lambda t: pillars(t).unpivot(["rebal_date", "symbol"], ["liquidity", "technical"], "pillar", "v").withColumn("w", F.when(F.col("pillar") == "liquidity", 0.4).otherwise(0.6)).groupBy("rebal_date", "symbol").agg(F.least(F.lit(70.0), F.greatest(F.lit(0.0), F.sum(F.col("v") * F.col("w")))).alias("confidence")), 5)
+G("idea_context_tags", PV + " corporate_actions", f"""WITH {PANEL}, {SMA}, rg AS (SELECT symbol, date, CASE WHEN close > s50 AND s50 > s200 THEN 'bull' WHEN close < s50 AND s50 < s200 THEN 'bear' ELSE 'sideways' END AS regime FROM a)
+  SELECT p.rebal_date, p.symbol, CAST(to_json({{'regime': any_value(regime), 'sector': any_value(sector), 'events': coalesce(list_sort(list(DISTINCT action_type) FILTER (action_type IS NOT NULL)), [])}}) AS VARCHAR) AS context
+  FROM panel p JOIN rg ON rg.symbol = p.symbol AND rg.date = p.rebal_date LEFT JOIN corporate_actions c ON c.symbol = p.symbol AND c.date < p.rebal_date AND c.date >= p.rebal_date - 63 GROUP BY 1, 2""", "",
+  lambda t: B.context_tags(panel(t).join(S.regime_label(t.bars).select("symbol", F.col("date").alias("rebal_date"), "regime"), ["symbol", "rebal_date"]),
+                           t.corporate_actions.select("symbol", F.col("date").alias("event_date"), F.col("action_type").alias("kind"))))
+HORIZON = "CASE WHEN CAST(strategy AS INTEGER) % 2 = 0 THEN 21 ELSE 63 END"
+G("idea_lifecycle", "trades", f"""WITH c AS (SELECT trade_id, exit_date AS issue_date, exit_date + CAST(round({HORIZON} * 365 / 252.0) AS INTEGER) AS target_date, entry_price AS entry, entry_price * 1.09 AS target, stop, entry_price * (1 + realized) AS price FROM trades)
+  SELECT trade_id, issue_date, target_date, CAST(target_date - DATE '2000-06-30' AS INTEGER) AS days_left, CAST(DATE '2000-06-30' - issue_date AS INTEGER) AS days_held, target / entry - 1 AS profit_target, stop / entry - 1 AS stop_risk, price / entry - 1 AS pl,
+    (price - entry) / (target - entry) AS progress FROM c""", "profit_target stop_risk pl progress",
+  lambda t: B.lifecycle(t.trades.select("trade_id", F.col("exit_date").alias("issue_date"), F.expr(HORIZON).alias("horizon_td"), F.col("entry_price").alias("entry"), (F.col("entry_price") * 1.09).alias("target"), "stop",
+                                        (F.col("entry_price") * (1 + F.col("realized"))).alias("price")), "2000-06-30"))
 G("score_weight_shrink", "trades", "WITH e AS (SELECT strategy, count(*) AS n, 0.1 AS prior, avg(CAST(realized > 0 AS DOUBLE)) AS estimate FROM trades GROUP BY 1), s AS (SELECT strategy, CASE WHEN n >= 30 THEN prior + greatest(least((100 * prior + n * estimate) / (100 + n) - prior, 0.02), -0.02) ELSE prior END AS raw FROM e) SELECT strategy, raw / sum(raw) OVER () AS weight FROM s", "weight",
   lambda t: B.shrink_weights(t.trades.groupBy("strategy").agg(F.count("*").alias("n"), F.avg((F.col("realized") > 0).cast("double")).alias("estimate")).withColumns({"prior": F.lit(0.1), "group": F.lit(0)})).select("strategy", "weight"))
 G("reco_to_trades", "trades", "SELECT trade_id AS thesis_id, strategy, entry_price, stop, entry_price * 1.09 AS target, floor(10000 / (entry_price - stop)) AS size_shares FROM trades", "entry_price stop target size_shares",
   lambda t: t.trades.select(F.col("trade_id").alias("thesis_id"), "strategy", "entry_price", "stop", (F.col("entry_price") * 1.09).alias("target"), F.floor(10000 / (F.col("entry_price") - F.col("stop"))).cast("double").alias("size_shares")), 4)
 G("risk_equity_curve", "trades", """WITH a AS (SELECT *, realized / ((entry_price - stop) / entry_price) AS r FROM trades), b AS (SELECT *, r * 10000 AS pnl, sum(r * 10000) OVER w AS equity, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, greatest(max(equity) OVER w, 0) AS hwm, n - coalesce(max(CASE WHEN pnl >= 0 THEN n END) OVER w, 0) AS streak FROM b WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, (hwm - equity) / (hwm + 1e6) AS drawdown FROM c)
   SELECT strategy, trade_id, r, pnl, equity, drawdown, CAST(streak AS INTEGER) AS streak, least(CASE WHEN drawdown >= 0.25 THEN 0.25 WHEN drawdown >= 0.15 THEN 0.5 WHEN drawdown >= 0.10 THEN 0.75 ELSE 1.0 END, CASE WHEN streak >= 8 THEN 0.5 WHEN streak >= 5 THEN 0.75 ELSE 1.0 END) AS multiplier, drawdown >= 0.25 AS halt FROM d""", "r pnl equity drawdown multiplier", lambda t: B.risk_curve(t.trades), 3)
-G("order_risk_check", PV, f"WITH {PF} SELECT rebal_date, symbol, floor(1e6 * least(weight, 0.06) / 1000) AS shares, CASE WHEN abs(delta) < 0.001 THEN 'ticket' WHEN weight > 0.06 THEN 'cap' ELSE 'ok' END AS verdict FROM df", "shares",
-  lambda t: B.weight_diff(B.normalized(near_high(t))).select("rebal_date", "symbol", F.floor(1e6 * F.least("weight", F.lit(0.06)) / 1000).cast("double").alias("shares"), F.when(F.abs("delta") < 0.001, "ticket").when(F.col("weight") > 0.06, "cap").otherwise("ok").alias("verdict")))
-G("weekly_stats", "trades", "SELECT CAST(date_trunc('week', exit_date) AS DATE) AS week, count(*) AS closed, avg(CAST(realized > 0 AS DOUBLE)) AS hit, avg(realized / 0.05) AS expectancy_r FROM trades GROUP BY 1", "hit expectancy_r",
-  lambda t: t.trades.groupBy(F.date_trunc("week", "exit_date").cast("date").alias("week")).agg(F.count("*").alias("closed"), F.avg((F.col("realized") > 0).cast("double")).alias("hit"), F.avg(F.col("realized") / 0.05).alias("expectancy_r")))
+ORDERS = """os AS (SELECT rebal_date, symbol, floor(1e6 * least(weight, 0.06) / close) AS shares FROM wb JOIN rz USING (rebal_date, symbol)),
+  oc AS (SELECT rebal_date, symbol, shares FROM os UNION ALL SELECT nxt, symbol, -shares FROM os JOIN wn USING (rebal_date) WHERE nxt IS NOT NULL),
+  od AS (SELECT rebal_date, symbol, sum(shares) AS delta FROM oc GROUP BY 1, 2 HAVING sum(shares) <> 0), oo AS (SELECT od.*, abs(delta) * close AS notional, turnover FROM od JOIN panel USING (rebal_date, symbol))"""
+G("order_risk_check", PV, f"""WITH {PF}, {ORDERS} SELECT rebal_date, symbol, CASE WHEN delta > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(abs(delta) AS BIGINT) AS shares, notional,
+  CASE WHEN notional < 5000 THEN 'ticket' WHEN notional > 0.06 * 1e6 * 1.05 THEN 'cap' WHEN turnover > 0 AND notional > 0.1 * turnover THEN 'adv' ELSE 'ok' END AS verdict FROM oo""", "notional",
+  lambda t: B.checked_orders(B.normalized(near_high(t)), panel(t).select("rebal_date", "symbol", "close", F.col("turnover").alias("adv")), 1e6).withColumn("shares", F.col("shares").cast("long")), 4)
+CONFIDENT = "(trade_id * 37) % 101"
+G("weekly_stats", "trades", f"""WITH g AS (SELECT CAST(date_trunc('week', exit_date) AS DATE) AS week, count(*) AS closed, avg(CAST(realized > 0 AS DOUBLE)) AS hit, avg(CASE WHEN entry_price > stop AND stop > 0 THEN realized / ((entry_price - stop) / entry_price) END) AS expectancy_r,
+    count(*) FILTER ({CONFIDENT} >= 70 AND realized < 0) AS confident_losers, count(*) FILTER (outcome = 'expired') AS o FROM trades GROUP BY 1)
+  SELECT week, closed, hit, expectancy_r, confident_losers, CAST(sum(o) OVER (ORDER BY week RANGE BETWEEN INTERVAL 63 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS waitlist FROM g""", "hit expectancy_r",
+  lambda t: B.weekly_stats(t.trades.withColumns({"confidence": F.expr(CONFIDENT).cast("double"), "in_book": F.col("outcome") != "expired"})))
 G("gate_registry_check", "trades", "SELECT strategy, avg(realized) / (stddev_samp(realized) / sqrt(count(*))) AS t_stat, CASE WHEN abs(avg(realized) / (stddev_samp(realized) / sqrt(count(*)))) >= 3 THEN 'scored' ELSE 'context' END AS verdict FROM trades GROUP BY 1", "t_stat",
   lambda t: t.trades.groupBy("strategy").agg((F.avg("realized") / (F.stddev_samp("realized") / F.sqrt(F.count("*")))).alias("t_stat")).withColumn("verdict", F.when(F.abs("t_stat") >= 3, "scored").otherwise("context")), 4)
