@@ -51,7 +51,8 @@ def qcut_decile(col: str, *groups: str, tie: str = "symbol", bins: int = 10) ->
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(c, F.lit(high)), F.lit(low))
+    """c within low and high; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
 
 
 def parse_ratio(kind: Column, ratio: Column) -> Column:

@@ -157,7 +157,9 @@ def first_touch(trades: DataFrame, bars: DataFrame, days: int = 21, target_first
     """Outcome of (symbol, entry_date, entry, target, stop): the first of the next `days` bars to touch a level, else expiry at the last close."""
     b = bars.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).select("symbol", F.col("date").alias("_d"), "_n", "high", "low", "close")
     at = trades.join(b.select("symbol", F.col("_d").alias("entry_date"), F.col("_n").alias("_n0")), ["symbol", "entry_date"])
-    path = at.join(b, "symbol").where((F.col("_n") > F.col("_n0")) & (F.col("_n") <= F.col("_n0") + days))
+    # each trade asks for its next bars by their number, so that no trade meets all bars of its symbol
+    asked = at.withColumn("_n", F.explode(F.sequence(F.col("_n0") + 1, F.col("_n0") + days)))
+    path = asked.join(b, ["symbol", "_n"])
     up, down = F.col("high") >= F.col("target"), F.col("low") <= F.col("stop")
     hit = F.when(up, "target").when(down, "stop") if target_first else F.when(down, "stop").when(up, "target")
     p = path.withColumn("_hit", hit)

@@ -115,11 +115,14 @@ def greeks(chain: DataFrame, spot: DataFrame, rate: float = 0.065, dividend: flo
     eq, er = F.exp(-dividend * F.col("t")), F.exp(-rate * F.col("t"))
     call = F.col("option_typ") == "CE"
     gamma = eq * norm_pdf(F.col("d1")) / (s * sigma * F.sqrt("t"))
+    side = F.when(call, 1.0).otherwise(-1.0)  # of a call or put: the sign of what interest costs and dividends give
+    decay = -eq * s * norm_pdf(F.col("d1")) * sigma / (2 * F.sqrt("t"))
+    theta = decay - side * rate * k * er * norm_cdf(side * F.col("d2")) + side * dividend * s * eq * norm_cdf(side * F.col("d1"))
     return j.select(
         "date", "symbol", "expiry", "strike", "option_typ", F.when(call, eq * norm_cdf(F.col("d1"))).otherwise(-eq * norm_cdf(-F.col("d1"))).alias("delta"), gamma.alias("gamma"),
         (s * eq * norm_pdf(F.col("d1")) * F.sqrt("t") / 100).alias("vega"),
         (F.when(call, k * F.col("t") * er * norm_cdf(F.col("d2"))).otherwise(-k * F.col("t") * er * norm_cdf(-F.col("d2"))) / 100).alias("rho"),
-        (gamma * s * F.col("open_int")).alias("gex"))
+        (theta / 365).alias("theta"), (gamma * s * F.col("open_int")).alias("gex"))
 
 
 def cluster_events(trades: DataFrame, days: int = 28, least: int = 2) -> DataFrame:
@@ -147,3 +150,96 @@ def regime_votes(index: DataFrame, breadth: DataFrame) -> DataFrame:
     j = i.join(breadth.select("date", "pct_above_200dma"), "date", "left")
     v = j.select("date", flag(F.col("close") > F.col("_a")).alias("trend"), flag(F.col("_v") < F.col("_md")).alias("calm"), flag(F.col("pct_above_200dma") >= 50).alias("broad"), flag(F.col("_m") > 0).alias("momentum"))
     return v.withColumn("score", F.col("trend") + F.col("calm") + F.col("broad") + F.col("momentum"))
+
+
+def atm_volatility(chain: DataFrame, spot: DataFrame) -> DataFrame:
+    """(symbol, date, iv_ce, iv_pe, iv, pcr_oi): volatilities of the nearest expiry's strikes nearest to the spot, in percent.
+
+    A premium over the spot times sqrt(2 pi / years) estimates the volatility, up
+    to 200; `iv` is the mean of the sides that there are. `spot` has (date, symbol, spot).
+    """
+    near = chain.groupBy("date", "symbol").agg(F.min("expiry").alias("expiry"))
+    j = chain.join(near, ["date", "symbol", "expiry"]).join(spot, ["date", "symbol"])
+    side = lambda t, c: F.when(F.col("option_typ") == t, c)
+    away = F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")
+    total = lambda t: F.sum(F.when(F.col("option_typ") == t, F.col("open_int")).otherwise(0))
+    a = j.groupBy("date", "symbol", "expiry", "spot").agg(
+        F.min_by("close", side("CE", away)).alias("_ce"), F.min_by("close", side("PE", away)).alias("_pe"),
+        F.try_divide(total("PE"), F.nullif(total("CE"), F.lit(0.0))).alias("pcr_oi"))
+    scale = F.sqrt(F.lit(2 * 3.141592653589793) / (F.datediff("expiry", "date") / 365.0)) * 100
+    iv = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c) / F.col("spot") * scale, F.lit(200.0)))
+    a = a.withColumns({"iv_ce": iv("_ce"), "iv_pe": iv("_pe")})
+    both = (F.coalesce("iv_ce", "iv_pe") + F.coalesce("iv_pe", "iv_ce")) / 2
+    return a.select("symbol", "date", "iv_ce", "iv_pe", both.alias("iv"), "pcr_oi").where("iv IS NOT NULL")
+
+
+def volatility_history(iv: DataFrame, rows: int = 252) -> DataFrame:
+    """`iv` with its rank and percentile among the symbol's last `rows` values, the current one included."""
+    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(rows - 1), 0)
+    low, high, held = F.min("iv").over(w), F.max("iv").over(w), F.collect_list("iv").over(w)  # at most `rows` values
+    return iv.withColumns({"iv_rank": F.try_divide(F.col("iv") - low, high - low) * 100, "_held": held}).withColumn(
+        "iv_percentile", F.size(F.filter("_held", lambda v: v <= F.col("iv"))) * 100.0 / F.size("_held")).drop("_held")
+
+
+#: Weights of the regime axes (fixed values).
+AXES = {"risk": 0.40, "vol": 0.25, "fx": 0.10, "commodity": 0.10, "rates": 0.10, "flow": 0.05}
+
+
+def regime_spine(scores: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(date, one score per axis, regime_score, label) from component scores (axis, component, date, score) of -100 to 100.
+
+    Every component is carried forward onto the calendar; an axis is the mean of
+    the components that it has, and the composite the mean of the axes that there
+    are by their weights, as 0 to 100: up to 40 risk_off, up to 60 neutral.
+    """
+    from .asof import align_ffill
+
+    keyed = scores.withColumn("series", F.concat_ws("/", "axis", "component")).where("score IS NOT NULL").select("series", "date", "score")
+    aligned = align_ffill(keyed, calendar, "score", by=["series"])
+    axis = F.substring_index("series", "/", 1)
+    wide = aligned.groupBy("date").agg(*(F.avg(F.when(axis == a, F.col("score"))).alias(f"{a}_axis") for a in AXES))
+    held = [F.col(f"{a}_axis") for a in AXES]
+    total = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in zip(held, AXES.values())), F.lit(0.0))
+    weight = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in zip(held, AXES.values())), F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.try_divide(total, F.nullif(weight, F.lit(0.0))) + 100) / 2))
+    made = wide.withColumn("regime_score", F.when(weight > 0, score)).where("risk_axis IS NOT NULL AND regime_score IS NOT NULL")
+    label = F.when(F.col("regime_score") <= 40, "risk_off").when(F.col("regime_score") <= 60, "neutral").otherwise("risk_on")
+    return made.withColumn("label", label)
+
+
+def trend_score(series: DataFrame, cap: float) -> DataFrame:
+    """Distance from the 200-row mean, capped, as -100 to 100, of (symbol, date, close)."""
+    from ..functions.core import clip, roll
+
+    d = series.withColumn("_a", roll(F.avg, "close", 200))
+    return d.where("_a IS NOT NULL").select("symbol", "date", (clip(F.col("close") / F.col("_a") - 1, -cap, cap) / cap * 100).alias("score"))
+
+
+LAGS = {"quarterly": 45, "annual": 60}
+
+
+def fundamentals_pit(statements: DataFrame, filings: DataFrame, within: int = 120) -> DataFrame:
+    """(statement, symbol, period_type, report_date, pit_date, dated_by) of (statement, symbol, period_type, report_date).
+
+    The public date is that of the first filing (symbol, broadcast) from the report
+    date on, up to `within` days later, else the report date plus the period's lag.
+    One as-of pass per symbol serves all statement kinds.
+    """
+    from .asof import asof
+
+    s = statements.distinct()
+    matched = asof(s, filings.select("symbol", "broadcast").distinct(), ["symbol"], "report_date", "broadcast", [], forward=True, max_days=within)
+    lag = F.create_map(*[F.lit(x) for k, v in LAGS.items() for x in (k, v)])[F.col("period_type")]
+    return matched.select(
+        "statement", "symbol", "period_type", "report_date", F.coalesce("matched_on", F.date_add("report_date", lag)).alias("pit_date"),
+        F.when(F.col("matched_on").isNotNull(), "filing").otherwise("lag_estimate").alias("dated_by"))
+
+
+def event_study(abnormal: DataFrame) -> DataFrame:
+    """Count, mean, t statistic, hit rate and the means before and from the median event date, by aggregates alone."""
+    day = F.unix_date("event_date")
+    middle = abnormal.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_date(event_date))").alias("_mid"))
+    return abnormal.crossJoin(F.broadcast(middle)).agg(  # one row
+        F.count(F.lit(1)).alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count(F.lit(1))))).alias("t_stat"),
+        F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(day < F.col("_mid"), F.col("abnormal"))).alias("h1"),
+        F.avg(F.when(day >= F.col("_mid"), F.col("abnormal"))).alias("h2"))

@@ -144,3 +144,57 @@ def leading_run(df: DataFrame, good: Column, order: list[Column], *keys: str) ->
     """Length of the run of good rows at the start of the order, per key."""
     d = df.withColumns({"_k": F.row_number().over(Window.partitionBy(*keys).orderBy(*order)), "_g": good})
     return d.groupBy(*keys).agg((F.coalesce(F.min(F.when(~F.col("_g"), F.col("_k"))), F.count(F.lit(1)) + 1) - 1).alias("streak"))
+
+
+def fund_scorecard(navs: DataFrame, risk_free: float = 0.06, least: int = 252) -> DataFrame:
+    """1, 3 and 5 year growth to the last value, volatility, drawdown, three-year Sharpe ratio and one-year consistency per symbol."""
+    w = by_symbol()
+    peak = F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rolling = navs.withColumns({"_r": ret("close", 1), "_dd": F.col("close") / peak - 1, "_y": ret("close", 252), "_last": F.max("date").over(Window.partitionBy("symbol"))})
+    before = lambda years: F.max_by("close", F.when(F.col("date") <= F.date_sub("_last", 365 * years), F.col("date")))
+    g = rolling.groupBy("symbol").agg(
+        F.max("date").alias("last_date"), F.max_by("close", "date").alias("last_nav"), (F.datediff(F.max("date"), F.min("date")) / 365.0).alias("years"), F.count(F.lit(1)).alias("_n"),
+        *(before(k).alias(f"_a{k}") for k in (1, 3, 5)), (F.stddev_samp("_r") * 252**0.5).alias("ann_vol"), F.min("_dd").alias("max_dd"),
+        F.avg(F.when(F.col("_y") > 0, 1.0).otherwise(0.0)).alias("consistency"))
+    growth = lambda k: F.pow(F.col("last_nav") / F.col(f"_a{k}"), F.lit(1.0 / k)) - 1
+    g = g.where((F.col("_n") >= least) & (F.col("last_nav") > 0)).withColumns({f"cagr_{k}y": growth(k) for k in (1, 3, 5)})
+    sharpe = F.when(F.col("ann_vol") > 0, (F.col("cagr_3y") - risk_free) / F.col("ann_vol"))
+    return g.select("symbol", "last_date", "last_nav", "years", "cagr_1y", "cagr_3y", "cagr_5y", "ann_vol", "max_dd", sharpe.alias("sharpe_3y"), "consistency")
+
+
+def tier_coverage(filings: DataFrame, tiers: tuple[int, ...] = (100, 250, 500)) -> DataFrame:
+    """Per quarter how many of the largest scrips by amount filed. Only the largest tier is ranked, so the order is no one-task sort of all."""
+    best = filings.groupBy("scrip").agg(F.round(F.sum("amount"), 2).alias("_a")).orderBy(F.desc("_a"), "scrip").limit(max(tiers))
+    ranked = best.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("_a"), "scrip"))).select("scrip", "_k")  # at most the largest tier's rows
+    filed = filings.join(F.broadcast(ranked), "scrip", "left")
+    return filed.groupBy("quarter").agg(*(F.count_distinct(F.when(F.col("_k") <= n, F.col("scrip"))).alias(f"top{n}") for n in tiers))
+
+
+def freshness(tables: dict[str, DataFrame], today: str, since: str, fresh: int = 5, late: int = 60) -> DataFrame:
+    """(source, n, last_date, age, status, missing_days) of tables with a `date`; missing days are weekdays from `since` to the day before without rows."""
+    spark = next(iter(tables.values())).sparkSession
+    now = F.lit(today).cast("date")
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(since).cast("date"), F.date_sub(now, 1))).alias("date")).where("weekday(date) < 5")
+    found = None
+    for name, df in tables.items():
+        had = df.where(F.col("date") >= since).select("date").distinct()
+        missing = days.join(had, "date", "left_anti").agg(F.count(F.lit(1)).alias("missing_days"))  # one row
+        age = F.datediff(now, F.max("date"))
+        one = df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"), age.alias("age"))
+        one = one.withColumn("status", F.when(F.col("age") <= fresh, "fresh").when(F.col("age") <= late, "late").otherwise("stale")).crossJoin(F.broadcast(missing))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def quality_counts(bars: DataFrame, universe: DataFrame, breadth_daily: DataFrame, band: tuple[int, int] = (400, 500), back: int = 21) -> DataFrame:
+    """Bad and crossed prices, size and sector coverage of the latest universe (symbol, sector), regime and whether it flipped over `back` rows."""
+    prices = bars.agg(F.count(F.when((F.col("close") <= 0) | F.col("close").isNull(), 1)).alias("bad_prices"), F.count(F.when(F.col("high") < F.col("low"), 1)).alias("crossed"))
+    names = universe.agg(F.count("symbol").alias("universe"), F.try_divide(F.count("sector"), F.count("symbol")).alias("sector_coverage"))
+    last = breadth_daily.orderBy(F.desc("date")).limit(back + 1).withColumn("_k", F.row_number().over(Window.orderBy(F.desc("date"))))
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("pct_above_200dma")))
+    state = last.agg(at(1).alias("_now"), at(back + 1).alias("_then"))
+    on = lambda c: c >= 50
+    flipped = F.coalesce(on(F.col("_now")) != on(F.coalesce("_then", "_now")), F.lit(False))
+    regime = F.when(on(F.col("_now")), "risk_on").otherwise("risk_off")
+    return prices.crossJoin(names).crossJoin(state).select(
+        "bad_prices", "crossed", "universe", F.col("universe").between(*band).alias("universe_ok"), "sector_coverage", regime.alias("regime"), flipped.alias("flipped"))

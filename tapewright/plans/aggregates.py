@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.core import by_symbol, median, qcut_decile
 from ..operators import series as S
 from ..operators import stats as A
+from ..operators.scoring import statement_years
 from .base import query
 from .series import DEC, PANEL, PV, SEC, SMA, W, panel, sector_returns
 
@@ -34,8 +35,8 @@ G("agg_statement_pivot", "", "SELECT CAST(o_custkey AS VARCHAR) AS symbol, year(
   lambda t: t.orders.groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.year("o_orderdate").cast("long").alias("fy")).pivot("o_orderstatus", ["F", "O"]).agg(F.sum("o_totalprice")).toDF("symbol", "fy", "opm", "margin").withColumn("used", F.coalesce("opm", "margin")), 2)
 G("agg_isin_span", "", "SELECT l_partkey AS isin, CAST(l_suppkey AS VARCHAR) AS symbol, CAST(min(l_shipdate) AS DATE) AS first_date, CAST(max(l_shipdate) AS DATE) AS last_date, count(*) AS n_obs FROM lineitem GROUP BY 1, 2", "",
   lambda t: t.lineitem.groupBy(F.col("l_partkey").alias("isin"), F.col("l_suppkey").cast("string").alias("symbol")).agg(F.min("l_shipdate").cast("date").alias("first_date"), F.max("l_shipdate").cast("date").alias("last_date"), F.count(F.lit(1)).alias("n_obs")))
-G("agg_isin_renames", "", "SELECT l_partkey AS isin, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS symbols FROM lineitem WHERE l_linenumber = 1 GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1", "",
-  lambda t: t.lineitem.where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("isin")).agg(F.count_distinct("l_suppkey").alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("symbols")).where("n > 1"))
+G("agg_isin_renames", "", "SELECT l_partkey AS isin, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS symbols FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1", "",
+  lambda t: t.lineitem.groupBy(F.col("l_partkey").alias("isin")).agg(F.count_distinct("l_suppkey").alias("n"), F.array_join(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("symbols")).where("n > 1"))
 G("isin_master_union", "", """WITH o AS (SELECT l_partkey AS isin, CAST(max(l_suppkey) AS VARCHAR) AS symbol, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1) SELECT isin, symbol, n, p_partkey IS NOT NULL AS is_active, 'observed' AS source FROM o LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON p_partkey = isin
   UNION ALL SELECT p_partkey, NULL, 0, true, 'listing' FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT isin FROM o)""", "",
   lambda t: (lambda o, a: o.join(a.withColumn("a", F.lit(True)), "isin", "left").select("isin", "symbol", "n", F.coalesce("a", F.lit(False)).alias("is_active"), F.lit("observed").alias("source")).unionByName(
@@ -126,23 +127,32 @@ G("agg_survivor_ratio", "filings", "WITH q AS (SELECT quarter, count(DISTINCT sc
   lambda t: (lambda q: q.crossJoin(F.broadcast(q.agg(F.max_by("n", "quarter").alias("m")))).select("quarter", "n", (F.col("n") / F.col("m")).alias("ratio")))(t.filings.groupBy("quarter").agg(F.count_distinct("scrip").alias("n"))))
 G("agg_usable_quarters", "filings", "SELECT count(*) AS quarters FROM (SELECT quarter FROM filings WHERE status = 'F' GROUP BY 1 HAVING count(DISTINCT scrip) >= 200)", "",
   lambda t: t.filings.where("status = 'F'").groupBy("quarter").agg(F.count_distinct("scrip").alias("n")).where("n >= 200").agg(F.count(F.lit(1)).alias("quarters")))
-G("agg_statement_depth", "filings", "SELECT scrip, count(DISTINCT year(quarter)) AS depth FROM filings GROUP BY 1", "", lambda t: t.filings.groupBy("scrip").agg(F.count_distinct(F.year("quarter")).alias("depth")))
-G("agg_tier_coverage", "filings", "WITH m AS (SELECT scrip, sum(amount) AS a FROM filings GROUP BY 1), r AS (SELECT scrip, row_number() OVER (ORDER BY round(a, 2) DESC, scrip) AS k FROM m) SELECT quarter, count(DISTINCT scrip) FILTER (k <= 100) AS top100, count(DISTINCT scrip) FILTER (k <= 250) AS top250, count(DISTINCT scrip) FILTER (k <= 500) AS top500 FROM filings JOIN r USING (scrip) GROUP BY 1", "",
-  lambda t: (lambda r: t.filings.join(r, "scrip").groupBy("quarter").agg(*(F.count_distinct(F.when(F.col("k") <= n, F.col("scrip"))).alias(f"top{n}") for n in (100, 250, 500))))(
-      t.filings.groupBy("scrip").agg(F.sum("amount").alias("a")).withColumn("k", F.row_number().over(Window.orderBy(F.round("a", 2).desc(), "scrip")))))
-G("agg_fund_scorecard", "bars", f"""WITH l AS (SELECT symbol, max(date) AS last, max_by(close, date) AS z, min(date) AS first FROM bars GROUP BY 1), y AS (SELECT symbol, z / max_by(close, b.date) FILTER (b.date <= last - 365) - 1 AS ret_1y, pow(z / max_by(close, b.date) FILTER (b.date <= last - 1095), 1.0 / 3) - 1 AS cagr_3y, (last - first) / 365.25 AS years FROM bars b JOIN l USING (symbol) GROUP BY symbol, z, last, first) SELECT * FROM y""", "ret_1y cagr_3y years",
-  lambda t: (lambda l: t.bars.join(l, "symbol").groupBy("symbol").agg(F.first("z").alias("z"), F.max_by("close", F.expr("CASE WHEN date <= date_sub(last, 365) THEN date END")).alias("a"), F.max_by("close", F.expr("CASE WHEN date <= date_sub(last, 1095) THEN date END")).alias("b"), F.first(F.datediff("last", "first") / 365.25).alias("years"))
-             .select("symbol", (F.col("z") / F.col("a") - 1).alias("ret_1y"), (F.pow(F.col("z") / F.col("b"), F.lit(1.0 / 3)) - 1).alias("cagr_3y"), "years"))(t.bars.groupBy("symbol").agg(F.max("date").alias("last"), F.max_by("close", "date").alias("z"), F.min("date").alias("first"))))
+G("agg_statement_depth", "filings", """WITH d AS (SELECT scrip, count(DISTINCT year(quarter)) AS depth FROM filings GROUP BY 1), v AS (SELECT CAST(c_custkey AS VARCHAR) AS scrip, 9 AS depth FROM customer WHERE c_acctbal > 5000)
+  SELECT d.scrip AS symbol, greatest(d.depth, coalesce(v.depth, 0)) AS years FROM d LEFT JOIN v ON v.scrip = d.scrip""", "",
+  lambda t: statement_years(t.filings.withColumnRenamed("scrip", "symbol"), t.customer.where("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("symbol"), F.lit(9).alias("depth"))))
+G("agg_tier_coverage", "filings", "WITH m AS (SELECT scrip, sum(amount) AS a FROM filings GROUP BY 1), r AS (SELECT scrip, row_number() OVER (ORDER BY round(a, 2) DESC, scrip) AS k FROM m) SELECT quarter, count(DISTINCT scrip) FILTER (k <= 100) AS top100, count(DISTINCT scrip) FILTER (k <= 250) AS top250, count(DISTINCT scrip) FILTER (k <= 500) AS top500 FROM filings LEFT JOIN r USING (scrip) GROUP BY 1", "", lambda t: A.tier_coverage(t.filings))
+G("agg_fund_scorecard", "bars", f"""WITH l AS (SELECT symbol, max(date) AS last, max_by(close, date) AS z, min(date) AS first, count(*) AS n FROM bars GROUP BY 1),
+  y AS (SELECT symbol, max_by(close, b.date) FILTER (b.date <= last - 365) AS a1, max_by(close, b.date) FILTER (b.date <= last - 1095) AS a3, max_by(close, b.date) FILTER (b.date <= last - 1825) AS a5 FROM bars b JOIN l USING (symbol) GROUP BY symbol),
+  d AS (SELECT symbol, close / lag(close) {W} - 1 AS r, close / max(close) {W} - 1 AS dd, close / lag(close, 252) {W} - 1 AS r1 FROM bars),
+  v AS (SELECT symbol, stddev_samp(r) * sqrt(252) AS ann_vol, min(dd) AS max_dd, avg(CASE WHEN r1 > 0 THEN 1.0 ELSE 0.0 END) AS consistency FROM d GROUP BY 1)
+  SELECT symbol, last AS last_date, z AS last_nav, (last - first) / 365.0 AS years, z / a1 - 1 AS cagr_1y, pow(z / a3, 1.0 / 3) - 1 AS cagr_3y, pow(z / a5, 1.0 / 5) - 1 AS cagr_5y, ann_vol, max_dd,
+    CASE WHEN ann_vol > 0 THEN (pow(z / a3, 1.0 / 3) - 1 - 0.06) / ann_vol END AS sharpe_3y, consistency FROM l JOIN y USING (symbol) JOIN v USING (symbol) WHERE n >= 252 AND z > 0""",
+  "last_nav years cagr_1y cagr_3y cagr_5y ann_vol max_dd sharpe_3y consistency", lambda t: A.fund_scorecard(t.bars), 7)
 G("agg_validate_overlap", "statements", "WITH a AS (SELECT symbol, year(quarter) AS fy, sum(revenue) AS x, sum(net_income) AS y FROM statements GROUP BY 1, 2) SELECT symbol, count(DISTINCT fy) AS depth, max(CAST(abs(x - y) <= 0.25 * x AS INTEGER)) AS validated, count(DISTINCT fy) >= 5 AND max(CAST(abs(x - y) <= 0.25 * x AS INTEGER)) = 1 AS eligible FROM a GROUP BY 1", "",
   lambda t: t.statements.groupBy("symbol", F.year("quarter").alias("fy")).agg(F.sum("revenue").alias("x"), F.sum("net_income").alias("y")).groupBy("symbol").agg(F.count_distinct("fy").alias("depth"), F.max((F.abs(F.col("x") - F.col("y")) <= 0.25 * F.col("x")).cast("int")).alias("validated")).withColumn("eligible", (F.col("depth") >= 5) & (F.col("validated") == 1)))
 G("agg_kendall_w", PV, f"""WITH {PANEL}, r AS (SELECT rebal_date, symbol, rank() OVER (PARTITION BY rebal_date ORDER BY mom, symbol) AS r FROM panel WHERE mom IS NOT NULL), m AS (SELECT count(DISTINCT rebal_date) AS m FROM r), s AS (SELECT symbol, sum(r) AS s, count(*) AS c FROM r GROUP BY 1), x AS (SELECT count(*) AS k, var_pop(s / c) * count(*) AS ss FROM s WHERE c >= 5)
   SELECT k, 12 * ss / (pow(k, 3) - k) AS w FROM x""", "w",
   lambda t: panel(t).where("mom IS NOT NULL").withColumn("r", F.rank().over(Window.partitionBy("rebal_date").orderBy("mom", "symbol"))).groupBy("symbol").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c")).where("c >= 5").agg(F.count(F.lit(1)).alias("k"), (F.var_pop(F.col("s") / F.col("c")) * F.count(F.lit(1))).alias("ss")).select("k", (12 * F.col("ss") / (F.pow("k", F.lit(3)) - F.col("k"))).alias("w")))
-G("agg_health_freshness", "bars", "SELECT 'bars' AS source, count(*) AS n, max(date) AS last_date, CAST(DATE '2002-01-01' - max(date) AS INTEGER) AS age FROM bars UNION ALL SELECT 'orders', count(*), CAST(max(o_orderdate) AS DATE), CAST(DATE '2002-01-01' - CAST(max(o_orderdate) AS DATE) AS INTEGER) FROM orders UNION ALL SELECT 'events', count(*), CAST(max(ts) AS DATE), CAST(DATE '2002-01-01' - CAST(max(ts) AS DATE) AS INTEGER) FROM events", "",
-  lambda t: (lambda one: one("bars", t.bars, "date").unionByName(one("orders", t.orders, "o_orderdate")).unionByName(one("events", t.events, "ts")))(
-      lambda name, df, c: df.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.max(c).cast("date").alias("last_date")).withColumn("age", F.datediff(F.lit("2002-01-01").cast("date"), "last_date"))))
-G("agg_quality_counts", "bars sector_map", "SELECT count(*) FILTER (close <= 0 OR close IS NULL) AS bad_prices, count(DISTINCT symbol) AS symbols, count(DISTINCT symbol) FILTER (sector IS NOT NULL) AS with_sector, count(*) FILTER (high < low) AS crossed FROM bars LEFT JOIN sector_map USING (symbol)", "",
-  lambda t: t.bars.join(F.broadcast(t.sector_map), "symbol", "left").agg(F.count(F.when((F.col("close") <= 0) | F.col("close").isNull(), 1)).alias("bad_prices"), F.count_distinct("symbol").alias("symbols"), F.count_distinct(F.when(F.col("sector").isNotNull(), F.col("symbol"))).alias("with_sector"), F.count(F.when(F.col("high") < F.col("low"), 1)).alias("crossed")))
+HEALTH = {"bars": ("bars", "date"), "orders": ("orders", "CAST(o_orderdate AS DATE)"), "events": ("events", "CAST(ts AS DATE)")}
+G("agg_health_freshness", "bars", "WITH c AS (SELECT CAST(unnest(generate_series(DATE '2001-11-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d), w AS (SELECT d FROM c WHERE dayofweek(d) NOT IN (0, 6)) " + " UNION ALL ".join(
+    f"""SELECT '{k}' AS source, count(*) AS n, max({c}) AS last_date, CAST(DATE '2002-01-01' - max({c}) AS INTEGER) AS age, CASE WHEN DATE '2002-01-01' - max({c}) <= 5 THEN 'fresh' WHEN DATE '2002-01-01' - max({c}) <= 60 THEN 'late' ELSE 'stale' END AS status,
+    (SELECT count(*) FROM w WHERE d NOT IN (SELECT {c} FROM {v})) AS missing_days FROM {v}""" for k, (v, c) in HEALTH.items()), "",
+  lambda t: A.freshness({"bars": t.bars.select("date"), "orders": t.orders.select(F.col("o_orderdate").cast("date").alias("date")), "events": t.events.select(F.col("ts").cast("date").alias("date"))}, "2002-01-01", "2001-11-01"))
+G("agg_quality_counts", "bars sector_map month_ends", f"""WITH {BREADTH}, p AS (SELECT date, pct_above_200dma AS p, row_number() OVER (ORDER BY date DESC) AS k FROM breadth),
+  u AS (SELECT count(DISTINCT symbol) AS n, count(DISTINCT symbol) FILTER (sector IS NOT NULL) AS s FROM bars LEFT JOIN sector_map USING (symbol) WHERE date = (SELECT max(rebal_date) FROM month_ends))
+  SELECT (SELECT count(*) FROM bars WHERE close <= 0 OR close IS NULL) AS bad_prices, (SELECT count(*) FROM bars WHERE high < low) AS crossed, u.n AS universe, u.n BETWEEN 400 AND 500 AS universe_ok, u.s / u.n AS sector_coverage,
+    CASE WHEN a.p >= 50 THEN 'risk_on' ELSE 'risk_off' END AS regime, (a.p >= 50) IS DISTINCT FROM (coalesce(b.p, a.p) >= 50) AS flipped FROM u, (SELECT p FROM p WHERE k = 1) a LEFT JOIN (SELECT p FROM p WHERE k = 22) b ON true""", "sector_coverage",
+  lambda t: A.quality_counts(t.bars, t.bars.join(t.month_ends.agg(F.max("rebal_date").alias("date")), "date").select("symbol").distinct().join(t.sector_map.select("symbol", "sector"), "symbol", "left"), A.breadth(t.bars)))
 G("agg_phase_headroom", "", r"SELECT event_type AS phase, max(CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER)) AS observed, max_by(user_id, event_id) AS cap, max(CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER)) > max_by(user_id, event_id) / 3 AS tight FROM events GROUP BY 1", "",
   lambda t: t.events.groupBy(F.col("event_type").alias("phase")).agg(F.max(F.regexp_extract("props", r"(\d+)", 1).cast("int")).alias("observed"), F.max_by("user_id", "event_id").alias("cap")).withColumn("tight", F.col("observed") > F.col("cap") / 3))
 G("agg_green_streak", "", "SELECT user_id, coalesce(min(k) FILTER (event_type = 'error'), count(*) + 1) - 1 AS streak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) GROUP BY 1", "",

@@ -1,13 +1,16 @@
 """Queries over composite tables and the event layer."""
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.core import by_symbol
+from ..functions.core import by_symbol, clip
 from ..operators import composites as C
 from ..operators import series as S
 from ..operators import stats as A
 from ..operators.asof import asof
+from ..sources.scratch import Scratch
 from .aggregates import BREADTH, UNI, G
 from .joins import ERF, RATIO
 from .series import W, panel, PANEL, PV, SMA
@@ -23,8 +26,21 @@ G("pit_universe", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, row_number()
   lambda t: S.universe_tiers(A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4)), by="_m", liquid_from=3e4).select("rebal_date", "symbol", "n_days", "adv_rank", "top100", "liquid"))
 G("shp_pit_universe", "filings bars", "WITH q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, count(*) AS days FROM bars GROUP BY 1, 2 HAVING count(*) >= 10), f AS (SELECT scrip, quarter, count(*) AS n, max(broadcast) AS b FROM filings GROUP BY 1, 2) SELECT q.symbol, q.quarter, days, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status FROM q LEFT JOIN f ON f.scrip = q.symbol AND f.quarter = q.quarter", "",
   lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count("*").alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count("*").alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
-G("fundamentals_pit", "statements filings", "SELECT s.symbol, s.quarter, coalesce(min(f.broadcast), CAST(s.quarter + 135 AS DATE)) AS pit_date, CASE WHEN min(f.broadcast) IS NULL THEN 'lag' ELSE 'filing' END AS dated_by FROM statements s LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.report_date AND f.broadcast <= s.report_date + 120 GROUP BY 1, 2", "",
-  lambda t: t.statements.join(t.filings.select("scrip", "broadcast"), F.expr("scrip = symbol AND broadcast >= report_date AND broadcast <= date_add(report_date, 120)"), "left").groupBy("symbol", "quarter").agg(F.min("broadcast").alias("b")).select("symbol", "quarter", F.expr("coalesce(b, date_add(quarter, 135))").alias("pit_date"), F.when(F.col("b").isNull(), "lag").otherwise("filing").alias("dated_by")))
+KINDS = [("quarterly_income", "quarterly", 0), ("quarterly_balance", "quarterly", 1), ("quarterly_cashflow", "quarterly", 2), ("annual_income", "annual", 0), ("annual_balance", "annual", 1), ("annual_cashflow", "annual", 2)]
+
+
+def six_statements(t):
+    """Statement headers of six kinds: each quarter is an income, balance and cash-flow statement, its report a day apart, and each year's last the annual ones."""
+    q = t.statements.select("symbol", "quarter", "report_date")
+    y = q.groupBy("symbol", F.year("quarter").alias("fy")).agg(F.max("report_date").alias("report_date")).select("symbol", "report_date")
+    each = [(y if period == "annual" else q).select(F.lit(name).alias("statement"), "symbol", F.lit(period).alias("period_type"), F.date_add("report_date", shift).alias("report_date")) for name, period, shift in KINDS]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+G("fundamentals_pit", "statements filings", "WITH y AS (SELECT symbol, max(report_date) AS report_date FROM statements GROUP BY symbol, year(quarter)), s AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS statement, symbol, '{p}' AS period_type, CAST(report_date + {d} AS DATE) AS report_date FROM {'y' if p == 'annual' else 'statements'}" for n, p, d in KINDS) + """), m AS (SELECT s.*, f.broadcast FROM s ASOF LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.report_date)
+  SELECT statement, symbol, period_type, report_date, CASE WHEN broadcast <= report_date + 120 THEN broadcast ELSE CAST(report_date + CASE period_type WHEN 'annual' THEN 60 ELSE 45 END AS DATE) END AS pit_date,
+    CASE WHEN broadcast <= report_date + 120 THEN 'filing' ELSE 'lag_estimate' END AS dated_by FROM m""", "", lambda t: C.fundamentals_pit(six_statements(t), t.filings.withColumnRenamed("scrip", "symbol")))
 G("fundamentals_features", "statements", "SELECT symbol, quarter, net_income, revenue, CASE WHEN revenue > 0 THEN net_income / revenue END AS roe FROM statements", "net_income revenue roe",
   lambda t: t.statements.select("symbol", "quarter", F.to_json(F.create_map(F.lit("Net Income"), "net_income", F.lit("Revenue"), "revenue")).alias("j")).withColumn("m", F.from_json("j", "map<string,double>")).select("symbol", "quarter", F.coalesce(F.col("m")["NetIncome"], F.col("m")["Net Income"]).alias("net_income"), F.col("m")["Revenue"].alias("revenue")).withColumn("roe", F.when(F.col("revenue") > 0, F.col("net_income") / F.col("revenue"))), 4)
 G("fundamentals_annual_pit", "statements", "SELECT symbol, year(quarter) AS fy, sum(revenue) AS revenue, max(pit_date) AS pit_date, 1 AS pit_estimated FROM statements GROUP BY 1, 2", "revenue",
@@ -43,33 +59,70 @@ G("recovery_targets", "filings", "WITH l AS (SELECT scrip, max(broadcast) AS b F
 VOTES = f"""{BREADTH}, ir AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS r FROM index_series), iv AS (SELECT *, CASE WHEN count(r) OVER (ORDER BY date ROWS 20 PRECEDING) >= 21 THEN stddev_samp(r) OVER (ORDER BY date ROWS 20 PRECEDING) END AS v, CASE WHEN count(close) OVER (ORDER BY date ROWS 199 PRECEDING) >= 200 THEN avg(close) OVER (ORDER BY date ROWS 199 PRECEDING) END AS a, close / lag(close, 63) OVER (ORDER BY date) - 1 AS m FROM ir),
   im AS (SELECT *, CASE WHEN count(v) OVER (ORDER BY date ROWS 251 PRECEDING) >= 252 THEN median(v) OVER (ORDER BY date ROWS 251 PRECEDING) END AS md FROM iv), votes AS (SELECT im.date, CAST(coalesce(close > a, false) AS INTEGER) AS trend, CAST(coalesce(v < md, false) AS INTEGER) AS calm, CAST(coalesce(pct_above_200dma >= 50, false) AS INTEGER) AS broad, CAST(coalesce(m > 0, false) AS INTEGER) AS momentum FROM im LEFT JOIN breadth USING (date))"""
 G("regime_votes", "bars index_series", f"WITH {VOTES} SELECT *, trend + calm + broad + momentum AS score FROM votes", "", lambda t: C.regime_votes(t.index_series, A.breadth(t.bars)))
-G("market_regime_spine", "bars index_series", f"WITH {VOTES}, x AS (SELECT date, (35.0 * trend + 25.0 * calm + 25.0 * broad + 15.0 * momentum) AS c FROM votes) SELECT date, c AS composite, CASE WHEN c <= 40 THEN 'defensive' WHEN c <= 60 THEN 'neutral' ELSE 'risk_on' END AS label FROM x", "composite",
-  lambda t: C.regime_votes(t.index_series, A.breadth(t.bars)).select("date", (35.0 * F.col("trend") + 25.0 * F.col("calm") + 25.0 * F.col("broad") + 15.0 * F.col("momentum")).alias("composite")).withColumn("label", F.when(F.col("composite") <= 40, "defensive").when(F.col("composite") <= 60, "neutral").otherwise("risk_on")))
+#: Nations stand for the global series: (axis, component, series, kind, cap or sign).
+SERIES = [
+    ("risk", "index", "index", "trend", 0.15), ("risk", "world", "NATION_0", "trend", 0.15), ("risk", "breadth", "breadth", "level", 1.0),
+    ("vol", "home", "NATION_1", "pctile", -1.0), ("vol", "world", "NATION_2", "pctile", -1.0), ("fx", "pair", "NATION_3", "trend", -0.05),
+    ("fx", "dollar", "NATION_4", "trend", -0.05), ("commodity", "oil", "NATION_5", "trend", -0.20), ("commodity", "copper", "NATION_6", "trend", 0.20),
+    ("commodity", "gold", "NATION_7", "trend", -0.20), ("rates", "long", "NATION_8", "trend", -0.15), ("flow", "net", "NATION_9", "pctile", 1.0),
+]
+
+
+def spine_scores(t):
+    """Component scores of all axes: trends and trailing percentiles of the stand-in series, and breadth."""
+    nations = t.bars.join(t.sector_map.select("symbol", F.col("sector").alias("nation")), "symbol").groupBy(F.upper("nation").alias("symbol"), "date").agg(F.avg("close").alias("close"))
+    series = nations.where(F.col("symbol").isin([x for _, _, x, _, _ in SERIES])).unionByName(t.index_series.select(F.lit("index").alias("symbol"), "date", "close"))
+    series = Scratch(t.spark).written(series, "series")  # a row per series and market date
+    level = A.breadth(t.bars).select(F.lit("risk").alias("axis"), F.lit("breadth").alias("component"), "date", clip((F.col("pct_above_200dma") - 50) * 2, -100, 100).alias("score"))
+    found = level
+    for cap in sorted({abs(c) for _, _, _, kind, c in SERIES if kind == "trend"}):
+        which = [(a, k, x, c) for a, k, x, kind, c in SERIES if kind == "trend" and abs(c) == cap]
+        scores = C.trend_score(series.where(F.col("symbol").isin([x for _, _, x, _ in which])), cap)
+        names = t.spark.createDataFrame([(a, k, x, 1.0 if c > 0 else -1.0) for a, k, x, c in which], "axis string, component string, symbol string, sign double")
+        found = found.unionByName(scores.join(F.broadcast(names), "symbol").select("axis", "component", "date", (F.col("score") * F.col("sign")).alias("score")))
+    ranked = [(a, k, x, c) for a, k, x, kind, c in SERIES if kind == "pctile"]
+    names = t.spark.createDataFrame(ranked, "axis string, component string, symbol string, sign double")
+    pct = S.trailing_percentile(series).where("pctile IS NOT NULL").join(F.broadcast(names), "symbol")
+    return found.unionByName(pct.select("axis", "component", "date", ((200 * F.col("pctile") - 100) * F.col("sign")).alias("score")))
+
+
+def spine_sql():
+    trends = " UNION ALL ".join(f"SELECT '{a}/{k}' AS series, date, {'' if c > 0 else '-'}greatest(least(close / m - 1, {abs(c)}), {-abs(c)}) / {abs(c)} * 100 AS score FROM sm WHERE symbol = '{x}' AND m IS NOT NULL" for a, k, x, kind, c in SERIES if kind == "trend")
+    ranks = " UNION ALL ".join(f"SELECT '{a}/{k}', date, (200 * p - 100) * {c} FROM sp2 WHERE symbol = '{x}' AND p IS NOT NULL" for a, k, x, kind, c in SERIES if kind == "pctile")
+    axes = ", ".join(f"avg(score) FILTER (split_part(series, '/', 1) = '{a}') AS {a}_axis" for a in C.AXES)
+    total, weight = (" + ".join(f"{f.format(a=a)} * {w}" for a, w in C.AXES.items()) for f in ("coalesce({a}_axis, 0)", "CAST({a}_axis IS NOT NULL AS INTEGER)"))
+    return f"""{BREADTH}, na AS (SELECT upper(sector) AS symbol, date, avg(close) AS close FROM bars JOIN sector_map USING (symbol) GROUP BY 1, 2 UNION ALL SELECT 'index', date, close FROM index_series),
+      sm AS (SELECT *, CASE WHEN count(*) OVER w >= 200 THEN avg(close) OVER w END AS m FROM na WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING)),
+      sp2 AS (SELECT symbol, date, CASE WHEN len(l) >= 252 THEN len(list_filter(l, lambda v: v <= close)) / 252.0 END AS p FROM (SELECT *, list(close) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS l FROM na)),
+      sc AS ({trends} UNION ALL {ranks} UNION ALL SELECT 'risk/breadth', date, greatest(least((pct_above_200dma - 50) * 2, 100), -100) FROM breadth WHERE pct_above_200dma IS NOT NULL),
+      gr AS (SELECT date, series FROM index_series, (SELECT DISTINCT series FROM sc)), al AS (SELECT gr.date, gr.series, score FROM gr ASOF LEFT JOIN sc ON gr.series = sc.series AND sc.date <= gr.date),
+      ax AS (SELECT date, {axes} FROM al GROUP BY 1), rs AS (SELECT *, greatest(0, least(100, (({total}) / nullif({weight}, 0) + 100) / 2)) AS regime_score FROM ax)
+      SELECT *, CASE WHEN regime_score <= 40 THEN 'risk_off' WHEN regime_score <= 60 THEN 'neutral' ELSE 'risk_on' END AS label FROM rs WHERE risk_axis IS NOT NULL AND regime_score IS NOT NULL"""
+
+
+G("market_regime_spine", "bars index_series sector_map", f"WITH {spine_sql()}", " ".join(f"{a}_axis" for a in C.AXES) + " regime_score", lambda t: C.regime_spine(spine_scores(t), t.index_series.select("date")), 4)
 G("options_max_pain", "option_chain", """WITH n AS (SELECT date, symbol, min(expiry) AS expiry FROM option_chain GROUP BY 1, 2), c AS (SELECT date, symbol, strike, sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE 0 END) AS ce, sum(CASE WHEN option_typ = 'PE' THEN open_int ELSE 0 END) AS pe FROM option_chain JOIN n USING (date, symbol, expiry) GROUP BY 1, 2, 3),
   p AS (SELECT a.date, a.symbol, a.strike, round(sum(b.ce * greatest(0, a.strike - b.strike) + b.pe * greatest(0, b.strike - a.strike)), 6) AS pain FROM c a JOIN c b ON a.date = b.date AND a.symbol = b.symbol GROUP BY 1, 2, 3) SELECT date, symbol, min((pain, strike))[2] AS max_pain, count(*) AS strikes FROM p GROUP BY 1, 2 HAVING count(*) >= 3""", "max_pain", lambda t: C.max_pain(t.option_chain))
 CDF = lambda e: "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))".replace("Z", f"(({e}) / sqrt(2))")
 PDF = "(exp(-d1 * d1 / 2) / sqrt(2 * pi()))"
 GREEK = f"""sp AS (SELECT last_day(date) AS date, symbol, max_by(close, date) / 1000 AS spot FROM bars GROUP BY 1, 2), j AS (SELECT o.*, spot, greatest((expiry - date) / 365.0, 0.0001) AS t FROM option_chain o JOIN sp USING (date, symbol)), d AS (SELECT *, (ln(spot / strike) + (0.065 - 0.012 + 0.02) * t) / (0.2 * sqrt(t)) AS d1 FROM j), e AS (SELECT *, d1 - 0.2 * sqrt(t) AS d2 FROM d),
   gk AS (SELECT date, symbol, expiry, strike, option_typ, CASE WHEN option_typ = 'CE' THEN exp(-0.012 * t) * {CDF('d1')} ELSE -exp(-0.012 * t) * {CDF('-d1')} END AS delta, exp(-0.012 * t) * {PDF} / (spot * 0.2 * sqrt(t)) AS gamma, spot * exp(-0.012 * t) * {PDF} * sqrt(t) / 100 AS vega,
-  CASE WHEN option_typ = 'CE' THEN strike * t * exp(-0.065 * t) * {CDF('d2')} ELSE -strike * t * exp(-0.065 * t) * {CDF('-d2')} END / 100 AS rho, exp(-0.012 * t) * {PDF} / (spot * 0.2 * sqrt(t)) * spot * open_int AS gex FROM e)"""
+  CASE WHEN option_typ = 'CE' THEN strike * t * exp(-0.065 * t) * {CDF('d2')} ELSE -strike * t * exp(-0.065 * t) * {CDF('-d2')} END / 100 AS rho, (-exp(-0.012 * t) * spot * {PDF} * 0.2 / (2 * sqrt(t)) + CASE WHEN option_typ = 'CE' THEN -0.065 * strike * exp(-0.065 * t) * {CDF('d2')} + 0.012 * spot * exp(-0.012 * t) * {CDF('d1')} ELSE 0.065 * strike * exp(-0.065 * t) * {CDF('-d2')} - 0.012 * spot * exp(-0.012 * t) * {CDF('-d1')} END) / 365 AS theta, exp(-0.012 * t) * {PDF} / (spot * 0.2 * sqrt(t)) * spot * open_int AS gex FROM e)"""
 spot = lambda t: t.bars.groupBy(F.last_day("date").alias("d"), "symbol").agg((F.max_by("close", "date") / 1000).alias("spot")).withColumnRenamed("d", "date")
-G("fn_black_scholes_greeks", "bars option_chain", f"WITH {GREEK} SELECT * EXCLUDE (gex) FROM gk", "strike delta gamma vega rho", lambda t: C.greeks(t.option_chain, spot(t)).drop("gex"), 5)
+G("fn_black_scholes_greeks", "bars option_chain", f"WITH {GREEK} SELECT * EXCLUDE (gex) FROM gk", "strike delta gamma vega rho theta", lambda t: C.greeks(t.option_chain, spot(t)).drop("gex"), 5)
 G("fn_gex", "bars option_chain", f"WITH {GREEK} SELECT date, symbol, expiry, strike, option_typ, gex FROM gk", "strike gex", lambda t: C.greeks(t.option_chain, spot(t)).select("date", "symbol", "expiry", "strike", "option_typ", "gex"), 5)
 G("greeks_gex_daily", "bars option_chain", f"WITH {GREEK} SELECT date, symbol, sum(CASE WHEN option_typ = 'CE' THEN gex ELSE -gex END) AS net_gex FROM gk GROUP BY 1, 2", "net_gex", lambda t: C.greeks(t.option_chain, spot(t)).groupBy("date", "symbol").agg(F.sum(F.when(F.col("option_typ") == "CE", F.col("gex")).otherwise(-F.col("gex"))).alias("net_gex")), 4)
-ATM = "sp AS (SELECT last_day(date) AS date, symbol, max_by(close, date) / 100 AS spot FROM bars GROUP BY 1, 2), ne AS (SELECT date, symbol, min(expiry) AS expiry FROM option_chain GROUP BY 1, 2), atm AS (SELECT o.date, o.symbol, any_value(spot) AS spot, any_value(o.expiry) AS expiry, min_by(close, (abs(strike - spot), strike)) FILTER (option_typ = 'CE') AS ce FROM option_chain o JOIN ne USING (date, symbol, expiry) JOIN sp USING (date, symbol) GROUP BY 1, 2), iv AS (SELECT symbol, date, least(ce / spot * sqrt(2 * pi() / ((expiry - date) / 365.0)) * 100, 200) AS iv FROM atm WHERE ce IS NOT NULL)"
-
-
-def atm_iv(t):
-    near = t.option_chain.groupBy("date", "symbol").agg(F.min("expiry").alias("expiry"))
-    sp = t.bars.groupBy(F.last_day("date").alias("d"), "symbol").agg((F.max_by("close", "date") / 100).alias("spot")).withColumnRenamed("d", "date")
-    j = t.option_chain.where("option_typ = 'CE'").join(near, ["date", "symbol", "expiry"]).join(sp, ["date", "symbol"])
-    a = j.groupBy("date", "symbol", "expiry", "spot").agg(F.min_by("close", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("ce"))
-    return a.select("symbol", "date", F.least(F.col("ce") / F.col("spot") * F.sqrt(F.lit(2 * 3.141592653589793) / (F.datediff("expiry", "date") / 365.0)) * 100, F.lit(200.0)).alias("iv"))
-
-
-G("fn_atm_iv", "bars option_chain", f"WITH {ATM} SELECT * FROM iv", "iv", atm_iv, 4)
-G("options_iv_history", "bars option_chain", f"WITH {ATM} SELECT symbol, date, iv, (iv - min(iv) OVER w) / nullif(max(iv) OVER w - min(iv) OVER w, 0) * 100 AS iv_rank FROM iv WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)", "iv iv_rank",
-  lambda t: (lambda w: atm_iv(t).withColumn("iv_rank", F.try_divide(F.col("iv") - F.min("iv").over(w), F.max("iv").over(w) - F.min("iv").over(w)) * 100))(by_symbol().rowsBetween(-251, 0)), 4)
+ATM = """sp AS (SELECT last_day(date) AS date, symbol, max_by(close, date) / 100 AS spot FROM bars GROUP BY 1, 2), ne AS (SELECT date, symbol, min(expiry) AS expiry FROM option_chain GROUP BY 1, 2),
+  atm AS (SELECT o.date, o.symbol, any_value(spot) AS spot, any_value(o.expiry) AS expiry, min_by(close, (abs(strike - spot), strike)) FILTER (option_typ = 'CE') AS ce, min_by(close, (abs(strike - spot), strike)) FILTER (option_typ = 'PE') AS pe,
+    coalesce(sum(open_int) FILTER (option_typ = 'PE'), 0) / nullif(coalesce(sum(open_int) FILTER (option_typ = 'CE'), 0), 0) AS pcr_oi FROM option_chain o JOIN ne USING (date, symbol, expiry) JOIN sp USING (date, symbol) GROUP BY 1, 2),
+  im AS (SELECT *, sqrt(2 * pi() / ((expiry - date) / 365.0)) * 100 / spot AS f FROM atm), iw AS (SELECT symbol, date, CASE WHEN ce IS NOT NULL THEN least(ce * f, 200) END AS iv_ce, CASE WHEN pe IS NOT NULL THEN least(pe * f, 200) END AS iv_pe, pcr_oi FROM im),
+  iv AS (SELECT symbol, date, iv_ce, iv_pe, (coalesce(iv_ce, iv_pe) + coalesce(iv_pe, iv_ce)) / 2 AS iv, pcr_oi FROM iw WHERE coalesce(iv_ce, iv_pe) IS NOT NULL)"""
+scaled_spot = lambda t: t.bars.groupBy(F.last_day("date").alias("d"), "symbol").agg((F.max_by("close", "date") / 100).alias("spot")).withColumnRenamed("d", "date")
+atm_iv = lambda t: C.atm_volatility(t.option_chain, scaled_spot(t))
+G("fn_atm_iv", "bars option_chain", f"WITH {ATM} SELECT symbol, date, iv_ce, iv_pe, iv FROM iv", "iv_ce iv_pe iv", lambda t: atm_iv(t).drop("pcr_oi"), 4)
+G("options_iv_history", "bars option_chain", f"""WITH {ATM}, ih AS (SELECT *, list(round(iv, 8)) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS l FROM iv)
+  SELECT symbol, date, iv_ce, iv_pe, iv, pcr_oi, (round(iv, 8) - list_min(l)) / nullif(list_max(l) - list_min(l), 0) * 100 AS iv_rank, len(list_filter(l, lambda v: v <= round(iv, 8))) * 100.0 / len(l) AS iv_percentile FROM ih""",
+  "iv_ce iv_pe iv pcr_oi iv_rank iv_percentile", lambda t: C.volatility_history(atm_iv(t).withColumn("iv", F.round("iv", 8))), 4)
 G("option_chain_slice", "option_chain", "SELECT symbol, strike, option_typ, expiry, open_int FROM option_chain WHERE date = DATE '1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'", "strike open_int", lambda t: t.option_chain.where("date = date'1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'").orderBy("strike").select("symbol", "strike", "option_typ", "expiry", "open_int"))
 G("sector_regime_daily", "bars sector_map", f"WITH {SMA} SELECT sector, date, count(*) AS members, 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) AS breadth, avg(close / s50 - 1) AS strength FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "breadth strength",
   lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.count("*").alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
@@ -84,8 +137,9 @@ G("event_insider_clusters", "insider_trades", """WITH b AS (SELECT symbol, filin
   lambda t: C.cluster_events(t.insider_trades.where("transaction_type = 'Buy' AND category LIKE 'Promoter%' AND value >= 30000000"), days=7))
 G("event_pledge_risk", "insider_trades", "SELECT event_id, symbol, filing_date, value / 1e7 AS value_cr FROM insider_trades WHERE transaction_type = 'Pledge' AND value >= 10000000", "value_cr", lambda t: t.insider_trades.where("transaction_type = 'Pledge' AND value >= 10000000").select("event_id", "symbol", "filing_date", (F.col("value") / 1e7).alias("value_cr")))
 G("event_pead_proxy", "statements", """WITH g AS (SELECT symbol, quarter, pit_date, revenue / lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY quarter) - 1 AS growth FROM statements), f AS (SELECT * FROM g WHERE growth IS NOT NULL), s AS (SELECT quarter, median(growth) AS m, stddev_samp(growth) AS s FROM f GROUP BY 1)
-  SELECT symbol, pit_date AS event_date, greatest(least((growth - m) / CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END, 3), -3) AS surprise FROM f JOIN s USING (quarter)""", "surprise",
-  lambda t: S.z_by_group(t.statements.withColumn("growth", F.col("revenue") / F.lag("revenue", 4).over(by_symbol(order="quarter")) - 1).where("growth IS NOT NULL"), "growth", "quarter").select("symbol", F.col("pit_date").alias("event_date"), F.col("z").alias("surprise")))
+  SELECT symbol, pit_date AS event_date, greatest(least((growth - m) / CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END, 3), -3) AS surprise,
+    100 * (rank() OVER (PARTITION BY quarter ORDER BY growth) + (count(*) OVER (PARTITION BY quarter, growth) - 1) / 2.0) / count(*) OVER (PARTITION BY quarter) AS pct FROM f JOIN s USING (quarter)""", "surprise pct",
+  lambda t: S.z_by_group(t.statements.withColumn("growth", F.col("revenue") / F.lag("revenue", 4).over(by_symbol(order="quarter")) - 1).where("growth IS NOT NULL"), "growth", "quarter").select("symbol", F.col("pit_date").alias("event_date"), F.col("z").alias("surprise"), "pct"))
 G("event_buyback", "", "SELECT event_id, user_id, ts FROM events WHERE event_type LIKE '%purch%' AND value > 50", "", lambda t: t.events.where("event_type LIKE '%purch%' AND value > 50").select("event_id", "user_id", "ts"))
 G("event_index_inclusion", PV, f"WITH {TOP} SELECT symbol, effective_from AS event_date FROM isl WHERE effective_from > DATE '1996-01-31'", "", lambda t: C.membership_islands(top8(t), t.month_ends).where("effective_from > date'1996-01-31'").select("symbol", F.col("effective_from").alias("event_date")))
 EVS = f"""l AS (SELECT symbol, date, lead(close, 21) {W} / close - 1 AS fwd, lead(close, 63) {W} / close - 1 AS fwd63 FROM bars), ix AS (SELECT date, lead(close, 21) OVER (ORDER BY date) / close - 1 AS bench FROM index_series), ev AS (SELECT a.symbol, a.event_date, l.date AS entry_date, l.fwd, l.fwd63 FROM (SELECT DISTINCT symbol, date AS event_date FROM corporate_actions) a ASOF JOIN l ON a.symbol = l.symbol AND a.event_date < l.date), ab AS (SELECT ev.symbol, ev.event_date, fwd - bench AS abnormal FROM ev ASOF JOIN ix ON ev.entry_date <= ix.date WHERE fwd IS NOT NULL AND bench IS NOT NULL)"""
@@ -99,9 +153,8 @@ def abnormal(t):
 
 
 G("event_study_abnormal", "bars index_series corporate_actions", f"WITH {EVS} SELECT * FROM ab", "abnormal", abnormal)
-G("agg_event_study", "bars index_series corporate_actions", f"WITH {EVS}, r AS (SELECT *, row_number() OVER (ORDER BY event_date, symbol) AS k, count(*) OVER () AS n FROM ab), m AS (SELECT event_date AS mid FROM r WHERE k = n // 2 + 1) SELECT count(*) AS n, avg(abnormal) AS mean, avg(abnormal) / (stddev_samp(abnormal) / sqrt(count(*))) AS t_stat, avg(CAST(abnormal > 0 AS DOUBLE)) AS hit, avg(abnormal) FILTER (event_date < (SELECT mid FROM m)) AS h1, avg(abnormal) FILTER (event_date >= (SELECT mid FROM m)) AS h2 FROM ab", "mean t_stat hit h1 h2",
-  lambda t: (lambda a: (lambda m: a.crossJoin(F.broadcast(m)).agg(F.count("*").alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count("*")))).alias("t_stat"), F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(F.col("event_date") < F.col("mid"), F.col("abnormal"))).alias("h1"), F.avg(F.when(F.col("event_date") >= F.col("mid"), F.col("abnormal"))).alias("h2")))(
-      a.withColumns({"k": F.row_number().over(Window.orderBy("event_date", "symbol")), "n": F.count("*").over(Window.partitionBy())}).where("k = floor(n / 2) + 1").select(F.col("event_date").alias("mid"))))(abnormal(t)))
+G("agg_event_study", "bars index_series corporate_actions", f"WITH {EVS}, m AS (SELECT quantile_disc(event_date, 0.5) AS mid FROM ab) SELECT count(*) AS n, avg(abnormal) AS mean, avg(abnormal) / (stddev_samp(abnormal) / sqrt(count(*))) AS t_stat, avg(CAST(abnormal > 0 AS DOUBLE)) AS hit, avg(abnormal) FILTER (event_date < (SELECT mid FROM m)) AS h1, avg(abnormal) FILTER (event_date >= (SELECT mid FROM m)) AS h2 FROM ab", "mean t_stat hit h1 h2",
+  lambda t: C.event_study(abnormal(t)))
 G("event_shadow_returns", "bars index_series corporate_actions", f"WITH {EVS} SELECT symbol, event_date, entry_date, fwd AS ret_21, fwd63 AS ret_63, fwd IS NOT NULL AS filled_21 FROM ev", "ret_21 ret_63",
   lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date")).distinct(), S.forward_labels(t.bars, {"ret_21": 21, "ret_63": 63}).select("symbol", "date", "ret_21", "ret_63"), ["symbol"], "event_date", "date", ["ret_21", "ret_63"], forward=True, strict=True).where("matched_on IS NOT NULL").select("symbol", "event_date", F.col("matched_on").alias("entry_date"), "ret_21", "ret_63", F.col("ret_21").isNotNull().alias("filled_21")))
 G("event_recency_score", "insider_trades", "SELECT symbol, greatest(0, least(100, max(50 + CASE WHEN transaction_type = 'Buy' THEN 50 ELSE -50 END * (1 - (DATE '2024-01-28' - filing_date) / 20.0)))) AS score, max(CAST(transaction_type = 'Pledge' AS INTEGER)) AS pledge FROM insider_trades WHERE filing_date < DATE '2024-01-28' AND DATE '2024-01-28' - filing_date <= 20 GROUP BY 1", "score",

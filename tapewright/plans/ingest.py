@@ -1,12 +1,14 @@
 """Queries over normalisers and sinks. Raw layouts are derived from the tables; the SQL states the typed result."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.core import parse_date, parse_number
+from ..sources import feeds
 from ..sources import normalize as N
 from .aggregates import G
 
-s = lambda c: F.col(c).cast("string")
+s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
 BARS = "SELECT symbol, date, open, high, low, close, volume FROM bars"
 OHLCV = "open high low close volume"
 
@@ -28,8 +30,21 @@ G("nav_normalize", "bars", "SELECT CAST(symbol AS BIGINT) AS code, 'Fund ' || sy
 G("scheme_master_sections", "", "SELECT r_name AS file, CAST(n_nationkey AS BIGINT) AS code, 'Equity (' || r_name || ')' AS category, 'AMC ' || r_name AS amc FROM nation JOIN region ON n_regionkey = r_regionkey", "",
   lambda t: N.sections(t.region.select(F.col("r_name").alias("file"), F.lit(0).alias("line_no"), F.concat(F.lit("Equity ("), "r_name", F.lit(")")).alias("value")).unionByName(t.region.select(F.col("r_name").alias("file"), F.lit(1).alias("line_no"), F.concat(F.lit("AMC "), "r_name").alias("value"))).unionByName(
       t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("file"), (F.col("n_nationkey") + 2).alias("line_no"), F.concat(s("n_nationkey"), F.lit(";"), "n_name").alias("value")))))
-G("participant_oi_normalize", "delivery", "SELECT symbol, date, total_traded_qty - delivery_qty AS net FROM delivery", "net",
-  lambda t: (lambda p: t.delivery.select("symbol", "date", F.concat_ws(",", s("total_traded_qty"), s("delivery_qty")).alias("v")).select("symbol", "date", (F.coalesce(p[0].try_cast("double"), F.lit(0.0)) - F.coalesce(p[1].try_cast("double"), F.lit(0.0))).alias("net")))(F.split("v", ",")))
+PLACES = {c: i for i, c in enumerate(feeds.PARTICIPANT)}
+
+
+def participant_lines(t):
+    """One file per date: a title, a header, a line per participant whose figures are made of its volumes, and a short line."""
+    figure = lambda i: F.when(F.lit(i == 11), F.lit("-")).otherwise(s(F.floor(F.col("total_traded_qty") * (i + 1) - F.col("delivery_qty") * (i % 3))))
+    body = t.delivery.select("date", (F.dense_rank().over(Window.partitionBy("date").orderBy("symbol")) + 1).alias("line_no"), F.concat_ws(",", F.concat(F.lit(" "), "symbol"), *(figure(i) for i in range(12)), F.lit("")).alias("value"))
+    heads = t.delivery.select("date").distinct().select("date", F.explode(F.array(*(F.struct(F.lit(n).alias("line_no"), F.lit(v).alias("value")) for n, v in ((0, "Title"), (1, "Client Type,Future Index Long"), (9999, "TOTAL,1,2"))))).alias("h"))
+    return body.unionByName(heads.select("date", "h.*"))
+
+
+figure_sql = lambda c: "CAST(NULL AS DOUBLE)" if PLACES[c] == 11 else f"floor(total_traded_qty * {PLACES[c] + 1} - delivery_qty * {PLACES[c] % 3})"
+G("participant_oi_normalize", "delivery", f"""SELECT date, symbol AS participant, {', '.join(f'CAST({figure_sql(c)} AS DOUBLE) AS {c}' for c in feeds.PARTICIPANT)},
+  {figure_sql('index_fut_long')} - {figure_sql('index_fut_short')} AS index_fut_net, {figure_sql('stock_fut_long')} - {figure_sql('stock_fut_short')} AS stock_fut_net FROM delivery""",
+  " ".join(feeds.PARTICIPANT) + " index_fut_net stock_fut_net", lambda t: feeds.participant_oi(participant_lines(t)))
 G("deals_normalize", "", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 2) AS price FROM orders", "price",
   lambda t: t.orders.select("o_orderkey", parse_date(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd-MMM-yyyy")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))).alias("date"), parse_number(F.format_number("o_totalprice", 2)).alias("price")))
 G("industry_flows_normalize", "", "SELECT p_brand AS name, p_size AS schemes, round(p_retailprice, 2) AS aum FROM part WHERE p_size > 5", "aum",
@@ -37,12 +52,37 @@ G("industry_flows_normalize", "", "SELECT p_brand AS name, p_size AS schemes, ro
 G("index_valuation_normalize", "index_series", "SELECT date, close AS pe, CASE WHEN n % 2 = 0 THEN CAST(n AS DOUBLE) END AS pb FROM index_series", "pe pb",
   lambda t: t.index_series.select(F.to_json(F.struct(s("date").alias("d"), s("close").alias("pe"), F.when(F.col("n") % 2 == 0, s("n")).otherwise("-").alias("pb"))).alias("j")).withColumn("x", F.from_json("j", "d string, pe string, pb string")).select(parse_date(F.col("x.d")).alias("date"), F.col("x.pe").try_cast("double").alias("pe"), F.col("x.pb").try_cast("double").alias("pb")))
 G("macro_series_long", "", "SELECT o_orderpriority AS series_id, make_date(year(o_orderdate), 1, 1) AS date, sum(o_totalprice) AS value, 'A' AS frequency FROM orders GROUP BY 1, 2", "value",
-  lambda t: t.orders.groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("value")).select("series_id", F.make_date("y", F.lit(1), F.lit(1)).alias("date"), "value", F.lit("A").alias("frequency")), 2)
-G("news_feed_extract", "", "SELECT page_id, url AS link FROM pages WHERE url <> ''", "", lambda t: t.pages.select("page_id", F.concat(F.lit("<item><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>")).alias("x")).select("page_id", F.expr("xpath_string(x, '/item/link')").alias("link")).where("link <> ''"))
+  lambda t: feeds.annual_series(
+      t.orders.groupBy(F.col("o_orderpriority").alias("series_id"), s(F.year("o_orderdate")).alias("date")).agg(F.sum("o_totalprice").alias("value"))
+      .unionByName(t.orders.select(F.col("o_orderpriority").alias("series_id"), F.lit("1900").alias("date"), F.lit(None).cast("double").alias("value")).distinct())
+      .groupBy("series_id").agg(F.concat(F.lit('[{"page":1},'), F.to_json(F.collect_list(F.struct("date", "value")), {"ignoreNullFields": "false"}), F.lit("]")).alias("text"))), 2)
+NEWS_DATE = "CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER) AS DATE)"
+ZONES = ("' +0530'", "' GMT'", "''")
+
+
+def rss(t):
+    """An RSS document per host: an item a page (title `Page n`, dates in three layouts), an item without a link and one without a title."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))
+    zone = F.element_at(F.array(*(F.lit(z.strip("'")) for z in ZONES)), (F.col("page_id") % 3 + 1).cast("int"))
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
+    escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    when = F.concat(F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 10:30:00"), zone)
+    item = tag("item", F.concat(tag("title", F.concat(F.lit("Page "), s("page_id"))), tag("link", escape(F.col("url"))), tag("pubDate", when)))
+    pages = t.pages.where("url <> ''").select((F.col("page_id") % 20).alias("k"), F.struct("page_id", item.alias("x")).alias("i"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda v: v["x"]), "")
+    odd = "<item><title>No link</title></item><item><link>http://no.title</link></item>"
+    return pages.groupBy("k").agg(text.alias("items")).select(
+        F.concat(F.lit("host"), s("k")).alias("source"), F.col("k").alias("fetched"), F.concat(F.lit("<rss><channel>"), "items", F.lit(odd + "</channel></rss>")).alias("xml"))
+
+
+G("news_feed_extract", "", f"""SELECT url AS link, 'Page ' || page_id AS title, strftime({NEWS_DATE}, '%Y-%m-%d') || ' 10:30:00' AS published, 'host' || page_id % 20 AS source
+  FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id % 20 DESC, page_id DESC) AS k FROM pages WHERE url <> '') WHERE k = 1""", "", lambda t: feeds.news_items(rss(t)))
 G("pit_xml_facts", "insider_trades", "SELECT event_id, transaction_type AS kind, category FROM insider_trades", "",
   lambda t: t.insider_trades.select("event_id", F.concat(F.lit("<x><kind>"), "transaction_type", F.lit("</kind><category>"), "category", F.lit("</category></x>")).alias("x")).withColumn("f", F.from_xml("x", "kind string, category string")).select("event_id", "f.kind", "f.category"))
-G("fo_ban_parse", "", "SELECT o_custkey, 'B' || o_orderpriority[1:1] AS token FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) WHERE false UNION ALL SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 'FF' WHEN 'O' THEN 'OO' ELSE 'PP' END FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)", "",
-  lambda t: t.orders.groupBy("o_custkey").agg(F.concat_ws(",", F.array_append(F.transform(F.collect_set("o_orderstatus"), lambda v: F.concat(v, v)), F.lit("x1"))).alias("l")).select("o_custkey", F.explode(F.split("l", ",")).alias("token")).where(F.col("token").rlike(r"^[A-Z&\-]{2,}$")))
+G("fo_ban_parse", "", """SELECT day AS date, symbol FROM (SELECT CAST(o_orderdate AS DATE) AS day, 'S' || chr(CAST(65 + o_custkey % 26 AS INTEGER)) AS symbol FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2)""", "",
+  lambda t: feeds.ban_list(
+      t.orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.array_join(F.collect_set(F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("S"), F.char(65 + F.col("o_custkey") % 26)))), ",\n ").alias("l"))
+      .select(F.concat(F.lit("Securities in Ban For Trade Date "), F.upper(F.date_format("day", "dd-MMM-yyyy")), F.lit(": "), F.when(F.col("l") == "", "NIL").otherwise(F.concat(F.lit("1\n"), F.col("l"), F.lit(", x1")))).alias("text"))))
 G("statement_json_scan", "statements", "SELECT symbol, quarter, revenue, net_income FROM statements", "revenue net_income",
   lambda t: t.statements.select("symbol", "quarter", F.to_json(F.struct("revenue", "net_income")).alias("j")).withColumn("m", F.from_json("j", "map<string,double>")).select("symbol", "quarter", F.col("m")["revenue"].alias("revenue"), F.col("m")["net_income"].alias("net_income")), 2)
 G("holding_json_tables", "", "SELECT o_custkey, o_orderkey, o_totalprice AS pct, o_orderstatus = 'P' AS is_aggregate FROM orders", "pct",
@@ -59,8 +99,13 @@ G("scrip_master_normalize", "", "SELECT p_partkey AS scrip, CASE WHEN p_size > 4
 G("trends_unpivot", "", "SELECT CAST(ts AS DATE) AS date, query, score FROM (SELECT ts, CAST(user_id AS DOUBLE) AS users, value FROM events) UNPIVOT INCLUDE NULLS (score FOR query IN (users, value))", "score", lambda t: t.events.select(F.to_date("ts").alias("date"), F.col("user_id").cast("double").alias("users"), "value").unpivot(["date"], ["users", "value"], "query", "score"))
 G("shareholding_quarter_normalize", "filings", "SELECT filing_id, CAST(year(quarter) AS VARCHAR) || '-Q' || CAST(quarter(quarter) AS VARCHAR) AS yq, round(amount / 10000, 2) AS pct FROM filings", "pct",
   lambda t: t.filings.select("filing_id", F.concat(F.year("quarter"), F.lit("-Q"), F.quarter("quarter")).alias("yq"), parse_number(F.concat(F.format_number(F.round(F.col("amount") / 10000, 2), 2), F.lit("%"))).alias("pct")))
-G("announcements_normalize", "", "SELECT doc_id, source, coalesce(lang, 'xx') AS lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1", "",
-  lambda t: t.documents.groupBy("source", "lang", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source", F.coalesce("lang", F.lit("xx")).alias("lang")))
+SUBJECT = "split_part(text, '.', 1)"
+G("announcements_normalize", "", f"""SELECT DISTINCT CASE WHEN doc_id % 3 = 2 THEN DATE '2000-01-01' ELSE DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) END AS date, coalesce(source, '') AS symbol, trim({SUBJECT}, ' ') AS subject
+  FROM documents WHERE text IS NOT NULL""", "",
+  lambda t: (lambda day: feeds.announcements(
+      t.documents.where("text IS NOT NULL").select(F.col("source").alias("symbol"), F.expr("split_part(text, '.', 1)").alias("subject"),
+          F.when(F.col("doc_id") % 3 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10:00:00"))).when(F.col("doc_id") % 3 == 1, F.concat(F.date_format(day, "dd-MMM-yyyy"), F.lit(" 10:00"))).otherwise("soon").alias("dt")),
+      F.lit("2000-01-01").cast("date")))(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))))
 G("membership_matrix_unpivot", "", "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, symbol FROM (SELECT o_orderdate, unnest(['F', 'O', 'P']) AS symbol, o_orderstatus FROM orders) WHERE symbol = o_orderstatus GROUP BY 1, 2", "",
   lambda t: t.orders.groupBy(F.trunc("o_orderdate", "MM").alias("month")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).unpivot(["month"], ["F", "O", "P"], "symbol", "w").where("w > 0").select("month", "symbol"))
 G("sink_upsert", "", "SELECT o_custkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1", "price",
