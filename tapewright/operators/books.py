@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,16 +173,29 @@ def first_touch(trades: DataFrame, bars: DataFrame, days: int = 21, target_first
 
 
 def greedy_book(cards: DataFrame, capital: float, date: str = "date") -> DataFrame:
-    """Per date, cards by confidence are taken while their notional still fits; one that doesn't is skipped, not the end.
+    """(date, rank, symbol): per date, cards by confidence are taken while their notional still fits; one that doesn't is skipped, not the end.
 
-    Not associative, so a date's cards are folded in order; a date has a bounded number of cards.
+    What is taken depends on all before it, so each date's cards stream through a
+    task in their order; what is held in memory is the capital that is left.
     """
-    s = cards.groupBy(date).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("k"), "symbol", "notional"))).alias("a"))
-    fold = F.expr(
-        f"""aggregate(a, named_struct('left', {capital}D, 'taken', slice(transform(a, v -> v.symbol), 1, 0)), (x, v) -> if(v.notional <= x.left,
-        named_struct('left', x.left - v.notional, 'taken', concat(x.taken, array(v.symbol))), x), x -> x.taken)"""
-    )
-    return s.select(date, F.posexplode(fold).alias("rank", "symbol"))
+    kind = cards.schema[date].dataType.simpleString()
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, left, rank = None, 0.0, 0
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for d, symbol, notional in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if rank == 0 or d != day:
+                    day, left, rank = d, capital, 1
+                if notional is not None and notional <= left:
+                    left -= notional
+                    for c, v in zip(out, (d, rank, symbol)):
+                        c.append(v)
+                    rank += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], [date, "rank", "symbol"])
+
+    ordered = cards.select(date, "symbol", "notional", "confidence").repartition(date).sortWithinPartitions(date, F.desc("confidence"), "symbol", "notional")
+    return ordered.select(date, "symbol", "notional").mapInArrow(take, f"{date} {kind}, rank int, symbol string")
 
 
 def risk_curve(trades: DataFrame, risk: float = 10_000.0, base: float = 1e6) -> DataFrame:

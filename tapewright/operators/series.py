@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import avg_rank, by_symbol, clip, median, qcut_decile, rank_pct, ret, roll
+from ..functions.core import by_symbol, clip, median, rank_pct, ret, roll
 
 W = by_symbol
 
@@ -109,26 +109,24 @@ def z_by_group(df: DataFrame, col: str, *groups: str, cap: float = 3.0) -> DataF
     return df.join(stats, list(groups)).withColumns({"z": clip((F.col(col) - F.col("_m")) / sd, -cap, cap), "pct": rank_pct(col, *groups) * 100}).drop("_m", "_s")
 
 
-def ema(column: str, n: int) -> Column:
-    """EMA of a sorted array column, seeded with the mean of its first n values; the whole series."""
-    a = 2.0 / (n + 1)
-    seed = F.aggregate(F.slice(column, 1, n), F.lit(0.0), lambda s, v: s + v) / n
-    rest = F.expr(f"slice({column}, {n + 1}, greatest(size({column}) - {n}, 0))")
-    start = F.array(seed)
-    return F.when(F.size(column) >= n, F.aggregate(rest, start, lambda s, v: F.concat(s, F.array(F.element_at(s, -1) * (1 - a) + v * a))))
+def macd(bars: DataFrame, last: int = 756, fast: int = 12, slow: int = 26, smooth: int = 9) -> DataFrame:
+    """(symbol, macd, signal, histogram) at the last bar, from at most `last` bars; symbols with fewer than slow + smooth have none.
 
-
-def macd(bars: DataFrame, last: int = 300) -> DataFrame:
-    """MACD line, signal and histogram at the last bar, from at most `last` bars."""
+    Each average starts as the mean of its first values. All three are carried
+    through one fold over the closes, whose state is a few numbers.
+    """
     w = Window.partitionBy("symbol").orderBy(F.desc("date"))
     recent = bars.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
-    s = recent.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("a")).select(
-        "symbol", F.transform("a", lambda x: x["close"]).alias("c"))
-    s = s.withColumns({"e12": ema("c", 12), "e26": ema("c", 26)}).where(F.size("c") >= 35)
-    s = s.withColumn("line", F.zip_with(F.expr("slice(e12, 15, size(e12))"), "e26", lambda x, y: x - y))
-    s = s.withColumn("sig", ema("line", 9))
-    macd_, signal = F.element_at("line", -1), F.element_at("sig", -1)
-    return s.select("symbol", macd_.alias("macd"), signal.alias("signal"), (macd_ - signal).alias("histogram"))
+    closes = recent.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("a")).where(F.size("a") >= slow + smooth)
+    step = lambda old, new, n: f"{old} + ({new} - {old}) * (2D / {n + 1})"
+    average = lambda e, n, i: f"CASE WHEN {i} < {n} THEN x.{e} + v.close WHEN {i} = {n} THEN (x.{e} + v.close) / {n} ELSE {step(f'x.{e}', 'v.close', n)} END"
+    zero = "named_struct('i', 0, 'f', 0D, 's', 0D, 'm', 0D, 'g', 0D)"
+    averaged = f"named_struct('i', x.i + 1, 'f', {average('f', fast, '(x.i + 1)')}, 's', {average('s', slow, '(x.i + 1)')}, 'g', x.g)"
+    k = f"(y.i - {slow - 1})"  # how many values the line has
+    signal = f"CASE WHEN {k} < 1 THEN 0D WHEN {k} < {smooth} THEN y.g + y.f - y.s WHEN {k} = {smooth} THEN (y.g + y.f - y.s) / {smooth} ELSE {step('y.g', '(y.f - y.s)', smooth)} END"
+    fold = f"aggregate(a, {zero}, (x, v) -> transform(array({averaged}), y -> named_struct('i', y.i, 'f', y.f, 's', y.s, 'm', y.f - y.s, 'g', {signal}))[0])"
+    s = closes.select("symbol", F.expr(fold).alias("z"))
+    return s.select("symbol", F.col("z.m").alias("macd"), F.col("z.g").alias("signal"), (F.col("z.m") - F.col("z.g")).alias("histogram"))
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
@@ -195,5 +193,3 @@ def universe_tiers(df: DataFrame, group: str = "rebal_date", by: str = "med_turn
 def top_k(df: DataFrame, k: int, *groups: str, by: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*by))).where(F.col("rank") <= k)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["avg_rank", "qcut_decile"]

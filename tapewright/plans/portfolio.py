@@ -113,7 +113,12 @@ def option_ic(t):
 G("fno_feature_ic", PV + " option_chain", f"WITH {NEXT}, {FNO} SELECT feature, d, corr(a, b) AS ic, count(*) AS n FROM fr GROUP BY 1, 2 HAVING count(*) >= 8", "ic", option_ic, 5)
 
 # cards, risk
-G("idea_book_greedy", "", None, "", lambda t: B.greedy_book(t.orders.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_totalprice").alias("notional"), (F.col("o_custkey") % 97).cast("double").alias("confidence")), 5e5))
+G("idea_book_greedy", "", """WITH c AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey AS VARCHAR) AS symbol, o_totalprice AS notional, CAST(o_custkey % 97 AS DOUBLE) AS confidence FROM orders),
+  k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY confidence DESC, symbol, notional) AS i FROM c),
+  f AS (SELECT date, i, symbol, notional <= 5e5 AS taken, 5e5 - CASE WHEN notional <= 5e5 THEN notional ELSE 0 END AS capital FROM k WHERE i = 1
+    UNION ALL SELECT k.date, k.i, k.symbol, k.notional <= f.capital, f.capital - CASE WHEN k.notional <= f.capital THEN k.notional ELSE 0 END FROM f JOIN k ON k.date = f.date AND k.i = f.i + 1)
+  SELECT date, CAST(row_number() OVER (PARTITION BY date ORDER BY i) AS INTEGER) AS rank, symbol FROM f WHERE taken""", "",
+  lambda t: B.greedy_book(t.orders.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").cast("string").alias("symbol"), F.col("o_totalprice").alias("notional"), (F.col("o_custkey") % 97).cast("double").alias("confidence")), 5e5))
 G("idea_context_tags", PV + " corporate_actions", f"""WITH {PANEL}, {SMA}, rg AS (SELECT symbol, date, CASE WHEN close > s50 AND s50 > s200 THEN 'bull' WHEN close < s50 AND s50 < s200 THEN 'bear' ELSE 'sideways' END AS regime FROM a)
   SELECT p.rebal_date, p.symbol, CAST(to_json({{'regime': any_value(regime), 'sector': any_value(sector), 'events': coalesce(list_sort(list(DISTINCT action_type) FILTER (action_type IS NOT NULL)), [])}}) AS VARCHAR) AS context
   FROM panel p JOIN rg ON rg.symbol = p.symbol AND rg.date = p.rebal_date LEFT JOIN corporate_actions c ON c.symbol = p.symbol AND c.date < p.rebal_date AND c.date >= p.rebal_date - 63 GROUP BY 1, 2""", "",

@@ -117,7 +117,12 @@ query("win_rolling1y_consistency", "bars", f"SELECT symbol, avg(CASE WHEN r > 0
 query("win_regime_flip", "bars", f"WITH {SMA}, b AS (SELECT date, 100.0 * avg(CASE WHEN close > s200 THEN 1.0 WHEN s200 IS NOT NULL THEN 0.0 END) AS pct FROM a GROUP BY date) SELECT date, pct, (pct >= 50) IS DISTINCT FROM (lag(pct, 21) OVER (ORDER BY date) >= 50) AND lag(pct, 21) OVER (ORDER BY date) IS NOT NULL AS flipped FROM b WHERE pct IS NOT NULL", "pct")(
     lambda t: (lambda b, p: b.select("date", "pct", (((F.col("pct") >= 50) != (p >= 50)) & p.isNotNull()).alias("flipped")).fillna(False, ["flipped"]))(
         S.sma_distance(t.bars).where("sma200 IS NOT NULL").groupBy("date").agg((F.avg("above_200") * 100).alias("pct")), F.lag("pct", 21).over(Window.orderBy("date"))))
-query("win_ema_macd", "bars", None)(lambda t: S.macd(t.bars))
+query("win_ema_macd", "bars", """WITH b AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) WHERE k <= 756),
+  s AS (SELECT symbol, avg(close) FILTER (i <= 12) AS f, avg(close) FILTER (i <= 26) AS s, count(*) AS n FROM b GROUP BY 1),
+  e AS (SELECT symbol, CAST(12 AS BIGINT) AS i, f, CAST(0 AS DOUBLE) AS g, s AS e, CAST(0 AS DOUBLE) AS t FROM s WHERE n >= 35
+    UNION ALL SELECT b.symbol, b.i, e.f + (b.close - e.f) * 2 / 13, CASE WHEN b.i < 26 THEN 0 WHEN b.i <= 34 THEN e.g + ((e.f + (b.close - e.f) * 2 / 13) - CASE WHEN b.i = 26 THEN e.e ELSE e.e + (b.close - e.e) * 2 / 27 END) / 9
+      ELSE e.g + (((e.f + (b.close - e.f) * 2 / 13) - (e.e + (b.close - e.e) * 2 / 27)) - e.g) * 2 / 10 END, CASE WHEN b.i <= 26 THEN e.e ELSE e.e + (b.close - e.e) * 2 / 27 END, 0 FROM e JOIN b ON b.symbol = e.symbol AND b.i = e.i + 1)
+  SELECT symbol, f - e AS macd, g AS signal, f - e - g AS histogram FROM e QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) = 1""", "macd signal histogram", 4)(lambda t: S.macd(t.bars))
 query("win_split_adjust", "bars corporate_actions", """WITH f AS (SELECT symbol, date, CASE action_type WHEN 'SPLIT' THEN CAST(split_part(ratio, ':', 2) AS DOUBLE) / CAST(split_part(ratio, ':', 1) AS DOUBLE) ELSE CAST(split_part(ratio, ':', 2) AS DOUBLE) / (CAST(split_part(ratio, ':', 1) AS DOUBLE) + CAST(split_part(ratio, ':', 2) AS DOUBLE)) END AS f FROM corporate_actions WHERE action_type <> 'DIVIDEND')
       SELECT b.symbol, b.date, coalesce(product(f.f), 1) AS adj_factor FROM bars b LEFT JOIN f ON f.symbol = b.symbol AND f.date > b.date GROUP BY 1, 2""", "adj_factor", 9)(
     lambda t: C.suffix_factor(t.bars, t.corporate_actions).select("symbol", "date", "adj_factor"))

@@ -8,7 +8,7 @@ from .aggregates import G
 
 feed = lambda t: jobs.source(t.spark, t.sf_dir, "events")
 G("stream_bars", "", "SELECT user_id, CAST(ts AS DATE) AS date, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close, count(*) AS n FROM events GROUP BY 1, 2", "open high low close",
-  lambda t: jobs.drained(jobs.daily_bars(feed(t)), scratch(t.spark, "stream"), "complete"))
+  lambda t: jobs.drained(jobs.daily_bars(feed(t)), scratch(t.spark, "stream"), "update", ["user_id", "date"]))
 G("stream_dedupe_filings", "", "SELECT user_id, event_type FROM events GROUP BY 1, 2", "", lambda t: jobs.drained(jobs.dedupe(feed(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"]), scratch(t.spark, "stream")).select("user_id", "event_type"))
 G("stream_insider_clusters", "", None, "", lambda t: jobs.drained(jobs.clusters(feed(t).where("event_type = 'purchase'").select((F.col("user_id") % 20).cast("string").alias("symbol"), F.unix_date(F.to_date("ts")).cast("long").alias("day"), F.col("props").alias("name"), "ts")), scratch(t.spark, "stream")))
-G("stream_freshness", "", "SELECT event_type AS source, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY 1", "", lambda t: jobs.drained(feed(t).groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")), scratch(t.spark, "stream"), "complete"))
+G("stream_freshness", "", "SELECT event_type AS source, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY 1", "", lambda t: jobs.drained(feed(t).groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")), scratch(t.spark, "stream"), "update", ["source"]))

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import parse_date, parse_number
+from ..functions.core import parse_date
+from .scratch import scratch_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tapewright-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def pick(*names: str, of: DataFrame) -> Column:
@@ -89,5 +85,3 @@ def after_highwater(rows: DataFrame, stored: DataFrame, key: str, date: str) ->
     high = stored.groupBy(key).agg(F.max(date).alias("_hw"))
     return rows.join(high, key, "left").where(F.col("_hw").isNull() | (F.col(date) > F.col("_hw"))).drop("_hw")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["parse_number"]

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -63,13 +64,25 @@ def clusters(trades: DataFrame, days: int = 7, least: int = 2, late: str = "1 da
     )
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run to the end of the feed; in complete mode the last batch's result is what stays."""
+def drained(stream: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run to the end of the feed and read back what was written.
+
+    In update mode every batch writes only the rows that changed, to a folder of
+    its own (a batch that is run again overwrites it), and of each key the row of
+    the last batch is read; state is dropped behind the watermark. In complete mode
+    the last batch's result is what stays.
+    """
     spark = stream.sparkSession
     out = f"{folder}/out"
-    if mode == "complete":
+    if mode == "update":
+        writer = stream.writeStream.outputMode("update").foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+    elif mode == "complete":
         writer = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
     else:
         writer = stream.writeStream.outputMode(mode).format("parquet").option("path", out)
     writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(out)
+    last = Window.partitionBy(*(keys or [])).orderBy(F.desc("batch"))
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+    return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").select(*stream.columns)
