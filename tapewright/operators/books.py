@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import norm_cdf, norm_ppf
+from ..functions.core import norm_cdf, norm_ppf, rank_pct
 
 
 def dated(book: DataFrame, date: str = "rebal_date") -> DataFrame:
@@ -99,6 +99,21 @@ def ic_weighted(panel: DataFrame, signals: list[str], label: str, date: str = "r
     return w.select(date, "signal", F.coalesce(F.try_divide(F.col("_w"), F.sum("_w").over(Window.partitionBy(date))), F.lit(0.0)).alias("weight"))
 
 
+def ensemble_rank(panel: DataFrame, weights: DataFrame, signals: list[str], date: str = "rebal_date") -> DataFrame:
+    """(date, symbol, score): mean of the percentile ranks of a learned mix of ranked signals and of their plain mean.
+
+    `weights` has (date, signal, weight), learned from earlier dates; dates without
+    weights are left out, as are names without all signals.
+    """
+    ranked = panel.select(date, "symbol", *(rank_pct(s, date).alias(s) for s in signals)).dropna(subset=signals)
+    wide = weights.groupBy(date).agg(*(F.max(F.when(F.col("signal") == s, F.col("weight"))).alias(f"_w_{s}") for s in signals))
+    total = lambda parts: sum(parts, F.lit(0.0))
+    learned = F.round(total(F.col(s) * F.coalesce(f"_w_{s}", F.lit(0.0)) for s in signals), 9)
+    linear = F.round(total(F.col(s) for s in signals) / len(signals), 9)
+    scored = ranked.join(F.broadcast(wide), date).select(date, "symbol", learned.alias("learned"), linear.alias("linear"))  # a row per date
+    return scored.select(date, "symbol", ((rank_pct("learned", date) + rank_pct("linear", date)) / 2).alias("score"))
+
+
 def block_bootstrap(returns: DataFrame, draws: int = 500, block: int = 6, date: str = "rebal_date", per_year: int = 12) -> DataFrame:
     """Sharpe quantiles over circular block resamples; starts come from a hash of (draw, block)."""
     spark = returns.sparkSession

@@ -243,3 +243,39 @@ def event_study(abnormal: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("abnormal").alias("mean"), (F.avg("abnormal") / (F.stddev_samp("abnormal") / F.sqrt(F.count(F.lit(1))))).alias("t_stat"),
         F.avg((F.col("abnormal") > 0).cast("double")).alias("hit"), F.avg(F.when(day < F.col("_mid"), F.col("abnormal"))).alias("h1"),
         F.avg(F.when(day >= F.col("_mid"), F.col("abnormal"))).alias("h2"))
+
+
+def filing_universe(membership: DataFrame, spans: DataFrame, tiers: DataFrame, filings: DataFrame) -> DataFrame:
+    """(symbol, quarter, days, isin, isin_basis, tier, status) of every quarter that a symbol was a member of.
+
+    `membership`: (symbol, quarter, quarter_end, days); `spans`: (isin, symbol,
+    first_date, last_date); the ISIN is the one valid at the quarter's end, of several
+    the one seen last, else the latest known. `tiers`: (rebal_date, symbol, tier), as
+    of the quarter's end. `filings`: (symbol, quarter); none is missing, one filed, more revised.
+    """
+    from .asof import asof
+
+    valid = (F.col("first_date") <= F.col("quarter_end")) & (F.col("last_date") >= F.col("quarter_end"))
+    best = F.max(F.struct(valid.alias("valid"), "last_date", "isin"))
+    known = membership.join(spans, "symbol").groupBy("symbol", "quarter").agg(best.alias("_b"))
+    at = asof(membership, tiers, ["symbol"], "quarter_end", "rebal_date", ["tier"]).drop("matched_on")
+    filed = filings.groupBy("symbol", "quarter").agg(F.count(F.lit(1)).alias("_n"))
+    j = at.join(known, ["symbol", "quarter"], "left").join(filed, ["symbol", "quarter"], "left")
+    status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "revised").otherwise("filed")
+    basis = F.when(F.col("_b.valid"), "as_of").when(F.col("_b").isNotNull(), "latest_known").otherwise("none")
+    return j.select("symbol", "quarter", "days", F.col("_b.isin").alias("isin"), basis.alias("isin_basis"), F.coalesce("tier", F.lit("untiered")).alias("tier"), status.alias("status"))
+
+
+def recovery_targets(scrips: DataFrame, quarters: DataFrame, filings: DataFrame, log: DataFrame, max_lag: int = 400) -> DataFrame:
+    """(scrip, missing, usable, outcome) of the non-active scrips (scrip, active) that lack filings and were not tried before (`log`: scrip).
+
+    A scrip lacks the quarters, of those it was a member of (scrip, quarter), that it
+    has no filing for. With a filing (scrip, quarter, broadcast) within `max_lag` days
+    of its quarter it counts as recovered, without as nothing_usable, and without any as never_filed.
+    """
+    missing = quarters.join(filings.select("scrip", "quarter").distinct(), ["scrip", "quarter"], "left_anti").groupBy("scrip").agg(F.count(F.lit(1)).alias("missing"))
+    lag = F.datediff("broadcast", "quarter")
+    used = filings.groupBy("scrip").agg(F.count(F.when(lag <= max_lag, 1)).alias("usable"))
+    targets = scrips.where("NOT active").join(missing, "scrip").join(log.select("scrip").distinct(), "scrip", "left_anti").join(used, "scrip", "left")
+    outcome = F.when(F.col("usable").isNull(), "never_filed").when(F.col("usable") > 0, "recovered").otherwise("nothing_usable")
+    return targets.select("scrip", "missing", F.coalesce("usable", F.lit(0)).alias("usable"), outcome.alias("outcome"))

@@ -51,7 +51,7 @@ G("agg_delisted_flag", "bars", "SELECT symbol, max(date) AS last_date, max(date)
   lambda t: (lambda l: l.crossJoin(F.broadcast(l.agg(F.max("last_date").alias("m")))).select("symbol", "last_date", F.expr("last_date < date_sub(m, 20)").alias("delisted")))(t.bars.groupBy("symbol").agg(F.max("date").alias("last_date"))))
 G("agg_sector_returns", "bars sector_map", f"WITH {SEC} SELECT symbol AS sector, date, ret, members FROM sr WHERE members >= 2", "ret", lambda t: sector_returns(t).where("members >= 2").withColumnRenamed("symbol", "sector"))
 G("agg_sector_breadth", "bars sector_map", f"WITH {SMA} SELECT sector, date, CASE WHEN count(s200) >= 2 THEN 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) END AS pct FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "pct",
-  lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.when(F.count("sma200") >= 2, 100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("pct")))
+  lambda t: S.sma_distance(t.bars).join(t.sector_map, "symbol").groupBy("sector", "date").agg(F.when(F.count("sma200") >= 2, 100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("pct")))
 G("agg_sector_momentum_topk", PV, f"WITH {PANEL}, m AS (SELECT rebal_date, sector, round(avg(mom), 10) AS mom FROM panel GROUP BY 1, 2 HAVING count(mom) > 0) SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY rebal_date ORDER BY mom DESC) AS INTEGER) AS rank FROM m) WHERE rank <= 3", "mom",
   lambda t: panel(t).groupBy("rebal_date", "sector").agg(F.round(F.avg("mom"), 10).alias("mom")).where("mom IS NOT NULL").withColumn("rank", F.rank().over(Window.partitionBy("rebal_date").orderBy(F.desc("mom")))).where("rank <= 3"))
 D10 = f"WITH {PANEL}, d AS (SELECT *, {DEC('mom')} AS decile FROM panel)"
@@ -108,7 +108,7 @@ G("agg_pairwise_corr", "bars", f"WITH {BOOK}, r AS (SELECT symbol, date, close /
       t.bars.join(F.broadcast(k), "symbol", "left_semi").select("symbol", "date", (F.col("close") / F.lag("close").over(by_symbol()) - 1).alias("r"))))(
       t.bars.groupBy("symbol").agg(F.sum(F.col("close") * F.col("volume")).alias("v")).orderBy(F.round("v", 2).desc(), "symbol").limit(10).select("symbol")))
 G("agg_concentration", "bars sector_map", "SELECT sector, sum(close * volume) / (SELECT sum(close * volume) FROM bars) AS share FROM bars JOIN sector_map USING (symbol) GROUP BY 1", "share",
-  lambda t: (lambda s: s.crossJoin(F.broadcast(s.agg(F.sum("v").alias("total")))).select("sector", (F.col("v") / F.col("total")).alias("share")))(t.bars.join(F.broadcast(t.sector_map), "symbol").groupBy("sector").agg(F.sum(F.col("close") * F.col("volume")).alias("v"))))
+  lambda t: (lambda s: s.crossJoin(F.broadcast(s.agg(F.sum("v").alias("total")))).select("sector", (F.col("v") / F.col("total")).alias("share")))(t.bars.join(t.sector_map, "symbol").groupBy("sector").agg(F.sum(F.col("close") * F.col("volume")).alias("v"))))
 G("agg_scorecard", "trades", "SELECT strategy, count(*) AS n, avg(CAST(realized > 0 AS DOUBLE)) AS hit_rate, avg(realized) AS avg_return, avg(realized) FILTER (realized > 0) AS avg_win, avg(realized) FILTER (realized <= 0) AS avg_loss, avg(CAST(outcome = 'target' AS DOUBLE)) AS target, avg(CAST(outcome = 'stop' AS DOUBLE)) AS stopped, avg(CAST(outcome = 'expired' AS DOUBLE)) AS expired FROM trades GROUP BY 1", "hit_rate avg_return avg_win avg_loss target stopped expired",
   lambda t: (lambda r, o: t.trades.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.avg((r > 0).cast("double")).alias("hit_rate"), F.avg(r).alias("avg_return"), F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r <= 0, r)).alias("avg_loss"), *(F.avg((o == k).cast("double")).alias(a) for k, a in (("target", "target"), ("stop", "stopped"), ("expired", "expired")))))(F.col("realized"), F.col("outcome")))
 G("agg_portfolio_summary", "trades", "SELECT count(*) FILTER (exit_date >= DATE '2000-01-01') AS open_positions, count(*) FILTER (entry_price < 1000) AS unsized, sum(entry_price) FILTER (exit_date >= DATE '2000-01-01') AS deployed, sum(entry_price * realized) AS unrealized, avg(CAST(realized > 0 AS DOUBLE)) AS win_rate FROM trades", "deployed unrealized win_rate",

@@ -24,8 +24,19 @@ G("price_total_return", "bars corporate_actions", """WITH p AS (SELECT symbol, d
   SELECT b.symbol, b.date, coalesce(product(f), 1) AS tr_factor, any_value(b.close) * coalesce(product(f), 1) AS close_tr FROM bars b LEFT JOIN y ON y.symbol = b.symbol AND y.ex_date > b.date GROUP BY 1, 2""", "tr_factor close_tr", lambda t: C.total_return(t.bars, t.corporate_actions), 4)
 G("pit_universe", "bars month_ends", f"WITH {UNI}, r AS (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY round(med_turnover, 4) DESC, symbol) AS k FROM universe) SELECT rebal_date, symbol, n_days, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 100 AS INTEGER) AS top100, CAST(med_turnover >= 30000 AS INTEGER) AS liquid FROM r", "",
   lambda t: S.universe_tiers(A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4)), by="_m", liquid_from=3e4).select("rebal_date", "symbol", "n_days", "adv_rank", "top100", "liquid"))
-G("shp_pit_universe", "filings bars", "WITH q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, count(*) AS days FROM bars GROUP BY 1, 2 HAVING count(*) >= 10), f AS (SELECT scrip, quarter, count(*) AS n, max(broadcast) AS b FROM filings GROUP BY 1, 2) SELECT q.symbol, q.quarter, days, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status FROM q LEFT JOIN f ON f.scrip = q.symbol AND f.quarter = q.quarter", "",
-  lambda t: t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count("*").alias("days")).where("days >= 10").join(t.filings.groupBy(F.col("scrip").alias("symbol"), "quarter").agg(F.count("*").alias("n")), ["symbol", "quarter"], "left").select("symbol", "quarter", "days", F.expr("CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END").alias("status")))
+TIER = "CASE WHEN k <= 10 THEN 'top10' WHEN k <= 50 THEN 'top50' ELSE 'rest' END"
+G("shp_pit_universe", "filings bars month_ends sector_map", f"""WITH {PANEL}, q AS (SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS quarter, CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end, count(*) AS days FROM bars GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+  sp AS (SELECT l_partkey AS isin, CAST(l_suppkey AS VARCHAR) AS symbol, CAST(min(l_shipdate) AS DATE) AS fd, CAST(max(l_shipdate) AS DATE) AS ld FROM lineitem GROUP BY 1, 2),
+  kn AS (SELECT q.symbol, q.quarter, max((fd <= quarter_end AND ld >= quarter_end, ld, isin)) AS b FROM q JOIN sp USING (symbol) GROUP BY 1, 2),
+  tr AS (SELECT rebal_date, symbol, {TIER} AS tier FROM (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) AS k FROM panel)),
+  f AS (SELECT scrip AS symbol, quarter, count(*) AS n FROM filings GROUP BY 1, 2), a AS (SELECT q.*, tier FROM q ASOF LEFT JOIN tr ON tr.symbol = q.symbol AND tr.rebal_date <= q.quarter_end)
+  SELECT a.symbol, a.quarter, days, b[3] AS isin, CASE WHEN b[1] THEN 'as_of' WHEN b IS NOT NULL THEN 'latest_known' ELSE 'none' END AS isin_basis, coalesce(tier, 'untiered') AS tier, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'revised' ELSE 'filed' END AS status
+  FROM a LEFT JOIN kn ON kn.symbol = a.symbol AND kn.quarter = a.quarter LEFT JOIN f ON f.symbol = a.symbol AND f.quarter = a.quarter""", "",
+  lambda t: C.filing_universe(
+      t.bars.groupBy("symbol", F.date_trunc("quarter", "date").cast("date").alias("quarter")).agg(F.count("*").alias("days")).where("days >= 10").withColumn("quarter_end", F.date_sub(F.add_months("quarter", 3), 1)),
+      t.lineitem.groupBy(F.col("l_partkey").alias("isin"), F.col("l_suppkey").cast("string").alias("symbol")).agg(F.min("l_shipdate").cast("date").alias("first_date"), F.max("l_shipdate").cast("date").alias("last_date")),
+      panel(t).withColumn("k", F.row_number().over(Window.partitionBy("rebal_date").orderBy(F.desc("turnover"), "symbol"))).select("rebal_date", "symbol", F.expr(TIER).alias("tier")),
+      t.filings.select(F.col("scrip").alias("symbol"), "quarter")))
 KINDS = [("quarterly_income", "quarterly", 0), ("quarterly_balance", "quarterly", 1), ("quarterly_cashflow", "quarterly", 2), ("annual_income", "annual", 0), ("annual_balance", "annual", 1), ("annual_cashflow", "annual", 2)]
 
 
@@ -54,8 +65,14 @@ G("membership_bridge", PV, f"WITH {TOP} SELECT symbol, effective_from AS date, '
 G("filing_revision_chain", "filings", "SELECT filing_id, scrip, quarter, lag(filing_id) OVER w AS is_revision_of, CAST(row_number() OVER w AS INTEGER) AS version, lead(filing_id) OVER w IS NULL AS is_current, sha256(segment || status) AS content_hash FROM filings WINDOW w AS (PARTITION BY scrip, quarter ORDER BY broadcast, filing_id)", "",
   lambda t: C.revision_chain(t.filings.withColumn("c", F.concat("segment", "status")), ["scrip", "quarter"], ["broadcast", "filing_id"], "c").select("filing_id", "scrip", "quarter", "is_revision_of", "version", "is_current", "content_hash"))
 G("filing_lag_gate", "filings", "SELECT filing_id, CAST(broadcast - quarter AS INTEGER) AS lag_days, broadcast - quarter <= 60 AS usable FROM filings WHERE broadcast - quarter <= 80", "", lambda t: t.filings.withColumn("lag_days", F.datediff("broadcast", "quarter")).where("lag_days <= 80").select("filing_id", "lag_days", (F.col("lag_days") <= 60).alias("usable")))
-G("recovery_targets", "filings", "WITH l AS (SELECT scrip, max(broadcast) AS b FROM filings GROUP BY 1), q AS (SELECT DISTINCT quarter FROM filings) SELECT scrip, quarter FROM l, q WHERE b < DATE '2000-01-01' AND (scrip, quarter) NOT IN (SELECT (scrip, quarter) FROM filings)", "",
-  lambda t: (lambda l, q: l.join(F.broadcast(q), how="cross").join(t.filings, ["scrip", "quarter"], "left_anti"))(t.filings.groupBy("scrip").agg(F.max("broadcast").alias("b")).where("b < date'2000-01-01'").select("scrip"), t.filings.select("quarter").distinct()))  # quarters: a bounded calendar
+#: Scrips whose last filing is before 2000 are not active; members of every quarter; every seventh was tried before.
+G("recovery_targets", "filings", """WITH l AS (SELECT CAST(c_custkey AS VARCHAR) AS scrip, coalesce(max(broadcast) >= DATE '2000-01-01', false) AS active FROM customer LEFT JOIN filings ON scrip = CAST(c_custkey AS VARCHAR) GROUP BY 1),
+  q AS (SELECT DISTINCT quarter FROM filings WHERE broadcast < DATE '1999-01-01'), m AS (SELECT l.scrip, count(*) AS missing FROM l, q WHERE (l.scrip, q.quarter) NOT IN (SELECT (scrip, quarter) FROM filings) GROUP BY 1), u AS (SELECT scrip, count(*) FILTER (broadcast - quarter <= 60) AS usable FROM filings GROUP BY 1)
+  SELECT scrip, missing, coalesce(usable, 0) AS usable, CASE WHEN usable IS NULL THEN 'never_filed' WHEN usable > 0 THEN 'recovered' ELSE 'nothing_usable' END AS outcome FROM l JOIN m USING (scrip) LEFT JOIN u USING (scrip) WHERE NOT active AND CAST(scrip AS INTEGER) % 7 <> 0""", "",
+  lambda t: (lambda scrips, quarters: C.recovery_targets(
+      scrips.join(t.filings.groupBy("scrip").agg(F.max("broadcast").alias("b")), "scrip", "left").select("scrip", F.coalesce(F.col("b") >= F.lit("2000-01-01").cast("date"), F.lit(False)).alias("active")),
+      scrips.crossJoin(F.broadcast(quarters)), t.filings, scrips.where("CAST(scrip AS INT) % 7 = 0"), 60))(  # quarters: a bounded calendar
+      t.customer.select(F.col("c_custkey").cast("string").alias("scrip")), t.filings.where("broadcast < date'1999-01-01'").select("quarter").distinct()))
 VOTES = f"""{BREADTH}, ir AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) - 1 AS r FROM index_series), iv AS (SELECT *, CASE WHEN count(r) OVER (ORDER BY date ROWS 20 PRECEDING) >= 21 THEN stddev_samp(r) OVER (ORDER BY date ROWS 20 PRECEDING) END AS v, CASE WHEN count(close) OVER (ORDER BY date ROWS 199 PRECEDING) >= 200 THEN avg(close) OVER (ORDER BY date ROWS 199 PRECEDING) END AS a, close / lag(close, 63) OVER (ORDER BY date) - 1 AS m FROM ir),
   im AS (SELECT *, CASE WHEN count(v) OVER (ORDER BY date ROWS 251 PRECEDING) >= 252 THEN median(v) OVER (ORDER BY date ROWS 251 PRECEDING) END AS md FROM iv), votes AS (SELECT im.date, CAST(coalesce(close > a, false) AS INTEGER) AS trend, CAST(coalesce(v < md, false) AS INTEGER) AS calm, CAST(coalesce(pct_above_200dma >= 50, false) AS INTEGER) AS broad, CAST(coalesce(m > 0, false) AS INTEGER) AS momentum FROM im LEFT JOIN breadth USING (date))"""
 G("regime_votes", "bars index_series", f"WITH {VOTES} SELECT *, trend + calm + broad + momentum AS score FROM votes", "", lambda t: C.regime_votes(t.index_series, A.breadth(t.bars)))
@@ -125,7 +142,7 @@ G("options_iv_history", "bars option_chain", f"""WITH {ATM}, ih AS (SELECT *, li
   "iv_ce iv_pe iv pcr_oi iv_rank iv_percentile", lambda t: C.volatility_history(atm_iv(t).withColumn("iv", F.round("iv", 8))), 4)
 G("option_chain_slice", "option_chain", "SELECT symbol, strike, option_typ, expiry, open_int FROM option_chain WHERE date = DATE '1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'", "strike open_int", lambda t: t.option_chain.where("date = date'1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'").orderBy("strike").select("symbol", "strike", "option_typ", "expiry", "open_int"))
 G("sector_regime_daily", "bars sector_map", f"WITH {SMA} SELECT sector, date, count(*) AS members, 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) AS breadth, avg(close / s50 - 1) AS strength FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "breadth strength",
-  lambda t: S.sma_distance(t.bars).join(F.broadcast(t.sector_map), "symbol").groupBy("sector", "date").agg(F.count("*").alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
+  lambda t: S.sma_distance(t.bars).join(t.sector_map, "symbol").groupBy("sector", "date").agg(F.count("*").alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
 G("market_intel", "insider_trades option_chain", "SELECT 'smart_money' AS category, symbol, 'buy' AS detail, sum(value) AS value FROM insider_trades WHERE transaction_type = 'Buy' GROUP BY 2 UNION ALL SELECT 'fo', symbol, option_typ, sum(open_int) FROM option_chain GROUP BY symbol, option_typ", "value",
   lambda t: t.insider_trades.where("transaction_type = 'Buy'").groupBy("symbol").agg(F.sum("value").alias("value")).select(F.lit("smart_money").alias("category"), "symbol", F.lit("buy").alias("detail"), "value").unionByName(t.option_chain.groupBy("symbol", "option_typ").agg(F.sum("open_int").alias("value")).select(F.lit("fo").alias("category"), "symbol", F.col("option_typ").alias("detail"), "value")), 2)
 

@@ -12,7 +12,7 @@ from ..operators import series as S
 from ..operators import stats as A
 from .aggregates import BREADTH, G
 from .joins import NEXT, realized
-from .series import DEC, PANEL, PV, SMA, panel
+from .series import DEC, PANEL, PCT, PV, SMA, panel
 
 DR = f"{NEXT}, dr AS (SELECT *, {DEC('mom')} AS decile FROM rz)"
 book = lambda t: realized(t).withColumn("decile", qcut_decile("mom", "rebal_date"))
@@ -86,8 +86,10 @@ G("bt_block_bootstrap", PV, None, "", lambda t: B.block_bootstrap(folio(t).selec
 G("bt_drift_corr", PV, f"WITH {PF} SELECT corr(net, p) AS drift_corr, count(p) AS n FROM (SELECT net, lag(net) OVER (ORDER BY rebal_date) AS p FROM pf)", "drift_corr", lambda t: folio(t).withColumn("p", F.lag("net").over(Window.orderBy("rebal_date"))).agg(F.corr("net", "p").alias("drift_corr"), F.count("p").alias("n")))
 G("cpcv_paths", "bars month_ends", """WITH d AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) - 1 AS i, count(*) OVER () AS n FROM month_ends), g AS (SELECT rebal_date, i, CAST(floor(i * 6 / n) AS INTEGER) AS g FROM d), p AS (SELECT rebal_date, i, CAST(a.x AS INTEGER) AS g1, CAST(b.x AS INTEGER) AS g2, g = a.x OR g = b.x AS test FROM g, range(6) a(x), range(6) b(x) WHERE a.x < b.x)
   SELECT rebal_date, g1, g2, CASE WHEN test THEN 'test' WHEN coalesce(lag(test) OVER w, false) OR coalesce(lead(test) OVER w, false) THEN 'purged' ELSE 'train' END AS role FROM p WINDOW w AS (PARTITION BY g1, g2 ORDER BY i)""", "", lambda t: B.cpcv_paths(t.month_ends))
-G("ml_ensemble_rank", PV, f"WITH {NEXT} SELECT rebal_date, symbol, ((rank() OVER (PARTITION BY rebal_date ORDER BY prox) + (count(*) OVER (PARTITION BY rebal_date, prox) - 1) / 2.0) / count(*) OVER (PARTITION BY rebal_date) + (rank() OVER (PARTITION BY rebal_date ORDER BY turnover) + (count(*) OVER (PARTITION BY rebal_date, turnover) - 1) / 2.0) / count(*) OVER (PARTITION BY rebal_date)) / 2 AS score FROM panel", "score",
-  lambda t: panel(t).select("rebal_date", "symbol", ((rank_pct("prox", "rebal_date") + rank_pct("turnover", "rebal_date")) / 2).alias("score")))
+#: The learned score is the signal mix that past rank correlations weigh (walk-forward); the linear one the mean rank.
+G("ml_ensemble_rank", PV, f"""WITH {NEXT}, {IW}, pk AS (SELECT rebal_date, symbol, {PCT("mom")} AS a, {PCT("prox")} AS b FROM panel), wm AS (SELECT rebal_date, max(weight) FILTER (signal = 'mom') AS wa, max(weight) FILTER (signal = 'prox') AS wb FROM iw GROUP BY 1),
+  sc AS (SELECT pk.rebal_date, symbol, round(a * coalesce(wa, 0) + b * coalesce(wb, 0), 9) AS learned, round((a + b) / 2, 9) AS linear FROM pk JOIN wm USING (rebal_date) WHERE a IS NOT NULL AND b IS NOT NULL)
+  SELECT rebal_date, symbol, ({PCT("learned")} + {PCT("linear")}) / 2 AS score FROM sc""", "score", lambda t: B.ensemble_rank(panel(t), B.ic_weighted(panel(t), ["mom", "prox"], "fwd"), ["mom", "prox"]), 5)
 FNO = """fo AS (SELECT date AS d, symbol, coalesce(sum(open_int) FILTER (option_typ = 'PE'), 0) / sum(open_int) FILTER (option_typ = 'CE') AS pcr, sum(open_int) AS oi FROM option_chain GROUP BY 1, 2),
   fm AS (SELECT *, oi / lag(oi) OVER (PARTITION BY symbol ORDER BY d) - 1 AS oi_chg FROM fo), fz AS (SELECT *, (oi_chg - avg(oi_chg) OVER (PARTITION BY d)) / nullif(stddev_pop(oi_chg) OVER (PARTITION BY d), 0) AS oi_z FROM fm),
   fl AS (SELECT last_day(rebal_date) AS d, symbol, fwd FROM panel), fv AS (SELECT d, symbol, fwd, 'pcr_oi' AS feature, pcr AS v FROM fz JOIN fl USING (d, symbol) UNION ALL SELECT d, symbol, fwd, 'oi_chg', oi_chg FROM fz JOIN fl USING (d, symbol)

@@ -65,7 +65,7 @@ SEC = "sr AS (SELECT sector AS symbol, date, avg(r) AS ret, count(r) AS members
 
 
 def sector_returns(t):
-    r = S.returns(t.bars).select("symbol", "date", "ret_1d").join(F.broadcast(t.sector_map.select("symbol", "sector")), "symbol")
+    r = S.returns(t.bars).select("symbol", "date", "ret_1d").join(t.sector_map.select("symbol", "sector"), "symbol")
     return r.where("ret_1d IS NOT NULL").groupBy(F.col("sector").alias("symbol"), "date").agg(F.avg("ret_1d").alias("ret"), F.count("ret_1d").alias("members"))
 
 
@@ -139,7 +139,7 @@ def panel(t):
     b = t.bars.withColumns({"mom": F.lag("close", 21).over(w) / F.lag("close", 126).over(w) - 1, "prox": F.col("close") / F.max("close").over(w.rowsBetween(-62, 0)),
                             "fwd": F.lead("close", 21).over(w) / F.col("close") - 1})
     dates = F.broadcast(t.month_ends)  # a row per month
-    return (b.join(dates, b.date == dates.rebal_date).join(F.broadcast(t.sector_map.select("symbol", "sector")), "symbol")
+    return (b.join(dates, b.date == dates.rebal_date).join(t.sector_map.select("symbol", "sector"), "symbol")
             .select("rebal_date", "symbol", "sector", "close", (F.col("close") * F.col("volume")).alias("turnover"), "mom", "prox", "fwd"))
 
 
