@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, by_symbol, norm_cdf, norm_ppf, parse_date, parse_number, parse_ratio
+from ..operators import lookups as L
 from ..operators.asof import align_ffill, asof
 from ..operators import series as S
 from ..sources.scratch import Scratch
@@ -13,52 +14,48 @@ from .series import PANEL, PV, W, panel, sector_returns, SEC
 
 # projections, filters, lookups
 G("filter_dynamic", "bars", "SELECT symbol, date, close FROM bars WHERE symbol IN ('1', '3', '5') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", "close",
-  lambda t: t.bars.where(F.col("symbol").isin("1", "3", "5")).where("date BETWEEN date'1997-01-01' AND date'1998-12-31'").select("symbol", "date", "close"))
+  lambda t: L.filtered(t.bars, ["1", "3", "5"], "1997-01-01", "1998-12-31").select("symbol", "date", "close"))
 G("last_n_per_key", "bars", "SELECT symbol, date, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 5", "close",
-  lambda t: t.bars.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("k <= 5").select("symbol", "date", "close"))
+  lambda t: L.last_n(t.bars, 5).select("symbol", "date", "close"))
 G("latest_snapshot", "bars", "SELECT symbol, date, close FROM bars WHERE date = (SELECT max(date) FROM bars)", "close",
-  lambda t: t.bars.join(F.broadcast(t.bars.agg(F.max("date").alias("date"))), "date").select("symbol", "date", "close"))
-G("latest_price", "bars", "SELECT symbol, max(date) AS date, max_by(close, date) AS close FROM bars GROUP BY 1", "close", lambda t: t.bars.groupBy("symbol").agg(F.max("date").alias("d"), F.max_by("close", "date").alias("close")).withColumnRenamed("d", "date"))
+  lambda t: L.latest_snapshot(t.bars).select("symbol", "date", "close"))
+G("latest_price", "bars", "SELECT symbol, max(date) AS date, max_by(close, date) AS close FROM bars GROUP BY 1", "close",
+  lambda t: L.latest_price(t.bars))
 G("distinct_keys", "", "SELECT DISTINCT event_type FROM events", "", lambda t: t.events.select("event_type").distinct())
-G("case_insensitive_lookup", "sector_map", "SELECT symbol, sector FROM sector_map WHERE lower(sector) = lower('nation_3')", "", lambda t: t.sector_map.where(F.lower("sector") == F.lower(F.lit("nation_3"))).select("symbol", "sector"))
+G("case_insensitive_lookup", "sector_map", "SELECT symbol, sector FROM sector_map WHERE lower(sector) = lower('nation_3')", "",
+  lambda t: t.sector_map.where(L.same_text("sector", "nation_3")).select("symbol", "sector"))
 G("pivot_close_matrix", "bars", "SELECT date, max(close) FILTER (symbol = '1') AS s1, max(close) FILTER (symbol = '2') AS s2, max(close) FILTER (symbol = '3') AS s3 FROM bars WHERE symbol IN ('1', '2', '3') GROUP BY 1", "s1 s2 s3",
-  lambda t: t.bars.where("symbol IN ('1', '2', '3')").groupBy("date").pivot("symbol", ["1", "2", "3"]).agg(F.first("close")).toDF("date", "s1", "s2", "s3"))
+  lambda t: L.close_matrix(t.bars, ["1", "2", "3"]))
 G("two_day_return", "bars", "WITH d AS (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 2) SELECT symbol, max(close) FILTER (date = (SELECT max(date) FROM d)) / max(close) FILTER (date = (SELECT min(date) FROM d)) - 1 AS ret FROM bars WHERE date IN (SELECT date FROM d) GROUP BY 1", "ret",
-  lambda t: (lambda d: t.bars.join(F.broadcast(d), "date").groupBy("symbol").agg((F.max(F.when(F.col("k") == 1, F.col("close"))) / F.max(F.when(F.col("k") == 2, F.col("close"))) - 1).alias("ret")))(
-      t.bars.select("date").distinct().orderBy(F.desc("date")).limit(2).withColumn("k", F.row_number().over(Window.orderBy(F.desc("date"))))))
+  lambda t: L.two_day_return(t.bars))
 G("events_active_filter", "insider_trades", "SELECT symbol, transaction_type, max(filing_date) AS last_event FROM insider_trades WHERE filing_date < DATE '2024-01-25' AND DATE '2024-01-25' - filing_date <= 10 GROUP BY 1, 2", "",
-  lambda t: t.insider_trades.where("filing_date < date'2024-01-25' AND datediff(date'2024-01-25', filing_date) <= 10").groupBy("symbol", "transaction_type").agg(F.max("filing_date").alias("last_event")))
+  lambda t: L.active_events(t.insider_trades, "2024-01-25", 10).groupBy("symbol", "transaction_type").agg(F.max("filing_date").alias("last_event")))
 G("search_symbol", "sector_map", "SELECT symbol, company FROM sector_map WHERE upper(company) LIKE '%0007%' OR upper(symbol) LIKE '%7%' ORDER BY symbol LIMIT 20", "",
-  lambda t: t.sector_map.where(F.upper("company").contains("0007") | F.upper("symbol").contains("7")).orderBy("symbol").limit(20).select("symbol", "company"))
+  lambda t: L.search(t.sector_map, "0007", "7").select("symbol", "company"))
 G("etf_exclude", "", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_type, 'ECONOMY|PROMO') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)", "",
-  lambda t: t.part.where(~F.col("p_type").rlike("ECONOMY|PROMO")).join(t.lineitem.where("l_quantity > 49"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey"))
+  lambda t: L.without_funds(t.part, t.lineitem.where("l_quantity > 49").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "p_type", "ECONOMY|PROMO").select("p_partkey"))
 G("sector_normalize", "sector_map", "SELECT symbol, CASE lower(trim(sector)) WHEN 'nation_1' THEN 'Financials' WHEN 'nation_2' THEN 'Energy' WHEN 'nation_3' THEN 'Technology' ELSE trim(sector) END AS sector FROM sector_map", "",
-  lambda t: (lambda m: t.sector_map.join(F.broadcast(m), F.lower(F.trim("sector")) == m.raw, "left").select("symbol", F.coalesce("mapped", F.trim("sector")).alias("sector")))(
-      t.spark.createDataFrame([("nation_1", "Financials"), ("nation_2", "Energy"), ("nation_3", "Technology")], "raw string, mapped string")))
+  lambda t: L.mapped(t.sector_map, "sector", {"nation_1": "Financials", "nation_2": "Energy", "nation_3": "Technology"}).select("symbol", "sector"))
 G("sector_gap_tag", PV, f"WITH {PANEL}, l AS (SELECT symbol, sector, row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) AS k FROM panel) SELECT DISTINCT symbol, CASE WHEN sector LIKE '%_1%' THEN 'gap' ELSE 'known' END AS tag FROM l WHERE k <= 50", "",
   lambda t: S.top_k(panel(t), 50, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select("symbol", F.when(F.col("sector").like("%_1%"), "gap").otherwise("known").alias("tag")).distinct())
 G("registry_scd_active", "", "WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT coalesce(o.k, n.k) AS custkey, n.k IS NOT NULL AS is_active, o.k IS NULL AS is_new FROM o FULL JOIN n ON o.k = n.k", "",
-  lambda t: (lambda o, n: o.join(n, "custkey", "full_outer").select("custkey", F.col("n").isNotNull().alias("is_active"), F.col("o").isNull().alias("is_new")))(
-      t.orders.where("o_orderdate < timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("o", F.lit(1)), t.orders.where("o_orderdate >= timestamp'1998-01-01'").select(F.col("o_custkey").alias("custkey")).distinct().withColumn("n", F.lit(1))))
+  lambda t: (lambda o: L.scd_active(o.where("o_orderdate < timestamp'1998-01-01'"), o.where("o_orderdate >= timestamp'1998-01-01'"), "custkey"))(t.orders.withColumnRenamed("o_custkey", "custkey")))
 G("fund_filter_plan", "", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Direct' ELSE 'Regular' END AS plan, regexp_replace(p_name, '^\\w+ ', '') AS name FROM part WHERE p_type LIKE '%ECONOMY%' AND p_name NOT LIKE '%ring%'", "",
   lambda t: t.part.where("p_type LIKE '%ECONOMY%' AND p_name NOT LIKE '%ring%'").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "Direct").otherwise("Regular").alias("plan"), F.regexp_replace("p_name", r"^\w+ ", "").alias("name")))
 OI = "WITH o AS (SELECT symbol, date, sum(open_int) AS oi, avg(close) AS px FROM option_chain GROUP BY 1, 2), c AS (SELECT symbol, date, oi - lag(oi) OVER w AS d, px - lag(px) OVER w AS r FROM o WINDOW w AS (PARTITION BY symbol ORDER BY date))"
 G("fo_intel_quadrant", "option_chain", f"{OI} SELECT symbol, date, CASE WHEN d > 0 AND r > 0 THEN 'long buildup' WHEN d > 0 AND r <= 0 THEN 'short buildup' WHEN d <= 0 AND r > 0 THEN 'short covering' WHEN d <= 0 AND r <= 0 THEN 'long unwinding' END AS quadrant FROM c", "",
-  lambda t: (lambda o: o.select("symbol", "date", F.expr("CASE WHEN d > 0 AND r > 0 THEN 'long buildup' WHEN d > 0 AND r <= 0 THEN 'short buildup' WHEN d <= 0 AND r > 0 THEN 'short covering' WHEN d <= 0 AND r <= 0 THEN 'long unwinding' END").alias("quadrant")))(
-      t.option_chain.groupBy("symbol", "date").agg(F.sum("open_int").alias("oi"), F.avg("close").alias("px")).withColumns({"d": F.col("oi") - F.lag("oi").over(by_symbol()), "r": F.col("px") - F.lag("px").over(by_symbol())})))
+  lambda t: L.open_interest_quadrant(t.option_chain))
 RRG = f"WITH {SEC}, a AS (SELECT symbol AS sector, date, avg(ret) OVER (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING) AS rs FROM sr), b AS (SELECT *, rs - lag(rs, 21) OVER (PARTITION BY sector ORDER BY date) AS m FROM a)"
 G("rrg_quadrant", "bars sector_map", f"{RRG} SELECT sector, date, CASE WHEN round(rs, 12) >= 0 AND round(m, 12) >= 0 THEN 'leading' WHEN round(rs, 12) < 0 AND round(m, 12) >= 0 THEN 'improving' WHEN round(rs, 12) >= 0 THEN 'weakening' ELSE 'lagging' END AS quadrant FROM b WHERE m IS NOT NULL", "",
-  lambda t: sector_returns(t).withColumn("rs", F.avg("ret").over(by_symbol().rowsBetween(-62, 0))).withColumn("m", F.col("rs") - F.lag("rs", 21).over(by_symbol())).where("m IS NOT NULL").select(F.col("symbol").alias("sector"), "date",
-      F.expr("CASE WHEN round(rs, 12) >= 0 AND round(m, 12) >= 0 THEN 'leading' WHEN round(rs, 12) < 0 AND round(m, 12) >= 0 THEN 'improving' WHEN round(rs, 12) >= 0 THEN 'weakening' ELSE 'lagging' END").alias("quadrant")))
+  lambda t: L.rotation_quadrant(sector_returns(t)).withColumnRenamed("symbol", "sector"))
 TAGS = [("junk", r"[#$%&*]{3}"), ("table", r" \| "), ("shout", r"!!"), ("contact", r"\d{3}-\d{4}"), ("license", r"(?i)license|copyright")]
 G("announcement_tag", "", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TAGS) + " ELSE 'other' END AS tag, coalesce(nullif(regexp_extract(text, '[#$%&*]{3}'), ''), nullif(regexp_extract(text, '\\d{3}-\\d{4}'), '')) AS hit FROM documents", "",
-  lambda t: t.documents.select("doc_id", F.coalesce(*(F.when(F.col("text").rlike(p), n) for n, p in TAGS), F.lit("other")).alias("tag"), F.coalesce(F.nullif(F.regexp_extract("text", r"[#$%&*]{3}", 0), F.lit("")), F.nullif(F.regexp_extract("text", r"\d{3}-\d{4}", 0), F.lit(""))).alias("hit")))
+  lambda t: t.documents.select("doc_id", L.first_tag("text", TAGS).alias("tag"), F.coalesce(*(F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in (r"[#$%&*]{3}", r"\d{3}-\d{4}"))).alias("hit")))
 SUBJ = "CASE WHEN event_type = 'purchase' THEN 'Face value split 10:' || CAST(user_id % 5 + 1 AS VARCHAR) WHEN event_type = 'click' THEN 'Bonus issue 1:' || CAST(user_id % 3 + 1 AS VARCHAR) ELSE 'Dividend Rs ' || CAST(user_id % 9 + 1 AS VARCHAR) || '.50 per share' END"
 G("corp_action_classify", "", f"WITH s AS (SELECT event_id, {SUBJ} AS s FROM events) SELECT event_id, CASE WHEN regexp_matches(s, '(?i)split') THEN 'SPLIT' WHEN regexp_matches(s, '(?i)bonus') THEN 'BONUS' WHEN regexp_matches(s, '(?i)dividend') THEN 'DIVIDEND' END AS action_type, nullif(regexp_extract(s, '(\\d+:\\d+)', 1), '') AS ratio, TRY_CAST(nullif(regexp_extract(s, 'Rs (\\d+\\.\\d+)', 1), '') AS DOUBLE) AS amount FROM s", "amount",
-  lambda t: t.events.select("event_id", F.expr(SUBJ.replace("VARCHAR", "STRING")).alias("s")).select("event_id", F.expr(r"CASE WHEN s RLIKE '(?i)split' THEN 'SPLIT' WHEN s RLIKE '(?i)bonus' THEN 'BONUS' WHEN s RLIKE '(?i)dividend' THEN 'DIVIDEND' END").alias("action_type"),
-      F.nullif(F.regexp_extract("s", r"(\d+:\d+)", 1), F.lit("")).alias("ratio"), F.nullif(F.regexp_extract("s", r"Rs (\d+\.\d+)", 1), F.lit("")).try_cast("double").alias("amount")))
+  lambda t: L.classified_actions(t.events.select("event_id", F.expr(SUBJ.replace("VARCHAR", "STRING")).alias("s")), "s").drop("s"))
 G("insider_normalize", "insider_trades", "SELECT event_id, CASE WHEN starts_with(lower(category), 'promoter') THEN 'promoter' WHEN lower(category) = 'director' THEN 'kmp' ELSE 'other' END AS category, upper(transaction_type) AS kind FROM insider_trades", "",
-  lambda t: t.insider_trades.select("event_id", F.when(F.lower("category").startswith("promoter"), "promoter").when(F.lower("category") == "director", "kmp").otherwise("other").alias("category"), F.upper("transaction_type").alias("kind")))
+  lambda t: L.insider_categories(t.insider_trades).select("event_id", "category", "kind"))
 G("thesis_type_map", "trades", "SELECT trade_id, CASE WHEN CAST(strategy AS INTEGER) < 3 THEN 'momentum' WHEN CAST(strategy AS INTEGER) < 6 THEN 'value' ELSE 'quality' END AS thesis, CASE outcome WHEN 'target' THEN 'target_hit' WHEN 'stop' THEN 'stop_hit' ELSE 'time_exit' END AS exit_reason FROM trades", "",
   lambda t: t.trades.select("trade_id", F.expr("CASE WHEN CAST(strategy AS INT) < 3 THEN 'momentum' WHEN CAST(strategy AS INT) < 6 THEN 'value' ELSE 'quality' END").alias("thesis"), F.expr("CASE outcome WHEN 'target' THEN 'target_hit' WHEN 'stop' THEN 'stop_hit' ELSE 'time_exit' END").alias("exit_reason")))
 
