@@ -9,10 +9,11 @@ link, and only texts with equal sets need no test. In turn:
 1. Sets. One pass writes (row, id, set key, size, prefix). Sets with equal keys
    (128 bits) and sizes are one node from here on, named by its first row; links
    are between nodes.
-2. Leaders. The first node that holds a shingle leads it; each node is tested
-   against the leader that it shares most prefix shingles with, if these are a
-   good part of its prefix. A dense group of near copies thus costs one test a
-   node, and becomes one component.
+2. Leaders. The first node that holds a shingle leads it, the nodes that consist
+   most of frequent shingles, as the centres of large groups of near copies do,
+   coming first; each node is tested against the leader that it shares most prefix
+   shingles with, if these are a good part of its prefix. A dense group of near
+   copies thus costs one test a node, and becomes one component.
 3. The rest. Shingles whose nodes are all in one component are done. The nodes
    under the others meet in the groups of those shingles' leaders, so that a
    node is sent to a few groups, not to one per shingle. In each group the
@@ -20,7 +21,11 @@ link, and only texts with equal sets need no test. In turn:
    the overlaps with every other set are counted along the path, shared by
    all that is below, and a subtree is left where the overlap plus what can
    still follow in either set can't reach the overlap that the similarity asks
-   for. Pairs of different components that reach the bound leave the task.
+   for. Pairs of different components that reach the bound leave the task. This is
+   done twice: a first round tests only the best pairs of each component, so that
+   what is left of a dense group joins it by a few tests; the second round, over
+   what is open then, tests all pairs that are left. No link between different
+   components is missed.
    Groups of over GROUP nodes are divided by bands of size (sets may differ by
    the similarity only, so a band meets the next one and no other), then by hash.
 4. Tests. The whole sets that are tested against one set, in blocks of 256, form a
@@ -124,21 +129,30 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
 SETS = "row long, id long, k1 long, k2 long, n long, prefix array<long>"
 
 
+def _row_names(part: int, at: int, shares: list[float]) -> np.ndarray:
+    """Distinct numbers of rows: 14 bits that fall with the share of frequent shingles, 22 of the partition, 27 of the row in it."""
+    if part >= 1 << 22 or at + len(shares) > 1 << 27:
+        raise ValueError("deal the documents to fewer than 2**22 partitions of at most 2**27 rows")
+    rare = (16383 * (1 - np.array(shares, float))).astype(np.int64)
+    return (rare << 49) + (part << 27) + np.arange(at, at + len(shares))
+
+
 def _prefixes(k: int, percent: int, heavy: np.ndarray):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, row = set(), TaskContext.get().partitionId() << 32
+        seen, row, own = set(), 0, TaskContext.get().partitionId()
         for part in _batches(batches):
-            ids, keys, sizes, prefixes = part.column(0), [], [], []
+            ids, keys, sizes, prefixes, shares = part.column(0), [], [], [], []
             for doc, s in zip(ids.to_pylist(), shingle_sets(part.column(1).to_pylist(), k)):
-                key = set_key(s)
+                key, ordered = set_key(s), _ordered(s, heavy)
                 keys.append(key)
                 sizes.append(len(s))
+                shares.append(1 - np.searchsorted(ordered, FLAG) / len(s) if len(s) else 0.0)
                 if doc is None or not len(s) or key in seen:
                     prefixes.append(None)  # a copy in the same partition has it
                 else:
                     seen.add(key)
-                    prefixes.append(_ordered(s, heavy)[: prefix_length(len(s), percent)])
-            rows = pa.array(np.arange(row, row + len(keys)))
+                    prefixes.append(ordered[: prefix_length(len(s), percent)])
+            rows = pa.array(_row_names(own, row, shares))
             row += len(keys)
             yield pa.RecordBatch.from_arrays(
                 [rows, ids, *_halves(keys), pa.array(sizes, pa.int64()), _lists(prefixes)], ["row", "id", "k1", "k2", "n", "prefix"]
@@ -186,8 +200,8 @@ def _shared_depth(x: np.ndarray, y: np.ndarray) -> int:
 def tree_pairs(
     tokens: list[np.ndarray], n: np.ndarray, follow: np.ndarray, last: np.ndarray, comp: np.ndarray, percent: int,
     guest: np.ndarray | None = None, block: np.ndarray | None = None,
-) -> tuple[list[int], list[int]]:
-    """Pairs (u, v) of sets of different components whose prefixes let them be similar enough.
+) -> tuple[list[int], list[int], list[int]]:
+    """Pairs (u, v) of sets of different components whose prefixes let them be similar enough, and the overlaps of their prefixes.
 
     `tokens` are open prefixes in the global order, `n` the sizes of the whole
     sets, `follow` how many tokens come after the prefix and `last` its last
@@ -220,6 +234,7 @@ def tree_pairs(
     place[order] = np.arange(len(order))
     us: list[int] = []
     vs: list[int] = []
+    shared: list[int] = []
     stack = [(0, np.zeros(rows, np.int64))]  # depth of a branching and the overlaps of its path with all sets
     below = 0  # sets up to here are in a subtree that was left
     for k, i in enumerate(order):
@@ -261,10 +276,25 @@ def tree_pairs(
         found = np.flatnonzero(ok & (whole > 0) & (whole * (100 + percent) >= wanted))
         us += [i] * len(found)
         vs += found.tolist()
-    return us, vs
+        shared += whole[found].tolist()
+    return us, vs, shared
+
 
+def best_of_components(u: np.ndarray, v: np.ndarray, overlap: np.ndarray, n: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which pairs to test first: each component's best with any other, and its best with the largest component there is."""
+    score = overlap * 1000 // np.maximum(np.minimum(n[u], n[v]), 1)
+    names, sizes = np.unique(comp, return_counts=True)
+    largest = names[sizes.argmax()]
+    order = np.argsort(-score, kind="stable")
+    keep = np.zeros(len(u), bool)
+    for side, other in ((u, v), (v, u)):
+        for within in (order, order[comp[other[order]] == largest]):
+            _, first = np.unique(comp[side[within]], return_index=True)
+            keep[within[first]] = True
+    return keep
 
-def _group_pairs(percent: int):
+
+def _group_pairs(percent: int, best: bool):
     """Rows come sorted by (lead, band, i, j)."""
 
     def find(group: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
@@ -273,7 +303,11 @@ def _group_pairs(percent: int):
         guest, block, node, comp, n, follow, last = (np.array(c, np.int64) for c in zip(*(r[:7] for r in rows)))
         if (comp == comp[0]).all():
             return []
-        u, v = tree_pairs([r[7] for r in rows], n, follow, last, comp, percent, guest > 0, block if group[2] != group[3] else None)
+        found = tree_pairs([r[7] for r in rows], n, follow, last, comp, percent, guest > 0, block if group[2] != group[3] else None)
+        u, v, overlap = (np.array(c, np.int64) for c in found)
+        if best and len(u):
+            kept = best_of_components(u, v, overlap, n, comp)
+            u, v = u[kept], v[kept]
         return [(min(p, q), max(p, q)) for p, q in zip(node[u].tolist(), node[v].tolist())]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +330,8 @@ def _group_pairs(percent: int):
     return pair
 
 
-def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, group: int | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that can still be similar, as a written table.
+def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, best: bool = False, group: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that can still be similar, as a written table; with `best` those of a group to test first.
 
     `met`: (lead, node, n); `nodes`: (node, comp, n, p, last, tokens), tokens being
     the open shingles of the node's prefix, ascending. Places in groups are dealt
@@ -319,7 +353,7 @@ def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, scratch: Scr
         "_b", "node", "comp", "n", (F.col("n") - F.col("p")).alias("follow"), "last", "tokens",
     )
     dealt = dealt.repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
-    pairs = scratch.written(dealt.mapInArrow(_group_pairs(percent), "a long, b long").distinct(), "pairs")
+    pairs = scratch.written(dealt.mapInArrow(_group_pairs(percent, best), "a long, b long").distinct(), "pairs")
     scratch.drop(rows)
     return pairs
 
@@ -472,22 +506,26 @@ def similar_components(
     star = scratch.written(star, "star")
     links = tested(star, groups, texts, percent, k, heavy, scratch)
     comps = connected_components(links, scratch=scratch)
-
-    # 3. pairs of different components
-    named = shared.select("token", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    still = scratch.written(_met_by(named, "comp", "node"), "open")
-    scratch.drop(shared, star, comps)
-    nodes = still.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.first("comp").alias("comp"))
-    nodes = scratch.written(nodes.join(facts, "node"), "nodes")
-    met = scratch.written(still.select("lead", "node").distinct().join(nodes.select("node", "n"), "node"), "met")
-    scratch.drop(still, facts)
-    pairs = candidate_pairs(met, nodes, percent, scratch)
-    scratch.drop(met, nodes)
-    links = scratch.written(links.unionByName(tested(pairs, groups, texts, percent, k, heavy, scratch)).distinct(), "all_links")
-    scratch.drop(pairs)
+    scratch.drop(star)
+
+    # 3. pairs of different components: first the best of each component, then all that are left
+    for best in (True, False):
+        named = shared.select("token", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        still = scratch.written(_met_by(named, "comp", "node"), "open")
+        scratch.drop(shared, comps)
+        shared = still
+        nodes = still.groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("tokens"), F.first("comp").alias("comp"))
+        nodes = scratch.written(nodes.join(facts, "node"), "nodes")
+        met = scratch.written(still.select("lead", "node").distinct().join(nodes.select("node", "n"), "node"), "met")
+        pairs = candidate_pairs(met, nodes, percent, scratch, best)
+        scratch.drop(met, nodes)
+        found, before = tested(pairs, groups, texts, percent, k, heavy, scratch), links
+        links = scratch.written(before.unionByName(found).distinct(), "all_links")
+        scratch.drop(pairs, found, before)
+        comps = connected_components(links, scratch=scratch)
+    scratch.drop(shared, facts)
 
     # 5. components of nodes, then of the sets that are linked or repeated
-    comps = connected_components(links, scratch=scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = groups.join(comps, "node", "left").join(degree, "node", "left").where("copies > 1 OR comp IS NOT NULL")
     linked = scratch.written(linked.withColumn("comp", F.coalesce("comp", "node")), "linked")

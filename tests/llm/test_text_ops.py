@@ -124,7 +124,9 @@ def test_tree_pairs_lose_no_similar_pair():
         guest, block = rng.random(len(sets)) < 0.3, rng.integers(0, 2, len(sets))
         last = np.array([t[-1] for t in tokens])
         options = {} if trial % 2 else {"guest": guest, "block": block}
-        got = {frozenset(q) for q in zip(*ngram_join.tree_pairs(tokens, n, n - p, last, comp, 80, **options))}
+        us, vs, overlaps = ngram_join.tree_pairs(tokens, n, n - p, last, comp, 80, **options)
+        assert overlaps == [len(np.intersect1d(tokens[u], tokens[v])) for u, v in zip(us, vs)]
+        got = {frozenset(q) for q in zip(us, vs)}
         assert all(len(q) == 2 for q in got)
         for i in range(len(sets)):
             for j in range(i):
