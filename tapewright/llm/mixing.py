@@ -32,7 +32,7 @@ from .common import id_key, join_hot, rank_in_group
 
 STRETCH = 1024
 BROADCAST = 65_536
-SPAN = 4096  # slots of one window of positions
+SPAN = 256  # slots of one window of positions
 
 
 def _named(source: str | None) -> str:
