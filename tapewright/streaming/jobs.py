@@ -35,32 +35,44 @@ def dedupe(rows: DataFrame, keys: list[str], time: str = "ts", late: str = "40 d
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def clusters(trades: DataFrame, days: int = 7, least: int = 2, late: str = "1 day") -> DataFrame:
+DAY_MS = 86_400_000
+
+
+def clusters(trades: DataFrame, days: int = 28, least: int = 2, late: str = "1 day") -> DataFrame:
     """Alerts when `least` names trade a symbol within `days`; none again within `days` of the last one.
 
-    State per symbol: the trades of the window and the last alert, dropped when the watermark is `days` past the last trade.
+    A day is judged once the watermark has passed its end, so rows that come late
+    but within the watermark, in whatever batch, count where they belong. State per
+    symbol: the distinct (day, name) of the window and of days not yet judged, the
+    last day judged and the last alert; it goes when the watermark has left the
+    last alert's window. Days that the watermark has not passed give no alert yet.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        seen, judged, last = (state.get if state.exists else ([], -(10**9), -(10**9)))
+        held = {(int(d), n) for d, n in (x.split(" ", 1) for x in seen)}
+        if not state.hasTimedOut:
+            for part in batches:
+                held.update(zip(part["day"].astype(int).tolist(), part["name"].astype(str).tolist()))
+        closed, out = state.getCurrentWatermarkMs() // DAY_MS, []
+        for day in sorted({d for d, _ in held if judged < d < closed}):
+            names = {n for d, n in held if day - days <= d <= day}
+            if len(names) >= least and day > last + days:
+                out.append((key[0], day, len(names)))
+                last = day
+            judged = day
+        held = {(d, n) for d, n in held if d >= min(judged, closed) - days}
+        waiting = [d for d, _ in held if d > judged]
+        if not waiting and closed > last + days:
             state.remove()
-            return
-        days_seen, names_seen, last = ([*x] if isinstance(x, list) else x for x in state.get) if state.exists else ([], [], -10**9)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["day", "name"])
-        for day, group in rows.groupby("day"):
-            kept = [(d, n) for d, n in zip(days_seen, names_seen) if d >= day - days]
-            kept += [(int(day), n) for n in sorted(set(group["name"]))]
-            days_seen, names_seen = [d for d, _ in kept], [n for _, n in kept]
-            if len(set(names_seen)) >= least and day > last + days:
-                out.append((key[0], int(day), len(set(names_seen))))
-                last = int(day)
-        state.update((days_seen, names_seen, last))
-        state.setTimeoutTimestamp(max((max(days_seen) + days + 1) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.update((sorted(f"{d} {n}" for d, n in held), judged, last))
+            until = (min(waiting) + 1 if waiting else max(last, judged) + days + 1) * DAY_MS
+            state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["symbol", "day", "insiders"])
 
     return trades.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(
-        update, "symbol string, day long, insiders long", "days array<long>, names array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout
+        update, "symbol string, day long, insiders long", "seen array<string>, judged long, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -156,3 +156,17 @@ def test_scratch_tables_are_deleted(spark):
     import os
 
     assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_clusters_count_late_rows_where_they_belong(spark, tmp_path):
+    """Rows that come a batch late, but within the watermark, give the alerts that sorted rows would give."""
+    from tapewright.streaming import jobs
+
+    at = lambda day, hour=12: dt.datetime(2024, 1, day, hour)
+    parts = [[("a", at(2), "n1"), ("b", at(2), "n1")], [("a", at(5), "n2"), ("b", at(4), "n2")], [("a", at(4), "n3"), ("a", at(20), "n4")], [("a", at(21), "n5"), ("a", at(30), "n6"), ("b", at(30), "n9")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "symbol string, ts timestamp, name string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    feed = spark.readStream.schema("symbol string, ts timestamp, name string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    trades = feed.withColumn("day", F.unix_date(F.to_date("ts")).cast("long"))
+    got = {(r["symbol"], (D(1970, 1, 1) + dt.timedelta(r["day"])).day, r["insiders"]) for r in jobs.drained(jobs.clusters(trades, 7, 2, "3 days"), str(tmp_path / "run")).collect()}
+    assert got == {("a", 4, 2), ("a", 21, 2), ("b", 4, 2)}
