@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, html_text, language, mixing, ngram_join, packing, quality, sharding
+from . import alignment, ann, chat, exact_dedup, html_text, language, mixing, ngram_join, packing, quality, resample, sharding, vector_packing
 from .common import read
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,25 @@ def op10_recurrent_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return resample.resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align_corpus(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return vector_packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -98,5 +117,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pfair_mixing": op9_pfair_mixing,
     "op10_recurrent_html": op10_recurrent_html,
+    "op11_prefix_crc_resampling": op11_prefix_crc_resampling,
+    "op12_lockstep_alignment": op12_lockstep_alignment,
+    "op13_vector_best_fit": op13_vector_best_fit,
 }
-ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_pfair_mixing": mixing.ORACLE}
+ORACLES = {"op2_ngram_join": ngram_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_pfair_mixing": mixing.ORACLE, "op11_prefix_crc_resampling": resample.ORACLE}
