@@ -147,7 +147,8 @@ def aligned_by_hand(texts):
     """Per text: (ids of A, ids of B, groups, links) by comparing all byte ranges."""
     import sentencepiece
 
-    a_bytes = {i: bytes({c: b for b, c in tokens.byte_letters().items()}[c] for c in w) for w, i in tokenizer().get_vocab().items() if "<|" not in w or i < 50256}
+    byte_of = {c: b for b, c in tokens.byte_letters().items()}
+    a_bytes = {i: bytes(byte_of[c] for c in w) for w, i in tokenizer().get_vocab().items() if i < 50256}
     model = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
     out = []
     for text in texts:
