@@ -159,12 +159,6 @@ G("agg_green_streak", "", "SELECT user_id, coalesce(min(k) FILTER (event_type =
   lambda t: A.leading_run(t.events, F.col("event_type") != "error", [F.desc("ts"), F.desc("event_id")], "user_id"))
 G("agg_event_shadow_board", "", "SELECT event_type, count(*) AS n, count(value) AS filled, avg(CAST(value > 10 AS DOUBLE)) AS hit, avg(value) AS avg_forward FROM events GROUP BY 1", "hit avg_forward",
   lambda t: t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.avg((F.col("value") > 10).cast("double")).alias("hit"), F.avg("value").alias("avg_forward")))
-G("agg_whipsaw", "trades", "SELECT strategy, count(*) FILTER (outcome = 'stop') AS stopped, count(*) FILTER (outcome = 'stop' AND realized > -0.04) AS whipsawed FROM trades GROUP BY 1", "",
-  lambda t: t.trades.groupBy("strategy").agg(F.count(F.when(F.col("outcome") == "stop", 1)).alias("stopped"), F.count(F.when((F.col("outcome") == "stop") & (F.col("realized") > -0.04), 1)).alias("whipsawed")))
-G("agg_exit_variants", "trades", """WITH v AS (SELECT strategy, m, trade_id, realized * m / 0.05 AS r FROM trades, (VALUES (1.0::DOUBLE), (1.25::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) x(m)), s AS (SELECT *, row_number() OVER (PARTITION BY strategy, m ORDER BY trade_id) <= floor(0.7 * count(*) OVER (PARTITION BY strategy, m)) AS train FROM v)
-  SELECT strategy, m AS variant, train, count(*) AS n, avg(r) AS expectancy, avg(CAST(r > 0 AS DOUBLE)) AS hit, median(r) AS med FROM s GROUP BY 1, 2, 3""", "variant expectancy hit med",
-  lambda t: (lambda v: v.withColumn("train", F.row_number().over(Window.partitionBy("strategy", "variant").orderBy("trade_id")) <= F.floor(0.7 * F.count(F.lit(1)).over(Window.partitionBy("strategy", "variant")))).groupBy("strategy", "variant", "train").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("expectancy"), F.avg((F.col("r") > 0).cast("double")).alias("hit"), median(F.col("r")).alias("med")))(
-      t.trades.withColumn("variant", F.explode(F.array(*map(F.lit, (1.0, 1.25, 1.5, 2.0))))).withColumn("r", F.col("realized") * F.col("variant") / 0.05)))
 G("agg_pillar_ic", PV, f"""WITH {PANEL}, u AS (SELECT 'mom' AS pillar, mom AS s, fwd FROM panel UNION ALL SELECT 'prox', prox, fwd FROM panel UNION ALL SELECT 'turnover', turnover, fwd FROM panel), f AS (SELECT * FROM u WHERE s IS NOT NULL AND fwd IS NOT NULL),
   r AS (SELECT pillar, rank() OVER (PARTITION BY pillar ORDER BY s) + (count(*) OVER (PARTITION BY pillar, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pillar ORDER BY fwd) + (count(*) OVER (PARTITION BY pillar, fwd) - 1) / 2.0 AS b FROM f) SELECT pillar, count(*) AS n, corr(a, b) AS ic FROM r GROUP BY 1""", "ic",
   lambda t: A.rank_ic(panel(t).unpivot(["fwd"], ["mom", "prox", "turnover"], "pillar", "s"), "s", "fwd", "pillar", 5))

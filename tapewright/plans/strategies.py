@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import books as B
 from ..operators import composites as C
+from ..operators import exits as X
 from ..operators import scoring as K
 from ..operators import series as S
 from ..operators import stats as A
@@ -132,10 +133,41 @@ def touch_sql(first: str) -> str:
       SELECT symbol, entry_date, outcome, exit_date, CASE outcome WHEN 'target' THEN target WHEN 'stop' THEN stop ELSE z END / entry - 1 AS realized FROM tc"""
 
 
-UP, DOWN = "WHEN b.high >= r.target THEN 'target'", "WHEN b.low <= r.stop THEN 'stop'"
-for _key, _first, _cases in (("reco_first_touch", True, f"{UP} {DOWN}"), ("exit_variants", False, f"{DOWN} {UP}")):
-    query(_key, RECO_VIEWS, f"WITH {DAILY}, {RECO}, {touch_sql(f'CASE {_cases} END')}", "realized", 5)(
-        lambda t, f=_first: B.first_touch(recommendations(t), t.bars, 21, target_first=f))
+TOUCH = "CASE WHEN b.high >= r.target THEN 'target' WHEN b.low <= r.stop THEN 'stop' END"
+query("reco_first_touch", RECO_VIEWS, f"WITH {DAILY}, {RECO}, {touch_sql(TOUCH)}", "realized", 5)(
+    lambda t: B.first_touch(recommendations(t), t.bars, 21, target_first=True))
+
+EXITS = f"""{DAILY}, {RECO}, bn AS (SELECT *, row_number() {W} AS n, lag(close) {W} AS pc FROM bars),
+  ba AS (SELECT symbol, date, n, high, low, close, CASE WHEN n >= 16 THEN avg(greatest(high - low, abs(high - pc), abs(low - pc))) OVER (PARTITION BY symbol ORDER BY date ROWS 13 PRECEDING) END AS atr FROM bn),
+  rl AS (SELECT * REPLACE (greatest(stop, 0.9 * entry) AS stop, least(target, 1.2 * entry) AS target) FROM rc),
+  en AS (SELECT r.*, coalesce(b.n, 0) AS n0, b.atr FROM rl r ASOF LEFT JOIN ba b ON b.symbol = r.symbol AND b.date <= r.entry_date),
+  pa AS (SELECT en.symbol, entry_date, entry, stop, target, en.atr, b.n, b.date, b.high, b.low, b.close, max(b.high) OVER p AS up, min(b.low) OVER p AS down, greatest(entry, max(b.close) OVER p) AS peak
+    FROM en JOIN ba b ON b.symbol = en.symbol AND b.n BETWEEN n0 + 1 AND n0 + 22 WHERE entry > stop AND stop > 0 WINDOW p AS (PARTITION BY en.symbol, entry_date ORDER BY b.n)),
+  lv AS (SELECT *, (entry - stop) * k AS d, CASE variant WHEN 'time_only' THEN NULL WHEN 'trail_atr3' THEN greatest(stop, peak - 3 * coalesce(nullif(atr, 0), entry - stop)) ELSE entry - (entry - stop) * k END AS s,
+      CASE WHEN variant NOT IN ('time_only', 'trail_atr3') THEN entry + 2 * (entry - stop) * k END AS t
+    FROM pa, (VALUES ('current', 1.0::DOUBLE), ('wide_1.25x', 1.25), ('wide_1.5x', 1.5), ('wide_2x', 2.0), ('trail_atr3', 1.0), ('time_only', 1.0)) v(variant, k)),
+  ht AS (SELECT *, CASE WHEN low <= s THEN 'stop' WHEN high >= t THEN 'target' END AS hit FROM lv),
+  fx AS (SELECT symbol, entry_date, variant, coalesce(min(n) FILTER (hit IS NOT NULL), max(n)) AS n FROM ht GROUP BY 1, 2, 3),
+  ex AS (SELECT symbol, entry_date, variant, coalesce(hit, 'expired') AS outcome, date AS exit_date, CASE hit WHEN 'stop' THEN s WHEN 'target' THEN t ELSE close END / entry - 1 AS realized,
+      (CASE hit WHEN 'stop' THEN s WHEN 'target' THEN t ELSE close END - entry) / d AS r, greatest(0, up / entry - 1) AS mfe, least(0, down / entry - 1) AS mae, target / entry - 1 AS aim FROM fx JOIN ht USING (symbol, entry_date, variant, n))"""
+
+
+def exits(t: Tables) -> DataFrame:
+    """Of the recommendations, with stops at most a tenth away: the fixture's prices jump so much that bands of volatility reach below zero."""
+    close = {"stop": F.greatest("stop", 0.9 * F.col("entry")), "target": F.least("target", 1.2 * F.col("entry"))}
+    return X.exit_variants(recommendations(t).withColumns(close), t.bars)
+
+
+query("exit_variants", RECO_VIEWS, f"WITH {EXITS} SELECT symbol, entry_date, variant, outcome, exit_date, realized, r, mfe, mae FROM ex", "realized r mfe mae", 5)(
+    lambda t: exits(t).drop("entry", "target", "stop"))
+query("agg_exit_variants", RECO_VIEWS, f"""WITH {EXITS}, sd AS (SELECT symbol, entry_date, row_number() OVER (ORDER BY entry_date, symbol) <= floor(0.7 * count(*) OVER ()) AS train FROM ex WHERE variant = 'current'),
+  st AS (SELECT variant, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test, avg(r) FILTER (train) AS exp_train, avg(r) FILTER (NOT train) AS exp_test, avg(CAST(r > 0 AS DOUBLE)) FILTER (NOT train) AS hit_test,
+    avg(CAST(outcome = 'stop' AS DOUBLE)) FILTER (NOT train) AS stop_test, median(realized / mfe) FILTER (NOT train AND mfe > 0.005 AND realized > 0) AS mfe_capture FROM ex JOIN sd USING (symbol, entry_date) GROUP BY 1),
+  wi AS (SELECT s.variant, s.exp_test - b.exp_test AS gain FROM st s, st b WHERE b.variant = 'current' AND s.exp_train > b.exp_train AND s.exp_test > b.exp_test AND s.mfe_capture >= 0.6)
+  SELECT *, CASE WHEN variant = (SELECT variant FROM wi ORDER BY gain DESC LIMIT 1) THEN 'ADOPT' WHEN variant = 'current' AND (SELECT count(*) FROM wi) = 0 THEN 'KEEP' ELSE 'reject' END AS verdict FROM st""",
+      "exp_train exp_test hit_test stop_test mfe_capture", 5)(lambda t: X.calibrated(exits(t)))
+query("agg_whipsaw", RECO_VIEWS, f"WITH {EXITS} SELECT count(*) AS stopped, count(*) FILTER (mfe >= aim) AS reversed, count(*) FILTER (mfe >= aim) / greatest(count(*), 1) AS share FROM ex WHERE variant = 'current' AND outcome = 'stop'", "share")(
+    lambda t: X.whipsaw(exits(t)))
 
 TECHNICAL = f"""{TR}, tu AS (SELECT *, high - lag(high) {W} AS up, lag(low) {W} - low AS dn FROM tr),
   tp AS (SELECT *, CASE WHEN up IS NOT NULL THEN CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END END AS p,
