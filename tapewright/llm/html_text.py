@@ -20,9 +20,12 @@ OTHER, OTHER_WORDS), further wrappers, captions, shortened blocks, and a stretch
 of the article turned into reader comments. If no page can be learned from, every block without
 an ancestor of the other kind counts as main.
 
-Script, style, template and other elements that hold no prose are left out
-while reading, as are comments; a self-closed svg is empty, and an element whose
-name only begins like one of these is read like any other. Character references
+Pages are read in one forward scan, in time linear in their length whatever is
+unclosed in them. Script, style, template and other elements that hold no prose are
+left out while reading, as are comments (`<!-->` and `<!--->` are empty ones) and the
+lists of form controls, which end where anything else begins; a self-closed svg is
+empty, and an element whose name only begins like one of these is read like any
+other, as are object and noscript. A tag that never ends is text. Character references
 are decoded in each text by itself, also those without a semicolon as HTML defines
 them. A page without main text, without text or null gives the empty string. An
 empty table gives an empty result; further columns are not read.
@@ -33,7 +36,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,17 +49,19 @@ from .shingles import word_hashes
 
 FIT_PAGES = 250
 FIT_BLOCKS = 200
+BATCH_BLOCKS = 20_000  # blocks turned into vectors together
 RENAMED = 12  # renamed copies of a training page
 PATH_DIM, WORD_DIM, STATS_DIM, HIDDEN = 224, 24, 8, 16
 DIM = PATH_DIM + WORD_DIM + STATS_DIM
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object"
-_ATTRIBUTES = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<({_RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
-    rf"|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)({_ATTRIBUTES})>|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements without prose, skipped with all they hold. An unclosed one of the first kind takes the rest of the page, as in browsers; of the second it is read.
+_TEXT_ONLY = frozenset("script style textarea title iframe".split())
+_MARKUP_ONLY = frozenset("svg template".split())
+#: Controls of forms that hold a list and not prose; what else begins inside one closes it.
+_LIST_BOXES = frozenset("select option optgroup".split())
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+_TAG_END = re.compile(r"""[>]|=\s*(["'])""")
+_CLOSERS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _TEXT_ONLY | _MARKUP_ONLY}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -112,6 +117,91 @@ def _said(element: str, above: int | None) -> int | None:
     return 1 if above == 1 or tag in MAIN or (tag in ("div", "section") and main) else None
 
 
+class Reader:
+    """One forward scan over a page. What is known to be absent from some place on is not looked for again, so time is linear in any page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: set[str] = set()  # what no longer follows
+        self.quoted = True  # whether quotes may hide a `>`
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` next stands, or -1."""
+        found = -1 if what in self.absent else self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the `>` that ends a tag, or -1. A `>` inside a quoted value ends none, unless no other follows."""
+        if self.find(">", at) < 0:
+            return -1
+        place = at
+        while self.quoted:
+            m = _TAG_END.search(self.page, place)
+            if m is None:
+                self.quoted = False
+            elif m[1] is None:
+                return m.start()
+            else:
+                close = self.find(m[1], m.end())
+                place = m.end() if close < 0 else close + 1
+        return self.find(">", at)
+
+    def skipped(self, name: str, at: int) -> int:
+        """The place behind the end tag of an element without prose, or -1 if it is unclosed."""
+        key = f"</{name}"
+        m = None if key in self.absent else _CLOSERS[name].search(self.page, at)
+        if m is None:
+            self.absent.add(key)
+            return -1
+        end = self.find(">", m.end())
+        return len(self.page) if end < 0 else end + 1
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """("text", characters, ""), ("open", tag, attributes) and ("close", tag, "") in the order of the page."""
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            start = self.find("<", at)
+            if start != at:
+                yield "text", page[at : start if start >= 0 else n], ""
+            if start < 0:
+                return
+            at, mark = start + 1, page[start + 1 : start + 2]
+            if page.startswith("!--", at):
+                if page.startswith(">", start + 4) or page.startswith("->", start + 4):
+                    at = page.index(">", start + 4) + 1
+                    continue
+                ends = [(e, k) for k in ("-->", "--!>") if (e := self.find(k, start + 4)) >= 0]
+                at = min(e + len(k) for e, k in ends) if ends else n
+                continue
+            m = _NAME.match(page, start)
+            if m is None:
+                end = self.find(">", at) if mark in ("!", "?") else -1
+                if end < 0:
+                    yield "text", "<", ""
+                else:
+                    at = end + 1
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:
+                yield "text", "<", ""
+                continue
+            at, tag, attributes = end + 1, m[2].lower(), page[m.end() : end]
+            if m[1]:
+                yield "close", tag, ""
+            elif tag not in _CLOSERS:
+                yield "open", tag, attributes
+            elif not (tag == "svg" and attributes.endswith("/")):
+                behind = self.skipped(tag, at)
+                if behind >= 0:
+                    at = behind
+                elif tag in _TEXT_ONLY:
+                    at = n
+                else:
+                    yield "open", tag, attributes
+
+
 def blocks(page: str | None) -> Page:
     """Read a page."""
     out = Page()
@@ -135,23 +225,20 @@ def blocks(page: str | None) -> Page:
         opened[tags.pop()] -= 1
         stack.pop()
 
-    for m in TOKEN.finditer(page or ""):
-        text = m[5]
-        if text is not None:
+    for kind, tag, attributes in Reader(page or "").tokens():
+        if kind == "text":
+            if tags[-1] in _LIST_BOXES:
+                continue
             if not parts:
                 at = stack[-1]
-            parts.append(html.unescape(text))
+            parts.append(html.unescape(tag))
             if in_link:
-                links += len(text)
-            continue
-        tag = m[3]
-        if tag is None:
+                links += len(tag)
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
-        if m[2]:
+        if kind == "close":
             if tag in INLINE:
                 in_link -= tag == "a" and in_link > 0
                 continue
@@ -162,16 +249,18 @@ def blocks(page: str | None) -> Page:
                 close()
             in_link = 0
             continue
+        while tags[-1] in _LIST_BOXES and (tag not in _LIST_BOXES or tag == "select"):
+            close()
         if tag in INLINE:
             in_link += tag == "a"
             continue
         flush()
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         closed = CLOSES.get(tag, {"p"} if tag in BLOCK_ENDS_P else ())
         while tags[-1] in closed:
             close()
-        words = [w for a in ATTRIBUTE.finditer(m[4]) for w in WORDS.findall((a[1] or a[2] or a[3] or "").lower())] if m[4] else []
+        words = [w for a in ATTRIBUTE.finditer(attributes) for w in WORDS.findall((a[1] or a[2] or a[3] or "").lower())] if attributes else []
         out.names.append(" ".join([tag, *words]))
         out.parent.append(stack[-1])
         stack.append(len(out.names) - 1)
@@ -424,6 +513,21 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows:
     return model
 
 
+def by_blocks(pages: Iterable[Page], most: int = BATCH_BLOCKS) -> Iterator[list[Page]]:
+    """Pages in lists of at most `most` blocks and as many pages, or of one page."""
+    held: list[Page] = []
+    size = 0
+    for page in pages:
+        n = len(page.texts) + 1
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(page)
+        size += n
+    if held:
+        yield held
+
+
 def main_text(pages: DataFrame, model: BiLSTM, id_col: str = "page_id", html_col: str = "html", threshold: float = 0.5) -> DataFrame:
     """(id, url, text, n_chars, n_blocks, n_main): the main text of every page."""
     weights, learned = model.p, model.learned
@@ -433,8 +537,7 @@ def main_text(pages: DataFrame, model: BiLSTM, id_col: str = "page_id", html_col
         labeller = BiLSTM()
         labeller.p = weights
         rows = []
-        for k in range(0, len(texts), 200):
-            found = [blocks(t) for t in texts.iloc[k : k + 200]]
+        for found in by_blocks(map(blocks, texts)):
             if learned:
                 scores = labeller.label([vectors(b) for b in found])
             else:

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -436,6 +437,32 @@ def test_html_blocks_keep_what_follows_raw_elements():
     assert found == [("Caption.", 1), ("Ad", 0)]
 
 
+def test_html_keeps_the_page_after_empty_comments_and_unclosed_elements():
+    rest = "<p>rest of page</p>"
+    for gap in ("<!-->", "<!--->", "<!-- x -->", "<!-- x --!>", "<!doctype html>", "<?php x ?>", "<object data=x>", "<noscript>", "<svg viewBox='0'>", "<template>", "<select><option>one<option>two"):
+        assert html_text.blocks(f"<p>a</p>{gap}{rest}").texts == ["a", "rest of page"], gap
+    assert html_text.blocks(f"<p>a</p><select><option>one</select><b>b</b>{rest}").texts == ["a", "b", "rest of page"]
+    assert html_text.blocks("<object><p>fallback</p></object><noscript><p>plain</p></noscript>").texts == ["fallback", "plain"]
+    assert html_text.blocks(f"<p>a < b and c <3 d</p>{rest}").texts == ["a < b and c <3 d", "rest of page"]
+    assert html_text.blocks("<p title='unclosed>text</p><p>more</p>").texts == ["text", "more"]
+    assert html_text.blocks("<p>x</p><!-- never closed <p>y</p>").texts == ["x"]
+    assert html_text.blocks("<SCRIPT>a</p></Script ><p>b</p>").texts == ["b"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<script ", "<svg ", '<p a="', "<p a='>", "<", "<!", "<!--", "</", "<svg>", "<script>", "<select>", "<p a=\">\" ", "&", "&amp", "<div class=\"", "= \"", "<p>x", "<template>"])
+def test_html_reader_is_linear(piece):
+    """A megabyte of anything unclosed is read in seconds."""
+    began = time.process_time()
+    html_text.blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 4
+
+
+def test_html_batches_by_blocks():
+    pages = [html_text.blocks("<p>x</p>" * n) for n in (3, 0, 5, 30, 1, 1)]
+    assert [len(p.texts) for part in html_text.by_blocks(pages, 12) for p in part] == [3, 0, 5, 30, 1, 1]
+    assert all(len(part) == 1 or sum(len(p.texts) + 1 for p in part) <= 12 for part in html_text.by_blocks(pages, 12))
+
+
 def test_html_odd_inputs(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 3000 + "x"), (None, "u", "plain text"), (4, "u", "<div>" * 50_000 + "deep"), (4, "u", "<nav>m</nav>" + "<p>t</p>" * 5000)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_main int")
