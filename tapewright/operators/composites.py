@@ -281,54 +281,6 @@ def recovery_targets(scrips: DataFrame, quarters: DataFrame, filings: DataFrame,
     return targets.select("scrip", "missing", F.coalesce("usable", F.lit(0)).alias("usable"), outcome.alias("outcome"))
 
 
-def membership_confidence(islands: DataFrame, months: int = 2, sure: float = 0.95, unsure: float = 0.6, least: float = 0.75) -> DataFrame:
-    """Intervals with a confidence, by their length in months, that is enough to be used."""
-    return islands.withColumn("confidence", F.when(F.col("months") >= months, sure).otherwise(unsure)).where(F.col("confidence") >= least)
-
-
-def membership_changes(islands: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """(symbol, date, change, confidence): an `add` where an interval begins and a `remove` where it ends."""
-    ends = F.array(F.struct(F.col("effective_from").alias("date"), F.lit("add").alias("change")), F.struct(F.col("effective_to").alias("date"), F.lit("remove").alias("change")))
-    return islands.select("symbol", F.explode(ends).alias("x")).select("symbol", "x.*", F.lit(confidence).alias("confidence")).where("date IS NOT NULL")
-
-
-def filing_lags(filings: DataFrame, most: int, usable: int) -> DataFrame:
-    """Filings at most `most` days after their quarter began, with the lag and whether it is within the usable window."""
-    lag = F.datediff("broadcast", "quarter")
-    return filings.withColumn("lag_days", lag).where(F.col("lag_days") <= most).withColumn("usable", F.col("lag_days") <= usable)
-
-
-def statement_values(json: DataFrame, column: str = "j") -> DataFrame:
-    """Add net_income, revenue and roe from a JSON object of figures under any of their usual names."""
-    m = F.from_json(column, "map<string,double>")
-    first = lambda *names: F.coalesce(*(F.col("_m")[n] for n in names))
-    read = json.withColumn("_m", m).withColumns({"net_income": first("NetIncome", "Net Income"), "revenue": first("Revenue")})
-    return read.withColumn("roe", F.when(F.col("revenue") > 0, F.col("net_income") / F.col("revenue"))).drop("_m")
-
-
-def annual_statements(statements: DataFrame) -> DataFrame:
-    """(symbol, fy, revenue, pit_date, pit_estimated): fiscal years, public when their last quarter is."""
-    return statements.groupBy("symbol", F.year("quarter").alias("fy")).agg(
-        F.sum("revenue").alias("revenue"), F.max("pit_date").alias("pit_date"), F.lit(1).alias("pit_estimated"))
-
-
-def sector_regime(bars: DataFrame, sectors: DataFrame) -> DataFrame:
-    """(sector, date, members, breadth, strength): share above the 200-day average and mean distance from the 50-day average."""
-    from .series import sma_distance
-
-    above = F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double"))
-    return sma_distance(bars).join(sectors.select("symbol", "sector"), "symbol").groupBy("sector", "date").agg(
-        F.count(F.lit(1)).alias("members"), (100 * F.avg(above)).alias("breadth"), F.avg("dist_sma50").alias("strength"))
-
-
-def market_intel(trades: DataFrame, chain: DataFrame) -> DataFrame:
-    """(category, symbol, detail, value): bought by insiders, and open interest by side."""
-    bought = trades.where("transaction_type = 'Buy'").groupBy("symbol").agg(F.sum("value").alias("value"))
-    held = chain.groupBy("symbol", "option_typ").agg(F.sum("open_int").alias("value"))
-    return bought.select(F.lit("smart_money").alias("category"), "symbol", F.lit("buy").alias("detail"), "value").unionByName(
-        held.select(F.lit("fo").alias("category"), "symbol", F.col("option_typ").alias("detail"), "value"))
-
-
 def pledge_risk(trades: DataFrame, least: float = 1e7) -> DataFrame:
     """(event_id, symbol, filing_date, value_cr) of pledges of a value that counts."""
     return trades.where((F.col("transaction_type") == "Pledge") & (F.col("value") >= least)).select("event_id", "symbol", "filing_date", (F.col("value") / 1e7).alias("value_cr"))

@@ -97,15 +97,6 @@ def open_interest_quadrant(chain: DataFrame) -> DataFrame:
     return d.select("symbol", "date", quadrant(F.col("_d"), F.col("_r"), ("long buildup", "short buildup", "short covering", "long unwinding")).alias("quadrant"))
 
 
-def rotation_quadrant(returns: DataFrame, rows: int = 63, back: int = 21) -> DataFrame:
-    """(symbol, date, quadrant) of relative strength, the mean return of `rows` rows, and its change over `back` rows."""
-    strength = returns.withColumn("_s", F.avg("ret").over(by_symbol().rowsBetween(-(rows - 1), 0)))
-    s = strength.withColumn("_m", F.col("_s") - F.lag("_s", back).over(by_symbol())).where("_m IS NOT NULL")
-    up, gains = F.round("_s", 12) >= 0, F.round("_m", 12) >= 0
-    label = F.when(up & gains, "leading").when(~up & gains, "improving").when(up, "weakening").otherwise("lagging")
-    return s.select("symbol", "date", label.alias("quadrant"))
-
-
 def first_tag(text: str, patterns: list[tuple[str, str]], other: str = "other") -> Column:
     """The name of the first pattern that a text matches."""
     return F.coalesce(*(F.when(F.col(text).rlike(p), name) for name, p in patterns), F.lit(other))

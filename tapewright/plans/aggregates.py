@@ -138,8 +138,6 @@ G("agg_fund_scorecard", "bars", f"""WITH l AS (SELECT symbol, max(date) AS last,
   SELECT symbol, last AS last_date, z AS last_nav, (last - first) / 365.0 AS years, z / a1 - 1 AS cagr_1y, pow(z / a3, 1.0 / 3) - 1 AS cagr_3y, pow(z / a5, 1.0 / 5) - 1 AS cagr_5y, ann_vol, max_dd,
     CASE WHEN ann_vol > 0 THEN (pow(z / a3, 1.0 / 3) - 1 - 0.06) / ann_vol END AS sharpe_3y, consistency FROM l JOIN y USING (symbol) JOIN v USING (symbol) WHERE n >= 252 AND z > 0""",
   "last_nav years cagr_1y cagr_3y cagr_5y ann_vol max_dd sharpe_3y consistency", lambda t: A.fund_scorecard(t.bars), 7)
-G("agg_validate_overlap", "statements", "WITH a AS (SELECT symbol, year(quarter) AS fy, sum(revenue) AS x, sum(net_income) AS y FROM statements GROUP BY 1, 2) SELECT symbol, count(DISTINCT fy) AS depth, max(CAST(abs(x - y) <= 0.25 * x AS INTEGER)) AS validated, count(DISTINCT fy) >= 5 AND max(CAST(abs(x - y) <= 0.25 * x AS INTEGER)) = 1 AS eligible FROM a GROUP BY 1", "",
-  lambda t: t.statements.groupBy("symbol", F.year("quarter").alias("fy")).agg(F.sum("revenue").alias("x"), F.sum("net_income").alias("y")).groupBy("symbol").agg(F.count_distinct("fy").alias("depth"), F.max((F.abs(F.col("x") - F.col("y")) <= 0.25 * F.col("x")).cast("int")).alias("validated")).withColumn("eligible", (F.col("depth") >= 5) & (F.col("validated") == 1)))
 G("agg_kendall_w", PV, f"""WITH {PANEL}, r AS (SELECT rebal_date, symbol, rank() OVER (PARTITION BY rebal_date ORDER BY mom, symbol) AS r FROM panel WHERE mom IS NOT NULL), m AS (SELECT count(DISTINCT rebal_date) AS m FROM r), s AS (SELECT symbol, sum(r) AS s, count(*) AS c FROM r GROUP BY 1), x AS (SELECT count(*) AS k, var_pop(s / c) * count(*) AS ss FROM s WHERE c >= 5)
   SELECT k, 12 * ss / (pow(k, 3) - k) AS w FROM x""", "w",
   lambda t: panel(t).where("mom IS NOT NULL").withColumn("r", F.rank().over(Window.partitionBy("rebal_date").orderBy("mom", "symbol"))).groupBy("symbol").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("c")).where("c >= 5").agg(F.count(F.lit(1)).alias("k"), (F.var_pop(F.col("s") / F.col("c")) * F.count(F.lit(1))).alias("ss")).select("k", (12 * F.col("ss") / (F.pow("k", F.lit(3)) - F.col("k"))).alias("w")))
@@ -157,8 +155,6 @@ G("agg_phase_headroom", "", r"SELECT event_type AS phase, max(CAST(regexp_extrac
   lambda t: t.events.groupBy(F.col("event_type").alias("phase")).agg(F.max(F.regexp_extract("props", r"(\d+)", 1).cast("int")).alias("observed"), F.max_by("user_id", "event_id").alias("cap")).withColumn("tight", F.col("observed") > F.col("cap") / 3))
 G("agg_green_streak", "", "SELECT user_id, coalesce(min(k) FILTER (event_type = 'error'), count(*) + 1) - 1 AS streak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) GROUP BY 1", "",
   lambda t: A.leading_run(t.events, F.col("event_type") != "error", [F.desc("ts"), F.desc("event_id")], "user_id"))
-G("agg_event_shadow_board", "", "SELECT event_type, count(*) AS n, count(value) AS filled, avg(CAST(value > 10 AS DOUBLE)) AS hit, avg(value) AS avg_forward FROM events GROUP BY 1", "hit avg_forward",
-  lambda t: t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.avg((F.col("value") > 10).cast("double")).alias("hit"), F.avg("value").alias("avg_forward")))
 G("agg_pillar_ic", PV, f"""WITH {PANEL}, u AS (SELECT 'mom' AS pillar, mom AS s, fwd FROM panel UNION ALL SELECT 'prox', prox, fwd FROM panel UNION ALL SELECT 'turnover', turnover, fwd FROM panel), f AS (SELECT * FROM u WHERE s IS NOT NULL AND fwd IS NOT NULL),
   r AS (SELECT pillar, rank() OVER (PARTITION BY pillar ORDER BY s) + (count(*) OVER (PARTITION BY pillar, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pillar ORDER BY fwd) + (count(*) OVER (PARTITION BY pillar, fwd) - 1) / 2.0 AS b FROM f) SELECT pillar, count(*) AS n, corr(a, b) AS ic FROM r GROUP BY 1""", "ic",
   lambda t: A.rank_ic(panel(t).unpivot(["fwd"], ["mom", "prox", "turnover"], "pillar", "s"), "s", "fwd", "pillar", 5))

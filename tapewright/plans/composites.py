@@ -52,19 +52,11 @@ G("fundamentals_pit", "statements filings", "WITH y AS (SELECT symbol, max(repor
     f"SELECT '{n}' AS statement, symbol, '{p}' AS period_type, CAST(report_date + {d} AS DATE) AS report_date FROM {'y' if p == 'annual' else 'statements'}" for n, p, d in KINDS) + """), m AS (SELECT s.*, f.broadcast FROM s ASOF LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.report_date)
   SELECT statement, symbol, period_type, report_date, CASE WHEN broadcast <= report_date + 120 THEN broadcast ELSE CAST(report_date + CASE period_type WHEN 'annual' THEN 60 ELSE 45 END AS DATE) END AS pit_date,
     CASE WHEN broadcast <= report_date + 120 THEN 'filing' ELSE 'lag_estimate' END AS dated_by FROM m""", "", lambda t: C.fundamentals_pit(six_statements(t), t.filings.withColumnRenamed("scrip", "symbol")))
-G("fundamentals_features", "statements", "SELECT symbol, quarter, net_income, revenue, CASE WHEN revenue > 0 THEN net_income / revenue END AS roe FROM statements", "net_income revenue roe",
-  lambda t: t.statements.select("symbol", "quarter", F.to_json(F.create_map(F.lit("Net Income"), "net_income", F.lit("Revenue"), "revenue")).alias("j")).withColumn("m", F.from_json("j", "map<string,double>")).select("symbol", "quarter", F.coalesce(F.col("m")["NetIncome"], F.col("m")["Net Income"]).alias("net_income"), F.col("m")["Revenue"].alias("revenue")).withColumn("roe", F.when(F.col("revenue") > 0, F.col("net_income") / F.col("revenue"))), 4)
-G("fundamentals_annual_pit", "statements", "SELECT symbol, year(quarter) AS fy, sum(revenue) AS revenue, max(pit_date) AS pit_date, 1 AS pit_estimated FROM statements GROUP BY 1, 2", "revenue",
-  lambda t: t.statements.groupBy("symbol", F.year("quarter").alias("fy")).agg(F.sum("revenue").alias("revenue"), F.max("pit_date").alias("pit_date"), F.lit(1).alias("pit_estimated")), 2)
 TOP = f"{PANEL}, tk AS (SELECT rebal_date, symbol FROM panel QUALIFY row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) <= 8), mi AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) AS i, lead(rebal_date) OVER (ORDER BY rebal_date) AS nx FROM month_ends), g AS (SELECT symbol, rebal_date, i, nx, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS g FROM tk JOIN mi USING (rebal_date)), isl AS (SELECT symbol, min(rebal_date) AS effective_from, list(nx ORDER BY i)[-1] AS effective_to, count(*) AS months FROM g GROUP BY symbol, g)"
 top8 = lambda t: S.top_k(panel(t), 8, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select("rebal_date", "symbol")
 G("membership_islands", PV, f"WITH {TOP} SELECT * FROM isl", "", lambda t: C.membership_islands(top8(t), t.month_ends))
-G("membership_consumable", PV, f"WITH {TOP} SELECT *, CASE WHEN months >= 2 THEN 0.95 ELSE 0.6 END AS confidence FROM isl WHERE months >= 2", "confidence", lambda t: C.membership_islands(top8(t), t.month_ends).withColumn("confidence", F.when(F.col("months") >= 2, 0.95).otherwise(0.6)).where("confidence >= 0.75"))
-G("membership_bridge", PV, f"WITH {TOP} SELECT symbol, effective_from AS date, 'add' AS change, 0.95 AS confidence FROM isl UNION ALL SELECT symbol, effective_to, 'remove', 0.95 FROM isl WHERE effective_to IS NOT NULL", "confidence",
-  lambda t: (lambda i: i.select("symbol", F.col("effective_from").alias("date"), F.lit("add").alias("change"), F.lit(0.95).alias("confidence")).unionByName(i.where("effective_to IS NOT NULL").select("symbol", F.col("effective_to").alias("date"), F.lit("remove").alias("change"), F.lit(0.95).alias("confidence"))))(C.membership_islands(top8(t), t.month_ends)))
 G("filing_revision_chain", "filings", "SELECT filing_id, scrip, quarter, lag(filing_id) OVER w AS is_revision_of, CAST(row_number() OVER w AS INTEGER) AS version, lead(filing_id) OVER w IS NULL AS is_current, sha256(segment || status) AS content_hash FROM filings WINDOW w AS (PARTITION BY scrip, quarter ORDER BY broadcast, filing_id)", "",
   lambda t: C.revision_chain(t.filings.withColumn("c", F.concat("segment", "status")), ["scrip", "quarter"], ["broadcast", "filing_id"], "c").select("filing_id", "scrip", "quarter", "is_revision_of", "version", "is_current", "content_hash"))
-G("filing_lag_gate", "filings", "SELECT filing_id, CAST(broadcast - quarter AS INTEGER) AS lag_days, broadcast - quarter <= 60 AS usable FROM filings WHERE broadcast - quarter <= 80", "", lambda t: t.filings.withColumn("lag_days", F.datediff("broadcast", "quarter")).where("lag_days <= 80").select("filing_id", "lag_days", (F.col("lag_days") <= 60).alias("usable")))
 #: Scrips whose last filing is before 2000 are not active; members of every quarter; every seventh was tried before.
 G("recovery_targets", "filings", """WITH l AS (SELECT CAST(c_custkey AS VARCHAR) AS scrip, coalesce(max(broadcast) >= DATE '2000-01-01', false) AS active FROM customer LEFT JOIN filings ON scrip = CAST(c_custkey AS VARCHAR) GROUP BY 1),
   q AS (SELECT DISTINCT quarter FROM filings WHERE broadcast < DATE '1999-01-01'), m AS (SELECT l.scrip, count(*) AS missing FROM l, q WHERE (l.scrip, q.quarter) NOT IN (SELECT (scrip, quarter) FROM filings) GROUP BY 1), u AS (SELECT scrip, count(*) FILTER (broadcast - quarter <= 60) AS usable FROM filings GROUP BY 1)
@@ -141,10 +133,6 @@ G("options_iv_history", "bars option_chain", f"""WITH {ATM}, ih AS (SELECT *, li
   SELECT symbol, date, iv_ce, iv_pe, iv, pcr_oi, (round(iv, 8) - list_min(l)) / nullif(list_max(l) - list_min(l), 0) * 100 AS iv_rank, len(list_filter(l, lambda v: v <= round(iv, 8))) * 100.0 / len(l) AS iv_percentile FROM ih""",
   "iv_ce iv_pe iv pcr_oi iv_rank iv_percentile", lambda t: C.volatility_history(atm_iv(t).withColumn("iv", F.round("iv", 8))), 4)
 G("option_chain_slice", "option_chain", "SELECT symbol, strike, option_typ, expiry, open_int FROM option_chain WHERE date = DATE '1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'", "strike open_int", lambda t: t.option_chain.where("date = date'1998-06-30' AND option_typ IN ('CE', 'PE') AND symbol = '1'").orderBy("strike").select("symbol", "strike", "option_typ", "expiry", "open_int"))
-G("sector_regime_daily", "bars sector_map", f"WITH {SMA} SELECT sector, date, count(*) AS members, 100 * avg(CASE WHEN s200 IS NOT NULL THEN CAST(close > s200 AS DOUBLE) END) AS breadth, avg(close / s50 - 1) AS strength FROM a JOIN sector_map USING (symbol) GROUP BY 1, 2", "breadth strength",
-  lambda t: S.sma_distance(t.bars).join(t.sector_map, "symbol").groupBy("sector", "date").agg(F.count("*").alias("members"), (100 * F.avg(F.when(F.col("sma200").isNotNull(), (F.col("close") > F.col("sma200")).cast("double")))).alias("breadth"), F.avg("dist_sma50").alias("strength")))
-G("market_intel", "insider_trades option_chain", "SELECT 'smart_money' AS category, symbol, 'buy' AS detail, sum(value) AS value FROM insider_trades WHERE transaction_type = 'Buy' GROUP BY 2 UNION ALL SELECT 'fo', symbol, option_typ, sum(open_int) FROM option_chain GROUP BY symbol, option_typ", "value",
-  lambda t: t.insider_trades.where("transaction_type = 'Buy'").groupBy("symbol").agg(F.sum("value").alias("value")).select(F.lit("smart_money").alias("category"), "symbol", F.lit("buy").alias("detail"), "value").unionByName(t.option_chain.groupBy("symbol", "option_typ").agg(F.sum("open_int").alias("value")).select(F.lit("fo").alias("category"), "symbol", F.col("option_typ").alias("detail"), "value")), 2)
 
 # events
 G("event_insider_clusters", "insider_trades", """WITH b AS (SELECT symbol, filing_date, name, value FROM insider_trades WHERE transaction_type = 'Buy' AND category LIKE 'Promoter%' AND value >= 30000000), n AS (SELECT x.symbol, x.filing_date, count(DISTINCT y.name) AS n FROM (SELECT DISTINCT symbol, filing_date FROM b) x JOIN b y ON x.symbol = y.symbol AND y.filing_date <= x.filing_date AND y.filing_date >= x.filing_date - 7 GROUP BY 1, 2),
@@ -152,7 +140,6 @@ G("event_insider_clusters", "insider_trades", """WITH b AS (SELECT symbol, filin
   f AS (SELECT symbol, min(filing_date) AS event_date FROM d GROUP BY 1 UNION ALL SELECT f.symbol, (SELECT min(filing_date) FROM d WHERE d.symbol = f.symbol AND d.filing_date > f.event_date + 7) FROM f WHERE f.event_date IS NOT NULL)
   SELECT f.symbol, event_date, CAST(n AS INTEGER) AS insiders, value / 1e7 AS value_cr FROM f JOIN d ON d.symbol = f.symbol AND d.filing_date = f.event_date""", "value_cr",
   lambda t: C.cluster_events(t.insider_trades.where("transaction_type = 'Buy' AND category LIKE 'Promoter%' AND value >= 30000000"), days=7))
-G("event_pledge_risk", "insider_trades", "SELECT event_id, symbol, filing_date, value / 1e7 AS value_cr FROM insider_trades WHERE transaction_type = 'Pledge' AND value >= 10000000", "value_cr", lambda t: t.insider_trades.where("transaction_type = 'Pledge' AND value >= 10000000").select("event_id", "symbol", "filing_date", (F.col("value") / 1e7).alias("value_cr")))
 G("event_pead_proxy", "statements", """WITH g AS (SELECT symbol, quarter, pit_date, revenue / lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY quarter) - 1 AS growth FROM statements), f AS (SELECT * FROM g WHERE growth IS NOT NULL), s AS (SELECT quarter, median(growth) AS m, stddev_samp(growth) AS s FROM f GROUP BY 1)
   SELECT symbol, pit_date AS event_date, greatest(least((growth - m) / CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END, 3), -3) AS surprise,
     100 * (rank() OVER (PARTITION BY quarter ORDER BY growth) + (count(*) OVER (PARTITION BY quarter, growth) - 1) / 2.0) / count(*) OVER (PARTITION BY quarter) AS pct FROM f JOIN s USING (quarter)""", "surprise pct",
@@ -172,7 +159,3 @@ def abnormal(t):
 G("event_study_abnormal", "bars index_series corporate_actions", f"WITH {EVS} SELECT * FROM ab", "abnormal", abnormal)
 G("agg_event_study", "bars index_series corporate_actions", f"WITH {EVS}, m AS (SELECT quantile_disc(event_date, 0.5) AS mid FROM ab) SELECT count(*) AS n, avg(abnormal) AS mean, avg(abnormal) / (stddev_samp(abnormal) / sqrt(count(*))) AS t_stat, avg(CAST(abnormal > 0 AS DOUBLE)) AS hit, avg(abnormal) FILTER (event_date < (SELECT mid FROM m)) AS h1, avg(abnormal) FILTER (event_date >= (SELECT mid FROM m)) AS h2 FROM ab", "mean t_stat hit h1 h2",
   lambda t: C.event_study(abnormal(t)))
-G("event_shadow_returns", "bars index_series corporate_actions", f"WITH {EVS} SELECT symbol, event_date, entry_date, fwd AS ret_21, fwd63 AS ret_63, fwd IS NOT NULL AS filled_21 FROM ev", "ret_21 ret_63",
-  lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date")).distinct(), S.forward_labels(t.bars, {"ret_21": 21, "ret_63": 63}).select("symbol", "date", "ret_21", "ret_63"), ["symbol"], "event_date", "date", ["ret_21", "ret_63"], forward=True, strict=True).where("matched_on IS NOT NULL").select("symbol", "event_date", F.col("matched_on").alias("entry_date"), "ret_21", "ret_63", F.col("ret_21").isNotNull().alias("filled_21")))
-G("event_recency_score", "insider_trades", "SELECT symbol, greatest(0, least(100, max(50 + CASE WHEN transaction_type = 'Buy' THEN 50 ELSE -50 END * (1 - (DATE '2024-01-28' - filing_date) / 20.0)))) AS score, max(CAST(transaction_type = 'Pledge' AS INTEGER)) AS pledge FROM insider_trades WHERE filing_date < DATE '2024-01-28' AND DATE '2024-01-28' - filing_date <= 20 GROUP BY 1", "score",
-  lambda t: t.insider_trades.withColumn("age", F.datediff(F.lit("2024-01-28").cast("date"), "filing_date")).where("age > 0 AND age <= 20").groupBy("symbol").agg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.max(50 + F.when(F.col("transaction_type") == "Buy", 50).otherwise(-50) * (1 - F.col("age") / 20.0)))).alias("score"), F.max((F.col("transaction_type") == "Pledge").cast("int")).alias("pledge")))

@@ -9,7 +9,7 @@ from ..operators.asof import align_ffill, asof
 from ..operators import series as S
 from ..sources.scratch import Scratch
 from .aggregates import G
-from .series import PANEL, PV, W, panel, sector_returns, SEC
+from .series import PANEL, PV, W, panel
 
 
 # projections, filters, lookups
@@ -36,8 +36,6 @@ G("etf_exclude", "", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_type
   lambda t: L.without_funds(t.part, t.lineitem.where("l_quantity > 49").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "p_type", "ECONOMY|PROMO").select("p_partkey"))
 G("sector_normalize", "sector_map", "SELECT symbol, CASE lower(trim(sector)) WHEN 'nation_1' THEN 'Financials' WHEN 'nation_2' THEN 'Energy' WHEN 'nation_3' THEN 'Technology' ELSE trim(sector) END AS sector FROM sector_map", "",
   lambda t: L.mapped(t.sector_map, "sector", {"nation_1": "Financials", "nation_2": "Energy", "nation_3": "Technology"}).select("symbol", "sector"))
-G("sector_gap_tag", PV, f"WITH {PANEL}, l AS (SELECT symbol, sector, row_number() OVER (PARTITION BY rebal_date ORDER BY turnover DESC, symbol) AS k FROM panel) SELECT DISTINCT symbol, CASE WHEN sector LIKE '%_1%' THEN 'gap' ELSE 'known' END AS tag FROM l WHERE k <= 50", "",
-  lambda t: S.top_k(panel(t), 50, "rebal_date", by=[F.desc("turnover"), F.col("symbol")]).select("symbol", F.when(F.col("sector").like("%_1%"), "gap").otherwise("known").alias("tag")).distinct())
 G("registry_scd_active", "", "WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'), n AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') SELECT coalesce(o.k, n.k) AS custkey, n.k IS NOT NULL AS is_active, o.k IS NULL AS is_new FROM o FULL JOIN n ON o.k = n.k", "",
   lambda t: (lambda o: L.scd_active(o.where("o_orderdate < timestamp'1998-01-01'"), o.where("o_orderdate >= timestamp'1998-01-01'"), "custkey"))(t.orders.withColumnRenamed("o_custkey", "custkey")))
 G("fund_filter_plan", "", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Direct' ELSE 'Regular' END AS plan, regexp_replace(p_name, '^\\w+ ', '') AS name FROM part WHERE p_type LIKE '%ECONOMY%' AND p_name NOT LIKE '%ring%'", "",
@@ -45,9 +43,6 @@ G("fund_filter_plan", "", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Dire
 OI = "WITH o AS (SELECT symbol, date, sum(open_int) AS oi, avg(close) AS px FROM option_chain GROUP BY 1, 2), c AS (SELECT symbol, date, oi - lag(oi) OVER w AS d, px - lag(px) OVER w AS r FROM o WINDOW w AS (PARTITION BY symbol ORDER BY date))"
 G("fo_intel_quadrant", "option_chain", f"{OI} SELECT symbol, date, CASE WHEN d > 0 AND r > 0 THEN 'long buildup' WHEN d > 0 AND r <= 0 THEN 'short buildup' WHEN d <= 0 AND r > 0 THEN 'short covering' WHEN d <= 0 AND r <= 0 THEN 'long unwinding' END AS quadrant FROM c", "",
   lambda t: L.open_interest_quadrant(t.option_chain))
-RRG = f"WITH {SEC}, a AS (SELECT symbol AS sector, date, avg(ret) OVER (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING) AS rs FROM sr), b AS (SELECT *, rs - lag(rs, 21) OVER (PARTITION BY sector ORDER BY date) AS m FROM a)"
-G("rrg_quadrant", "bars sector_map", f"{RRG} SELECT sector, date, CASE WHEN round(rs, 12) >= 0 AND round(m, 12) >= 0 THEN 'leading' WHEN round(rs, 12) < 0 AND round(m, 12) >= 0 THEN 'improving' WHEN round(rs, 12) >= 0 THEN 'weakening' ELSE 'lagging' END AS quadrant FROM b WHERE m IS NOT NULL", "",
-  lambda t: L.rotation_quadrant(sector_returns(t)).withColumnRenamed("symbol", "sector"))
 TAGS = [("junk", r"[#$%&*]{3}"), ("table", r" \| "), ("shout", r"!!"), ("contact", r"\d{3}-\d{4}"), ("license", r"(?i)license|copyright")]
 G("announcement_tag", "", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TAGS) + " ELSE 'other' END AS tag, coalesce(nullif(regexp_extract(text, '[#$%&*]{3}'), ''), nullif(regexp_extract(text, '\\d{3}-\\d{4}'), '')) AS hit FROM documents", "",
   lambda t: t.documents.select("doc_id", L.first_tag("text", TAGS).alias("tag"), F.coalesce(*(F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in (r"[#$%&*]{3}", r"\d{3}-\d{4}"))).alias("hit")))

@@ -149,5 +149,3 @@ G("weekly_stats", "trades", f"""WITH g AS (SELECT CAST(date_trunc('week', exit_d
     count(*) FILTER ({CONFIDENT} >= 70 AND realized < 0) AS confident_losers, count(*) FILTER (outcome = 'expired') AS o FROM trades GROUP BY 1)
   SELECT week, closed, hit, expectancy_r, confident_losers, CAST(sum(o) OVER (ORDER BY week RANGE BETWEEN INTERVAL 63 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS waitlist FROM g""", "hit expectancy_r",
   lambda t: B.weekly_stats(t.trades.withColumns({"confidence": F.expr(CONFIDENT).cast("double"), "in_book": F.col("outcome") != "expired"})))
-G("gate_registry_check", "trades", "SELECT strategy, avg(realized) / (stddev_samp(realized) / sqrt(count(*))) AS t_stat, CASE WHEN abs(avg(realized) / (stddev_samp(realized) / sqrt(count(*)))) >= 3 THEN 'scored' ELSE 'context' END AS verdict FROM trades GROUP BY 1", "t_stat",
-  lambda t: t.trades.groupBy("strategy").agg((F.avg("realized") / (F.stddev_samp("realized") / F.sqrt(F.count("*")))).alias("t_stat")).withColumn("verdict", F.when(F.abs("t_stat") >= 3, "scored").otherwise("context")), 4)

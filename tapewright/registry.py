@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.base import ORACLES, QUERIES
 
-for _name in ("series", "aggregates", "joins", "composites", "portfolio", "strategies", "ingest", "streams", "models"):
+for _name in ("series", "aggregates", "joins", "composites", "portfolio", "strategies", "evidence", "ingest", "streams", "models"):
     import_module(f"tapewright.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
