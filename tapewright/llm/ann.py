@@ -12,14 +12,17 @@ out, so that neighbours in far lists are found too. The inner products with all
 codes are estimated from the packed bits and corrected by the scalars; the
 estimate's error is at most EPSILON / sqrt(D - 1) * sqrt(1 / x**2 - 1), x being
 the stored inner product, but for a tail that EPSILON makes small. The k vectors
-of a block with the smallest upper bounds are measured; those whose lower bound
+of a task's first block with the smallest upper bounds are measured; those whose lower bound
 exceeds the largest of these distances are dropped, the others are reranked by
-exact distance in double precision, and the best k of all blocks are kept.
+exact distance in double precision. A task carries the best k of each query from
+one block of rows to the next, so that the bounds are held against ever smaller
+distances, and gives them out once at its end.
 
-Work is dealt by (block of rows, block of queries), of about ROWS rows and
-QUERIES queries, by hashes of the ids: the size of a list has no bearing on it.
-Code comparisons are rows times queries. What the driver gathers is bounded: the
-sample.
+Queries are taken in blocks of about QUERIES by hashes of their ids. The vectors of
+one block go to every task (at 64 dimensions 2 MB, whatever the input), which scan
+the stored index where it lies: rows are not shuffled, only each task's k nearest
+are. Code comparisons are rows times queries. What the driver gathers is bounded:
+the sample, and one block of queries at a time.
 
 Vectors that are null, zero, of another length than most of the sample, or hold
 null or non-finite components take no part, nor do null ids. Of equal distances
@@ -31,13 +34,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, written
+from ..sources.scratch import Scratch
+from .common import bounded_sample
 
 SAMPLE = 65_536
 LISTS = 1024
@@ -115,34 +120,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _searcher(k: int, centroids: np.ndarray, rotate: np.ndarray):
+def _searcher(k: int, centroids: np.ndarray, rotate: np.ndarray, all_q: np.ndarray, q: np.ndarray):
+    """Holds the queries (ids, vectors) against all rows of a task; gives the k nearest of each that the task has."""
     dim = centroids.shape[1]
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not rows.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"], dim)
-        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        present, at = np.unique(rows["list"].to_numpy(), return_inverse=True)
-        norm, inner = rows["norm"].to_numpy(), rows["inner"].to_numpy()
-        all_q, q = asked["query_id"].to_numpy(), _matrix(asked["v"], dim)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for s in range(0, len(all_q), 64):
-            low, high = bounds(bits, norm, inner, q[s : s + 64], centroids[present], rotate, at)
-            for j, query in enumerate(all_q[s : s + 64]):
-                own = ids == query
-                low[j, own], high[j, own] = np.inf, np.inf
-                best = np.inf
-                if len(ids) - own.sum() > k:
-                    some = np.argpartition(high[j], k - 1)[:k]
-                    best = ((x[some] - q[s + j]) ** 2).sum(1).max()
-                near = np.flatnonzero((low[j] <= best) & ~own)
-                d = np.sqrt(((x[near] - q[s + j]) ** 2).sum(1))
-                first = np.lexsort((ids[near], d))[:k]
-                for c, v in zip(out, (np.full(len(first), query), ids[near[first]], d[first])):
-                    c.append(v)
-        return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, found = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)  # so far, in order
+        for rows in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"], dim).astype(np.float64)
+            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            present, at = np.unique(rows["list"].to_numpy(), return_inverse=True)
+            norm, inner = rows["norm"].to_numpy(), rows["inner"].to_numpy()
+            for s in range(0, len(q), 64):
+                low, high = bounds(bits, norm, inner, q[s : s + 64], centroids[present], rotate, at)
+                for j in np.flatnonzero(low.min(axis=1) <= square[s : s + 64, k - 1]):
+                    i, other = s + j, ids != all_q[s + j]
+                    limit = square[i, k - 1]
+                    if limit == np.inf and other.sum() > k:  # nothing to go by yet: measure what must be near
+                        some = np.argpartition(np.where(other, high[j], np.inf), k - 1)[:k]
+                        limit = ((x[some] - q[i]) ** 2).sum(1).max()
+                    near = np.flatnonzero((low[j] <= limit) & other)
+                    d = np.concatenate([square[i], ((x[near] - q[i]) ** 2).sum(1)])
+                    who = np.concatenate([found[i], ids[near]])
+                    first = np.lexsort((who, np.sqrt(d)))[:k]
+                    square[i], found[i] = d[first], who[first]
+        held = square < np.inf
+        arrays = [np.repeat(all_q, held.sum(axis=1)), found[held], np.sqrt(square[held])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["query_id", "vec_id", "score"])
 
     return search
 
@@ -152,7 +156,7 @@ def _indexer(centroids: np.ndarray, rotate: np.ndarray):
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
+            x = _matrix(batch.column(1), dim).astype(np.float64)
             at = nearest_lists(x, centroids)
             bits, norm, inner = encode(x, centroids[at], rotate)
             yield pa.RecordBatch.from_arrays(
@@ -169,7 +173,7 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = 10, rows_per_list: int = 256, sample: int = SAMPLE,
-    id_col: str = "vec_id", vec_col: str = "embedding",
+    id_col: str = "vec_id", vec_col: str = "embedding", scratch: Scratch | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance.
 
@@ -187,17 +191,18 @@ def nearest_neighbours(
     total = rows.count()
     lists = max(1, min(LISTS, len(x), total // rows_per_list))
     centroids, rotate = kmeans(x, lists), rotation(dim)
-    index = written(
-        rows.mapInArrow(_indexer(centroids, rotate), "vec_id long, v array<double>, list int, bits binary, norm double, inner double"), "index"
-    )
-    row_blocks, query_blocks = -(-total // ROWS), -(-asked.count() // QUERIES) or 1
-    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("rb", block("vec_id", row_blocks)).withColumn("qb", every(query_blocks))
-    right = asked.withColumn("qb", block("query_id", query_blocks)).withColumn("rb", every(row_blocks))
-    found = (
-        left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb"))
-        .applyInArrow(_searcher(k, centroids, rotate), "query_id long, vec_id long, score double")
-    )
+    scratch = scratch or Scratch(spark)
+    kept = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    schema = f"vec_id long, v {kept}, list int, bits binary, norm double, inner double"
+    index = scratch.written(rows.withColumn("v", F.col("v").cast(kept)).mapInArrow(_indexer(centroids, rotate), schema), "index")
+    blocks = -(-asked.count() // QUERIES) or 1
+    found = []
+    for n in range(blocks):  # a block's vectors go to all tasks; rows stay where they are
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()
+        search = _searcher(k, centroids, rotate, block.column("query_id").to_numpy(), _matrix(block.column("v"), dim))
+        found.append(index.mapInArrow(search, "query_id long, vec_id long, score double"))
+        if blocks > 1:
+            found[-1] = scratch.written(found[-1], "found")
+    found = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
