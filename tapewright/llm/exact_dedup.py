@@ -4,7 +4,8 @@ DataFrame functions only. Texts are grouped by their MD5 (128 bits) and by the
 text itself, so rows are put together only when their bytes are equal: a hash
 collision gives two groups. The grouping aggregates before its shuffle; a group
 of copies with a third of all rows sends one row per task. The way back to the
-rows joins on the MD5 and the SHA-256, without texts.
+rows joins on the MD5 and the SHA-256, without texts; the rows of a digest are dealt to
+salted parts by their places in the table, so that no key holds all copies of a text.
 
 Null texts count as empty. Rows that repeat both id and text come back as often
 as they are given, as in the SQL, and count in group_size. A null id is kept only if its whole
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256), one row per row of `docs`.
@@ -32,8 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("_h", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    ids = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"))
-    return ids.join(groups, ["_h", "text_sha256"]).select(
+    ids = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("_place"))
+    return join_hot(ids, groups, ["_h", "text_sha256"], "_place", how="inner").select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
