@@ -46,6 +46,54 @@ def portfolio(book: DataFrame, bps: float = 30.0, date: str = "rebal_date") -> D
     return p.withColumn("equity", F.product(1 + F.col("net")).over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def leg_changes(book: DataFrame, leg: str = "strategy", date: str = "rebal_date") -> DataFrame:
+    """(leg, date, symbol, weight, delta) of several books at once: each book's weights against those of its own previous date."""
+    places = book.select(leg, date).distinct().withColumn("_next", F.lead(date).over(Window.partitionBy(leg).orderBy(date)))
+    sent = F.array(
+        F.struct(F.col(date).alias("d"), F.col("weight").alias("now"), F.col("weight").alias("change")),
+        F.struct(F.col("_next").alias("d"), F.lit(0.0).alias("now"), (-F.col("weight")).alias("change")),
+    )
+    both = book.join(F.broadcast(places), [leg, date]).select(leg, "symbol", F.explode(sent).alias("x")).where("x.d IS NOT NULL")  # a row per book and date
+    return both.groupBy(leg, F.col("x.d").alias(date), "symbol").agg(F.sum("x.now").alias("weight"), F.sum("x.change").alias("delta"))
+
+
+def target_weights(signals: DataFrame, returns: DataFrame, leg: str = "strategy", date: str = "rebal_date") -> DataFrame:
+    """(leg, date, symbol, weight, realized): the positive target weights of names whose return is known, normalised by book and date."""
+    held = signals.where("weight > 0").join(returns.select(date, "symbol", "realized").where("realized IS NOT NULL"), [date, "symbol"])
+    return held.select(leg, date, "symbol", (F.col("weight") / F.sum("weight").over(Window.partitionBy(leg, date))).alias("weight"), "realized")
+
+
+def run_books(held: DataFrame, scores: DataFrame | None = None, threshold: float = 50.0, bps: float = 30.0, leg: str = "strategy", date: str = "rebal_date") -> DataFrame:
+    """(leg, date, names, gross, turnover, net, on, net_gated, equity) of the books that `target_weights` gives.
+
+    Turnover is the sum of absolute changes of weight, at `bps` a unit. A date whose
+    gate score (date, score) is below the threshold is held in cash; one without a
+    score is invested. Equity compounds the gated net returns of a book.
+    """
+    gross = held.groupBy(leg, date).agg(F.count(F.lit(1)).alias("names"), F.sum(F.col("weight") * F.col("realized")).alias("gross"))
+    turn = leg_changes(held, leg, date).groupBy(leg, date).agg(F.sum(F.abs("delta")).alias("turnover"))
+    p = gross.join(turn, [leg, date]).withColumn("net", F.col("gross") - F.col("turnover") * bps / 1e4)
+    if scores is None:
+        p = p.withColumn("on", F.lit(True))
+    else:
+        p = p.join(scores.select(date, "score"), date, "left").withColumn("on", F.coalesce(F.col("score") >= threshold, F.lit(True))).drop("score")
+    p = p.withColumn("net_gated", F.when(F.col("on"), F.col("net")).otherwise(0.0))
+    return p.withColumn("equity", F.product(1 + F.col("net_gated")).over(Window.partitionBy(leg).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def leg_trades(held: DataFrame, least: float = 1e-6, leg: str = "strategy", date: str = "rebal_date") -> DataFrame:
+    """(leg, date, symbol, delta, side) of every change of weight that counts."""
+    moved = leg_changes(held, leg, date).where(F.abs("delta") > least)
+    return moved.select(leg, date, "symbol", "delta", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side"))
+
+
+def weighted_deciles(deciled: DataFrame, least: int = 5, floor: float = 0.05, date: str = "rebal_date") -> DataFrame:
+    """(kind, date, symbol, weight) of the top decile, equally (`ew`) and inversely to volatility (`iv`) weighted, on dates that have `least` names in it."""
+    top = deciled.where("decile = 10").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(date))).where(F.col("_n") >= least)
+    kinds = F.array(F.struct(F.lit("ew").alias("kind"), F.lit(1.0).alias("weight")), F.struct(F.lit("iv").alias("kind"), F.when(F.col("vol_3m").isNotNull(), 1 / F.greatest("vol_3m", F.lit(floor))).alias("weight")))
+    return top.select(date, "symbol", F.inline(kinds)).where("weight IS NOT NULL")
+
+
 def book_returns(held: DataFrame, leg: list[str], bps: float = 30.0, date: str = "rebal_date") -> DataFrame:
     """(date, *leg, ret, cost) of equally weighted books: names that the leg did not hold on its previous date cost twice the rate."""
     w = Window.partitionBy("symbol", *leg).orderBy("_i")
@@ -99,19 +147,13 @@ def ic_weighted(panel: DataFrame, signals: list[str], label: str, date: str = "r
     return w.select(date, "signal", F.coalesce(F.try_divide(F.col("_w"), F.sum("_w").over(Window.partitionBy(date))), F.lit(0.0)).alias("weight"))
 
 
-def ensemble_rank(panel: DataFrame, weights: DataFrame, signals: list[str], date: str = "rebal_date") -> DataFrame:
-    """(date, symbol, score): mean of the percentile ranks of a learned mix of ranked signals and of their plain mean.
+def ensemble_rank(learned: DataFrame, linear: DataFrame, date: str = "rebal_date") -> DataFrame:
+    """(date, symbol, score): the mean of the percentile ranks, among the names of a date that have both, of two scores (date, symbol, score).
 
-    `weights` has (date, signal, weight), learned from earlier dates; dates without
-    weights are left out, as are names without all signals.
+    Equal scores share their mean rank.
     """
-    ranked = panel.select(date, "symbol", *(rank_pct(s, date).alias(s) for s in signals)).dropna(subset=signals)
-    wide = weights.groupBy(date).agg(*(F.max(F.when(F.col("signal") == s, F.col("weight"))).alias(f"_w_{s}") for s in signals))
-    total = lambda parts: sum(parts, F.lit(0.0))
-    learned = F.round(total(F.col(s) * F.coalesce(f"_w_{s}", F.lit(0.0)) for s in signals), 9)
-    linear = F.round(total(F.col(s) for s in signals) / len(signals), 9)
-    scored = ranked.join(F.broadcast(wide), date).select(date, "symbol", learned.alias("learned"), linear.alias("linear"))  # a row per date
-    return scored.select(date, "symbol", ((rank_pct("learned", date) + rank_pct("linear", date)) / 2).alias("score"))
+    both = learned.select(date, "symbol", F.round("score", 9).alias("_a")).join(linear.select(date, "symbol", F.round("score", 9).alias("_b")), [date, "symbol"]).dropna(subset=["_a", "_b"])
+    return both.select(date, "symbol", ((rank_pct("_a", date) + rank_pct("_b", date)) / 2).alias("score"))
 
 
 def block_bootstrap(returns: DataFrame, draws: int = 500, block: int = 6, date: str = "rebal_date", per_year: int = 12) -> DataFrame:

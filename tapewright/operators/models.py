@@ -70,8 +70,15 @@ def cpcv_ridge(panel: DataFrame, roles: DataFrame, xs: list[str], y: str, ridge:
     return top.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("months"), (F.avg("ret") / F.stddev_samp("ret") * 12**0.5).alias("sharpe"))
 
 
+#: Dates of a walk-forward: a calendar of months or days.
+MOST_DATES = 100_000
+
+
 def walkforward_gbt(panel: DataFrame, xs: list[str], y: str, first: int = 36, step: int = 24, embargo: int = 1, date: str = "rebal_date") -> DataFrame:
-    """Expanding-window boosted trees: each fold learns from all earlier dates but the embargo and scores the next `step`."""
+    """Expanding-window boosted trees: each fold learns from all earlier dates but the embargo and scores the next `step`.
+
+    `learned_until` is the last date that a score's model has seen.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -79,8 +86,13 @@ def walkforward_gbt(panel: DataFrame, xs: list[str], y: str, first: int = 36, st
     dates = rows.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)) - 1)
     rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows.join(F.broadcast(dates), date))
     n, out = dates.count(), None
+    at = {i: d for i, d in dates.select("_i", date).collect()} if n <= MOST_DATES else {}  # a row per date
+    if n > MOST_DATES:
+        raise ValueError(f"{n} dates: fold borders are kept for at most {MOST_DATES}")
     for start in range(first, n, step):  # a bounded number of folds
-        model = GBTRegressor(labelCol=y, maxIter=5, maxDepth=3, seed=1).fit(rows.where(F.col("_i") < start - embargo))
-        got = model.transform(rows.where((F.col("_i") >= start) & (F.col("_i") < start + step))).select(date, "symbol", F.col("prediction").alias("score"), y)
+        until = start - embargo - 1
+        model = GBTRegressor(labelCol=y, maxIter=5, maxDepth=3, seed=1).fit(rows.where(F.col("_i") <= until))
+        got = model.transform(rows.where((F.col("_i") >= start) & (F.col("_i") < start + step)))
+        got = got.select(date, "symbol", F.col("prediction").alias("score"), y, F.lit(at[until]).alias("learned_until"))
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else rows.where("false").select(date, "symbol", F.lit(0.0).alias("score"), y)
+    return out if out is not None else rows.where("false").select(date, "symbol", F.lit(0.0).alias("score"), y, F.col(date).alias("learned_until"))

@@ -3,8 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.core import rank_pct
 from ..operators import books as B
 from ..operators import models as M
+from ..sources.scratch import Scratch
 from .aggregates import G
 from .series import PV, SEC, panel, sector_returns
 
@@ -21,4 +23,15 @@ G("win_rolling_ols", "bars sector_map index_series", f"""WITH {SEC}, ix AS (SELE
   SELECT sector, date, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS beta_mkt, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS beta_lag_mkt FROM c WHERE n >= 150 QUALIFY row_number() OVER (PARTITION BY sector, date_trunc('month', date) ORDER BY date DESC) = 1""", "beta_mkt beta_lag_mkt",
   lambda t: M.rolling_ols(with_index(t), "sector", "ret", ["mkt", "lag_mkt"]).select("sector", "date", "beta_mkt", "beta_lag_mkt"), 4)
 G("cpcv_ridge", PV, None, "", lambda t: M.cpcv_ridge(panel(t), B.cpcv_paths(t.month_ends), ["mom", "prox", "turnover"], "fwd"))
-G("ml_walkforward_gbt", PV, None, "", lambda t: M.walkforward_gbt(panel(t), ["mom", "prox", "turnover"], "fwd"))
+FEATURES = ["mom", "prox", "turnover"]
+G("ml_walkforward_gbt", PV, None, "", lambda t: M.walkforward_gbt(panel(t), FEATURES, "fwd"))
+
+
+def ensemble(t):
+    """The out-of-sample scores of the trees, kept as a table, with the mean rank of the signals that are good when high."""
+    scores = Scratch(t.spark).written(M.walkforward_gbt(panel(t), FEATURES, "fwd").select("rebal_date", "symbol", "score"), "tree_scores")
+    linear = panel(t).select("rebal_date", "symbol", ((rank_pct("mom", "rebal_date") + rank_pct("prox", "rebal_date")) / 2).alias("score"))
+    return B.ensemble_rank(scores, linear)
+
+
+G("ml_ensemble_rank", PV, None, "", ensemble)

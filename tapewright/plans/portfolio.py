@@ -27,12 +27,6 @@ PF = f"""{NEXT}, wb AS (SELECT rebal_date, symbol, realized, 1.0 / count(*) OVER
   df AS (SELECT rebal_date, symbol, coalesce(weight, 0) AS weight, coalesce(weight, 0) - coalesce(pw, 0) AS delta FROM wb FULL JOIN wp USING (rebal_date, symbol)), pf AS (SELECT g.rebal_date, gross, names, turnover, gross - turnover * 30 / 1e4 AS net FROM (SELECT rebal_date, sum(weight * realized) AS gross, count(*) AS names FROM wb GROUP BY 1) g JOIN (SELECT rebal_date, sum(abs(delta)) AS turnover FROM df GROUP BY 1) USING (rebal_date))"""
 near_high = lambda t: realized(t).where("prox > 0.9").select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized", "close", "turnover")
 folio = lambda t: B.portfolio(near_high(t))
-G("bt_portfolio", PV, f"WITH {PF} SELECT *, product(1 + net) OVER (ORDER BY rebal_date) AS equity FROM pf", "gross turnover net equity", folio)
-G("bt_trades", PV, f"WITH {PF} SELECT rebal_date, symbol, delta, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side FROM df WHERE abs(delta) > 1e-6", "delta",
-  lambda t: B.weight_diff(B.normalized(near_high(t))).where("abs(delta) > 1e-6").select("rebal_date", "symbol", "delta", F.when(F.col("delta") > 0, "buy").otherwise("sell").alias("side")))
-G("bt_holdings", PV, f"WITH {PF} SELECT rebal_date, symbol, weight FROM wb", "weight", lambda t: B.normalized(near_high(t)).select("rebal_date", "symbol", "weight"))
-G("bt_weighted_book", PV, f"WITH {NEXT}, iv AS (SELECT rebal_date, symbol, realized, 1 / greatest(prox, 0.05) AS w FROM rz), s AS (SELECT rebal_date, sum(w * realized) / sum(w) AS ret, count(*) AS names FROM iv GROUP BY 1) SELECT * FROM s WHERE names >= 5", "ret",
-  lambda t: realized(t).withColumn("w", 1 / F.greatest("prox", F.lit(0.05))).groupBy("rebal_date").agg((F.sum(F.col("w") * F.col("realized")) / F.sum("w")).alias("ret"), F.count("*").alias("names")).where("names >= 5"))
 ADV = f"av AS (SELECT symbol, date AS rebal_date, avg(close * volume) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS adv FROM bars)"
 
 
@@ -86,10 +80,6 @@ G("bt_block_bootstrap", PV, None, "", lambda t: B.block_bootstrap(folio(t).selec
 G("bt_drift_corr", PV, f"WITH {PF} SELECT corr(net, p) AS drift_corr, count(p) AS n FROM (SELECT net, lag(net) OVER (ORDER BY rebal_date) AS p FROM pf)", "drift_corr", lambda t: folio(t).withColumn("p", F.lag("net").over(Window.orderBy("rebal_date"))).agg(F.corr("net", "p").alias("drift_corr"), F.count("p").alias("n")))
 G("cpcv_paths", "bars month_ends", """WITH d AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) - 1 AS i, count(*) OVER () AS n FROM month_ends), g AS (SELECT rebal_date, i, CAST(floor(i * 6 / n) AS INTEGER) AS g FROM d), p AS (SELECT rebal_date, i, CAST(a.x AS INTEGER) AS g1, CAST(b.x AS INTEGER) AS g2, g = a.x OR g = b.x AS test FROM g, range(6) a(x), range(6) b(x) WHERE a.x < b.x)
   SELECT rebal_date, g1, g2, CASE WHEN test THEN 'test' WHEN coalesce(lag(test) OVER w, false) OR coalesce(lead(test) OVER w, false) THEN 'purged' ELSE 'train' END AS role FROM p WINDOW w AS (PARTITION BY g1, g2 ORDER BY i)""", "", lambda t: B.cpcv_paths(t.month_ends))
-#: The learned score is the signal mix that past rank correlations weigh (walk-forward); the linear one the mean rank.
-G("ml_ensemble_rank", PV, f"""WITH {NEXT}, {IW}, pk AS (SELECT rebal_date, symbol, {PCT("mom")} AS a, {PCT("prox")} AS b FROM panel), wm AS (SELECT rebal_date, max(weight) FILTER (signal = 'mom') AS wa, max(weight) FILTER (signal = 'prox') AS wb FROM iw GROUP BY 1),
-  sc AS (SELECT pk.rebal_date, symbol, round(a * coalesce(wa, 0) + b * coalesce(wb, 0), 9) AS learned, round((a + b) / 2, 9) AS linear FROM pk JOIN wm USING (rebal_date) WHERE a IS NOT NULL AND b IS NOT NULL)
-  SELECT rebal_date, symbol, ({PCT("learned")} + {PCT("linear")}) / 2 AS score FROM sc""", "score", lambda t: B.ensemble_rank(panel(t), B.ic_weighted(panel(t), ["mom", "prox"], "fwd"), ["mom", "prox"]), 5)
 FNO = """fo AS (SELECT date AS d, symbol, coalesce(sum(open_int) FILTER (option_typ = 'PE'), 0) / sum(open_int) FILTER (option_typ = 'CE') AS pcr, sum(open_int) AS oi FROM option_chain GROUP BY 1, 2),
   fm AS (SELECT *, oi / lag(oi) OVER (PARTITION BY symbol ORDER BY d) - 1 AS oi_chg FROM fo), fz AS (SELECT *, (oi_chg - avg(oi_chg) OVER (PARTITION BY d)) / nullif(stddev_pop(oi_chg) OVER (PARTITION BY d), 0) AS oi_z FROM fm),
   fl AS (SELECT last_day(rebal_date) AS d, symbol, fwd FROM panel), fv AS (SELECT d, symbol, fwd, 'pcr_oi' AS feature, pcr AS v FROM fz JOIN fl USING (d, symbol) UNION ALL SELECT d, symbol, fwd, 'oi_chg', oi_chg FROM fz JOIN fl USING (d, symbol)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import qcut_decile
 from ..operators import books as B
 from ..operators import composites as C
 from ..operators import exits as X
@@ -108,6 +111,58 @@ STRATEGY_SQL = {
 for _name, _strategy in T.STRATEGIES.items():
     query(f"strategy_{_name}", VIEWS, f"WITH {ENRICHED}, {STRATEGY_SQL[_name]}", "weight")(lambda t, f=_strategy: f(enriched(t)))
 
+# the strategies' books: returns to the next rebalance, gated by breadth
+RETURNS = """mi AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) AS i FROM month_ends),
+  rn AS (SELECT rebal_date, symbol, close, i, lead(i) OVER s AS ni, lead(close) OVER s / close - 1 AS r FROM panel JOIN mi USING (rebal_date) WINDOW s AS (PARTITION BY symbol ORDER BY i)),
+  rz AS (SELECT rebal_date, symbol, r AS realized FROM rn WHERE ni = i + 1 AND r IS NOT NULL)"""
+RUN = f"""hw AS (SELECT strategy, rebal_date, symbol, weight / sum(weight) OVER (PARTITION BY strategy, rebal_date) AS weight, realized FROM sig JOIN rz USING (rebal_date, symbol) WHERE weight > 0),
+  hd AS (SELECT strategy, rebal_date, lead(rebal_date) OVER (PARTITION BY strategy ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT strategy, rebal_date FROM hw)),
+  hp AS (SELECT strategy, nxt AS rebal_date, symbol, weight AS was FROM hw JOIN hd USING (strategy, rebal_date) WHERE nxt IS NOT NULL),
+  ch AS (SELECT strategy, rebal_date, symbol, coalesce(weight, 0) - coalesce(was, 0) AS delta FROM hw FULL JOIN hp USING (strategy, rebal_date, symbol)),
+  pg AS (SELECT strategy, rebal_date, count(*) AS names, sum(weight * realized) AS gross FROM hw GROUP BY 1, 2),
+  pt AS (SELECT strategy, rebal_date, sum(abs(delta)) AS turnover FROM ch GROUP BY 1, 2)"""
+SIGNALS = "sig AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, rebal_date, symbol, weight FROM (WITH {q})" for n, q in STRATEGY_SQL.items()) + ")"
+BOOKS = f"{ENRICHED}, {RETURNS}, {SIGNALS}, {RUN}"
+
+
+def stored_panel(t: Tables) -> DataFrame:
+    """The enriched panel with the return to the next rebalance, written once: eight strategies read it."""
+    dates = t.month_ends.withColumn("_i", F.row_number().over(Window.orderBy("rebal_date")))  # a row per month
+    w = Window.partitionBy("symbol").orderBy("_i")
+    p = enriched(t).join(F.broadcast(dates), "rebal_date")
+    follows = F.lead("_i").over(w) == F.col("_i") + 1
+    return Scratch(t.spark).written(p.withColumn("realized", F.when(follows, F.lead("close").over(w) / F.col("close") - 1)).drop("_i"), "strategy_panel")
+
+
+def books(t: Tables) -> DataFrame:
+    """The normalised weights of all strategies, with realized returns."""
+    p = stored_panel(t)
+    signals = [f(p).select(F.lit(n).alias("strategy"), "rebal_date", "symbol", F.col("weight").cast("double").alias("weight")) for n, f in T.STRATEGIES.items()]
+    return B.target_weights(reduce(DataFrame.unionByName, signals), p)
+
+
+def gate_scores(t: Tables) -> DataFrame:
+    return A.breadth(t.bars).select(F.col("date").alias("rebal_date"), F.col("pct_above_200dma").alias("score"))
+
+
+query("bt_portfolio", VIEWS, f"""WITH {BOOKS}, {BREADTH}, gg AS (SELECT pg.*, turnover, gross - turnover * 30 / 1e4 AS net, coalesce(pct_above_200dma >= 50, true) AS "on" FROM pg JOIN pt USING (strategy, rebal_date) LEFT JOIN breadth ON breadth.date = rebal_date),
+  gn AS (SELECT *, CASE WHEN "on" THEN net ELSE 0 END AS net_gated FROM gg) SELECT *, product(1 + net_gated) OVER (PARTITION BY strategy ORDER BY rebal_date) AS equity FROM gn""",
+      "gross turnover net net_gated equity", 4)(lambda t: B.run_books(books(t), gate_scores(t)))
+query("bt_trades", VIEWS, f"WITH {BOOKS} SELECT strategy, rebal_date, symbol, delta, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side FROM ch WHERE abs(delta) > 1e-6", "delta")(lambda t: B.leg_trades(books(t)))
+query("bt_holdings", VIEWS, f"WITH {BOOKS} SELECT strategy, rebal_date, symbol, weight FROM hw", "weight")(lambda t: books(t).select("strategy", "rebal_date", "symbol", "weight"))
+WEIGHTED = f"""{ENRICHED}, {RETURNS}, {mean_rank_sql('panel')}, de AS (SELECT *, {DEC('composite')} AS decile FROM cp), tp AS (SELECT *, count(*) OVER (PARTITION BY rebal_date) AS n FROM de WHERE decile = 10),
+  sig AS (SELECT 'ew' AS strategy, rebal_date, symbol, 1.0::DOUBLE AS weight FROM tp WHERE n >= 2 UNION ALL SELECT 'iv', rebal_date, symbol, {IV} FROM tp WHERE n >= 2 AND vol_3m IS NOT NULL), {RUN}"""
+
+
+def weighted_books(t: Tables) -> DataFrame:
+    p = stored_panel(t)
+    signals = B.weighted_deciles(T.mean_rank(p, T.COMPOSITE).withColumn("decile", qcut_decile("composite", "rebal_date")), least=2)  # months of the fixture have few names
+    return B.run_books(B.target_weights(signals, p, "kind"), leg="kind").drop("on", "net_gated")
+
+
+query("bt_weighted_book", VIEWS, f"""WITH {WEIGHTED}, gg AS (SELECT strategy AS kind, rebal_date, names, gross, turnover, gross - turnover * 30 / 1e4 AS net FROM pg JOIN pt USING (strategy, rebal_date))
+  SELECT *, product(1 + net) OVER (PARTITION BY kind ORDER BY rebal_date) AS equity FROM gg""", "gross turnover net equity", 4)(weighted_books)
+
 # recommendations, outcomes, bands and scores
 KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in [*T.COMPOSITE, "close"])
 RECO = f"""kn AS (SELECT date AS rebal_date, * FROM daily JOIN month_ends ON date = rebal_date WHERE {KNOWN}), {mean_rank_sql('kn')},
