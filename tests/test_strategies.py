@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.core import clip, norm_ppf
 from tapewright.operators import books, composites, scoring, series, stats, strategies
 from tapewright.sources import feeds
-from tapewright.sources.scratch import Scratch
+from tapewright.sources.scratch import Scratch, release, tables
 
 D = dt.date
 PANEL = (
@@ -148,6 +148,26 @@ def test_scorecard_and_event_study(spark):
     assert (r["n"], r["mean"], r["h1"], r["h2"]) == (4, 2.5, 1.0, 3.0)
 
 
+def test_queries_leave_no_tables(spark):
+    """What a result read is dropped by one call after it; tables of others stay."""
+    from tapewright import registry
+
+    release(spark)
+    mine = Scratch(spark).written(spark.range(3), "mine")
+    before = tables(spark)
+    for name in ("bt_decile_book", "market_regime_spine"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert tables(spark) > before
+        release(spark, before)
+        assert tables(spark) == before
+    kept = Scratch(spark).written(spark.range(5), "kept")
+    release(spark, keep=kept)
+    assert tables(spark) == {kept._scratch_table} and kept.count() == 5
+    release(spark)
+    assert tables(spark) == set() and not spark.catalog.databaseExists(Scratch(spark).database)
+    del mine
+
+
 def test_scratch_tables_are_deleted(spark):
     scratch = Scratch(spark)
     made = scratch.written(spark.range(3), "three")
