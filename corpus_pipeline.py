@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm import entries, exact_dedup, mixing, ngram_join, packing, quality
 from tapewright.llm.common import read, written
+from tapewright.sources.scratch import release, tables
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,8 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over `documents`; each stage's rows are written and read again, and what they were made of is dropped."""
+    docs, before = read(spark, sf_dir, "documents"), tables(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
