@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import parse_ratio
+from .rolling import STATISTICS, order_statistics
 
 
 def _day(c: str = "date"):
@@ -175,10 +176,10 @@ def atm_volatility(chain: DataFrame, spot: DataFrame) -> DataFrame:
 
 def volatility_history(iv: DataFrame, rows: int = 252) -> DataFrame:
     """`iv` with its rank and percentile among the symbol's last `rows` values, the current one included."""
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(rows - 1), 0)
-    low, high, held = F.min("iv").over(w), F.max("iv").over(w), F.collect_list("iv").over(w)  # at most `rows` values
-    return iv.withColumns({"iv_rank": F.try_divide(F.col("iv") - low, high - low) * 100, "_held": held}).withColumn(
-        "iv_percentile", F.size(F.filter("_held", lambda v: v <= F.col("iv"))) * 100.0 / F.size("_held")).drop("_held")
+    ranked = order_statistics(iv, "iv", rows)
+    return ranked.withColumns(
+        {"iv_rank": F.try_divide(F.col("iv") - F.col("_low"), F.col("_high") - F.col("_low")) * 100, "iv_percentile": F.col("_upto") * 100.0 / F.col("_held")}
+    ).drop(*STATISTICS)
 
 
 #: Weights of the regime axes (fixed values).

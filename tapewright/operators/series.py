@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import by_symbol, clip, median, rank_pct, ret, roll
+from .rolling import STATISTICS, order_statistics
 
 W = by_symbol
 
@@ -59,11 +60,8 @@ def delivery_trend(delivery: DataFrame) -> DataFrame:
 
 def trailing_percentile(series: DataFrame, n: int = 252) -> DataFrame:
     """Share of the last n values at or below the current one."""
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(n - 1), 0)
-    last = F.collect_list("close").over(w)
-    return series.withColumn("_l", last).withColumn(
-        "pctile", F.when(F.size("_l") >= n, F.size(F.filter("_l", lambda v: v <= F.col("close"))) / n)
-    ).drop("_l")
+    ranked = order_statistics(series, "close", n)
+    return ranked.withColumn("pctile", F.when(F.col("_held") >= n, F.col("_upto") / n)).drop(*STATISTICS)
 
 
 def regime_label(bars: DataFrame) -> DataFrame:
@@ -93,13 +91,12 @@ def vol_target(series: DataFrame, target: float = 0.12, n: int = 12, cap: float
 
 
 def iv_rank(series: DataFrame, col: str = "close", n: int = 252, least: int = 20) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(n - 1), 0)
-    s = series.withColumns({"_lo": F.min(col).over(w), "_hi": F.max(col).over(w), "_l": F.collect_list(col).over(w)})
-    ok = F.size("_l") >= least
-    return s.withColumns(
-        {"iv_rank": F.when(ok, F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * 100),
-         "iv_percentile": F.when(ok, F.size(F.filter("_l", lambda v: v < F.col(col))) * 100.0 / F.size("_l"))}
-    ).drop("_lo", "_hi", "_l")
+    """Place of the current value between the lowest and the highest of the last n, and the share of them below it, in per cent."""
+    ok = F.col("_held") >= least
+    return order_statistics(series, col, n).withColumns(
+        {"iv_rank": F.when(ok, F.try_divide(F.col(col) - F.col("_low"), F.col("_high") - F.col("_low")) * 100),
+         "iv_percentile": F.when(ok, F.col("_below") * 100.0 / F.col("_held"))}
+    ).drop(*STATISTICS)
 
 
 def z_by_group(df: DataFrame, col: str, *groups: str, cap: float = 3.0) -> DataFrame:

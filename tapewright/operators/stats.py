@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import avg_rank, by_symbol, median, ret, roll
+from .rolling import order_statistics
 
 
 def breadth(bars: DataFrame) -> DataFrame:
@@ -127,17 +128,23 @@ def corr_beta(bars: DataFrame, index: DataFrame, windows: tuple[int, ...] = (63,
 def universe_window(bars: DataFrame, month_ends: DataFrame, days: int = 63, least: int = 30) -> DataFrame:
     """Median turnover and days traded over the trailing market dates, for every symbol and month end.
 
-    Bars are placed on a dense index of market dates; a symbol need not trade on the month end itself.
+    Bars are placed on a dense index of market dates; a symbol need not trade on the
+    month end itself. The month ends that a symbol can have are counted off on that
+    calendar, so each asks for its own by number.
     """
-    calendar = bars.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))  # a row per market date
-    b = bars.join(F.broadcast(calendar), "date").select("symbol", "_i", (F.col("close") * F.col("volume")).alias("_t"))
-    ends = month_ends.join(F.broadcast(calendar), calendar.date == F.col("rebal_date")).select("rebal_date", "_i")
-    span = b.groupBy("symbol").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
-    marks = span.join(F.broadcast(ends), (ends._i >= F.col("_lo")) & (ends._i <= F.col("_hi") + days)).select("symbol", "_i", "rebal_date")
-    both = b.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("_i").rangeBetween(-(days - 1), 0)
-    out = both.withColumns({"n_days": F.count("_t").over(w), "med_turnover": F.percentile("_t", F.lit(0.5)).over(w)})
-    return out.where("rebal_date IS NOT NULL").where(F.col("n_days") >= least).select("rebal_date", "symbol", F.col("n_days").cast("int").alias("n_days"), "med_turnover")
+    dates = Window.orderBy("date")  # a row per market date, here and below
+    ends = month_ends.select(F.col("rebal_date").alias("date"), F.lit(1).alias("_end"))
+    calendar = bars.select("date").distinct().join(F.broadcast(ends), "date", "left").withColumns({
+        "_i": F.row_number().over(dates), "_upto": F.count("_end").over(dates.rowsBetween(Window.unboundedPreceding, 0)), "_last": F.count(F.lit(1)).over(Window.partitionBy())})
+    b = bars.join(F.broadcast(calendar), "date").select("symbol", "_i", (F.col("close") * F.col("volume")).alias("_t"), "_last", (F.col("_upto") - F.coalesce("_end", F.lit(0))).alias("_before"))
+    span = b.groupBy("symbol").agg(F.min("_before").alias("_from"), F.least(F.max("_i") + days, F.max("_last")).alias("_i"))
+    span = span.join(F.broadcast(calendar.select("_i", "_upto")), "_i").where("_from < _upto").select("symbol", F.explode(F.sequence(F.col("_from") + 1, F.col("_upto"))).alias("_upto"))
+    marks = span.join(F.broadcast(calendar.where("_end = 1").select("_upto", "_i", F.col("date").alias("rebal_date"))), "_upto").select("symbol", "_i", "rebal_date")
+    both = b.select("symbol", "_i", "_t").unionByName(marks, allowMissingColumns=True)
+    # a month end stands behind the bar of its own day
+    out = order_statistics(both.withColumn("_mark", F.col("rebal_date").isNotNull()), "_t", days, order=("_i", "_mark"), place="_i")
+    out = out.where("rebal_date IS NOT NULL").where(F.col("_held") >= least)
+    return out.select("rebal_date", "symbol", F.col("_held").alias("n_days"), F.col("_middle").alias("med_turnover"))
 
 
 def leading_run(df: DataFrame, good: Column, order: list[Column], *keys: str) -> DataFrame:
