@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import parse_ratio
+from .asof import asof
 from .rolling import STATISTICS, order_statistics
 
 
@@ -81,6 +82,15 @@ def membership_islands(members: DataFrame, months: DataFrame) -> DataFrame:
     return m.groupBy("symbol", "_g").agg(F.min("rebal_date").alias("effective_from"), F.max_by("_next", "_i").alias("effective_to"), F.count(F.lit(1)).alias("months")).drop("_g")
 
 
+def first_filing(statements: DataFrame, filings: DataFrame, least: int = 90, most: int = 210, estimate: int = 135) -> DataFrame:
+    """(symbol, quarter, real_date, pit_date, dated_by): the first filing (symbol, broadcast) between `least` and `most` days after
+    the quarter, or an estimate of its day: one as-of pass forward."""
+    own = statements.select("symbol", "quarter", F.date_add("quarter", least).alias("_at"))
+    at = asof(own, filings.select("symbol", "broadcast"), ["symbol"], "_at", "broadcast", [], forward=True, max_days=most - least).withColumnRenamed("matched_on", "real_date")
+    dated = F.when(F.col("real_date").isNull(), "lag").otherwise("filing")
+    return at.select("symbol", "quarter", "real_date", F.coalesce("real_date", F.date_add("quarter", estimate)).alias("pit_date"), dated.alias("dated_by"))
+
+
 def revision_chain(filings: DataFrame, keys: list[str], order: list[str], content: str) -> DataFrame:
     """Versions of each key: the one it revises, its number, whether it is current, and a hash of its content."""
     w = Window.partitionBy(*keys).orderBy(*order)

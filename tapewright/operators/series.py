@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import by_symbol, clip, median, rank_pct, ret, roll
+from .asof import asof
 from .rolling import STATISTICS, order_statistics
 
 W = by_symbol
@@ -99,6 +100,14 @@ def iv_rank(series: DataFrame, col: str = "close", n: int = 252, least: int = 20
     ).drop(*STATISTICS)
 
 
+def yearly_growth(statements: DataFrame, col: str = "revenue", days: int = 350, least: float = 1e5) -> DataFrame:
+    """(symbol, quarter, growth) against the last quarter at least `days` earlier, where that had at least `least`: one as-of pass."""
+    before = statements.select("symbol", "quarter", F.col(col).alias("_base"))
+    own = statements.select("symbol", "quarter", F.col(col).alias("_now"), F.date_sub("quarter", days).alias("_at"))
+    at = asof(own, before, ["symbol"], "_at", "quarter", ["_base"])
+    return at.where(F.col("_base") >= least).select("symbol", "quarter", (F.col("_now") / F.col("_base") - 1).alias("growth"))
+
+
 def z_by_group(df: DataFrame, col: str, *groups: str, cap: float = 3.0) -> DataFrame:
     """Deviation from the group's median in standard deviations (0 or null: 1), clipped, and percentile rank x 100."""
     stats = df.groupBy(*groups).agg(median(F.col(col)).alias("_m"), F.stddev_samp(col).alias("_s"))

@@ -38,6 +38,33 @@ def rank_ic(panel: DataFrame, feature: str, label: str, date: str = "rebal_date"
     return p.groupBy(date).agg(F.corr("_f", "_l").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+def spread_rank(df: DataFrame, col: str, group: str, out: str, parts: int = 64) -> DataFrame:
+    """Add `out`: the rank of a value in its group, ties sharing their mean rank, for groups of any size.
+
+    Equal values are counted first. The distinct ones are dealt to `parts` ranges per
+    group between approximate quantiles, so that no window holds a whole group, and
+    the ranges' counts are added up. Null values have null ranks.
+    """
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = F.percentile_approx("_v", F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(parts * 20))
+    bounds = values.groupBy("_g").agg(cuts.alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    dealt = values.join(bounds, "_g").select("_g", "_v", "_n", part.alias("_part"))
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most `parts` rows a group
+    sizes = dealt.groupBy("_g", "_part").agg(F.sum("_n").alias("_m")).select("_g", "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_upto", F.sum("_n").over(upto)).join(sizes, ["_g", "_part"])
+    ranked = ranked.select("_g", "_v", (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
+    return df.join(ranked, (F.col(group) == F.col("_g")) & (F.col(col) == F.col("_v")), "left").drop("_g", "_v")
+
+
+def pooled_rank_ic(long: DataFrame, feature: str, label: str, group: str, least: int = 5) -> DataFrame:
+    """(group, ic, n): Spearman correlation over all rows of a few large groups."""
+    known = long.where(F.col(feature).isNotNull() & F.col(label).isNotNull()).select(group, feature, label)
+    ranked = spread_rank(spread_rank(known, feature, group, "_a"), label, group, "_b")
+    return ranked.groupBy(group).agg(F.corr("_a", "_b").alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
 def ic_summary(ic: DataFrame, date: str = "rebal_date") -> DataFrame:
     """Mean, t-statistic, share positive and the means of both halves in time."""
     w, alone = Window.orderBy(date), Window.partitionBy()

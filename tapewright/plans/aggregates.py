@@ -157,4 +157,4 @@ G("agg_green_streak", "", "SELECT user_id, coalesce(min(k) FILTER (event_type =
   lambda t: A.leading_run(t.events, F.col("event_type") != "error", [F.desc("ts"), F.desc("event_id")], "user_id"))
 G("agg_pillar_ic", PV, f"""WITH {PANEL}, u AS (SELECT 'mom' AS pillar, mom AS s, fwd FROM panel UNION ALL SELECT 'prox', prox, fwd FROM panel UNION ALL SELECT 'turnover', turnover, fwd FROM panel), f AS (SELECT * FROM u WHERE s IS NOT NULL AND fwd IS NOT NULL),
   r AS (SELECT pillar, rank() OVER (PARTITION BY pillar ORDER BY s) + (count(*) OVER (PARTITION BY pillar, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pillar ORDER BY fwd) + (count(*) OVER (PARTITION BY pillar, fwd) - 1) / 2.0 AS b FROM f) SELECT pillar, count(*) AS n, corr(a, b) AS ic FROM r GROUP BY 1""", "ic",
-  lambda t: A.rank_ic(panel(t).unpivot(["fwd"], ["mom", "prox", "turnover"], "pillar", "s"), "s", "fwd", "pillar", 5))
+  lambda t: A.pooled_rank_ic(panel(t).unpivot(["fwd"], ["mom", "prox", "turnover"], "pillar", "s"), "s", "fwd", "pillar"))

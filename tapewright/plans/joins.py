@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, by_symbol, norm_cdf, norm_ppf, parse_date, parse_number, parse_ratio
+from ..operators import composites as C
 from ..operators import lookups as L
 from ..operators.asof import align_ffill, asof
 from ..operators import series as S
@@ -87,8 +88,7 @@ G("asof_align_ffill", "bars index_series month_ends", "SELECT d.date, i.close FR
 G("asof_interval_isin", "", """WITH i AS (SELECT l_suppkey AS s, l_partkey AS isin, min(l_shipdate) AS fd, max(l_shipdate) AS ld FROM lineitem GROUP BY 1, 2) SELECT s AS symbol, isin FROM i QUALIFY row_number() OVER (PARTITION BY s ORDER BY fd <= TIMESTAMP '1998-06-30' AND ld >= TIMESTAMP '1998-06-30' DESC, ld DESC, isin) = 1""", "",
   lambda t: t.lineitem.groupBy(F.col("l_suppkey").alias("symbol"), F.col("l_partkey").alias("isin")).agg(F.min("l_shipdate").alias("fd"), F.max("l_shipdate").alias("ld")).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.expr("fd <= timestamp'1998-06-30' AND ld >= timestamp'1998-06-30'").desc(), F.desc("ld"), "isin"))).where("k = 1").select("symbol", "isin"))
 G("interval_first_filing", "statements filings", "SELECT s.symbol, s.quarter, min(f.broadcast) AS real_date, coalesce(min(f.broadcast), CAST(s.quarter + 135 AS DATE)) AS pit_date, CASE WHEN min(f.broadcast) IS NULL THEN 'lag' ELSE 'filing' END AS dated_by FROM statements s LEFT JOIN filings f ON f.scrip = s.symbol AND f.broadcast >= s.quarter + 90 AND f.broadcast <= s.quarter + 210 GROUP BY 1, 2", "",
-  lambda t: (lambda s, f: s.join(f, F.expr("scrip = symbol AND broadcast >= date_add(quarter, 90) AND broadcast <= date_add(quarter, 210)"), "left").groupBy("symbol", "quarter").agg(F.min("broadcast").alias("real_date")).select("symbol", "quarter", "real_date", F.expr("coalesce(real_date, date_add(quarter, 135))").alias("pit_date"), F.when(F.col("real_date").isNull(), "lag").otherwise("filing").alias("dated_by")))(
-      t.statements.select("symbol", "quarter"), t.filings.select("scrip", "broadcast")))
+  lambda t: C.first_filing(t.statements, t.filings.withColumnRenamed("scrip", "symbol")))
 FB = f"WITH l AS (SELECT symbol, date, close, lead(close, 21) {W} / close - 1 AS fwd FROM bars)"
 G("first_bar_after_event", "bars corporate_actions", f"{FB} SELECT a.symbol, a.date AS event_date, a.action_type, l.date AS entry_date, l.fwd FROM (SELECT DISTINCT symbol, date, action_type FROM corporate_actions) a ASOF LEFT JOIN l ON a.symbol = l.symbol AND a.date < l.date", "fwd",
   lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date"), "action_type").distinct(), S.forward_labels(t.bars, {"fwd": 21}).select("symbol", "date", "fwd"), ["symbol"], "event_date", "date", ["fwd"], forward=True, strict=True).withColumnRenamed("matched_on", "entry_date"))

@@ -90,9 +90,7 @@ query("win_iv_rank", "bars", "SELECT symbol, date, CASE WHEN len(l) >= 20 THEN (
 query("win_np_growth3", "statements", "SELECT symbol, quarter, (net_income - lag(net_income, 3) OVER w) / abs(nullif(lag(net_income, 3) OVER w, 0)) AS growth FROM statements WINDOW w AS (PARTITION BY symbol ORDER BY quarter)", "growth")(
     lambda t: (lambda p: t.statements.select("symbol", "quarter", F.try_divide(F.col("net_income") - p, F.abs(p)).alias("growth")))(F.lag("net_income", 3).over(by_symbol(order="quarter"))))
 query("win_yoy_growth", "statements", "SELECT a.symbol, a.quarter, any_value(a.revenue) / max_by(b.revenue, b.quarter) - 1 AS growth FROM statements a JOIN statements b ON a.symbol = b.symbol AND b.quarter <= a.quarter - 350 GROUP BY 1, 2 HAVING max_by(b.revenue, b.quarter) >= 1e5", "growth")(
-    lambda t: (lambda a, b: a.join(b, (a.symbol == b.symbol) & (b.bq <= F.date_sub(a.quarter, 350))).groupBy(a.symbol, "quarter").agg(F.first("revenue").alias("now"), F.max_by("base", "bq").alias("base"))
-               .where("base >= 1e5").select("symbol", "quarter", (F.col("now") / F.col("base") - 1).alias("growth")))(
-        t.statements.select("symbol", "quarter", "revenue"), t.statements.select("symbol", F.col("quarter").alias("bq"), F.col("revenue").alias("base"))))
+    lambda t: S.yearly_growth(t.statements))
 query("win_z_by_group", "statements", """SELECT symbol, quarter, greatest(least((revenue - m) / CASE WHEN s IS NULL OR s = 0 THEN 1 ELSE s END, 3), -3) AS z, 100 * (rank() OVER (PARTITION BY quarter ORDER BY revenue) + (count(*) OVER (PARTITION BY quarter, revenue) - 1) / 2.0) / count(revenue) OVER (PARTITION BY quarter) AS pct
       FROM statements JOIN (SELECT quarter, median(revenue) AS m, stddev_samp(revenue) AS s FROM statements GROUP BY quarter) USING (quarter)""", "z pct")(
     lambda t: S.z_by_group(t.statements, "revenue", "quarter").select("symbol", "quarter", "z", "pct"))

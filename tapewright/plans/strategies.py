@@ -39,7 +39,11 @@ query("feature_store_monthly", "bars delivery month_ends", f"""WITH {UNI}, {DAIL
   r AS (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY round(med_turnover, 4) DESC, symbol) AS k FROM universe)
   SELECT rebal_date, r.symbol, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 500 AS INTEGER) AS top500, CAST(med_turnover >= 30000 AS INTEGER) AS liquid,
     {', '.join(T.FEATURES)} FROM daily JOIN r ON r.symbol = daily.symbol AND r.rebal_date = daily.date""", FEATURES, 5)(
-    lambda t: T.monthly_features(T.daily_features(t.bars, t.delivery), universe(t)).select("rebal_date", "symbol", "adv_rank", "top500", "liquid", *T.FEATURES))
+    lambda t: feature_store(t.stored("bars")))
+
+
+def feature_store(t: Tables) -> DataFrame:
+    return T.monthly_features(T.daily_features(t.bars, t.delivery), universe(t)).select("rebal_date", "symbol", "adv_rank", "top500", "liquid", *T.FEATURES)
 
 
 def universe(t: Tables) -> DataFrame:

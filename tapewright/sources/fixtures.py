@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import Scratch
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -85,6 +87,13 @@ class Tables:
                 self._made[name] = self.spark.sql(sql, **needed)
         return self._made[name]
 
+    def stored(self, *names: str) -> Tables:
+        """These tables with views of a row per symbol and date written once, bucketed by symbol: for queries that read them often."""
+        made = Tables(self.spark, self.sf_dir)
+        for name in names:
+            made._made[name] = Scratch(self.spark).written(getattr(made, name), name, by="symbol", order="date")
+        return made
+
 
 def with_views(names: str, body: str, doubles: str = "", digits: int = 6) -> str:
     """SQL for DuckDB: the named views as CTEs before `body`, with its double columns rounded."""

@@ -81,12 +81,16 @@ class Scratch:
         self.spark = spark
         self.database, self._folder = _database(spark)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` and read it back."""
+    def written(self, df: DataFrame, name: str, by: str | None = None, order: str | None = None) -> DataFrame:
+        """Write `df` and read it back. With `by` it is bucketed by that column, in `order`, so that windows and groups by it need no shuffle."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self._folder}'")
         table = f"{self.database}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
         _held.setdefault(self.database, {})[table] = None
-        df.write.format("parquet").saveAsTable(table)
+        if by:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(parts, by).write.format("parquet").bucketBy(parts, by).sortBy(by, *([order] if order else [])).saveAsTable(table)
+        else:
+            df.write.format("parquet").saveAsTable(table)
         made = self.spark.read.table(table)
         made._scratch_table = table
         return made

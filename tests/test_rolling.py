@@ -51,3 +51,30 @@ def test_universe_window_against_a_loop(spark):
     found = {(r["rebal_date"], r["symbol"]): (r["n_days"], r["med_turnover"]) for r in got}
     assert set(found) == set(want) and len(got) == len(want)
     assert all(found[k][0] == want[k][0] and found[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+@pytest.mark.parametrize("parts", [2, 64])
+def test_spread_rank_equals_pandas(spark, parts):
+    import pandas as pd
+
+    rng = random.Random(parts)
+    rows = [(k, rng.choice("ab"), rng.choice([None, 0.5, 0.5, rng.random()])) for k in range(900)]
+    got = stats.spread_rank(spark.createDataFrame(rows, "k int, g string, v double"), "v", "g", "r", parts).orderBy("k").collect()
+    frame = pd.DataFrame(rows, columns=["k", "g", "v"])
+    want = frame.groupby("g")["v"].rank()
+    assert [r["r"] for r in got] == [None if pd.isna(x) else x for x in want]
+
+
+def test_first_filing_and_yearly_growth(spark):
+    import datetime as dt
+
+    from tapewright.operators import composites, series
+
+    q, days = dt.date(2020, 1, 1), lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    statements = spark.createDataFrame([(s, q, 0.0) for s in "abcd"], "symbol string, quarter date, revenue double")
+    filings = spark.createDataFrame([("a", days(89)), ("a", days(95)), ("a", days(90)), ("b", days(210)), ("c", days(211)), ("c", days(10))], "symbol string, broadcast date")
+    got = {r["symbol"]: (r["real_date"], r["pit_date"], r["dated_by"]) for r in composites.first_filing(statements, filings).collect()}
+    assert got == {"a": (days(90), days(90), "filing"), "b": (days(210), days(210), "filing"), "c": (None, days(135), "lag"), "d": (None, days(135), "lag")}
+    rows = [("a", days(0), 2e5), ("a", days(100), 1e5), ("a", days(350), 3e5), ("a", days(449), 4e5), ("a", days(450), 5e5), ("b", days(0), 10.0), ("b", days(400), 20.0)]
+    grown = {(r["symbol"], r["quarter"]): r["growth"] for r in series.yearly_growth(spark.createDataFrame(rows, "symbol string, quarter date, revenue double")).collect()}
+    assert grown == {("a", days(350)): 0.5, ("a", days(449)): 1.0, ("a", days(450)): 4.0}
