@@ -255,20 +255,72 @@ def greedy_book(cards: DataFrame, capital: float, date: str = "date") -> DataFra
     return ordered.select(date, "symbol", "notional").mapInArrow(take, f"{date} {kind}, rank int, symbol string")
 
 
-def risk_curve(trades: DataFrame, risk: float = 10_000.0, base: float = 1e6) -> DataFrame:
-    """R multiples, P&L, equity, drawdown, loss streak and the size multiplier after each closed trade of a strategy."""
-    w = Window.partitionBy("strategy").orderBy("exit_date", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+#: Drawdown from which the size is cut to the factor; the deepest also halts. Losses in a row from which it is cut, and the factor.
+DRAWDOWN_STEPS = {0.10: 0.75, 0.15: 0.5, 0.22: 0.25}
+STREAK, STREAK_FACTOR = 3, 0.75
+
+
+def risk_curve(trades: DataFrame, risk: float = 10_000.0) -> DataFrame:
+    """R multiples, P&L, equity, drawdown, losses in a row and the size multiplier after each closed trade of a strategy.
+
+    Drawdown is measured against the high-water mark plus a hundred times the risk of
+    a trade, so that a young curve doesn't brake; a trade that gains nothing is a loss.
+    """
+    order = Window.partitionBy("strategy").orderBy("exit_date", "trade_id")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
     t = trades.withColumn("r", F.col("realized") / ((F.col("entry_price") - F.col("stop")) / F.col("entry_price"))).withColumn("pnl", F.col("r") * risk)
     t = t.withColumn("equity", F.sum("pnl").over(w)).withColumn("_hwm", F.greatest(F.max("equity").over(w), F.lit(0.0)))
-    t = t.withColumn("drawdown", (F.col("_hwm") - F.col("equity")) / (F.col("_hwm") + base))
-    t = t.withColumns({"_n": F.row_number().over(Window.partitionBy("strategy").orderBy("exit_date", "trade_id"))})
-    t = t.withColumn("streak", F.col("_n") - F.coalesce(F.max(F.when(F.col("pnl") >= 0, F.col("_n"))).over(w), F.lit(0)))
-    dd, st = drawdown_multiplier(F.col("drawdown")), F.when(F.col("streak") >= 8, 0.5).when(F.col("streak") >= 5, 0.75).otherwise(1.0)
-    return t.select("strategy", "trade_id", "r", "pnl", "equity", "drawdown", "streak", F.least(dd, st).alias("multiplier"), (F.col("drawdown") >= 0.25).alias("halt"))
+    t = t.withColumn("drawdown", (F.col("_hwm") - F.col("equity")) / (F.col("_hwm") + 100 * risk)).withColumn("_n", F.row_number().over(order))
+    t = t.withColumn("streak", F.col("_n") - F.coalesce(F.max(F.when(F.col("r") > 0, F.col("_n"))).over(w), F.lit(0)))
+    by_streak = F.when(F.col("streak") >= STREAK, STREAK_FACTOR).otherwise(1.0)
+    return t.select(
+        "strategy", "trade_id", "exit_date", "r", "pnl", "equity", "drawdown", "streak", F.least(drawdown_multiplier(F.col("drawdown")), by_streak).alias("multiplier"),
+        (F.col("drawdown") >= max(DRAWDOWN_STEPS)).alias("halt"))
 
 
-def drawdown_multiplier(dd):
-    return F.when(dd >= 0.25, 0.25).when(dd >= 0.15, 0.5).when(dd >= 0.10, 0.75).otherwise(1.0)
+def drawdown_multiplier(dd: Column) -> Column:
+    out = F.lit(1.0)
+    for step, factor in DRAWDOWN_STEPS.items():
+        out = F.when(dd >= step, factor).otherwise(out)
+    return out
+
+
+def max_cards(curve: DataFrame, votes: DataFrame, correlations: DataFrame, most: int = 50, least_votes: int = 2, together: float = 0.6) -> DataFrame:
+    """Add max_cards: how many new cards a strategy may open after a trade.
+
+    `most`, half of it where the regime (exit_date, votes) has fewer than
+    `least_votes` (none are none), and half of that where the names of its book move
+    together (strategy, correlation).
+    """
+    at = curve.join(votes, "exit_date", "left").join(correlations, "strategy", "left")
+    calm = F.when(F.coalesce("votes", F.lit(0)) >= least_votes, most).otherwise(most // 2)
+    cards = F.when(F.col("correlation") > together, F.floor(calm / 2)).otherwise(calm)
+    return at.withColumn("max_cards", cards.cast("int")).drop("votes", "correlation")
+
+
+#: How a recommendation ended, as a trade's reason of exit.
+EXIT_REASONS = {"TARGET": "target", "STOP": "stop", "EXPIRED_WIN": "expired", "EXPIRED_LOSS": "expired"}
+#: Words of a strategy's name that say the kind of its thesis; momentum if none does.
+THESES = {"momentum": "momentum", "value": "value", "quality": "quality", "event": "event", "macro": "macro_overlay"}
+
+
+def trades_of(recommendations: DataFrame) -> DataFrame:
+    """A thesis with its trade for every recommendation (rec_id, strategy, horizon, entry, target, stop, close_date, exit_price, realized, outcome)."""
+    name = F.lower(F.coalesce("strategy", F.lit("")))
+    thesis = F.coalesce(*(F.when(name.contains(word), kind) for word, kind in THESES.items()), F.lit("momentum"))
+    reasons = F.create_map(*[F.lit(x) for pair in EXIT_REASONS.items() for x in pair])
+    return recommendations.select(
+        F.col("rec_id").alias("thesis_id"), thesis.alias("thesis_type"), F.when(F.coalesce("horizon", F.lit(0)) <= 21, "swing").otherwise("positional").alias("timeframe"),
+        F.when(F.col("close_date").isNotNull(), "closed").otherwise("active").alias("status"), F.col("entry").alias("entry_price"), "stop", "target",
+        F.col("close_date").alias("exit_date"), "exit_price", reasons[F.col("outcome")].alias("exit_reason"), F.col("realized").alias("realized_return"))
+
+
+def trade_parity(recommendations: DataFrame, trades: DataFrame, within: float = 1e-6) -> DataFrame:
+    """(rec_mean, trade_mean, parity): the mean return of closed recommendations and of exited trades, and whether they agree; without any both count as 0."""
+    recs = recommendations.where("close_date IS NOT NULL").agg(F.avg("realized").alias("rec_mean"))
+    made = trades.where("exit_price IS NOT NULL").agg(F.avg("realized_return").alias("trade_mean"))
+    apart = F.abs(F.coalesce("rec_mean", F.lit(0.0)) - F.coalesce("trade_mean", F.lit(0.0)))
+    return recs.crossJoin(F.broadcast(made)).withColumn("parity", apart < within)  # one row each
 
 
 def shrink_weights(proposals: DataFrame, kappa: float = 100.0, least: int = 30, move: float = 0.02) -> DataFrame:

@@ -180,6 +180,15 @@ def leading_run(df: DataFrame, good: Column, order: list[Column], *keys: str) ->
     return d.groupBy(*keys).agg((F.coalesce(F.min(F.when(~F.col("_g"), F.col("_k"))), F.count(F.lit(1)) + 1) - 1).alias("streak"))
 
 
+def phase_headroom(log: DataFrame, order: list[str], share: float = 1 / 3) -> DataFrame:
+    """(phase, observed, cap, tight) from lines (phase, detail) like `95s / cap 600s`: the longest of all runs against the latest cap. Other lines don't count."""
+    line = r"^\s*([\d.]+)s?\s*/ cap\s*([\d.]+)s?\s*$"
+    part = lambda k: F.regexp_extract("detail", line, k).try_cast("double")
+    read = log.withColumns({"_o": part(1), "_c": part(2)}).where("_o IS NOT NULL AND _c IS NOT NULL")
+    found = read.groupBy("phase").agg(F.max("_o").alias("observed"), F.max_by("_c", F.struct(*order)).alias("cap"))
+    return found.withColumn("tight", F.col("observed") > F.col("cap") * share)
+
+
 def fund_scorecard(navs: DataFrame, risk_free: float = 0.06, least: int = 252) -> DataFrame:
     """1, 3 and 5 year growth to the last value, volatility, drawdown, three-year Sharpe ratio and one-year consistency per symbol."""
     w = by_symbol()

@@ -124,10 +124,45 @@ G("idea_lifecycle", "trades", f"""WITH c AS (SELECT trade_id, exit_date AS issue
                                         (F.col("entry_price") * (1 + F.col("realized"))).alias("price")), "2000-06-30"))
 G("score_weight_shrink", "trades", "WITH e AS (SELECT strategy, count(*) AS n, 0.1 AS prior, avg(CAST(realized > 0 AS DOUBLE)) AS estimate FROM trades GROUP BY 1), s AS (SELECT strategy, CASE WHEN n >= 30 THEN prior + greatest(least((100 * prior + n * estimate) / (100 + n) - prior, 0.02), -0.02) ELSE prior END AS raw FROM e) SELECT strategy, raw / sum(raw) OVER () AS weight FROM s", "weight",
   lambda t: B.shrink_weights(t.trades.groupBy("strategy").agg(F.count("*").alias("n"), F.avg((F.col("realized") > 0).cast("double")).alias("estimate")).withColumns({"prior": F.lit(0.1), "group": F.lit(0)})).select("strategy", "weight"))
-G("reco_to_trades", "trades", "SELECT trade_id AS thesis_id, strategy, entry_price, stop, entry_price * 1.09 AS target, floor(10000 / (entry_price - stop)) AS size_shares FROM trades", "entry_price stop target size_shares",
-  lambda t: t.trades.select(F.col("trade_id").alias("thesis_id"), "strategy", "entry_price", "stop", (F.col("entry_price") * 1.09).alias("target"), F.floor(10000 / (F.col("entry_price") - F.col("stop"))).cast("double").alias("size_shares")), 4)
-G("risk_equity_curve", "trades", """WITH a AS (SELECT *, realized / ((entry_price - stop) / entry_price) AS r FROM trades), b AS (SELECT *, r * 10000 AS pnl, sum(r * 10000) OVER w AS equity, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, greatest(max(equity) OVER w, 0) AS hwm, n - coalesce(max(CASE WHEN pnl >= 0 THEN n END) OVER w, 0) AS streak FROM b WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, (hwm - equity) / (hwm + 1e6) AS drawdown FROM c)
-  SELECT strategy, trade_id, r, pnl, equity, drawdown, CAST(streak AS INTEGER) AS streak, least(CASE WHEN drawdown >= 0.25 THEN 0.25 WHEN drawdown >= 0.15 THEN 0.5 WHEN drawdown >= 0.10 THEN 0.75 ELSE 1.0 END, CASE WHEN streak >= 8 THEN 0.5 WHEN streak >= 5 THEN 0.75 ELSE 1.0 END) AS multiplier, drawdown >= 0.25 AS halt FROM d""", "r pnl equity drawdown multiplier", lambda t: B.risk_curve(t.trades), 3)
+#: Trades stand for recommendations; those of the last month of 1997 and later are still open.
+RECS = """rc AS (SELECT trade_id AS rec_id, ['momentum_delivery_lowvol', 'Value_ey', 'macro rates', 'reversal'][CAST(strategy AS INTEGER) % 4 + 1] AS strategy, CASE WHEN trade_id % 3 = 0 THEN 63 ELSE 21 END AS horizon, entry_price AS entry, entry_price * 1.09 AS target, stop,
+  CASE WHEN exit_date < DATE '1997-12-01' THEN exit_date END AS close_date, CASE WHEN exit_date < DATE '1997-12-01' THEN entry_price * (1 + realized) END AS exit_price, CASE WHEN exit_date < DATE '1997-12-01' THEN realized END AS realized,
+  CASE WHEN exit_date < DATE '1997-12-01' THEN CASE outcome WHEN 'target' THEN 'TARGET' WHEN 'stop' THEN 'STOP' ELSE CASE WHEN realized > 0 THEN 'EXPIRED_WIN' ELSE 'EXPIRED_LOSS' END END END AS outcome FROM trades)"""
+
+
+def recorded(t):
+    names = F.array(*map(F.lit, ("momentum_delivery_lowvol", "Value_ey", "macro rates", "reversal")))
+    shut = F.col("exit_date") < F.lit("1997-12-01").cast("date")
+    ended = F.when(F.col("outcome") == "target", "TARGET").when(F.col("outcome") == "stop", "STOP").when(F.col("realized") > 0, "EXPIRED_WIN").otherwise("EXPIRED_LOSS")
+    return t.trades.select(
+        F.col("trade_id").alias("rec_id"), F.element_at(names, (F.col("strategy").cast("int") % 4 + 1).cast("int")).alias("strategy"), F.when(F.col("trade_id") % 3 == 0, 63).otherwise(21).alias("horizon"),
+        F.col("entry_price").alias("entry"), (F.col("entry_price") * 1.09).alias("target"), "stop", F.when(shut, F.col("exit_date")).alias("close_date"),
+        F.when(shut, F.col("entry_price") * (1 + F.col("realized"))).alias("exit_price"), F.when(shut, F.col("realized")).alias("realized"), F.when(shut, ended).alias("outcome"))
+
+
+G("reco_to_trades", "trades", f"""WITH {RECS}, pa AS (SELECT avg(realized) AS m FROM rc) SELECT rec_id AS thesis_id, CASE WHEN strategy LIKE '%momentum%' THEN 'momentum' WHEN strategy LIKE 'Value%' THEN 'value' WHEN strategy LIKE 'macro%' THEN 'macro_overlay' ELSE 'momentum' END AS thesis_type,
+  CASE WHEN horizon <= 21 THEN 'swing' ELSE 'positional' END AS timeframe, CASE WHEN close_date IS NULL THEN 'active' ELSE 'closed' END AS status, entry AS entry_price, stop, target, close_date AS exit_date, exit_price,
+  CASE WHEN outcome LIKE 'EXPIRED%' THEN 'expired' ELSE lower(outcome) END AS exit_reason, realized AS realized_return, m AS rec_mean, m AS trade_mean, true AS parity FROM rc, pa""", "entry_price stop target exit_price realized_return rec_mean trade_mean",
+  lambda t: (lambda r: B.trades_of(r).crossJoin(F.broadcast(B.trade_parity(r, B.trades_of(r)))))(recorded(t)), 4)  # one row
+CURVE = """a AS (SELECT *, realized / ((entry_price - stop) / entry_price) AS r FROM trades), b AS (SELECT *, r * 10000 AS pnl, sum(r * 10000) OVER w AS equity, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT *, greatest(max(equity) OVER w, 0) AS hwm, n - coalesce(max(CASE WHEN r > 0 THEN n END) OVER w, 0) AS streak FROM b WINDOW w AS (PARTITION BY strategy ORDER BY exit_date, trade_id ROWS UNBOUNDED PRECEDING)),
+  d AS (SELECT *, (hwm - equity) / (hwm + 1e6) AS drawdown FROM c), vo AS (SELECT date AS exit_date, CAST(pct_above_200dma >= 50 AS INTEGER) + CAST(advances >= greatest(declines, 1) AS INTEGER) AS votes FROM breadth),
+  co AS (SELECT strategy, corr(realized, p) AS k FROM (SELECT strategy, realized, lag(realized) OVER (PARTITION BY strategy ORDER BY exit_date, trade_id) AS p FROM trades) GROUP BY 1)"""
+
+
+def risk_state(t):
+    """With two votes of breadth for the regime's four, and each strategy's serial correlation, ten times, for that of the names of its book."""
+    breadth = A.breadth(t.bars)
+    votes = breadth.select(F.col("date").alias("exit_date"), ((F.col("pct_above_200dma") >= 50).cast("int") + (F.col("ad_ratio") >= 1).cast("int")).alias("votes"))
+    before = F.lag("realized").over(Window.partitionBy("strategy").orderBy("exit_date", "trade_id"))
+    serial = t.trades.withColumn("_p", before).groupBy("strategy").agg((10 * F.corr("realized", "_p")).alias("correlation"))
+    return B.max_cards(B.risk_curve(t.trades), votes, serial).drop("exit_date")
+
+
+G("risk_equity_curve", "trades bars", f"""WITH {BREADTH}, {CURVE} SELECT d.strategy, trade_id, r, pnl, equity, drawdown, CAST(streak AS INTEGER) AS streak,
+    least(CASE WHEN drawdown >= 0.22 THEN 0.25 WHEN drawdown >= 0.15 THEN 0.5 WHEN drawdown >= 0.10 THEN 0.75 ELSE 1.0 END, CASE WHEN streak >= 3 THEN 0.75 ELSE 1.0 END) AS multiplier, drawdown >= 0.22 AS halt,
+    CAST(floor(CASE WHEN coalesce(votes, 0) >= 2 THEN 50 ELSE 25 END / CASE WHEN 10 * k > 0.6 THEN 2.0 ELSE 1.0 END) AS INTEGER) AS max_cards FROM d LEFT JOIN vo USING (exit_date) LEFT JOIN co ON co.strategy = d.strategy""",
+  "r pnl equity drawdown multiplier", risk_state, 3)
 ORDERS = """os AS (SELECT rebal_date, symbol, floor(1e6 * least(weight, 0.06) / close) AS shares FROM wb JOIN rz USING (rebal_date, symbol)),
   oc AS (SELECT rebal_date, symbol, shares FROM os UNION ALL SELECT nxt, symbol, -shares FROM os JOIN wn USING (rebal_date) WHERE nxt IS NOT NULL),
   od AS (SELECT rebal_date, symbol, sum(shares) AS delta FROM oc GROUP BY 1, 2 HAVING sum(shares) <> 0), oo AS (SELECT od.*, abs(delta) * close AS notional, turnover FROM od JOIN panel USING (rebal_date, symbol))"""

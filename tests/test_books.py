@@ -82,3 +82,43 @@ def test_no_score_has_seen_its_own_time(spark):
     later = panel.selectExpr("rebal_date", "symbol", "x", f"CASE WHEN rebal_date > DATE '{dates[9]}' THEN -5 * fwd ELSE fwd END AS fwd")
     again = {(r["rebal_date"], r["symbol"]): r["score"] for r in models.walkforward_gbt(later, ["x"], "fwd", first=12, step=9, embargo=2).collect()}
     assert all(again[r["rebal_date"], r["symbol"]] == r["score"] for r in got if r["rebal_date"] < dates[21])
+
+
+def test_risk_curve_brakes_and_cards(spark):
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    returns = [0.05, -0.05, 0.0, -0.05, 0.05, *[-0.25] * 6]
+    trades = spark.createDataFrame([("s", k, day(k), 100.0, 95.0, r) for k, r in enumerate(returns)], "strategy string, trade_id int, exit_date date, entry_price double, stop double, realized double")
+    got = books.max_cards(
+        books.risk_curve(trades), spark.createDataFrame([(day(0), 3), (day(1), 1), (day(2), 2)], "exit_date date, votes int"), spark.createDataFrame([("s", 0.5)], "strategy string, correlation double")).orderBy("trade_id").collect()
+    equity, high, streak = 0.0, 0.0, 0
+    for k, r in enumerate(returns):
+        equity += r / 0.05 * 10_000
+        high, streak = max(high, equity), 0 if r > 0 else streak + 1
+        drawdown = (high - equity) / (high + 1e6)
+        factor = min(0.25 if drawdown >= 0.22 else 0.5 if drawdown >= 0.15 else 0.75 if drawdown >= 0.1 else 1.0, 0.75 if streak >= 3 else 1.0)
+        assert (got[k]["equity"], got[k]["drawdown"], got[k]["multiplier"]) == pytest.approx((equity, drawdown, factor))
+        assert (got[k]["streak"], got[k]["halt"]) == (streak, drawdown >= 0.22)
+    assert [r["max_cards"] for r in got[:4]] == [50, 25, 50, 25]
+    both = books.max_cards(books.risk_curve(trades), spark.createDataFrame([(day(0), 3)], "exit_date date, votes int"), spark.createDataFrame([("s", 0.7)], "strategy string, correlation double"))
+    assert [r["max_cards"] for r in both.orderBy("trade_id").collect()[:2]] == [25, 12]
+
+
+def test_recommendations_become_trades(spark):
+    kind = "rec_id int, strategy string, horizon int, entry double, target double, stop double, close_date date, exit_price double, realized double, outcome string"
+    recs = spark.createDataFrame([
+        (1, "Value_x", 21, 10.0, 12.0, 9.0, DATES[0], 12.0, 0.2, "TARGET"), (2, None, None, 10.0, 12.0, 9.0, None, None, None, None), (3, "macro", 63, 10.0, 12.0, 9.0, DATES[1], 9.5, -0.05, "EXPIRED_LOSS")], kind)
+    made = books.trades_of(recs)
+    got = {r["thesis_id"]: (r["thesis_type"], r["timeframe"], r["status"], r["exit_reason"]) for r in made.collect()}
+    assert got == {1: ("value", "swing", "closed", "target"), 2: ("momentum", "swing", "active", None), 3: ("macro_overlay", "positional", "closed", "expired")}
+    parity = books.trade_parity(recs, made).first()
+    assert parity["parity"] and parity["rec_mean"] == pytest.approx(0.075)
+    assert not books.trade_parity(recs, made.where("thesis_id = 1")).first()["parity"]
+    assert books.trade_parity(recs.where("false"), made.where("false")).first()["parity"]
+
+
+def test_phase_headroom_takes_the_latest_cap(spark):
+    from tapewright.operators.stats import phase_headroom
+
+    log = spark.createDataFrame([("a", 1, "250s / cap 300s"), ("a", 2, "10s / cap 900s"), ("a", 3, "killed"), ("b", 1, "99s / cap 300s"), ("c", 1, None)], "phase string, ts int, detail string")
+    assert {tuple(r) for r in phase_headroom(log, ["ts"]).collect()} == {("a", 250.0, 900.0, False), ("b", 99.0, 300.0, False)}
+    assert phase_headroom(log.where("ts = 1"), ["ts"]).where("phase = 'a'").first()["tight"]
