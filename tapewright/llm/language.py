@@ -11,7 +11,9 @@ of a language is left out and fits the temperature by which scores are calibrate
 
 Rows without a language or without a letter are not learned from. Texts that are null or have no
 letter get `und` with score 0; if nothing could be learned, so do all. Ties go
-to the language first in order of name. Further columns are carried.
+to the language first in order of name. Further columns are carried, but columns named
+`lang_pred` and `score` are replaced by the prediction's. Weights are languages times
+FEATURES doubles, so memory grows with the number of languages, not of rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ statistics and ordinary column arithmetic.
 Fitting takes a bounded sample of labelled rows (FIT_ROWS, by a hash of the
 id); rows with null labels are not used. Without labels of both kinds the score
 is the share of good labels (0.5 without any). Null and empty texts have
-statistics of 0 and get a score like any other; further columns are carried.
+statistics of 0 and get a score like any other. Further columns are carried, but a
+column that has the name of the score (`out`) is replaced by it and one named `_stats`
+is dropped.
 """
 
 from __future__ import annotations

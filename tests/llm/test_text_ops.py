@@ -342,6 +342,17 @@ def test_quality_odd_inputs(spark):
     assert 0.9 < quality.scored(docs, quality.fit(docs, one)).first()["score"] < 1
 
 
+def test_scores_replace_columns_of_their_names(spark):
+    """Other columns are carried as they are."""
+    docs = spark.createDataFrame([(1, "the and of to", 9.0, "s", "zz", 7), (2, None, 9.0, "s", "zz", 7)], "doc_id long, text string, score double, _stats string, lang_pred string, kept int")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    scored = quality.scored(docs, quality.fit(docs, none))
+    assert scored.columns.count("score") == 1 and [r["score"] for r in scored.collect()] == [0.5, 0.5] and {r["kept"] for r in scored.collect()} == {7}
+    found = language.predicted(docs, language.fit(docs.where("false").withColumnRenamed("lang_pred", "lang")))
+    assert found.columns.count("score") == found.columns.count("lang_pred") == 1
+    assert {(r["lang_pred"], r["score"], r["kept"]) for r in found.collect()} == {("und", 0.0, 7)}
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     want = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
