@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,20 +57,31 @@ def bands(cards: DataFrame, capital: float = 1e7, risk: float = 1e4, widest: flo
     return made.withColumn("size", size.cast("long")).where("size >= 1 AND stop < entry AND entry < target")
 
 
-def event_score(cards: DataFrame, events: DataFrame, horizon: int = 63) -> DataFrame:
+def event_score(cards: DataFrame, events: DataFrame, horizons: dict[str, int] | None = None, default: int = 63) -> DataFrame:
     """Add event_score (50: none) and at_risk from (symbol, event_date, tier, direction) strictly before the card's date.
 
-    The freshest bullish scored event lifts the score by up to 50, fading over the
-    horizon; bearish ones don't lower it. Both are as-of joins.
+    An event counts for as many days as `horizons` says of its event_type, or
+    `default`. Of the bullish scored ones that still count, the strongest lifts the
+    score, by 50 less what has faded linearly; bearish ones don't lower it. Of one
+    horizon the freshest event is the strongest, so each horizon is one as-of join.
     """
-    bullish = events.where("tier = 'scored' AND direction = 'bullish'").select("symbol", "event_date")
-    risky = events.where("tier = 'risk'").select("symbol", "event_date")
-    at = asof(cards, bullish, ["symbol"], "rebal_date", "event_date", [], strict=True, max_days=horizon).withColumnRenamed("matched_on", "_bull")
-    at = asof(at, risky, ["symbol"], "rebal_date", "event_date", [], strict=True, max_days=horizon).withColumnRenamed("matched_on", "_risk")
-    fresh = 1 - F.datediff("rebal_date", "_bull") / horizon
-    return at.withColumns(
-        {"event_score": F.when(fresh.isNotNull(), clamp(50 + 50 * fresh)).otherwise(50.0), "at_risk": F.col("_risk").isNotNull()}
-    ).drop("_bull", "_risk")
+    by_days: dict[int, list[str]] = {}
+    for kind, days in (horizons or {}).items():
+        by_days.setdefault(days, []).append(kind)
+    groups = [(days, F.col("event_type").isin(kinds)) for days, kinds in by_days.items()]
+    others = ~F.coalesce(F.col("event_type").isin(list(horizons)), F.lit(False)) if horizons else F.lit(True)
+    tiers = {"_bull": "tier = 'scored' AND direction = 'bullish'", "_risk": "tier = 'risk'"}
+    at, found = cards, {t: [] for t in tiers}
+    for days, own in [*groups, (default, others)]:
+        for tier, which in tiers.items():
+            name = f"{tier}{len(found[tier])}"
+            rows = events.where(which).where(own).select("symbol", "event_date")
+            at = asof(at, rows, ["symbol"], "rebal_date", "event_date", [], strict=True, max_days=days).withColumnRenamed("matched_on", name)
+            found[tier].append((name, days))
+    lifts = [F.coalesce(clamp(50 + 50 * (1 - F.datediff("rebal_date", name) / days)), F.lit(50.0)) for name, days in found["_bull"]]
+    risks = [F.col(name).isNotNull() for name, _ in found["_risk"]]
+    out = at.withColumns({"event_score": F.greatest(F.lit(50.0), *lifts), "at_risk": reduce(lambda a, b: a | b, risks)})
+    return out.drop(*(name for names in found.values() for name, _ in names))
 
 
 def pillars(cards: DataFrame) -> DataFrame:

@@ -33,23 +33,23 @@ DAILY = win(f"""fa AS (SELECT *, close / lag(close) {W} - 1 AS ret_1d, abs(close
     CAST(coalesce(close > ROLL(avg, close, 200), false) AS INTEGER) AS above_200, close / ROLL(max, close, 252) AS prox_52w_high,
     ROLL(avg, ill, 21) * 1e7 AS amihud, lead(close, 21) {W} / close - 1 AS fwd_ret_1m, lead(close, 63) {W} / close - 1 AS fwd_ret_3m FROM fa),
   daily AS (SELECT fb.*, deliv_1m, deliv_3m, deliv_trend FROM fb LEFT JOIN fd USING (symbol, date))""")
-FEATURES = " ".join(c for c in T.FEATURES if c != "above_200")
+FEATURES = "med_turnover " + " ".join(c for c in T.FEATURES if c != "above_200")
 
 query("feature_store_monthly", "bars delivery month_ends", f"""WITH {UNI}, {DAILY},
   r AS (SELECT *, row_number() OVER (PARTITION BY rebal_date ORDER BY round(med_turnover, 4) DESC, symbol) AS k FROM universe)
-  SELECT rebal_date, r.symbol, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 500 AS INTEGER) AS top500, CAST(med_turnover >= 30000 AS INTEGER) AS liquid,
+  SELECT rebal_date, r.symbol, med_turnover, CAST(k AS INTEGER) AS adv_rank, CAST(k <= 500 AS INTEGER) AS top500, CAST(med_turnover >= 30000 AS INTEGER) AS liquid,
     {', '.join(T.FEATURES)} FROM daily JOIN r ON r.symbol = daily.symbol AND r.rebal_date = daily.date""", FEATURES, 5)(
     lambda t: feature_store(t.stored("bars")))
 
 
 def feature_store(t: Tables) -> DataFrame:
-    return T.monthly_features(T.daily_features(t.bars, t.delivery), universe(t)).select("rebal_date", "symbol", "adv_rank", "top500", "liquid", *T.FEATURES)
+    return T.monthly_features(T.daily_features(t.bars, t.delivery), universe(t)).select("rebal_date", "symbol", "med_turnover", "adv_rank", "top500", "liquid", *T.FEATURES)
 
 
 def universe(t: Tables) -> DataFrame:
     """(rebal_date, symbol, adv_rank, top500, liquid) of every month end."""
     u = A.universe_window(t.bars, t.month_ends, least=10).withColumn("_m", F.round("med_turnover", 4))
-    return S.universe_tiers(u, by="_m", liquid_from=3e4).select("rebal_date", "symbol", "adv_rank", "top500", "liquid")
+    return S.universe_tiers(u, by="_m", liquid_from=3e4).select("rebal_date", "symbol", "med_turnover", "adv_rank", "top500", "liquid")
 
 
 def annual(statements: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ VOTED = """ir AS (SELECT date, close, close / lag(close) OVER (ORDER BY date) -
   im AS (SELECT *, CASE WHEN count(v) OVER (ORDER BY date ROWS 251 PRECEDING) >= 252 THEN median(v) OVER (ORDER BY date ROWS 251 PRECEDING) END AS md FROM iv),
   votes AS (SELECT im.date, CAST(coalesce(close > a, false) AS INTEGER) + CAST(coalesce(v < md, false) AS INTEGER) + CAST(coalesce(pct_above_200dma >= 50, false) AS INTEGER)
     + CAST(coalesce(m > 0, false) AS INTEGER) AS votes FROM im LEFT JOIN breadth USING (date))"""
-#: Corporate actions stand for the event layer: bonus bullish, split bearish, dividend a risk flag.
+#: Corporate actions stand for the event layer: bonus bullish, split bearish, dividend a risk flag for 21 days.
 SCORED = f"""{CARDS}, {BREADTH}, {VOTED},
   ev AS (SELECT DISTINCT symbol, date AS event_date, action_type FROM corporate_actions),
   s1 AS (SELECT book.*, votes FROM book LEFT JOIN votes ON votes.date = book.rebal_date),
@@ -270,7 +270,7 @@ SCORED = f"""{CARDS}, {BREADTH}, {VOTED},
     coalesce(votes, 0) / 4.0 * 100 AS regime_align, greatest(0, least(100, coalesce(deliv_1m, 50))) AS confirmation,
     100 * cume_dist() OVER (PARTITION BY rebal_date ORDER BY turnover NULLS LAST) AS liquidity_capacity,
     CASE WHEN rebal_date - bull <= 63 THEN greatest(0, least(100, 50 + 50 * (1 - (rebal_date - bull) / 63.0))) ELSE 50 END AS event_score,
-    greatest(0, least(100, coalesce(atr_pct, 0) * 10 + CASE WHEN rebal_date - risk <= 63 THEN 25 ELSE 0 END)) AS risk_penalty FROM s3)"""
+    greatest(0, least(100, coalesce(atr_pct, 0) * 10 + CASE WHEN rebal_date - risk <= 21 THEN 25 ELSE 0 END)) AS risk_penalty FROM s3)"""
 SCORE_VIEWS = "bars delivery month_ends index_series corporate_actions"
 
 
@@ -280,9 +280,9 @@ def scored(t: Tables) -> DataFrame:
     kind = F.col("action_type")
     events = t.corporate_actions.select(
         "symbol", F.col("date").alias("event_date"), F.when(kind == "DIVIDEND", "risk").otherwise("scored").alias("tier"),
-        F.when(kind == "BONUS", "bullish").otherwise("bearish").alias("direction"),
+        F.when(kind == "BONUS", "bullish").otherwise("bearish").alias("direction"), kind.alias("event_type"),
     ).distinct()
-    return K.pillars(K.event_score(cards(t).join(votes, "rebal_date", "left"), events))
+    return K.pillars(K.event_score(cards(t).join(votes, "rebal_date", "left"), events, {"DIVIDEND": 21}))
 
 
 query("score_pillars", SCORE_VIEWS, f"WITH {SCORED} SELECT * FROM pl", " ".join(K.WEIGHTS), 4)(scored)

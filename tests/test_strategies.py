@@ -71,6 +71,28 @@ def test_event_score_fades_and_is_strictly_before(spark):
     assert got["a"][0] == pytest.approx(50 + 50 * (1 - 29 / 63)) and got["b"] == (50.0, False) and got["c"] == (50.0, True)
 
 
+def test_each_kind_of_event_counts_for_its_own_time(spark):
+    """Against a loop over all events of a card."""
+    import random
+
+    rng, day = random.Random(2), lambda k: dt.date(2020, 1, 1) + dt.timedelta(k)
+    horizons = {"a": 10, "b": 40, "c": 10}
+    events = [(rng.choice("xyz"), day(rng.randrange(120)), rng.choice(["scored", "risk", "context"]), rng.choice(["bullish", "bearish"]), rng.choice(["a", "b", "c", "d", None])) for _ in range(60)]
+    cards = [(s, day(k)) for s in "xyzq" for k in range(0, 130, 7)]
+    frame = scoring.event_score(
+        spark.createDataFrame(cards, "symbol string, rebal_date date"), spark.createDataFrame(events, "symbol string, event_date date, tier string, direction string, event_type string"), horizons)
+    assert frame.columns == ["symbol", "rebal_date", "event_score", "at_risk"]
+    for r in frame.collect():
+        score, risk = 50.0, False
+        for s, d, tier, direction, kind in events:
+            age, days = (r["rebal_date"] - d).days, horizons.get(kind, 63)
+            if s == r["symbol"] and 0 < age <= days:
+                risk |= tier == "risk"
+                if tier == "scored" and direction == "bullish":
+                    score = max(score, 50 + 50 * (1 - age / days))
+        assert (r["event_score"], r["at_risk"]) == (pytest.approx(score), risk)
+
+
 def test_confidence_cap_and_audit(spark):
     scored = spark.createDataFrame([(1, "a", *[100.0] * 6, 0.0), (1, "b", *[100.0] * 6, 0.0)], "rebal_date int, symbol string, " + ", ".join(f"{p} double" for p in scoring.WEIGHTS))
     years = spark.createDataFrame([("a", 3), ("b", 9)], "symbol string, years long")
