@@ -358,8 +358,8 @@ def candidate_pairs(met: DataFrame, nodes: DataFrame, percent: int, scratch: Scr
     return pairs
 
 
-def _test_blocks(percent: int):
-    """Rows come sorted by (a, block, b); the row with a null b brings the set of a."""
+def _test_blocks(percent: int, k: int, heavy: np.ndarray):
+    """Rows (a, block, b, k1, k2, text) come sorted by (a, block, b); the row with a null b brings the text of a."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own, others, names = None, None, [], []
@@ -371,22 +371,22 @@ def _test_blocks(percent: int):
             good = [b for b, x in zip(names, ok) if x]
             return [group[0]] * len(good), good
 
-        for batch in batches:
-            a, block, b = (batch.column(i).to_pylist() for i in range(3))
-            tokens = batch.column(3)
-            flat, ends = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
+        for batch in _batches(batches):
+            a, block, b, k1, k2 = (batch.column(i).to_pylist() for i in range(5))
+            keys = np.array([k1, k2], np.int64).T
             left, right = [], []
-            for r in range(batch.num_rows):
+            for r, s in enumerate(shingle_sets(batch.column(5).to_pylist(), k)):
+                if set_key(s) != keys[r].tobytes():
+                    continue  # another text of the same id
                 if (a[r], block[r]) != group:
                     x, y = flush()
                     left += x
                     right += y
                     group, own, others, names = (a[r], block[r]), None, [], []
-                s = np.array(flat[ends[r] : ends[r + 1]], np.int64)
                 if b[r] is None:
-                    own = s
+                    own = _ordered(s, heavy)
                 else:
-                    others.append(s)
+                    others.append(_ordered(s, heavy))
                     names.append(b[r])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         left, right = flush()
@@ -395,48 +395,43 @@ def _test_blocks(percent: int):
     return test
 
 
-def _chosen_sets(k: int, heavy: np.ndarray, bitmap):
-    """(id, k1, k2, tokens) of the texts whose id's bit is set; without a bitmap of all."""
+def _marked(bitmap):
+    """(least, text) of the texts whose id's bit is set."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for part in _batches(batches):
-            if bitmap is not None:
-                bits = bitmap.value
-                places = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-                part = part.filter(pa.array([b in bits and bool(bits[b][i >> 3] >> (i & 7) & 1) for b, i in places], pa.bool_()))
-            sets = shingle_sets(part.column(1).to_pylist(), k)
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), *_halves(keys), _lists([_ordered(s, heavy) for s in sets])], ["least", "k1", "k2", "tokens"])
+            places = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+            part = part.filter(pa.array([b in bits and bool(bits[b][i >> 3] >> (i & 7) & 1) for b, i in places], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["least", "text"])
 
-    return make
+    return choose
 
 
-def whole_sets(texts: DataFrame, asked: DataFrame, k: int, heavy: np.ndarray, bits: int | None = None) -> DataFrame:
-    """The rows of `asked` (least, k1, k2, ...) with `tokens`, the whole sets with those keys of the texts of the ids `least`.
+def asked_texts(texts: DataFrame, asked: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows of `asked` (least, ...) with `text`, the texts of the ids `least`.
 
     Up to `bits` / 16 rows a bitmap of fixed size tells the scan which texts to
-    look at; beyond, texts are joined with the ids that are asked for. Rows of
-    `texts` that repeat give repeated results.
+    look at; beyond, all texts are joined with the ids that are asked for. An id
+    that repeats gives a row for each of its texts.
     """
-    bits, schema = bits or BITMAP, "least long, k1 long, k2 long, tokens array<long>"
-    ids = asked.select(F.col("least").alias("_id")).distinct()
-    if asked.count() > bits // 16:
-        found = texts.join(ids, "_id").select("_id", "_text").mapInArrow(_chosen_sets(k, heavy, None), schema)
-    else:
-        slot = F.pmod(F.xxhash64("_id"), F.lit(bits))
-        parts = (
-            ids.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-        )
+    bits = bits or BITMAP
+    found = texts.where("_id IS NOT NULL").select(F.col("_id").alias("least"), F.col("_text").alias("text"))
+    if asked.count() <= bits // 16:
+        slot = F.pmod(F.xxhash64("least"), F.lit(bits))
+        marks = asked.select("least").distinct().groupBy(F.bitmap_bucket_number(slot).alias("b"))
+        parts = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
         bitmap = texts.sparkSession.sparkContext.broadcast({r["b"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in parts})
-        read = texts.where("_id IS NOT NULL").select("_id", "_text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"))
-        found = read.mapInArrow(_chosen_sets(k, heavy, bitmap), schema)
-    return found.join(asked, ["least", "k1", "k2"])
+        places = found.select("least", "text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("i"))
+        found = places.mapInArrow(_marked(bitmap), "least long, text string")
+    return found.join(asked, "least")
 
 
 def tested(pairs: DataFrame, groups: DataFrame, texts: DataFrame, percent: int, k: int, heavy: np.ndarray, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are similar enough, as a written table.
 
-    Sets are read from the texts and go straight to the tests that ask for them.
+    Texts go to the tests that ask for them, and become sets there: a set of
+    hashes takes more room than its text and can't be compressed in a shuffle.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
@@ -444,9 +439,9 @@ def tested(pairs: DataFrame, groups: DataFrame, texts: DataFrame, percent: int,
     leaders = dealt.select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b")).distinct()
     asked = partners.unionByName(leaders).join(groups.select("node", "least", "k1", "k2"), "node").drop("node")
     asked = scratch.written(asked, "asked")
-    rows = whole_sets(texts, asked, k, heavy).select("a", "block", "b", "tokens")
+    rows = asked_texts(texts, asked).select("a", "block", "b", "k1", "k2", "text")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    links = scratch.written(rows.mapInArrow(_test_blocks(percent), "a long, b long").distinct(), "links")
+    links = scratch.written(rows.mapInArrow(_test_blocks(percent, k, heavy), "a long, b long").distinct(), "links")
     scratch.drop(asked)
     return links
 
