@@ -7,6 +7,7 @@ from ..functions.core import PPF_A, PPF_B, PPF_C, PPF_D, PPF_TAIL, by_symbol, no
 from ..operators import composites as C
 from ..operators import lookups as L
 from ..operators.asof import align_ffill, asof
+from ..operators.books import weight_diff
 from ..operators import series as S
 from ..sources.scratch import Scratch
 from .aggregates import G
@@ -94,7 +95,7 @@ G("first_bar_after_event", "bars corporate_actions", f"{FB} SELECT a.symbol, a.d
   lambda t: asof(t.corporate_actions.select("symbol", F.col("date").alias("event_date"), "action_type").distinct(), S.forward_labels(t.bars, {"fwd": 21}).select("symbol", "date", "fwd"), ["symbol"], "event_date", "date", ["fwd"], forward=True, strict=True).withColumnRenamed("matched_on", "entry_date"))
 WT = f"{PANEL}, w AS (SELECT rebal_date, symbol, 1.0 / count(*) OVER (PARTITION BY rebal_date) AS weight FROM panel WHERE prox > 0.8), nd AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM w))"
 G("full_outer_weight_diff", PV, f"WITH {WT}, pv AS (SELECT nxt AS rebal_date, symbol, weight AS pw FROM w JOIN nd USING (rebal_date) WHERE nxt IS NOT NULL) SELECT rebal_date, symbol, coalesce(weight, 0) - coalesce(pw, 0) AS delta FROM w FULL JOIN pv USING (rebal_date, symbol)", "delta",
-  lambda t: __import__("tapewright.operators.books", fromlist=["x"]).weight_diff(panel(t).where("prox > 0.8").select("rebal_date", "symbol", (1 / F.count("*").over(Window.partitionBy("rebal_date"))).alias("weight"))).select("rebal_date", "symbol", "delta"))
+  lambda t: weight_diff(panel(t).where("prox > 0.8").select("rebal_date", "symbol", (1 / F.count("*").over(Window.partitionBy("rebal_date"))).alias("weight"))).select("rebal_date", "symbol", "delta"))
 G("gex_net_outer", "option_chain", "SELECT date, symbol, strike, sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE -open_int END) AS net FROM option_chain GROUP BY 1, 2, 3", "strike net",
   lambda t: t.option_chain.groupBy("date", "symbol", "strike").agg(F.sum(F.when(F.col("option_typ") == "CE", F.col("open_int")).otherwise(-F.col("open_int"))).alias("net")))
 G("join_fallback_scrip", "", "SELECT l_orderkey, l_linenumber, l_extendedprice, coalesce(p_name, 'supplier ' || s_name) AS name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 20) ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey", "l_extendedprice",
