@@ -53,7 +53,7 @@ WF = f"""{GATE}, tg AS (SELECT rebal_date, th, CASE WHEN coalesce(score >= th, t
 wf = lambda t: B.walkforward_gate(*gate_in(t), [40, 50, 60])
 G("bt_walkforward_gate", PV, f"WITH {WF} SELECT * FROM wf", "threshold ret", wf)
 G("bt_gate_compare", PV, f"WITH {WF}, c AS (SELECT wf.ret AS a, gt.ret AS b FROM wf JOIN gt USING (rebal_date)) SELECT count(*) AS n, avg(a) / stddev_samp(a) * sqrt(12) AS challenger, avg(b) / stddev_samp(b) * sqrt(12) AS incumbent, avg(a) / stddev_samp(a) > avg(b) / stddev_samp(b) AS ship FROM c", "challenger incumbent",
-  lambda t: (lambda sh: wf(t).join(gate_in(t)[0].withColumnRenamed("ret", "b"), "rebal_date").agg(F.count("*").alias("n"), sh("ret").alias("challenger"), sh("b").alias("incumbent"), (sh("ret") > sh("b")).alias("ship")))(lambda c: F.avg(c) / F.stddev_samp(c) * 12**0.5), 5)
+  lambda t: B.gate_compare(wf(t), gate_in(t)[0]), 5)
 IW = """ul AS (SELECT rebal_date, symbol, fwd, 'mom' AS signal, mom AS v FROM panel UNION ALL SELECT rebal_date, symbol, fwd, 'prox', prox FROM panel), uf AS (SELECT * FROM ul WHERE v IS NOT NULL AND fwd IS NOT NULL), ur AS (SELECT rebal_date, signal, rank() OVER (PARTITION BY rebal_date, signal ORDER BY v) + (count(*) OVER (PARTITION BY rebal_date, signal, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rebal_date, signal ORDER BY fwd) + (count(*) OVER (PARTITION BY rebal_date, signal, fwd) - 1) / 2.0 AS b FROM uf),
   ui AS (SELECT rebal_date, signal, corr(a, b) AS ic FROM ur GROUP BY 1, 2 HAVING count(*) >= 5), up AS (SELECT *, avg(ic) OVER w AS m, count(ic) OVER w AS n FROM ui WINDOW w AS (PARTITION BY signal ORDER BY rebal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), iw AS (SELECT rebal_date, signal, coalesce(greatest(m, 0) / nullif(sum(greatest(m, 0)) OVER (PARTITION BY rebal_date), 0), 0) AS weight FROM up WHERE n >= 12)"""
 G("bt_ic_weighted", PV, f"WITH {NEXT}, {IW} SELECT * FROM iw", "weight", lambda t: B.ic_weighted(panel(t), ["mom", "prox"], "fwd"), 5)
