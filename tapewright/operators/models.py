@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def moments(y: str, xs: list[str], over=None) -> dict:
     """Sums of the normal equations (with an intercept), as aggregates or over a window."""
@@ -82,17 +84,21 @@ def walkforward_gbt(panel: DataFrame, xs: list[str], y: str, first: int = 36, st
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = panel.dropna(subset=[y, *xs])
+    # every fold and every pass of its fit reads the rows: they are made once
+    rows = Scratch(panel.sparkSession).written(panel.dropna(subset=[y, *xs]).select(date, "symbol", *xs, y), "labelled")
     dates = rows.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)) - 1)
-    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows.join(F.broadcast(dates), date))
+    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows)
     n, out = dates.count(), None
     at = {i: d for i, d in dates.select("_i", date).collect()} if n <= MOST_DATES else {}  # a row per date
     if n > MOST_DATES:
         raise ValueError(f"{n} dates: fold borders are kept for at most {MOST_DATES}")
+    parts = panel.sparkSession.sparkContext.defaultParallelism
     for start in range(first, n, step):  # a bounded number of folds
         until = start - embargo - 1
-        model = GBTRegressor(labelCol=y, maxIter=5, maxDepth=3, seed=1).fit(rows.where(F.col("_i") <= until))
-        got = model.transform(rows.where((F.col("_i") >= start) & (F.col("_i") < start + step)))
+        # in one order, however the table's files lie: sums and the sample that finds the splits depend on it
+        seen = rows.where(F.col(date) <= F.lit(at[until])).repartition(parts, "symbol").sortWithinPartitions("symbol", date)
+        model = GBTRegressor(labelCol=y, maxIter=5, maxDepth=3, seed=1).fit(seen)
+        got = model.transform(rows.where(F.col(date).between(F.lit(at[start]), F.lit(at[min(start + step, n) - 1]))))
         got = got.select(date, "symbol", F.col("prediction").alias("score"), y, F.lit(at[until]).alias("learned_until"))
         out = got if out is None else out.unionByName(got)
     return out if out is not None else rows.where("false").select(date, "symbol", F.lit(0.0).alias("score"), y, F.col(date).alias("learned_until"))
