@@ -29,8 +29,9 @@ G("ml_walkforward_gbt", PV, None, "", lambda t: M.walkforward_gbt(panel(t), FEAT
 
 def ensemble(t):
     """The out-of-sample scores of the trees, kept as a table, with the mean rank of the signals that are good when high."""
-    scores = Scratch(t.spark).written(M.walkforward_gbt(panel(t), FEATURES, "fwd").select("rebal_date", "symbol", "score"), "tree_scores")
-    linear = panel(t).select("rebal_date", "symbol", ((rank_pct("mom", "rebal_date") + rank_pct("prox", "rebal_date")) / 2).alias("score"))
+    names = Scratch(t.spark).written(panel(t).select("rebal_date", "symbol", *FEATURES, "fwd"), "panel")  # for the trees and the signals
+    scores = Scratch(t.spark).written(M.walkforward_gbt(names, FEATURES, "fwd").select("rebal_date", "symbol", "score"), "tree_scores")
+    linear = names.select("rebal_date", "symbol", ((rank_pct("mom", "rebal_date") + rank_pct("prox", "rebal_date")) / 2).alias("score"))
     return B.ensemble_rank(scores, linear)
 
 
