@@ -88,7 +88,7 @@ G("statement_json_scan", "statements", "SELECT symbol, quarter, revenue, net_inc
 G("holding_json_tables", "", "SELECT o_custkey, o_orderkey, o_totalprice AS pct, o_orderstatus = 'P' AS is_aggregate FROM orders", "pct",
   lambda t: t.orders.groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct("o_orderkey", F.col("o_totalprice").alias("pct"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("holder")))).alias("j")).select("o_custkey", F.explode(F.from_json("j", "array<struct<o_orderkey:bigint,pct:double,holder:string>>")).alias("x")).select("o_custkey", "x.o_orderkey", "x.pct", F.nullif(F.trim("x.holder"), F.lit("")).isNull().alias("is_aggregate")), 2)
 G("option_chain_flatten", "option_chain", "SELECT date, symbol, expiry, strike, sum(open_int) FILTER (option_typ = 'CE') AS ce_oi, sum(open_int) FILTER (option_typ = 'PE') AS pe_oi, sum(open_int) FILTER (option_typ = 'PE') / sum(open_int) FILTER (option_typ = 'CE') AS pcr_strike FROM option_chain GROUP BY 1, 2, 3, 4", "strike ce_oi pe_oi pcr_strike",
-  lambda t: t.option_chain.groupBy("date", "symbol", "expiry", "strike").pivot("option_typ", ["CE", "PE"]).agg(F.sum("open_int")).toDF("date", "symbol", "expiry", "strike", "ce_oi", "pe_oi").withColumn("pcr_strike", F.try_divide("pe_oi", "ce_oi")))
+  lambda t: N.chain_sides(t.option_chain).withColumn("pcr_strike", F.try_divide("pe_oi", "ce_oi")))
 G("corporate_calendar_normalize", "", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, substr(o_orderpriority, 1, 3) AS description FROM orders", "",
   lambda t: t.orders.select(F.to_json(F.struct("o_orderkey", F.date_format("o_orderdate", "dd-MMM-yyyy HH:mm:ss").alias("d"), F.col("o_orderpriority").alias("p"))).alias("j")).withColumn("x", F.from_json("j", "o_orderkey bigint, d string, p string")).select("x.o_orderkey", parse_date(F.col("x.d")).alias("date"), F.substring("x.p", 1, 3).alias("description")))
 G("earnings_holdings_normalize", "", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS eps FROM orders", "eps",
