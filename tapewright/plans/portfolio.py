@@ -45,7 +45,8 @@ G("bt_capacity_curve", PV, f"""WITH {PF}, {ADV}, ia AS (SELECT aum, rebal_date,
     FROM wb JOIN av USING (rebal_date, symbol), (SELECT unnest([10000.0, 100000.0, 1000000.0]) AS aum) GROUP BY 1, 2)
   SELECT CAST(aum AS DOUBLE) AS aum, avg(i) AS impact, avg(i) * (SELECT avg(turnover) FROM pf) AS cost FROM ia GROUP BY 1""", "aum impact cost", capacity)
 GATE = f"{PF}, {BREADTH}, gt AS (SELECT rebal_date, net AS ret, pct_above_200dma AS score FROM pf LEFT JOIN breadth ON date = rebal_date)"
-gate_in = lambda t: (folio(t).select("rebal_date", F.col("net").alias("ret")), A.breadth(t.bars).select(F.col("date").alias("rebal_date"), F.col("pct_above_200dma").alias("score")))
+breadth_scores = lambda t: A.share_above(t.bars).withColumnRenamed("date", "rebal_date")
+gate_in = lambda t: (folio(t).select("rebal_date", F.col("net").alias("ret")), breadth_scores(t))
 G("bt_gate_threshold", PV, f"WITH {GATE} SELECT rebal_date, CASE WHEN coalesce(score >= 50, true) THEN ret ELSE 0 END AS ret FROM gt", "ret",
   lambda t: (lambda r, s: r.join(s, "rebal_date", "left").select("rebal_date", F.when(F.coalesce(F.col("score") >= 50, F.lit(True)), F.col("ret")).otherwise(0.0).alias("ret")))(*gate_in(t)))
 WF = f"""{GATE}, tg AS (SELECT rebal_date, th, CASE WHEN coalesce(score >= th, true) THEN ret ELSE 0 END AS g FROM gt, (SELECT unnest([40.0, 50.0, 60.0]) AS th)), tp AS (SELECT *, count(g) OVER w AS n, coalesce(round(avg(g) OVER w / nullif(stddev_samp(g) OVER w, 0), 9), -1e9) AS s FROM tg WINDOW w AS (PARTITION BY th ORDER BY rebal_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -65,7 +66,6 @@ GRID = f"""{DR}, {BREADTH}, cg AS (SELECT dr.*, cut FROM dr, (SELECT unnest([10,
     (SELECT unnest([40.0, 50.0, 60.0]) AS th)),
   grid AS (SELECT cut, CAST(th AS DOUBLE) AS threshold, count(*) AS months, avg(ret) * sqrt(12) / nullif(stddev_samp(ret), 0) AS sharpe,
     CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 12.0 / count(*)) - 1 END AS cagr FROM cc GROUP BY 1, 2 HAVING count(*) >= 12)"""
-breadth_scores = lambda t: A.breadth(t.bars).select(F.col("date").alias("rebal_date"), F.col("pct_above_200dma").alias("score"))
 grid = lambda t: B.cut_grid(book(t), breadth_scores(t))
 G("bt_param_grid", PV, f"WITH {GRID} SELECT * FROM grid", "threshold sharpe cagr", grid, 5)
 NC = "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))"
