@@ -15,7 +15,8 @@ from .joins import NEXT, realized
 from .series import DEC, PANEL, PCT, PV, SMA, panel
 
 DR = f"{NEXT}, dr AS (SELECT *, {DEC('mom')} AS decile FROM rz)"
-book = lambda t: realized(t).withColumn("decile", qcut_decile("mom", "rebal_date"))
+deciled = lambda r: r.withColumn("decile", qcut_decile("mom", "rebal_date"))
+book = lambda t: deciled(realized(t))
 BOOK = f"""{DR}, en AS (SELECT rebal_date FROM dr GROUP BY 1 HAVING count(decile) >= 10), bk AS (SELECT dr.* FROM dr JOIN en USING (rebal_date) WHERE decile IN (1, 10)), bn AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM bk)),
   pv AS (SELECT nxt AS rebal_date, symbol, decile, 1 AS held FROM bk JOIN bn USING (rebal_date)), lg AS (SELECT bk.rebal_date, bk.decile, avg(realized) AS ret, 2 * avg(CAST(held IS NULL AS DOUBLE)) * 30 / 1e4 AS cost FROM bk LEFT JOIN pv USING (rebal_date, symbol, decile) GROUP BY 1, 2),
   db AS (SELECT rebal_date, max(ret) FILTER (decile = 10) AS long_gross, max(ret) FILTER (decile = 1) AS short_gross, max(ret - cost) FILTER (decile = 10) AS long_net, max(ret) FILTER (decile = 10) - max(ret) FILTER (decile = 1) - max(cost) FILTER (decile = 10) - max(cost) FILTER (decile = 1) AS ls_net FROM lg GROUP BY 1)"""
@@ -25,7 +26,8 @@ G("bt_cost_sweep", PV, f"WITH {BOOK} SELECT bps, avg(long_gross - (long_gross -
   lambda t: B.decile_book(book(t)).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 20, 30, 50))))).groupBy("bps").agg(F.avg(F.col("long_gross") - (F.col("long_gross") - F.col("long_net")) / 30 * F.col("bps")).alias("mean_net"), F.count("*").alias("n")))
 PF = f"""{NEXT}, wb AS (SELECT rebal_date, symbol, realized, 1.0 / count(*) OVER (PARTITION BY rebal_date) AS weight FROM rz WHERE prox > 0.9), wn AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS nxt FROM (SELECT DISTINCT rebal_date FROM wb)), wp AS (SELECT nxt AS rebal_date, symbol, weight AS pw FROM wb JOIN wn USING (rebal_date) WHERE nxt IS NOT NULL),
   df AS (SELECT rebal_date, symbol, coalesce(weight, 0) AS weight, coalesce(weight, 0) - coalesce(pw, 0) AS delta FROM wb FULL JOIN wp USING (rebal_date, symbol)), pf AS (SELECT g.rebal_date, gross, names, turnover, gross - turnover * 30 / 1e4 AS net FROM (SELECT rebal_date, sum(weight * realized) AS gross, count(*) AS names FROM wb GROUP BY 1) g JOIN (SELECT rebal_date, sum(abs(delta)) AS turnover FROM df GROUP BY 1) USING (rebal_date))"""
-near_high = lambda t: realized(t).where("prox > 0.9").select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized", "close", "turnover")
+highs = lambda r: r.where("prox > 0.9").select("rebal_date", "symbol", F.lit(1.0).alias("weight"), "realized", "close", "turnover")
+near_high = lambda t: highs(realized(t))
 folio = lambda t: B.portfolio(near_high(t))
 ADV = f"av AS (SELECT symbol, date AS rebal_date, avg(close * volume) OVER (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING) AS adv FROM bars)"
 
@@ -68,6 +70,14 @@ GRID = f"""{DR}, {BREADTH}, cg AS (SELECT dr.*, cut FROM dr, (SELECT unnest([10,
     CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 12.0 / count(*)) - 1 END AS cagr FROM cc GROUP BY 1, 2 HAVING count(*) >= 12)"""
 grid = lambda t: B.cut_grid(book(t), breadth_scores(t))
 G("bt_param_grid", PV, f"WITH {GRID} SELECT * FROM grid", "threshold sharpe cagr", grid, 5)
+
+
+def psr_dsr(t):
+    """The book and the grid of its trials over one stored panel."""
+    r = realized(t)
+    return B.deflated_sharpe(B.portfolio(highs(r)).select(F.col("net").alias("ret")), B.cut_grid(deciled(r), breadth_scores(t)))
+
+
 NC = "(0.5 * (1 + sign(Z) * (1 - ((((1.061405429 / (1 + 0.3275911 * abs(Z)) - 1.453152027) / (1 + 0.3275911 * abs(Z)) + 1.421413741) / (1 + 0.3275911 * abs(Z)) - 0.284496736) / (1 + 0.3275911 * abs(Z)) + 0.254829592) / (1 + 0.3275911 * abs(Z)) * exp(-Z * Z))))"
 PPF = {n: NormalDist().inv_cdf(p) for n, p in (("a", 1 - 1 / 9), ("b", 1 - 1 / (9 * math.e)))}
 PSR_Z = lambda b: f"(sr - {b}) * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) / sqrt(2)"
@@ -75,7 +85,7 @@ G("bt_psr_dsr", PV, f"""WITH {PF}, {GRID[len(NEXT) + 2:]}, m AS (SELECT count(ne
   tv AS (SELECT var_samp(sharpe / sqrt(12)) AS v, count(sharpe) AS trials FROM grid), eb AS (SELECT m.*, trials, sqrt(v) * ((1 - 0.5772156649015329) * {PPF["a"]!r} + 0.5772156649015329 * {PPF["b"]!r}) AS best FROM m, tv),
   z AS (SELECT *, {PSR_Z("0")} AS z0, {PSR_Z("best")} AS z1 FROM eb)
   SELECT n, sr, skew, kurt, {NC.replace('Z', 'z0')} AS psr, trials, {NC.replace('Z', 'z1')} AS dsr, best * sqrt(12) AS expected_best FROM z""", "sr skew kurt psr dsr expected_best",
-  lambda t: B.deflated_sharpe(folio(t).select(F.col("net").alias("ret")), grid(t)), 5)
+  psr_dsr, 5)
 G("bt_block_bootstrap", PV, None, "", lambda t: B.block_bootstrap(folio(t).select("rebal_date", F.col("net").alias("ret"))))
 G("bt_drift_corr", PV, f"WITH {PF} SELECT corr(net, p) AS drift_corr, count(p) AS n FROM (SELECT net, lag(net) OVER (ORDER BY rebal_date) AS p FROM pf)", "drift_corr", lambda t: folio(t).withColumn("p", F.lag("net").over(Window.orderBy("rebal_date"))).agg(F.corr("net", "p").alias("drift_corr"), F.count("p").alias("n")))
 G("cpcv_paths", "bars month_ends", """WITH d AS (SELECT rebal_date, row_number() OVER (ORDER BY rebal_date) - 1 AS i, count(*) OVER () AS n FROM month_ends), g AS (SELECT rebal_date, i, CAST(floor(i * 6 / n) AS INTEGER) AS g FROM d), p AS (SELECT rebal_date, i, CAST(a.x AS INTEGER) AS g1, CAST(b.x AS INTEGER) AS g2, g = a.x OR g = b.x AS test FROM g, range(6) a(x), range(6) b(x) WHERE a.x < b.x)
